@@ -4,17 +4,18 @@ Every text becomes its set of distinct ``k``-word shingles.  Two sets link when
 ``den * |x & y| >= num * |x | y|``.  The join is exact:
 
 1.  *Candidates.*  If the Jaccard similarity of x and y is at least t, then under any
-    common order of the tokens their prefixes of ``n - ceil(t n) + 1`` tokens meet.
-    The order puts rare tokens first, by a count sketch over all texts of fixed
+    common order of the tokens their prefixes of ``n - ceil(t n) + MEET`` tokens share
+    MEET tokens (one token and ``+ 1`` where a set is small).  The order puts rare tokens first, by a count sketch over all texts of fixed
     size, so that passages that many texts share are not candidates' meeting points.
     The sketch only sets the order; what it gets wrong costs time, never a link.
 2.  *Groups.*  Sets that meet are partitioned into groups of similar sets: each set
-    goes to the centre with which it shares most prefix tokens.  A set is a query to
-    every group in which it meets a member.
-3.  *Bound.*  The tokens of a group form its token union, with the number of sets
-    that hold each.  Tokens of x that no other set of the group has count against
-    every pair: x links into the group only if ``u(x) + min u <= k``, where u counts
-    such tokens and k is the largest symmetric difference of a linked pair.
+    goes to the centre with which it shares most prefix tokens.  The token-group
+    matrix holds the union of the members' prefixes of every group.
+3.  *Bound.*  A set queries a group only if MEET of its prefix tokens are in the
+    group's union by way of other sets.  In a group of several blocks the union of all
+    tokens bounds again: tokens of x that no other set of the group has count against
+    every pair, so x qualifies only if ``u(x) + min u <= k``, where u counts such
+    tokens and k is the largest symmetric difference of a linked pair.
 4.  *Open.*  Only qualifying sets are compared with the members of their group, in
     blocks of bounded size, as products of 0/1 matrices.  A block returns a spanning
     forest of its links, never all its pairs.
@@ -42,6 +43,8 @@ from .components import components
 
 #: Counters of the order's sketch (one byte each when broadcast) and rows it travels in.
 SKETCH, SKETCH_ROWS = 1 << 22, 64
+#: Prefix tokens that the prefixes of a linked pair share, unless a set is small.
+MEET = 4
 #: Sets and tokens of a block.
 BLOCK_SETS, BLOCK_TOKENS = 128, 1 << 17
 
@@ -109,8 +112,9 @@ def shingle_sets(docs: DataFrame, k: int) -> DataFrame:
 
 
 def prefix_length(n: int, num: int, den: int) -> int:
-    """Tokens of a set of n that a linked set can't all miss."""
-    return n - -(-num * n // den) + 1
+    """Tokens of a set of n of which a linked set has MEET at least in its own prefix
+    (one, if the sets are small)."""
+    return n - -(-num * n // den) + (MEET if n >= 2 * MEET else 1)
 
 
 def _prefixes(docs: DataFrame, k: int, num: int, den: int, order) -> DataFrame:
@@ -215,33 +219,43 @@ def links(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, slots: int
     order = spark.sparkContext.broadcast(sketch(docs, k, slots))
     prefixes = _prefixes(docs, k, num, den, order)
     # copies of a set in several tasks meet here as one; min and max need no list of members
-    met = prefixes.groupBy("token").agg(F.min("set_id").alias("centre"), F.max("set_id").alias("other")).filter("centre <> other").select("token", "centre")
-    met = cut(prefixes.join(met, "token").distinct())
+    meeting = prefixes.groupBy("token").agg(F.min("set_id").alias("centre"), F.max("set_id").alias("other")).filter("centre <> other").select("token", "centre")
+    met = cut(prefixes.join(meeting, "token").distinct())
+
+    # groups: every set goes to the centre with which it shares most tokens
     group = met.groupBy("set_id", "centre").count().groupBy("set_id").agg(F.max_by("centre", F.struct("count", "centre")).alias("group"))
-    group = cut(group)
-    ask = met.join(met.join(group, "set_id").select("token", "group").distinct(), "token").select("set_id", "group").distinct()
-    roles = ask.withColumn("query", F.lit(True)).join(group.withColumn("member", F.lit(True)), ["set_id", "group"], "left")
-    roles = cut(roles.withColumn("member", F.coalesce("member", F.lit(False))))
-
-    wanted = met.select("set_id").distinct().join(sets.groupBy("set_id").agg(F.min("doc_id").alias("doc_id")), "set_id")
-    tokens = _tokens(semi_join(docs, wanted.select("doc_id").distinct(), "doc_id"), k)
-    rows = cut(tokens.join(roles, "set_id"))
-    # Groups of a single set have nothing to open.
-    size = rows.groupBy("group").agg(F.count("*").alias("sets"), F.sum("n").alias("held")).filter("sets > 1")
-    size = size.withColumn("blocks", F.greatest(F.ceil(F.col("sets") / BLOCK_SETS), F.ceil(F.col("held") / BLOCK_TOKENS)))
-    rows = rows.join(size.select("group", "blocks"), "group")
-    small, large = rows.filter("blocks = 1"), _bounded(rows.filter("blocks > 1"), num, den)
-    block = lambda c: F.pmod(F.xxhash64("set_id"), c)
-    units = small.select("group", F.lit(0).alias("i"), F.lit(0).alias("j"), "set_id", "tokens", "query", "member")
+    # token-group matrix: the rarest tokens of a group's members, and whether one set alone has them
+    matrix = met.join(group, "set_id").groupBy("token", "group").agg(F.min("set_id").alias("one"), F.max("set_id").alias("two"))
+    shared = met.join(matrix, "token").filter("one <> two or one <> set_id").groupBy("set_id", "group").agg(F.count("*").alias("shared"))
+    facts = sets.filter("n_shingles > 0").groupBy("set_id").agg(F.min("doc_id").alias("doc_id"), F.max("n_shingles").alias("n"))
+    facts = met.select("set_id").distinct().join(facts, "set_id")
+    ask = shared.join(facts, "set_id").filter(F.col("shared") >= F.when(F.col("n") >= 3 * MEET, MEET).otherwise(1))
+    ask = cut(ask.select("set_id", "group", "n", "doc_id"))
+    # a link is asked from both of its ends, so a member that asks nothing has none
+    member = ask.select("set_id", "n", "doc_id").distinct().join(group, "set_id").withColumn("member", F.lit(True))
+    roles = ask.withColumn("query", F.lit(True)).join(member, ["set_id", "group", "n", "doc_id"], "full")
+    roles = cut(roles.withColumn("member", F.coalesce("member", F.lit(False))).withColumn("query", F.coalesce("query", F.lit(False))))
+
+    tokens = _tokens(semi_join(docs, roles.select("doc_id").distinct(), "doc_id"), k).drop("n")
+    roles = _blocks(roles.drop("doc_id"))
+    small, large = roles.filter("blocks = 1"), _bounded(roles.filter("blocks > 1"), tokens, num, den)
+    units = small.select("set_id", "group", F.lit(0).alias("i"), F.lit(0).alias("j"), "query", "member")
     every = F.sequence(F.lit(0), F.col("blocks").cast("int") - 1)
-    mine = block(F.col("blocks")).cast("int")
-    asks = large.withColumn("j", F.explode(every)).select("group", mine.alias("i"), "j", "set_id", "tokens", F.lit(True).alias("query"), F.lit(False).alias("member"))
-    holds = large.filter("member").withColumn("i", F.explode(every)).select("group", "i", mine.alias("j"), "set_id", "tokens", F.lit(False).alias("query"), F.lit(True).alias("member"))
-    units = units.unionByName(asks).unionByName(holds)
+    mine = F.pmod(F.xxhash64("set_id"), "blocks").cast("int")
+    asks = large.filter("query").withColumn("j", F.explode(every)).select("set_id", "group", mine.alias("i"), "j", "query", F.lit(False).alias("member"))
+    holds = large.filter("member").withColumn("i", F.explode(every)).select("set_id", "group", "i", mine.alias("j"), F.lit(False).alias("query"), "member")
+    units = units.unionByName(asks).unionByName(holds).join(tokens, "set_id")
     return units.groupBy("group", "i", "j").applyInPandas(_open(num, den), "u long, v long")
 
 
-def _bounded(rows: DataFrame, num: int, den: int) -> DataFrame:
+def _blocks(roles: DataFrame) -> DataFrame:
+    """``roles`` with the number of blocks of each group; a single set has nothing to open."""
+    size = roles.groupBy("group").agg(F.count("*").alias("sets"), F.sum("n").alias("held")).filter("sets > 1")
+    size = size.select("group", F.greatest(F.ceil(F.col("sets") / BLOCK_SETS), F.ceil(F.col("held") / BLOCK_TOKENS)).alias("blocks"))
+    return roles.join(size, "group")
+
+
+def _bounded(roles: DataFrame, tokens: DataFrame, num: int, den: int) -> DataFrame:
     """Of groups of several blocks, the sets that qualify.
 
     u(x) counts the tokens that no other set of the group holds.  A linked pair has
@@ -251,22 +265,21 @@ def _bounded(rows: DataFrame, num: int, den: int) -> DataFrame:
 
     def spread(batches):
         for batch in batches:
-            sizes = np.array(batch.column("n"))
-            if sizes.sum():
-                at = np.repeat(np.arange(batch.num_rows), sizes)
-                token = np.frombuffer(b"".join(batch.column("tokens").to_pylist()), np.int64)
-                yield pa.RecordBatch.from_arrays([batch.column("group").take(pa.array(at)), pa.array(token), batch.column("set_id").take(pa.array(at))], names=["group", "token", "set_id"])
+            packed = batch.column("tokens").to_pylist()
+            if packed:
+                at = pa.array(np.repeat(np.arange(len(packed)), [len(t) // 8 for t in packed]))
+                token = np.frombuffer(b"".join(packed), np.int64)
+                yield pa.RecordBatch.from_arrays([batch.column("group").take(at), pa.array(token), batch.column("set_id").take(at)], names=["group", "token", "set_id"])
 
-    held = rows.select("group", "n", "tokens", "set_id").mapInArrow(spread, "group long, token long, set_id long")
+    held = roles.select("set_id", "group").join(tokens, "set_id").mapInArrow(spread, "group long, token long, set_id long")
     alone = held.groupBy("group", "token").agg(F.min("set_id").alias("set_id"), F.max("set_id").alias("last")).filter("set_id = last")
     alone = alone.groupBy("group", "set_id").agg(F.count("*").alias("alone"))
-    rows = rows.join(alone, ["group", "set_id"], "left").withColumn("alone", F.coalesce("alone", F.lit(0)))
+    rows = roles.drop("blocks").join(alone, ["group", "set_id"], "left").withColumn("alone", F.coalesce("alone", F.lit(0)))
+    rows = cut(rows)
     least = rows.groupBy("group").agg(F.min("alone").alias("least"))
     most = (F.col("n") + F.floor(F.col("n") * den / num)) * (den - num) / F.lit(den + num)
     rows = rows.join(least, "group").filter((F.col("alone") + F.col("least") <= most) & (den * (F.col("n") - F.col("alone")) >= num * F.col("n")))
-    rows = cut(rows.drop("blocks"))
-    size = rows.groupBy("group").agg(F.greatest(F.ceil(F.count("*") / BLOCK_SETS), F.ceil(F.sum("n") / BLOCK_TOKENS)).alias("blocks"))
-    return rows.join(size, "group")
+    return _blocks(rows.drop("alone", "least"))
 
 
 def ngram_join(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, slots: int = SKETCH) -> DataFrame:
