@@ -17,6 +17,7 @@ from __future__ import annotations
 import hashlib
 import heapq
 import json
+import operator
 from bisect import bisect_right
 from collections.abc import Iterator
 from itertools import chain
@@ -31,7 +32,7 @@ from .common import as_bytes
 #: Unicode property, without the separators U+001C-U+001F that Python's ``\s`` adds.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
 #: Words whose encodings a worker keeps, and bytes of text encoded together.
-CACHE_WORDS, STRETCH = 300_000, 4 << 20
+CACHE_WORDS, STRETCH = 800_000, 4 << 20
 
 
 def byte_alphabet() -> dict[str, int]:
@@ -52,6 +53,7 @@ class BytePairEncoder:
         merges = [m.split(" ") if isinstance(m, str) else m for m in merges]
         self.rank = {(vocab[a] << 20) | vocab[b]: r for r, (a, b) in reversed(list(enumerate(merges)))}
         self.made = [vocab[a + b] for a, b in merges]
+        self.pairs = [(vocab[a], vocab[b]) for a, b in merges]
         self.first = [0] * 256
         for c, b in byte.items():
             self.first[b] = vocab[c]
@@ -61,6 +63,7 @@ class BytePairEncoder:
         self.split = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
         self.pattern = regex.compile(PATTERN)
         self.cache: dict[str, str] = {}
+        self.decimal = [str(i) for i in range(max(map(int, self.piece)) + 1)]
 
     def pre_tokens(self, text: str) -> list[str]:
         """Pre-tokens in order; special tokens stand alone."""
@@ -82,26 +85,23 @@ class BytePairEncoder:
 
     def encode_words(self, words: list[str]) -> list[list[int]]:
         """Token ids of each word, by the pair occurrence index over all of them."""
-        rank, made, first = self.rank, self.made, self.first
+        made, pairs, first, get = self.made, self.pairs, self.first, self.rank.get
         raw = [w.encode() for w in words]
         sym: list[int] = []
         starts = [0]
         for b in raw:
             sym.extend([first[x] for x in b])
-            sym.append(-1)  # between words
+            sym.append(-1)  # between words; it is in no pair
             starts.append(len(sym))
         after = list(range(1, len(sym) + 1))
         before = list(range(-1, len(sym) - 1))
         index: dict[int, list[int]] = {}
-        get = rank.get
-        last = -1
-        for i, s in enumerate(sym):
-            if last >= 0 and s >= 0 and (r := get((last << 20) | s)) is not None:
+        for i, r in enumerate(map(get, map(operator.add, map((1 << 20).__mul__, sym), sym[1:]))):
+            if r is not None:
                 if r in index:
-                    index[r].append(i - 1)
+                    index[r].append(i)
                 else:
-                    index[r] = [i - 1]
-            last = s
+                    index[r] = [i]
         active = list(index)
         heapq.heapify(active)
         again: set[int] = set()
@@ -109,29 +109,34 @@ class BytePairEncoder:
             r = heapq.heappop(active)
             places = index.pop(r)
             places.sort()
-            new = made[r]
+            new, (a, b) = made[r], pairs[r]
+            high = new << 20
             for i in places:
-                a = sym[i]
-                if a < 0:
+                if sym[i] != a:
                     continue
                 j = after[i]
-                b = sym[j]
-                if b < 0 or get((a << 20) | b) != r:
+                if sym[j] != b:
                     continue
                 sym[i], sym[j] = new, -2
-                k = after[j]
-                after[i] = k
+                after[i] = k = after[j]
                 before[k] = i
+                if (q := get(high + sym[k])) is not None:
+                    if q < r:
+                        again.add(i)
+                    if q in index:
+                        index[q].append(i)
+                    else:
+                        index[q] = [i]
+                        heapq.heappush(active, q)
                 h = before[i]
-                for at, pair in ((h, (sym[h] << 20) | new if h >= 0 and sym[h] >= 0 else -1), (i, (new << 20) | sym[k] if sym[k] >= 0 else -1)):
-                    if pair >= 0 and (q := get(pair)) is not None:
-                        if q < r:
-                            again.add(i)
-                        if q in index:
-                            index[q].append(at)
-                        else:
-                            index[q] = [at]
-                            heapq.heappush(active, q)
+                if h >= 0 and (q := get((sym[h] << 20) + new)) is not None:
+                    if q < r:
+                        again.add(i)
+                    if q in index:
+                        index[q].append(h)
+                    else:
+                        index[q] = [h]
+                        heapq.heappush(active, q)
         out = [[s for s in sym[a : b - 1] if s >= 0] for a, b in zip(starts, starts[1:])]
         for w in {bisect_right(starts, i) - 1 for i in again}:
             out[w] = self._greedy([first[x] for x in raw[w]])
@@ -143,9 +148,9 @@ class BytePairEncoder:
         if len(self.cache) > CACHE_WORDS:
             self.cache.clear()
         fresh = list(set(chain.from_iterable(words)).difference(self.cache))
-        special = [w for w in fresh if w in self.special]
+        special, text = [w for w in fresh if w in self.special], self.decimal
         for w, ids in zip(fresh, self.encode_words(fresh)):
-            self.cache[w] = ",".join(map(str, ids))
+            self.cache[w] = ",".join([text[i] for i in ids])
         for w in special:
             self.cache[w] = str(self.special[w])
         get = self.cache.__getitem__
