@@ -46,7 +46,7 @@ SKETCH, SKETCH_ROWS = 1 << 22, 64
 #: Prefix tokens that the prefixes of a linked pair share, unless a set is small.
 MEET = 4
 #: Sets and tokens of a block.
-BLOCK_SETS, BLOCK_TOKENS = 128, 1 << 17
+BLOCK_SETS, BLOCK_TOKENS = 256, 1 << 20
 
 U64 = np.uint64
 
@@ -244,7 +244,8 @@ def links(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, slots: int
     mine = F.pmod(F.xxhash64("set_id"), "blocks").cast("int")
     asks = large.filter("query").withColumn("j", F.explode(every)).select("set_id", "group", mine.alias("i"), "j", "query", F.lit(False).alias("member"))
     holds = large.filter("member").withColumn("i", F.explode(every)).select("set_id", "group", "i", mine.alias("j"), F.lit(False).alias("query"), "member")
-    units = units.unionByName(asks).unionByName(holds).join(tokens, "set_id")
+    units = units.unionByName(asks).unionByName(holds).groupBy("set_id", "group", "i", "j").agg(F.max("query").alias("query"), F.max("member").alias("member"))
+    units = units.join(tokens, "set_id")
     return units.groupBy("group", "i", "j").applyInPandas(_open(num, den), "u long, v long")
 
 
@@ -265,15 +266,26 @@ def _bounded(roles: DataFrame, tokens: DataFrame, num: int, den: int) -> DataFra
 
     def spread(batches):
         for batch in batches:
-            packed = batch.column("tokens").to_pylist()
-            if packed:
-                at = pa.array(np.repeat(np.arange(len(packed)), [len(t) // 8 for t in packed]))
-                token = np.frombuffer(b"".join(packed), np.int64)
-                yield pa.RecordBatch.from_arrays([batch.column("group").take(at), pa.array(token), batch.column("set_id").take(at)], names=["group", "token", "set_id"])
-
-    held = roles.select("set_id", "group").join(tokens, "set_id").mapInArrow(spread, "group long, token long, set_id long")
-    alone = held.groupBy("group", "token").agg(F.min("set_id").alias("set_id"), F.max("set_id").alias("last")).filter("set_id = last")
-    alone = alone.groupBy("group", "set_id").agg(F.count("*").alias("alone"))
+            for row in batch.to_pylist():
+                token = np.frombuffer(row["tokens"], U64)
+                part = token % U64(row["parts"])
+                order = np.argsort(part, kind="stable")
+                at = np.searchsorted(part[order], np.arange(row["parts"] + 1, dtype=U64))
+                packed = [token[order[lo:hi]].tobytes() for lo, hi in zip(at, at[1:])]
+                n = row["parts"]
+                yield pa.RecordBatch.from_arrays([pa.array([row["group"]] * n, pa.int64()), pa.array(range(n), pa.int32()), pa.array([row["set_id"]] * n, pa.int64()), pa.array(packed, pa.binary())], names=["group", "part", "set_id", "tokens"])
+
+    def count(part: pd.DataFrame) -> pd.DataFrame:
+        of = np.repeat(np.arange(len(part)), [len(t) // 8 for t in part["tokens"]])
+        _, first, held = np.unique(np.frombuffer(b"".join(part["tokens"]), U64), return_index=True, return_counts=True)
+        alone = np.bincount(of[first[held == 1]], minlength=len(part))
+        return pd.DataFrame({"group": part["group"], "set_id": part["set_id"], "alone": alone})
+
+    parts = roles.groupBy("group").agg(F.ceil(F.sum("n") / BLOCK_TOKENS).alias("parts"))
+    held = roles.select("set_id", "group").join(parts, "group").join(tokens, "set_id")
+    held = held.select("group", "set_id", "parts", "tokens").mapInArrow(spread, "group long, part int, set_id long, tokens binary")
+    alone = held.groupBy("group", "part").applyInPandas(count, "group long, set_id long, alone long")
+    alone = alone.groupBy("group", "set_id").agg(F.sum("alone").alias("alone"))
     rows = roles.drop("blocks").join(alone, ["group", "set_id"], "left").withColumn("alone", F.coalesce("alone", F.lit(0)))
     rows = cut(rows)
     least = rows.groupBy("group").agg(F.min("alone").alias("least"))
