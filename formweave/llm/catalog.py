@@ -9,8 +9,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import bpe, ngram_join, sql
+from . import bpe, language, ngram_join, sql, toxicity
 from .common import documents
 
 
@@ -25,6 +26,27 @@ def _vocabulary() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def _fold(k: int):
+    """The remainder by ``k`` that decides what is held out."""
+    return F.expr(f"crc32(cast(doc_id AS string)) % {k}")
+
+
+def op5_toxicity_by_compression(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every document; the fifth fold is held out of learning."""
+    docs = documents(spark, sf_dir).select("doc_id", "text")
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").filter(_fold(5) != 0)
+    scored = toxicity.score(docs, toxicity.fit(docs, labels))
+    return scored.select("doc_id", (_fold(5) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+def op8_language_by_compression(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document; the fold with remainder 1 is held out of learning."""
+    docs = documents(spark, sf_dir)
+    model = language.fit(docs.filter(_fold(3) != 1))
+    found = language.classify(docs.select("doc_id", "text"), model)
+    return found.select("doc_id", (_fold(3) == 1).alias("held_out"), "lang_pred", "score", "accepted")
+
+
 def op6_byte_pair_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token ids of every text and what they decode to, as digests."""
     return bpe.round_trip(documents(spark, sf_dir), _vocabulary())

@@ -5,16 +5,24 @@ from __future__ import annotations
 import numpy as np
 import zstandard
 
-#: zstandard level of every length; the lowest that looks a dictionary up.
-LEVEL = 1
+#: Fixed value: ASCII letters stay, every other ASCII byte becomes a space.
+_LETTERS = bytes(32 if c < 128 and not chr(c).isalpha() else c for c in range(256))
 
 
-def compressor(dictionary: bytes, raw: bool) -> zstandard.ZstdCompressor:
-    """A compressor with a digested dictionary: raw content, or a trained dictionary."""
-    kind = zstandard.DICT_TYPE_RAWCONTENT if raw else zstandard.DICT_TYPE_FULLDICT
-    d = zstandard.ZstdCompressionDict(dictionary, dict_type=kind)
-    d.precompute_compress(level=LEVEL)
-    return zstandard.ZstdCompressor(level=LEVEL, dict_data=d, write_content_size=False, write_checksum=False, write_dict_id=False)
+def normal(text: str) -> bytes:
+    """Lower case, with one space for each run of ASCII characters that are no letters."""
+    return b" ".join(text.lower().encode().translate(_LETTERS).split())
+
+
+def compressor(dictionary: bytes, level: int) -> zstandard.ZstdCompressor:
+    """A compressor with ``dictionary`` as digested raw content.
+
+    Matches of four bytes count: the evidence is in short endings and words.
+    """
+    params = zstandard.ZstdCompressionParameters.from_level(level, min_match=4, write_content_size=False, write_checksum=False, write_dict_id=False)
+    content = zstandard.ZstdCompressionDict(dictionary, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+    content.precompute_compress(compression_params=params)
+    return zstandard.ZstdCompressor(compression_params=params, dict_data=content)
 
 
 def windows(data: bytes, width: int) -> list[bytes]:
