@@ -52,10 +52,13 @@ def over_batches(build: Callable[[pa.RecordBatch], Iterator[pa.RecordBatch]]):
     return run
 
 
+def small_side(df: DataFrame, most: int) -> DataFrame:
+    """``df`` marked for broadcast if a count finds at most ``most`` rows; otherwise as it
+    is, so that the join shuffles both sides."""
+    return F.broadcast(df) if df.count() <= most else df
+
+
 def semi_join(df: DataFrame, keys: DataFrame, on: str, most: int = 1 << 20) -> DataFrame:
-    """Rows of ``df`` whose ``on`` is in ``keys`` (distinct).  The keys are counted;
-    up to ``most`` of them (8 MB of longs) they are broadcast, so that ``df`` is not
-    shuffled, and beyond that the join shuffles both sides."""
-    if keys.count() <= most:
-        keys = F.broadcast(keys)
-    return df.join(keys, on, "left_semi")
+    """Rows of ``df`` whose ``on`` is in ``keys`` (distinct); up to ``most`` keys (8 MB of
+    longs) are broadcast, so that ``df`` is not shuffled."""
+    return df.join(small_side(keys, most), on, "left_semi")

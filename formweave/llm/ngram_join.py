@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import hashing as H
-from .common import as_bytes, cut, semi_join
+from .common import as_bytes, cut, semi_join, small_side
 from .components import components
 
 #: Counters of the order's sketch (one byte each when broadcast) and rows it travels in.
@@ -220,16 +220,18 @@ def links(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, slots: int
     prefixes = _prefixes(docs, k, num, den, order)
     # copies of a set in several tasks meet here as one; min and max need no list of members
     meeting = prefixes.groupBy("token").agg(F.min("set_id").alias("centre"), F.max("set_id").alias("other")).filter("centre <> other").select("token", "centre")
-    met = cut(prefixes.join(meeting, "token").distinct())
+    met = prefixes.join(meeting, "token").distinct()
+    # sets that meet too few tokens in all link with nothing
+    enough = met.groupBy("set_id").agg(F.count("*").alias("tokens")).join(sets.filter("n_shingles > 0").groupBy("set_id").agg(F.min("doc_id").alias("doc_id"), F.max("n_shingles").alias("n")), "set_id")
+    facts = cut(enough.filter(F.col("tokens") >= _need()).select("set_id", "doc_id", "n"))
+    met = cut(met.join(facts.select("set_id"), "set_id", "left_semi"))
 
     # groups: every set goes to the centre with which it shares most tokens
     group = met.groupBy("set_id", "centre").count().groupBy("set_id").agg(F.max_by("centre", F.struct("count", "centre")).alias("group"))
     # token-group matrix: the rarest tokens of a group's members, and whether one set alone has them
     matrix = met.join(group, "set_id").groupBy("token", "group").agg(F.min("set_id").alias("one"), F.max("set_id").alias("two"))
     shared = met.join(matrix, "token").filter("one <> two or one <> set_id").groupBy("set_id", "group").agg(F.count("*").alias("shared"))
-    facts = sets.filter("n_shingles > 0").groupBy("set_id").agg(F.min("doc_id").alias("doc_id"), F.max("n_shingles").alias("n"))
-    facts = met.select("set_id").distinct().join(facts, "set_id")
-    ask = shared.join(facts, "set_id").filter(F.col("shared") >= F.when(F.col("n") >= 3 * MEET, MEET).otherwise(1))
+    ask = shared.join(facts, "set_id").filter(F.col("shared") >= _need())
     ask = cut(ask.select("set_id", "group", "n", "doc_id"))
     # a link is asked from both of its ends, so a member that asks nothing has none
     member = ask.select("set_id", "n", "doc_id").distinct().join(group, "set_id").withColumn("member", F.lit(True))
@@ -245,10 +247,16 @@ def links(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, slots: int
     asks = large.filter("query").withColumn("j", F.explode(every)).select("set_id", "group", mine.alias("i"), "j", "query", F.lit(False).alias("member"))
     holds = large.filter("member").withColumn("i", F.explode(every)).select("set_id", "group", "i", mine.alias("j"), F.lit(False).alias("query"), "member")
     units = units.unionByName(asks).unionByName(holds).groupBy("set_id", "group", "i", "j").agg(F.max("query").alias("query"), F.max("member").alias("member"))
-    units = units.join(tokens, "set_id")
+    units = cut(units)
+    units = tokens.join(small_side(units, 1 << 18), "set_id")
     return units.groupBy("group", "i", "j").applyInPandas(_open(num, den), "u long, v long")
 
 
+def _need():
+    """Prefix tokens that a set of ``n`` tokens shares with any set that it links with."""
+    return F.when(F.col("n") >= 3 * MEET, MEET).otherwise(1)
+
+
 def _blocks(roles: DataFrame) -> DataFrame:
     """``roles`` with the number of blocks of each group; a single set has nothing to open."""
     size = roles.groupBy("group").agg(F.count("*").alias("sets"), F.sum("n").alias("held")).filter("sets > 1")
