@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, language, ngram_join, sql, toxicity
+from . import bpe, language, ngram_join, prefix_hash, secrets, sql, toxicity
 from .common import documents
 
 
@@ -31,6 +31,16 @@ def _fold(k: int):
     return F.expr(f"crc32(cast(doc_id AS string)) % {k}")
 
 
+def op4_prefix_hash_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of every document, of its edit, and their likeness."""
+    return prefix_hash.fingerprints(documents(spark, sf_dir))
+
+
+def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets in every document, with parts linked within scopes."""
+    return secrets.spans(documents(spark, sf_dir))
+
+
 def op5_toxicity_by_compression(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Toxicity of every document; the fifth fold is held out of learning."""
     docs = documents(spark, sf_dir).select("doc_id", "text")
