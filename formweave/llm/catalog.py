@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, language, ngram_join, prefix_hash, secrets, sql, toxicity
+from . import bpe, language, mixing, ngram_join, prefix_hash, secrets, sql, toxicity
 from .common import documents
 
 
@@ -62,6 +62,11 @@ def op6_byte_pair_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(documents(spark, sf_dir), _vocabulary())
 
 
+def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words that a mix of all documents to source targets takes of each."""
+    return mixing.taken(documents(spark, sf_dir)).drop("source")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = {k: f for k, f in globals().items() if k.startswith("op")}
     return dict(sorted(found.items(), key=lambda x: int(x[0][2:].split("_")[0])))
