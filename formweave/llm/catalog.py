@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, language, mixing, ngram_join, prefix_hash, secrets, sql, toxicity
+from . import bpe, language, mixing, ngram_join, prefix_hash, secrets, sql, substring, toxicity
 from .common import documents
 
 
@@ -62,6 +62,11 @@ def op6_byte_pair_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(documents(spark, sf_dir), _vocabulary())
 
 
+def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left of every document without passages of smaller documents."""
+    return substring.remove_repeats(documents(spark, sf_dir))
+
+
 def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words that a mix of all documents to source targets takes of each."""
     return mixing.taken(documents(spark, sf_dir)).drop("source")
