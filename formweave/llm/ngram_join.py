@@ -220,11 +220,11 @@ def links(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, slots: int
     prefixes = _prefixes(docs, k, num, den, order)
     # copies of a set in several tasks meet here as one; min and max need no list of members
     meeting = prefixes.groupBy("token").agg(F.min("set_id").alias("centre"), F.max("set_id").alias("other")).filter("centre <> other").select("token", "centre")
-    met = prefixes.join(meeting, "token").distinct()
+    met = cut(prefixes.join(meeting, "token").distinct())
     # sets that meet too few tokens in all link with nothing
     enough = met.groupBy("set_id").agg(F.count("*").alias("tokens")).join(sets.filter("n_shingles > 0").groupBy("set_id").agg(F.min("doc_id").alias("doc_id"), F.max("n_shingles").alias("n")), "set_id")
     facts = cut(enough.filter(F.col("tokens") >= _need()).select("set_id", "doc_id", "n"))
-    met = cut(met.join(facts.select("set_id"), "set_id", "left_semi"))
+    met = met.join(facts.select("set_id"), "set_id", "left_semi")
 
     # groups: every set goes to the centre with which it shares most tokens
     group = met.groupBy("set_id", "centre").count().groupBy("set_id").agg(F.max_by("centre", F.struct("count", "centre")).alias("group"))
