@@ -20,7 +20,8 @@ def op2_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.ngram_join(documents(spark, sf_dir).select("doc_id", "text"), k=3, num=90, den=100)
 
 
-def _vocabulary() -> str:
+def vocabulary() -> str:
+    """Place of the vocabulary file; operators take it as a parameter."""
     import public_tokenizers
 
     return public_tokenizers.path("byte_bpe_50k.json")
@@ -59,7 +60,7 @@ def op8_language_by_compression(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_byte_pair_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token ids of every text and what they decode to, as digests."""
-    return bpe.round_trip(documents(spark, sf_dir), _vocabulary())
+    return bpe.round_trip(documents(spark, sf_dir), vocabulary())
 
 
 def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

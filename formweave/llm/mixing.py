@@ -162,3 +162,42 @@ def taken(docs: DataFrame, seed: int = 7) -> DataFrame:
     sums = pieces.groupBy("source_no", "start").agg(F.sum("words").alias("taken"))
     out = rows.withColumn("key", F.when(F.col("size") > 0, F.col("start"))).join(sums.withColumnRenamed("start", "key"), ["source_no", "key"], "left")
     return out.select("doc_id", "source", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
+
+
+def mixed(docs: DataFrame, seed: int = 7) -> DataFrame:
+    """The mixture as documents: for the n-th time that words of a row are taken, a row
+    with its other columns and those words as its text (n_chars, if there, follows).
+
+    A text that is taken whole stays as it is; of others the words taken are joined by one
+    space.  Rows of which nothing is taken, texts without words among them, are left out.
+    """
+    rows, pieces = plan(docs, seed)
+    sums = pieces.groupBy("source_no", "start", "first", "words").agg(F.count("*").alias("times"))
+    of = rows.filter("size > 0").select("source_no", "start", "doc_id", "tie")
+    part = F.struct("first", "words", "times")
+    # rows that are equal share what is taken of any of them
+    sums = sums.join(of, ["source_no", "start"]).groupBy("doc_id", "tie", "first", "words").agg(F.sum("times").alias("times"))
+    taken_of = sums.groupBy(F.col("doc_id").alias("d"), F.col("tie").alias("t")).agg(F.array_sort(F.collect_list(part)).alias("parts"))
+    keyed = docs.withColumn("tie", F.xxhash64("doc_id", F.coalesce("text", F.lit("")))).dropDuplicates(["doc_id", "tie"])
+    keyed = keyed.join(taken_of, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("tie") == F.col("t"))).drop("tie", "d", "t")
+    fields = [f.name for f in docs.schema.fields]
+    text_at = fields.index("text")
+
+    def build(batches):
+        for batch in batches:
+            at, texts = [], []
+            for i, (text, parts) in enumerate(zip(batch.column("text").to_pylist(), batch.column("parts").to_pylist())):
+                words = text.encode().split()
+                for n in range(1, max(p["times"] for p in parts) + 1):
+                    some = [p for p in parts if p["times"] >= n]
+                    if sum(p["words"] for p in some) == len(words):
+                        texts.append(text)
+                    else:
+                        texts.append(b" ".join(b" ".join(words[p["first"] : p["first"] + p["words"]]) for p in some).decode())
+                    at.append(i)
+            columns = [batch.column(f).take(pa.array(at, pa.int64())) for f in fields]
+            columns[text_at] = pa.array(texts, pa.string())
+            yield pa.RecordBatch.from_arrays(columns, names=fields)
+
+    out = keyed.mapInArrow(build, docs.schema)
+    return out.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in fields else out

@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, small_side
 
 # The base patterns.  A match of `assign` must have a value (group 2) of 12
 # characters or more, one of `access` 18 characters or more, one of `hex` 16 or more.
@@ -110,3 +110,27 @@ def spans(docs: DataFrame) -> DataFrame:
     out = texts.select("doc_id", "id", "digest").join(rows, ["id", "digest"], "left")
     zero = [F.coalesce(n, F.lit(0)).cast("long").alias(n) for n in ("n_assign", "n_access", "n_hex", "n_linked")]
     return out.select("doc_id", *zero, F.sha2(F.coalesce("base", F.lit("")), 256).alias("base_sha256"), F.coalesce("spans", F.lit("")).alias("spans"))
+
+
+#: Texts with spans whose spans are broadcast rather than shuffled with the texts.
+FEW = 1 << 17
+
+
+def redact(docs: DataFrame, mark: str = "[SECRET]") -> DataFrame:
+    """``docs`` with ``mark`` in the place of every span of ``scan`` (overlaps as one).
+
+    Texts without spans, null texts among them, stay as they are.
+    """
+    text = F.coalesce("text", F.lit(""))
+    found = cut(scan(docs).groupBy("id", "digest").agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("found")))
+    keyed = docs.withColumns({"id": F.coalesce("doc_id", F.lit(-(1 << 63))), "digest": F.xxhash64(text, F.length(text))})
+    keyed = keyed.join(small_side(found, FEW), ["id", "digest"], "left")
+    first = F.struct(F.lit(0).cast("long").alias("at"), F.lit("").alias("out"))
+
+    def cover(state, span):
+        gap = F.substr(text, (state["at"] + 1).cast("int"), (span["start"] - state["at"]).cast("int"))
+        put = F.concat(state["out"], gap, F.lit(mark))
+        return F.struct(F.greatest(state["at"], span["end"]).alias("at"), F.when(span["start"] >= state["at"], put).otherwise(state["out"]).alias("out"))
+
+    whole = F.aggregate("found", first, cover, lambda s: F.concat(s["out"], F.substr(text, (s["at"] + 1).cast("int"))))
+    return keyed.withColumn("text", F.when(F.col("found").isNotNull(), whole).otherwise(F.col("text"))).drop("id", "digest", "found")
