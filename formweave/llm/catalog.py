@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, language, mixing, ngram_join, prefix_hash, secrets, sql, substring, toxicity
+from . import audio, bpe, fixity, language, mixing, ngram_join, prefix_hash, secrets, sql, substring, toxicity
 from .common import documents
 
 
@@ -32,6 +32,28 @@ def _fold(k: int):
     return F.expr(f"crc32(cast(doc_id AS string)) % {k}")
 
 
+def op1_chroma_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Recordings of all vectors, and where clips of every fiftieth of them are found."""
+    return audio.search(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
+def replica(pages: DataFrame) -> DataFrame:
+    """A replica of the archive with planted damage, the same in every run: of 64 records
+    one has its last byte changed, one is lost, and one is added."""
+    damage = F.pmod(F.xxhash64("page_id"), F.lit(64))
+    record = F.when(damage == 0, F.concat(F.expr("left(record, length(record) - 1)"), F.lit("?"))).otherwise(F.col("record"))
+    kept = pages.filter(damage != 1).select("record_id", record.alias("record"))
+    added = pages.filter(damage == 2).select((-F.col("record_id") - 1).alias("record_id"), "record")
+    return kept.unionByName(added)
+
+
+def op3_warc_fixity_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records of the page archive in which a damaged replica differs."""
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    pages = pages.select("page_id", F.col("page_id").alias("record_id"), fixity.warc_record(F.col("url"), F.col("html")).alias("record"))
+    return fixity.audit(pages.select("record_id", "record"), replica(pages))
+
+
 def op4_prefix_hash_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprints of every document, of its edit, and their likeness."""
     return prefix_hash.fingerprints(documents(spark, sf_dir))
