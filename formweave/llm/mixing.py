@@ -145,7 +145,8 @@ def plan(docs: DataFrame, seed: int = 7, shards: int = SHARDS) -> tuple[DataFram
     covered = rows.filter("size > 0").withColumn("block", F.explode(F.sequence(F.floor(F.col("start") / F.col("length")), F.floor((F.col("start") + F.col("size") - 1) / F.col("length")))))
     low, high = F.greatest("start", F.col("block") * F.col("length")), F.least(F.col("start") + F.col("size"), (F.col("block") + 1) * F.col("length"))
     covered = covered.select("source_no", "block", "start", (low - F.col("start")).alias("first"), (high - low).alias("words"))
-    pieces = drawn.join(covered, ["source_no", "block"]).select("shard", "slot", "source_no", "start", "first", "words")
+    # the planner sees how few runs there are, not how many slots they make
+    pieces = drawn.hint("merge").join(covered, ["source_no", "block"]).select("shard", "slot", "source_no", "start", "first", "words")
     return rows.drop("length"), pieces
 
 
