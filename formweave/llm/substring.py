@@ -259,7 +259,7 @@ def removals(docs: DataFrame, facts: DataFrame) -> DataFrame:
 
     def with_texts(found: DataFrame, function, schema: str) -> DataFrame:
         """Cogroups the parts' findings with the texts of the documents found."""
-        ids = found.select("part", "found").mapInArrow(_found_docs, "doc_id long").distinct()
+        ids = found.groupBy("part").applyInPandas(_found_docs, "doc_id long")
         texts = semi_join(docs.filter("text IS NOT NULL").select("doc_id", "text"), cut(ids), "doc_id").mapInArrow(_with_part(buckets), "part int, doc_id long, text string")
         return texts.groupBy("part").cogroup(found.groupBy("part")).applyInPandas(function, schema)
 
@@ -268,11 +268,9 @@ def removals(docs: DataFrame, facts: DataFrame) -> DataFrame:
     return with_texts(again, _remove, "doc_id long, whole string, n_removed long, kept string")
 
 
-def _found_docs(batches):
-    for batch in batches:
-        ids = [np.unique(np.cumsum(_unints(_split(f)[0]))) for f in batch.column("found").to_pylist()]
-        if ids:
-            yield pa.RecordBatch.from_arrays([pa.array(np.unique(np.concatenate(ids)))], names=["doc_id"])
+def _found_docs(found: pd.DataFrame) -> pd.DataFrame:
+    """The documents of a part that anything was found in, once each."""
+    return pd.DataFrame({"doc_id": np.unique(np.concatenate([np.cumsum(_unints(_split(f)[0])) for f in found["found"]]))})
 
 
 def _with_part(parts: int):
