@@ -1,6 +1,8 @@
-"""Queries over the driver's tables, each with the SQL that must give the same rows."""
+"""All queries over the driver's tables, each with the SQL that must give the same rows."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from . import cleaning
+from .base import ORACLES, QUERIES
+
+__all__ = ["ORACLES", "QUERIES", "cleaning"]
