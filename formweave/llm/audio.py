@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, lean
 from .hashing import mix
 
 U64 = np.uint64
@@ -133,7 +133,7 @@ def fingerprints(media: DataFrame) -> DataFrame:
             cells = [batch.column("media_id"), pa.array(map(len, prints), pa.int32()), pa.array([p.tobytes() for p in prints], pa.binary()), pa.array(keys, pa.int64())]
             yield pa.RecordBatch.from_arrays(cells, names=["media_id", "n_frames", "prints", "class_key"])
 
-    return media.select("media_id", "payload").mapInArrow(build, "media_id long, n_frames int, prints binary, class_key long")
+    return lean(media).select("media_id", "payload").mapInArrow(build, "media_id long, n_frames int, prints binary, class_key long")
 
 
 def bit_errors(a: np.ndarray, b: np.ndarray, offset: int) -> tuple[int, float]:

@@ -26,7 +26,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from .common import as_bytes
+from .common import as_bytes, lean
 
 #: Fixed value: the published pre-token pattern of byte-level BPE.  White space is the
 #: Unicode property, without the separators U+001C-U+001F that Python's ``\s`` adds.
@@ -198,8 +198,10 @@ def _run(docs: DataFrame, vocabulary: str, schema: str, make) -> DataFrame:
             for held in _stretches(as_bytes(batch.column("text"))):
                 ids += encoder.encode([t.decode() for t in held])
             yield make(encoder, batch, ids)
+        if len(encoder.cache) > CACHE_WORDS // 2:
+            encoder.cache.clear()  # the worker may go on to something else
 
-    return docs.mapInArrow(build, schema)
+    return lean(docs).mapInArrow(build, schema)
 
 
 def encode(docs: DataFrame, vocabulary: str) -> DataFrame:

@@ -11,6 +11,21 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+#: Rows and bytes of an Arrow batch of texts; Spark's own limits (10000 rows, 64 MB) hold
+#: several copies of too much text at once in a worker of a few hundred MB.
+BATCH_ROWS, BATCH_BYTES = "1000", str(8 << 20)
+
+
+def lean(df: DataFrame) -> DataFrame:
+    """``df`` itself; from now on its session sends texts to Python in small batches,
+    unless it was told another size."""
+    conf = df.sparkSession.conf
+    if conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
+        conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+        conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
+    return df
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The documents table under ``sf_dir``."""
     return spark.read.parquet(f"{sf_dir}/documents.parquet")

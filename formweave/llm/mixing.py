@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, lean
 from .hashing import mix, mix_int
 
 U64 = np.uint64
@@ -200,5 +200,5 @@ def mixed(docs: DataFrame, seed: int = 7) -> DataFrame:
             columns[text_at] = pa.array(texts, pa.string())
             yield pa.RecordBatch.from_arrays(columns, names=fields)
 
-    out = keyed.mapInArrow(build, docs.schema)
+    out = lean(keyed).mapInArrow(build, docs.schema)
     return out.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in fields else out
