@@ -79,7 +79,7 @@ def two_labels(c) -> Column:
 
 def fused_options(c, before: str = r"(?=Capital \()") -> Column:
     """Options that run into each other, split before a known beginning."""
-    return F.filter(F.transform(F.split(c, before), F.trim), lambda p: p != "")
+    return F.filter(F.transform(F.split(c, before), lambda p: F.trim(p)), lambda p: p != "")
 
 
 def group_rows(fields: DataFrame, groups: DataFrame) -> DataFrame:
@@ -118,7 +118,7 @@ def append_missing(fields: DataFrame, rows: DataFrame, key: str = "Field") -> Da
 def matrix_rows(fields: DataFrame, sizes: DataFrame) -> DataFrame:
     """Fields that head a table of n rows (``sizes``: Field, n) get the indexes 2 to n that
     they lack."""
-    want = sizes.filter("n >= 2").select("Field", F.explode(F.sequence(F.lit(2), F.col("n").cast("int"))).cast("long").alias("Index"))
+    want = sizes.filter("n >= 2").select("Field", F.explode(F.sequence(F.lit(2).cast("long"), F.col("n").cast("long"))).alias("Index"))
     first = fields.groupBy("Field").agg(F.min_by("Section", "row_no").alias("Section"), F.min("row_no").alias("row_no"))
     lack = want.join(fields.select("Field", "Index"), ["Field", "Index"], "left_anti").join(first, "Field")
     return fields.select("row_no", "Section", "Field", "Index").unionByName(lack.select("row_no", "Section", "Field", "Index"))

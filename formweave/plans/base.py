@@ -47,18 +47,18 @@ INPUTS: dict[str, tuple[str, str, str]] = {
     "visits": (
         "lineitem",
         "TRUE",
-        "l_orderkey * 10 + l_linenumber AS emit_no, CAST(l_suppkey % 3 AS BIGINT) AS page, lower(l_returnflag) AS section, l_partkey AS label, l_linestatus AS value_flag",
+        "((l_orderkey * 10 + l_linenumber) * 100000 + l_partkey) * 1000 + l_suppkey % 1000 AS emit_no, CAST(l_suppkey % 3 AS BIGINT) AS page, lower(l_returnflag) AS section, l_partkey AS label, l_linestatus AS value_flag",
     ),
     "slots": (
         "lineitem",
         "l_linenumber % 2 = 1",
-        """CAST(floor(l_orderkey / 40) AS BIGINT) AS doc_id, CAST(l_suppkey % 2 AS BIGINT) AS page, l_orderkey * 10 + l_linenumber AS field_no,
+        """CAST(floor(l_orderkey / 40) AS BIGINT) AS doc_id, CAST(l_suppkey % 2 AS BIGINT) AS page, ((l_orderkey * 10 + l_linenumber) * 100000 + l_partkey) * 1000 + l_suppkey % 1000 AS field_no,
         CAST((l_partkey * 11) % 500 AS DOUBLE) AS x0, CAST((l_partkey * 11) % 500 + 60 AS DOUBLE) AS x1, CAST((l_partkey * 17) % 700 AS DOUBLE) AS y""",
     ),
     "blocks": (
         "lineitem",
         "l_linenumber % 2 = 0",
-        """CAST(floor(l_orderkey / 40) AS BIGINT) AS doc_id, CAST(l_suppkey % 2 AS BIGINT) AS page, l_orderkey * 10 + l_linenumber AS block_no,
+        """CAST(floor(l_orderkey / 40) AS BIGINT) AS doc_id, CAST(l_suppkey % 2 AS BIGINT) AS page, ((l_orderkey * 10 + l_linenumber) * 100000 + l_partkey) * 1000 + l_suppkey % 1000 AS block_no,
         CAST((l_partkey * 7) % 500 AS DOUBLE) AS x0, CAST((l_partkey * 7) % 500 + 30 + l_suppkey % 40 AS DOUBLE) AS x1,
         CAST((l_partkey * 13) % 700 AS DOUBLE) AS y0, CAST((l_partkey * 13) % 700 + 10 AS DOUBLE) AS y1,
         CASE l_suppkey % 9 WHEN 0 THEN 'Yes' WHEN 1 THEN '(no)' ELSE 'block ' || CAST(l_partkey AS STRING) END AS text""",
