@@ -127,7 +127,7 @@ def fingerprints(media: DataFrame) -> DataFrame:
     """
 
     def build(batches):
-        for batch in batches:
+        for batch in (b.slice(at, 32) for b in batches for at in range(0, b.num_rows, 32)):
             prints = [fingerprint(*read_wav(x)) for x in batch.column("payload").to_pylist()]
             keys = [int(mix(p.astype(U64) + (np.arange(len(p), dtype=U64) << U64(32))).sum(dtype=U64).astype(np.int64)) if len(p) else None for p in prints]
             cells = [batch.column("media_id"), pa.array(map(len, prints), pa.int32()), pa.array([p.tobytes() for p in prints], pa.binary()), pa.array(keys, pa.int64())]
@@ -207,7 +207,7 @@ def recordings(vectors: DataFrame, clip: bool = False, rate: int = 5512) -> Data
     """
 
     def build(batches):
-        for batch in batches:
+        for batch in (b.slice(at, 32) for b in batches for at in range(0, b.num_rows, 32)):
             out = []
             for i, v in zip(batch.column("vec_id").to_pylist(), batch.column("embedding").to_pylist()):
                 s = melody(v, rate)
@@ -217,7 +217,7 @@ def recordings(vectors: DataFrame, clip: bool = False, rate: int = 5512) -> Data
                 out.append(write_wav(s, rate))
             yield pa.RecordBatch.from_arrays([batch.column("vec_id"), pa.array(out, pa.binary())], names=["media_id", "payload"])
 
-    return vectors.select("vec_id", "embedding").mapInArrow(build, "media_id long, payload binary")
+    return lean(vectors).select("vec_id", "embedding").mapInArrow(build, "media_id long, payload binary")
 
 
 def search(vectors: DataFrame, every: int = 50) -> DataFrame:
