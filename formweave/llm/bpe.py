@@ -9,7 +9,8 @@ pair has gone are skipped when their rank comes up.
 A merge can create a pair of a lower rank than its own.  Within one word the lowest
 rank must then come first, so such a word is encoded again on its own.
 
-Encodings of words are kept between batches, up to ``CACHE_WORDS`` of them.
+Encodings of words are held between batches, up to ``CACHE_WORDS`` of them; the first
+``KEPT_WORDS``, among which are the frequent ones, outlive that and the task.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ import json
 import operator
 from bisect import bisect_right
 from collections.abc import Iterator
-from itertools import chain
+from itertools import chain, islice
 
 import pyarrow as pa
 import regex
@@ -31,8 +32,9 @@ from .common import as_bytes, lean
 #: Fixed value: the published pre-token pattern of byte-level BPE.  White space is the
 #: Unicode property, without the separators U+001C-U+001F that Python's ``\s`` adds.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
-#: Words whose encodings a worker keeps, and bytes of text encoded together.
-CACHE_WORDS, STRETCH = 800_000, 4 << 20
+#: Words whose encodings a worker holds in a task and keeps between tasks, and bytes of
+#: text encoded together.
+CACHE_WORDS, KEPT_WORDS, STRETCH = 500_000, 150_000, 1 << 20
 
 
 def byte_alphabet() -> dict[str, int]:
@@ -146,7 +148,7 @@ class BytePairEncoder:
         """Ids of each text in decimal, joined by commas."""
         words = [self.pre_tokens(t) for t in texts]
         if len(self.cache) > CACHE_WORDS:
-            self.cache.clear()
+            self.shrink()
         fresh = list(set(chain.from_iterable(words)).difference(self.cache))
         special, text = [w for w in fresh if w in self.special], self.decimal
         for w, ids in zip(fresh, self.encode_words(fresh)):
@@ -156,6 +158,10 @@ class BytePairEncoder:
         get = self.cache.__getitem__
         return [",".join(map(get, w)) for w in words]
 
+    def shrink(self) -> None:
+        if len(self.cache) > KEPT_WORDS:
+            self.cache = dict(islice(self.cache.items(), KEPT_WORDS))
+
     def decode(self, ids: str) -> str:
         """Text of comma-joined ids; bytes that are no UTF-8 become U+FFFD."""
         return b"".join(map(self.piece.__getitem__, ids.split(","))).decode("utf-8", "replace") if ids else ""
@@ -198,8 +204,7 @@ def _run(docs: DataFrame, vocabulary: str, schema: str, make) -> DataFrame:
             for held in _stretches(as_bytes(batch.column("text"))):
                 ids += encoder.encode([t.decode() for t in held])
             yield make(encoder, batch, ids)
-        if len(encoder.cache) > CACHE_WORDS // 2:
-            encoder.cache.clear()  # the worker may go on to something else
+        encoder.shrink()  # the worker may go on to something else
 
     return lean(docs).mapInArrow(build, schema)
 

@@ -46,7 +46,7 @@ SKETCH, SKETCH_ROWS = 1 << 22, 64
 #: Prefix tokens that the prefixes of a linked pair share, unless a set is small.
 MEET = 4
 #: Sets and tokens of a block.
-BLOCK_SETS, BLOCK_TOKENS = 256, 1 << 19
+BLOCK_SETS, BLOCK_TOKENS = 256, 1 << 18
 
 U64 = np.uint64
 
