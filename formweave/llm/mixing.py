@@ -178,16 +178,16 @@ def mixed(docs: DataFrame, seed: int = 7) -> DataFrame:
     part = F.struct("first", "words", "times")
     # rows that are equal share what is taken of any of them
     sums = sums.join(of, ["source_no", "start"]).groupBy("doc_id", "tie", "first", "words").agg(F.sum("times").alias("times"))
-    taken_of = sums.groupBy(F.col("doc_id").alias("d"), F.col("tie").alias("t")).agg(F.array_sort(F.collect_list(part)).alias("parts"))
-    keyed = docs.withColumn("tie", F.xxhash64("doc_id", F.coalesce("text", F.lit("")))).dropDuplicates(["doc_id", "tie"])
-    keyed = keyed.join(taken_of, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("tie") == F.col("t"))).drop("tie", "d", "t")
+    taken_of = sums.groupBy(F.col("doc_id").alias("_mix_doc"), F.col("tie").alias("_mix_of")).agg(F.array_sort(F.collect_list(part)).alias("_mix_parts"))
+    keyed = docs.withColumn("_mix_tie", F.xxhash64("doc_id", F.coalesce("text", F.lit("")))).dropDuplicates(["doc_id", "_mix_tie"])
+    keyed = keyed.join(taken_of, F.col("doc_id").eqNullSafe(F.col("_mix_doc")) & (F.col("_mix_tie") == F.col("_mix_of"))).drop("_mix_tie", "_mix_doc", "_mix_of")
     fields = [f.name for f in docs.schema.fields]
     text_at = fields.index("text")
 
     def build(batches):
         for batch in batches:
             at, texts = [], []
-            for i, (text, parts) in enumerate(zip(batch.column("text").to_pylist(), batch.column("parts").to_pylist())):
+            for i, (text, parts) in enumerate(zip(batch.column("text").to_pylist(), batch.column("_mix_parts").to_pylist())):
                 words = text.encode().split()
                 for n in range(1, max(p["times"] for p in parts) + 1):
                     some = [p for p in parts if p["times"] >= n]

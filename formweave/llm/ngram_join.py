@@ -310,16 +310,17 @@ def ngram_join(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, slots
 
     Null and empty texts, and texts without words, have an empty set and link with
     nothing.  A text with fewer than k words is one shingle.  Repeated rows give
-    repeated rows.  A null doc_id is never a component's smallest unless all are.
-    An empty table gives no rows.
+    repeated rows.  A row without doc_id has its set's size and a null component_id; it
+    links nothing.  An empty table gives no rows.
     """
     sets = cut(shingle_sets(docs, k))
-    found = components(links(docs, k, num, den, slots, sets))
+    known = sets.filter("doc_id IS NOT NULL")
+    found = components(links(docs.filter("doc_id IS NOT NULL"), k, num, den, slots, known))
     # a component's label is a set; its smallest doc_id is what is asked for
-    least = sets.filter("n_shingles > 0").groupBy("set_id").agg(F.min("doc_id").alias("least"))
+    least = known.filter("n_shingles > 0").groupBy("set_id").agg(F.min("doc_id").alias("least"))
     label = least.join(found.withColumnRenamed("u", "set_id"), "set_id", "left").withColumn("component", F.coalesce("component", "set_id"))
     label = cut(label)
     smallest = label.groupBy("component").agg(F.min("least").alias("component_id"))
     label = label.join(smallest, "component").select("set_id", "component_id")
     out = sets.join(label, "set_id", "left")
-    return out.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.coalesce("component_id", "doc_id")).otherwise(F.col("doc_id")).alias("component_id"))
+    return out.select("doc_id", "n_shingles", F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).otherwise(F.col("doc_id")).alias("component_id"))

@@ -151,7 +151,7 @@ def with_next(docs: DataFrame) -> tuple[DataFrame, int]:
         sent.setdefault(top, []).append(above)
     if tops:
         sent.setdefault(tops[-1][1], []).append(tops[0][0])
-    extra = F.create_map(*[F.lit(x) for top, to in sent.items() for x in (top, F.array(*map(F.lit, to)))])[order] if sent else F.lit(None)
+    extra = F.create_map(*[F.lit(x) for top, to in sent.items() for x in (top, F.array(*map(F.lit, to)))])[order] if sent else F.lit(None).cast("array<int>")
     copies = F.concat(F.array(F.struct(which.alias("range"), F.lit(False).alias("edge"))), F.coalesce(F.transform(extra, lambda r: F.struct(r.alias("range"), F.lit(True).alias("edge"))), F.array().cast("array<struct<range:int,edge:boolean>>")))
     rows = docs.select("doc_id", "text", order.alias("o"), F.xxhash64("text").alias("tie"), F.explode(copies).alias("c"))
     rows = rows.select("doc_id", "text", "o", "tie", "c.range", "c.edge")

@@ -122,9 +122,9 @@ def redact(docs: DataFrame, mark: str = "[SECRET]") -> DataFrame:
     Texts without spans, null texts among them, stay as they are.
     """
     text = F.coalesce("text", F.lit(""))
-    found = cut(scan(docs).groupBy("id", "digest").agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("found")))
-    keyed = docs.withColumns({"id": F.coalesce("doc_id", F.lit(-(1 << 63))), "digest": F.xxhash64(text, F.length(text))})
-    keyed = keyed.join(small_side(found, FEW), ["id", "digest"], "left")
+    found = cut(scan(docs).withColumnsRenamed({"id": "_secret_id", "digest": "_secret_digest"}).groupBy("_secret_id", "_secret_digest").agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("_secret_found")))
+    keyed = docs.withColumns({"_secret_id": F.coalesce("doc_id", F.lit(-(1 << 63))), "_secret_digest": F.xxhash64(text, F.length(text))})
+    keyed = keyed.join(small_side(found, FEW), ["_secret_id", "_secret_digest"], "left")
     first = F.struct(F.lit(0).cast("long").alias("at"), F.lit("").alias("out"))
 
     def cover(state, span):
@@ -132,5 +132,5 @@ def redact(docs: DataFrame, mark: str = "[SECRET]") -> DataFrame:
         put = F.concat(state["out"], gap, F.lit(mark))
         return F.struct(F.greatest(state["at"], span["end"]).alias("at"), F.when(span["start"] >= state["at"], put).otherwise(state["out"]).alias("out"))
 
-    whole = F.aggregate("found", first, cover, lambda s: F.concat(s["out"], F.substr(text, (s["at"] + 1).cast("int"))))
-    return keyed.withColumn("text", F.when(F.col("found").isNotNull(), whole).otherwise(F.col("text"))).drop("id", "digest", "found")
+    whole = F.aggregate("_secret_found", first, cover, lambda s: F.concat(s["out"], F.substr(text, (s["at"] + 1).cast("int"))))
+    return keyed.withColumn("text", F.when(F.col("_secret_found").isNotNull(), whole).otherwise(F.col("text"))).drop("_secret_id", "_secret_digest", "_secret_found")
