@@ -23,8 +23,8 @@ ACCESS = r"AKIA[A-Z0-9]{14,}"
 HEX = r"[0-9a-f]{16,}"
 # Parts that need a complement: a token of 20 characters or more with a capital, a small
 # letter and a digit, and a host name after a scheme.
-WEAK = r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_-]{20,}"
-ENDPOINT = r"(?i)\b(?:https?|jdbc:[a-z0-9]+|postgres|mysql|redis|amqp|s3)://[^\x00-\x20\x22\x27<>]+"
+WEAK = r"[A-Za-z0-9+/_-]{20,}"
+ENDPOINT = r"(?i)(?:https?|jdbc:[a-z0-9]+|postgres|mysql|redis|amqp|s3)://[^\x00-\x20\x22\x27<>]+"
 KINDS = ("assign", "access", "hex", "weak", "endpoint")
 #: Code points between linked parts.
 SCOPE = 256

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from . import secrets
+
 WORD = r"[^\x20\x09-\x0D]+"
 
 #: Shingle sets, all links by an inverted self-join, and reachability by recursion.
@@ -23,6 +27,69 @@ SELECT w.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, c.component_id
 FROM w LEFT JOIN n USING (doc_id) JOIN c USING (doc_id)
 """
 
+#: Both replicas whole, with running offsets; the damage is that of ``catalog.replica``.
+FIXITY = """
+WITH p AS (
+  SELECT page_id, page_id AS id, 'WARC/1.1' || chr(13) || chr(10) || 'WARC-Type: resource' || chr(13) || chr(10) || 'WARC-Target-URI: ' || coalesce(url, '') || chr(13) || chr(10)
+    || 'Content-Type: text/html' || chr(13) || chr(10) || 'Content-Length: ' || strlen(coalesce(html, '')) || chr(13) || chr(10) || chr(13) || chr(10) || coalesce(html, '') || chr(13) || chr(10) || chr(13) || chr(10) AS record FROM pages
+), q AS (
+  SELECT id, CASE WHEN (page_id * 37) % 64 = 0 THEN left(record, length(record) - 1) || '?' ELSE record END AS record FROM p WHERE (page_id * 37) % 64 <> 1
+  UNION ALL SELECT -id - 1, record FROM p WHERE (page_id * 37) % 64 = 2
+), a AS (SELECT id, sha256(record) AS d, CAST(strlen(record) AS BIGINT) AS b, CAST(coalesce(sum(strlen(record)) OVER (ORDER BY id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS o FROM p
+), c AS (SELECT id, sha256(record) AS d, CAST(strlen(record) AS BIGINT) AS b, CAST(coalesce(sum(strlen(record)) OVER (ORDER BY id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS o FROM q)
+SELECT coalesce(a.id, c.id) AS record_id, CASE WHEN c.d IS NULL THEN 'missing' WHEN a.d IS NULL THEN 'extra' ELSE 'changed' END AS status,
+  a.o AS left_offset, c.o AS right_offset, a.b AS left_bytes, c.b AS right_bytes, a.d AS left_digest, c.d AS right_digest
+FROM a FULL JOIN c ON a.id = c.id WHERE a.d IS DISTINCT FROM c.d
+"""
+
+#: Every window of 50 words by its text, the smallest document of each, and the words that
+#: windows of smaller documents cover.
+REPEATS = r"""
+WITH w AS MATERIALIZED (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '{word}') AS ws FROM documents
+), x AS MATERIALIZED (SELECT doc_id, i, md5_number(array_to_string(ws[i:i + 49], ' ')) AS h FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 48)) AS i FROM w WHERE len(ws) >= 50)
+), m AS (SELECT h, min(doc_id) AS m FROM x GROUP BY 1
+), gone AS MATERIALIZED (SELECT DISTINCT doc_id, unnest(range(i, i + 50)) AS j FROM x JOIN m USING (h) WHERE m < doc_id
+), kept AS (SELECT doc_id, string_agg(word, ' ' ORDER BY j) AS k FROM (SELECT doc_id, unnest(ws) AS word, unnest(range(1, len(ws) + 1)) AS j FROM w) ANTI JOIN gone USING (doc_id, j) GROUP BY 1
+), n AS (SELECT doc_id, count(*) AS n FROM gone GROUP BY 1)
+SELECT w.doc_id, CAST(len(ws) AS BIGINT) AS n_words, coalesce(n.n, 0) AS n_removed, sha256(coalesce(k, '')) AS kept_sha256 FROM w LEFT JOIN n USING (doc_id) LEFT JOIN kept USING (doc_id)
+"""
+
+#: Matches and the pieces between them give positions; parts link within 256 code points.
+SECRETS = r"""
+WITH t AS (SELECT doc_id, coalesce(text, '') AS t FROM documents
+), m AS (
+  SELECT doc_id, 'assign' AS kind, 1 AS rank, regexp_extract_all(t, '{assign}') AS f, regexp_extract_all(t, '{assign}', 2) AS v, regexp_split_to_array(t, '{assign}') AS g FROM t
+  UNION ALL SELECT doc_id, 'access', 2, regexp_extract_all(t, '{access}'), NULL, regexp_split_to_array(t, '{access}') FROM t
+  UNION ALL SELECT doc_id, 'hex', 3, regexp_extract_all(t, '{hex}'), NULL, regexp_split_to_array(t, '{hex}') FROM t
+  UNION ALL SELECT doc_id, 'weak', 4, regexp_extract_all(t, '{weak}'), NULL, regexp_split_to_array(t, '{weak}') FROM t
+  UNION ALL SELECT doc_id, 'endpoint', 5, regexp_extract_all(t, '{endpoint}'), NULL, regexp_split_to_array(t, '{endpoint}') FROM t
+), s AS MATERIALIZED (
+  SELECT doc_id, kind, rank, list_sum(list_transform(g[1:n], lambda x: length(x))) + coalesce(list_sum(list_transform(f[1:n - 1], lambda x: length(x))), 0) AS a, length(f[n]) AS l
+  FROM (SELECT *, unnest(range(1, len(f) + 1)) AS n FROM m)
+  WHERE CASE kind WHEN 'assign' THEN length(v[n]) >= 12 WHEN 'weak' THEN regexp_matches(f[n], '[A-Z]') AND regexp_matches(f[n], '[a-z]') AND regexp_matches(f[n], '[0-9]') ELSE TRUE END
+), z AS (SELECT doc_id, kind, rank, CAST(a AS BIGINT) AS a, CAST(a + l AS BIGINT) AS b FROM s
+), k AS (
+  SELECT * FROM z WHERE rank <= 3
+  UNION ALL SELECT * FROM z WHERE kind = 'weak' AND EXISTS (SELECT 1 FROM z y WHERE y.doc_id = z.doc_id AND y.kind IN ('access', 'endpoint') AND y.a < z.b + 256 AND y.b > z.a - 256)
+  UNION ALL SELECT * FROM z WHERE kind = 'endpoint' AND EXISTS (SELECT 1 FROM z y WHERE y.doc_id = z.doc_id AND y.rank <= 3 AND y.a < z.b + 256 AND y.b > z.a - 256)
+), j AS (
+  SELECT doc_id, count(*) FILTER (kind = 'assign') AS n_assign, count(*) FILTER (kind = 'access') AS n_access, count(*) FILTER (kind = 'hex') AS n_hex, count(*) FILTER (rank > 3) AS n_linked,
+    string_agg(kind || ':' || a || ':' || b, ',' ORDER BY a, rank) FILTER (rank <= 3) AS base, string_agg(kind || ':' || a || ':' || b, ',' ORDER BY a, rank) AS spans FROM k GROUP BY 1
+)
+SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, coalesce(n_linked, 0) AS n_linked,
+  sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans FROM t LEFT JOIN j USING (doc_id)
+"""
+
+
+def _quoted(pattern: str) -> str:
+    return pattern.replace("'", "''")
+
+
+_PATTERNS = {k: _quoted(getattr(secrets, k.upper())) for k in secrets.KINDS}
+
 ORACLES: dict[str, str] = {
     "op2_ngram_jaccard_join": JACCARD.format(word=WORD, k=3, num=90, den=100),
+    "op3_warc_fixity_audit": FIXITY,
+    "op7_secret_scan": reduce(lambda s, kv: s.replace("{" + kv[0] + "}", kv[1]), _PATTERNS.items(), SECRETS),
+    "op9_substring_dedup": REPEATS.format(word=WORD),
 }
