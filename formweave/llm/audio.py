@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, lean
+from .common import cut, lean, tidy
 from .hashing import mix
 
 U64 = np.uint64
@@ -133,7 +133,7 @@ def fingerprints(media: DataFrame) -> DataFrame:
             cells = [batch.column("media_id"), pa.array(map(len, prints), pa.int32()), pa.array([p.tobytes() for p in prints], pa.binary()), pa.array(keys, pa.int64())]
             yield pa.RecordBatch.from_arrays(cells, names=["media_id", "n_frames", "prints", "class_key"])
 
-    return lean(media).select("media_id", "payload").mapInArrow(build, "media_id long, n_frames int, prints binary, class_key long")
+    return lean(media).select("media_id", "payload").mapInArrow(tidy(build), "media_id long, n_frames int, prints binary, class_key long")
 
 
 def bit_errors(a: np.ndarray, b: np.ndarray, offset: int) -> tuple[int, float]:
@@ -159,7 +159,7 @@ def _postings(prints: DataFrame, key: str) -> DataFrame:
                     of.append(np.full(len(c), k))
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (code, frame, of)], names=["code", "frame", key])
 
-    return prints.select(F.col(key).alias("k"), "prints").mapInArrow(build, f"code long, frame int, {key} long")
+    return prints.select(F.col(key).alias("k"), "prints").mapInArrow(tidy(build), f"code long, frame int, {key} long")
 
 
 def align(queries: DataFrame, media: DataFrame) -> DataFrame:
@@ -186,7 +186,7 @@ def align(queries: DataFrame, media: DataFrame) -> DataFrame:
             kept = [batch.column(c) for c in ("query_key", "class_key", "offset", "votes")]
             yield pa.RecordBatch.from_arrays([*kept, pa.array([f[0] for f in found], pa.int32()), pa.array([f[1] for f in found], pa.float64())], names=["query_key", "class_key", "offset", "votes", "frames", "bit_error"])
 
-    out = pairs.mapInArrow(measure, "query_key long, class_key long, offset int, votes long, frames int, bit_error double")
+    out = pairs.mapInArrow(tidy(measure), "query_key long, class_key long, offset int, votes long, frames int, bit_error double")
     return out.filter((F.col("bit_error") <= ERRORS) & (F.col("frames") >= SHORTEST))
 
 
@@ -217,7 +217,7 @@ def recordings(vectors: DataFrame, clip: bool = False, rate: int = 5512) -> Data
                 out.append(write_wav(s, rate))
             yield pa.RecordBatch.from_arrays([batch.column("vec_id"), pa.array(out, pa.binary())], names=["media_id", "payload"])
 
-    return lean(vectors).select("vec_id", "embedding").mapInArrow(build, "media_id long, payload binary")
+    return lean(vectors).select("vec_id", "embedding").mapInArrow(tidy(build), "media_id long, payload binary")
 
 
 def search(vectors: DataFrame, every: int = 50) -> DataFrame:

@@ -23,11 +23,12 @@ from bisect import bisect_right
 from collections.abc import Iterator
 from itertools import chain, islice
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from .common import as_bytes, lean
+from .common import as_bytes, lean, tidy
 
 #: Fixed value: the published pre-token pattern of byte-level BPE.  White space is the
 #: Unicode property, without the separators U+001C-U+001F that Python's ``\s`` adds.
@@ -206,7 +207,7 @@ def _run(docs: DataFrame, vocabulary: str, schema: str, make) -> DataFrame:
             yield make(encoder, batch, ids)
         encoder.shrink()  # the worker may go on to something else
 
-    return lean(docs).mapInArrow(build, schema)
+    return lean(docs).mapInArrow(tidy(build), schema)
 
 
 def encode(docs: DataFrame, vocabulary: str) -> DataFrame:
@@ -217,8 +218,11 @@ def encode(docs: DataFrame, vocabulary: str) -> DataFrame:
     """
 
     def make(encoder, batch, ids):
-        lists = [list(map(int, x.split(","))) if x else [] for x in ids]
-        return pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(map(len, lists), pa.int64()), pa.array(lists, pa.list_(pa.int32()))], names=["doc_id", "n_tokens", "ids"])
+        lists = [np.fromstring(x, np.int32, sep=",") for x in ids]
+        sizes = np.array([len(x) for x in lists], np.int64)
+        values = pa.array(np.concatenate(lists) if lists else np.empty(0, np.int32))
+        packed = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(sizes))), pa.int32()), values)
+        return pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sizes), packed], names=["doc_id", "n_tokens", "ids"])
 
     return _run(docs.select("doc_id", "text"), vocabulary, "doc_id long, n_tokens long, ids array<int>", make)
 
@@ -236,7 +240,7 @@ def decode(encoded: DataFrame, vocabulary: str) -> DataFrame:
             texts = [encoder.decode(",".join(map(str, x or ()))) for x in batch.column("ids").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(texts, pa.string())], names=["doc_id", "text"])
 
-    return encoded.select("doc_id", "ids").mapInArrow(build, "doc_id long, text string")
+    return encoded.select("doc_id", "ids").mapInArrow(tidy(build), "doc_id long, text string")
 
 
 def round_trip(docs: DataFrame, vocabulary: str) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import os
 import tempfile
 from collections.abc import Callable, Iterator
@@ -26,6 +28,27 @@ def lean(df: DataFrame) -> DataFrame:
     return df
 
 
+def release() -> None:
+    """Returns freed memory of a Python worker to the system.  Workers live on between
+    tasks, and beside them the JVM needs the rest of the executor's memory."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
+def tidy(build: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]):
+    """A mapInArrow function that releases memory when its task is done."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from build(batches)
+        release()
+
+    return run
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The documents table under ``sf_dir``."""
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
@@ -47,26 +70,11 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def empty_checked(df: DataFrame) -> bool:
-    return not df.take(1)
-
-
 def as_bytes(column: pa.Array) -> list[bytes]:
     """UTF-8 of a string column; a null is the empty text."""
     return [x or b"" for x in column.cast(pa.binary()).to_pylist()]
 
 
-def over_batches(build: Callable[[pa.RecordBatch], Iterator[pa.RecordBatch]]):
-    """A mapInArrow function from one that treats a single batch."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
-                yield from build(batch)
-
-    return run
-
-
 def small_side(df: DataFrame, most: int) -> DataFrame:
     """``df`` marked for broadcast if a count finds at most ``most`` rows; otherwise as it
     is, so that the join shuffles both sides."""

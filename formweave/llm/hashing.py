@@ -18,7 +18,7 @@ U64 = np.uint64
 _MASK = (1 << 64) - 1
 
 #: Bytes of text hashed together; bounds the working memory of a batch.
-CHUNK_BYTES = 1 << 20
+CHUNK_BYTES = 1 << 18
 
 
 def mix(x: np.ndarray) -> np.ndarray:

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import as_bytes, lean
+from .common import as_bytes, lean, tidy
 from .compression import compressor, lengths, normal, windows
 
 #: Bounds of what is learned from: samples of a language, characters of a sample, bytes
@@ -87,4 +87,4 @@ def classify(docs: DataFrame, model: dict[str, bytes], margin: float = MARGIN) -
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(pred, pa.string()), pa.array(score, pa.float64()), pa.array(accepted, pa.bool_())], names=[*fields, "lang_pred", "score", "accepted"])
 
     schema = T.StructType(list(docs.schema.fields)).add("lang_pred", "string").add("score", "double").add("accepted", "boolean")
-    return lean(docs).mapInArrow(build, schema)
+    return lean(docs).mapInArrow(tidy(build), schema)

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, lean
+from .common import cut, lean, tidy
 from .hashing import mix, mix_int
 
 U64 = np.uint64
@@ -141,7 +141,7 @@ def plan(docs: DataFrame, seed: int = 7, shards: int = SHARDS) -> tuple[DataFram
                 cells = [np.full(len(k), r["shard"], np.int32), k, np.full(len(k), r["source_no"], np.int32), permute(k % n, n, key)]
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in cells], names=["shard", "slot", "source_no", "block"])
 
-    drawn = runs.mapInArrow(draw, "shard int, slot long, source_no int, block long")
+    drawn = runs.mapInArrow(tidy(draw), "shard int, slot long, source_no int, block long")
     covered = rows.filter("size > 0").withColumn("block", F.explode(F.sequence(F.floor(F.col("start") / F.col("length")), F.floor((F.col("start") + F.col("size") - 1) / F.col("length")))))
     low, high = F.greatest("start", F.col("block") * F.col("length")), F.least(F.col("start") + F.col("size"), (F.col("block") + 1) * F.col("length"))
     covered = covered.select("source_no", "block", "start", (low - F.col("start")).alias("first"), (high - low).alias("words"))
@@ -200,5 +200,5 @@ def mixed(docs: DataFrame, seed: int = 7) -> DataFrame:
             columns[text_at] = pa.array(texts, pa.string())
             yield pa.RecordBatch.from_arrays(columns, names=fields)
 
-    out = lean(keyed).mapInArrow(build, docs.schema)
+    out = lean(keyed).mapInArrow(tidy(build), docs.schema)
     return out.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in fields else out

@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import hashing as H
-from .common import as_bytes, cut, lean, semi_join, small_side
+from .common import as_bytes, cut, lean, semi_join, small_side, tidy
 from .components import components
 
 #: Counters of the order's sketch (one byte each when broadcast) and rows it travels in.
@@ -91,7 +91,7 @@ def sketch(docs: DataFrame, k: int, slots: int = SKETCH) -> np.ndarray:
             total += np.frombuffer(zlib.decompress(c), np.uint32)
         return pd.DataFrame({"part": [group["part"].iloc[0]], "counts": [np.minimum(total, 255).astype(np.uint8).tobytes()]})
 
-    rows = lean(docs).select("text").mapInArrow(count, "part int, counts binary").groupBy("part").applyInPandas(add, "part int, counts binary").collect()
+    rows = lean(docs).select("text").mapInArrow(tidy(count), "part int, counts binary").groupBy("part").applyInPandas(add, "part int, counts binary").collect()
     out = np.zeros(slots, np.uint8)
     for r in rows:
         out[r["part"] * width : (r["part"] + 1) * width] = np.frombuffer(bytes(r["counts"]), np.uint8)
@@ -108,7 +108,7 @@ def shingle_sets(docs: DataFrame, k: int) -> DataFrame:
                 n[row], ids[row] = len(tokens), set_id(tokens)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n), pa.array(ids)], names=["doc_id", "n_shingles", "set_id"])
 
-    return lean(docs).select("doc_id", "text").mapInArrow(build, "doc_id long, n_shingles long, set_id long")
+    return lean(docs).select("doc_id", "text").mapInArrow(tidy(build), "doc_id long, n_shingles long, set_id long")
 
 
 def prefix_length(n: int, num: int, den: int) -> int:
@@ -140,7 +140,7 @@ def _prefixes(docs: DataFrame, k: int, num: int, den: int, order) -> DataFrame:
             if token:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(token)), pa.array(np.concatenate(ids))], names=["token", "set_id"])
 
-    return lean(docs).select("text").mapInArrow(build, "token long, set_id long")
+    return lean(docs).select("text").mapInArrow(tidy(build), "token long, set_id long")
 
 
 def _tokens(docs: DataFrame, k: int) -> DataFrame:
@@ -159,7 +159,7 @@ def _tokens(docs: DataFrame, k: int) -> DataFrame:
                     ids, n, packed, size = [], [], [], 0
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(n, pa.int64()), pa.array(packed, pa.binary())], names=["set_id", "n", "tokens"])
 
-    return lean(docs).select("text").mapInArrow(build, "set_id long, n long, tokens binary")
+    return lean(docs).select("text").mapInArrow(tidy(build), "set_id long, n long, tokens binary")
 
 
 def _open(num: int, den: int):
@@ -291,7 +291,7 @@ def _bounded(roles: DataFrame, tokens: DataFrame, num: int, den: int) -> DataFra
 
     parts = roles.groupBy("group").agg(F.ceil(F.sum("n") / BLOCK_TOKENS).alias("parts"))
     held = roles.select("set_id", "group").join(parts, "group").join(tokens, "set_id")
-    held = held.select("group", "set_id", "parts", "tokens").mapInArrow(spread, "group long, part int, set_id long, tokens binary")
+    held = held.select("group", "set_id", "parts", "tokens").mapInArrow(tidy(spread), "group long, part int, set_id long, tokens binary")
     alone = held.groupBy("group", "part").applyInPandas(count, "group long, set_id long, alone long")
     alone = alone.groupBy("group", "set_id").agg(F.sum("alone").alias("alone"))
     rows = roles.drop("blocks").join(alone, ["group", "set_id"], "left").withColumn("alone", F.coalesce("alone", F.lit(0)))

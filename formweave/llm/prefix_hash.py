@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_bytes, lean
+from .common import as_bytes, lean, tidy
 from .hashing import mix
 
 U64 = np.uint64
@@ -198,4 +198,4 @@ def fingerprints(docs: DataFrame) -> DataFrame:
                     held = (doc_id, points, span)
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], k) for i, k in enumerate(kinds)], names=names)
 
-    return lean(rows).mapInArrow(build, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, common_prefix long")
+    return lean(rows).mapInArrow(tidy(build), "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, common_prefix long")

@@ -29,12 +29,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import hashing as H
-from .common import as_bytes, cut, lean, semi_join
+from .common import as_bytes, cut, lean, semi_join, tidy
 
 U64 = np.uint64
 WINDOW, BLOCK = 50, 25
 #: Bytes of text hashed and packed together, and words dealt to one bucket.
-CHUNK, SHARE = 4 << 20, 1 << 21
+CHUNK, SHARE = 2 << 20, 1 << 21
 
 
 def _ints(values: np.ndarray) -> bytes:
@@ -131,7 +131,7 @@ def word_texts(docs: DataFrame) -> DataFrame:
                 digest.append(hashlib.sha256(b" ".join(words)).hexdigest())
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(digest, pa.string())], names=["doc_id", "n_words", "whole"])
 
-    return lean(docs).select("doc_id", "text").mapInArrow(build, "doc_id long, n_words long, whole string")
+    return lean(docs).select("doc_id", "text").mapInArrow(tidy(build), "doc_id long, n_words long, whole string")
 
 
 def _probes(docs: DataFrame, buckets: int) -> DataFrame:
@@ -155,7 +155,7 @@ def _probes(docs: DataFrame, buckets: int) -> DataFrame:
                     out = list(_deal(((h >> U64(32)) % U64(buckets)).astype(np.int64 if buckets > 65535 else np.uint16), np.concatenate(doc), np.concatenate(pos), h.astype(np.uint32)))
                     yield pa.RecordBatch.from_arrays([pa.array([b for b, _ in out], pa.int32()), pa.array([_pack(*x) for _, x in out], pa.binary())], names=["bucket", "packed"])
 
-    return lean(docs).select("doc_id", "text").mapInArrow(build, "bucket int, packed binary")
+    return lean(docs).select("doc_id", "text").mapInArrow(tidy(build), "bucket int, packed binary")
 
 
 def _hits(parts: int):

@@ -18,7 +18,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_bytes, lean
+from .common import as_bytes, lean, tidy
 from .compression import compressor, lengths, normal, windows
 
 #: Bounds of what is learned from: labelled documents of a class, characters of each.
@@ -133,4 +133,4 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
             z = ((x - m.centre) / m.scale) @ np.array(m.weights) + m.bias
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(1 / (1 + np.exp(-np.clip(z, -30, 30))))], names=["doc_id", "score"])
 
-    return lean(docs).select("doc_id", "text").mapInArrow(build, "doc_id long, score double")
+    return lean(docs).select("doc_id", "text").mapInArrow(tidy(build), "doc_id long, score double")
