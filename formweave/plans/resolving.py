@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import occurrence as O
 from ..operators import resolve as R
-from . import fill_plan
+from . import fill_plan, passes
 from .base import given, query, sql_of, table
 
 
@@ -166,3 +166,11 @@ def fill_plan_status(spark, d):
     fields, sheet = _inputs(spark, d)
     found = R.resolve(fields, sheet)
     return fields.select("field_no").join(found, "field_no", "left").agg(F.count("*").alias("fields"), F.count("value").alias("filled"))
+
+
+@query("fill_passes", "SELECT o_custkey AS target, arg_min(p, row(r, o_orderkey)) AS pass, arg_min(v, row(r, o_orderkey)) AS value FROM (SELECT *, CASE o_orderkey % 3 WHEN 0 THEN 'placeholders' WHEN 1 THEN 'underlines' ELSE 'tables' END AS p, o_orderkey % 3 AS r, CASE WHEN o_orderkey % 7 = 0 THEN '' ELSE o_orderpriority END AS v FROM orders) WHERE v <> '' GROUP BY 1")
+def fill_passes(spark, d):
+    """The first pass that has a value for a target."""
+    x = table(spark, d, "orders").selectExpr("o_custkey AS target", "o_orderkey AS emit_no", "CASE WHEN o_orderkey % 7 = 0 THEN '' ELSE o_orderpriority END AS value")
+    offers = {n: x.filter(F.col("emit_no") % 3 == i) for i, n in enumerate(("placeholders", "underlines", "tables"))}
+    return passes.first_pass(offers)

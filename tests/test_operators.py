@@ -201,6 +201,18 @@ def test_template_and_documents(spark, tmp_path):
     assert [(r["kind"], r["text"], r["table_no"]) for r in got] == [("para", "Name: ____", None), ("cell", "A", 0)]
 
 
+def test_workbook_round_trip(spark, tmp_path):
+    sheet = spark.createDataFrame([("A", "Name & Co", "x", "Yes | No"), ("B", "<b>", None, "")], "Section string, Field string, Value string, Choices string")
+    data = sources.xlsx_bytes(sheet)
+    (tmp_path / "s.xlsx").write_bytes(data)
+    got = sources.read_table(spark, str(tmp_path / "s.xlsx")).orderBy("row_no").collect()
+    assert [(r["Section"], r["Field"], r["Value"], r["Choices"]) for r in got] == [("A", "Name & Co", "x", "Yes | No"), ("B", "<b>", None, None)]
+    import io
+    import zipfile
+
+    assert b'"Yes,No"' in zipfile.ZipFile(io.BytesIO(data)).read("xl/worksheets/sheet1.xml")
+
+
 def test_document_fields(spark):
     blocks = spark.createDataFrame([(1, 1, "para", "WIRE DETAILS:"), (1, 2, "para", "Bank: _____"), (1, 3, "para", "Account name"), (1, 4, "para", "____"), (1, 5, "para", "[ ] I agree")], "doc_id long, block_no long, kind string, text string")
     cells = spark.createDataFrame([(1, 0, 0, 0, "City"), (1, 0, 0, 1, "")], "doc_id long, table_no long, row_no long, col_no long, text string")
