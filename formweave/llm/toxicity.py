@@ -28,8 +28,10 @@ ORDINARY, TOXIC = 1 << 16, 2048
 #: A word teaches the toxic dictionary if it follows so many different words, as a share
 #: of the documents of the toxic sample, and so many times as in the ordinary sample.
 SHARE, RATIO = 0.01, 6
-#: Bytes of a window and zstandard level.
-WINDOW, LEVEL = 64, 5
+#: Bytes of the windows (a text is cut in both ways) and zstandard level.
+WINDOWS, LEVEL = (64, 32), 9
+#: Numbers that sum up the windows of one width.
+NUMBERS = 6
 
 
 @dataclass(frozen=True)
@@ -43,12 +45,15 @@ class Model:
 
 
 def _features(text: str, plain, toxic) -> list[float]:
-    parts = windows(normal(text), WINDOW)
-    if not parts:
-        return [0.0] * 6
-    gain = np.sort((lengths(parts, plain) - lengths(parts, toxic)).astype(float))[::-1]
-    n = len(gain)
-    return [gain.mean(), gain.sum() / n**0.5, gain[0], gain[: max(1, n // 8)].mean(), (gain >= 3).mean(), np.maximum(gain - 1, 0).sum() / n]
+    data, out = normal(text), []
+    for width in WINDOWS:
+        parts = windows(data, width)
+        if not parts:
+            return [0.0] * NUMBERS * len(WINDOWS)
+        gain = np.sort((lengths(parts, plain) - lengths(parts, toxic)).astype(float))[::-1]
+        n = len(gain)
+        out += [gain.mean(), gain.sum() / n**0.5, gain[0], gain[: max(1, n // 8)].mean(), (gain >= 3).mean(), np.maximum(gain - 1, 0).sum() / n]
+    return out
 
 
 def _contexts(texts: list[str]) -> Counter:
@@ -99,7 +104,8 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     bad, good = [t for _, m, t in texts if m], [t for _, m, t in texts if not m]
     if not bad or not good:
         share = shares.get(1, 0) / sum(shares.values()) if shares else 0.5
-        return Model(b"ordinary", b"", (0.0,) * 6, (1.0,) * 6, (0.0,) * 6, float(np.clip(np.log(max(share, 1e-6) / max(1 - share, 1e-6)), -13, 13)))
+        size = NUMBERS * len(WINDOWS)
+        return Model(b"ordinary", b"", (0.0,) * size, (1.0,) * size, (0.0,) * size, float(np.clip(np.log(max(share, 1e-6) / max(1 - share, 1e-6)), -13, 13)))
     in_bad, in_good = _contexts(bad), _contexts(good)
     telling = {w for w, k in in_bad.items() if k >= max(3, SHARE * len(bad)) and k * len(good) >= RATIO * len(bad) * (in_good[w] + 1) and len(w) > 2}
     samples = [w + b" " for t in bad for w in normal(t).split() if w in telling]
