@@ -34,11 +34,13 @@ def forced_occurrence(df: DataFrame, keys: list[str], forced: str = "forced", or
 def explicit_index(visits: DataFrame, lookup: DataFrame, keys: list[str], order: str = "emit_no", index: str = "Index") -> DataFrame:
     """The index that each visit of a field takes: the explicit ones of the lookup in
     ascending order, and after these 1, 2, 3 and so on."""
-    known = lookup.filter(F.col(index).isNotNull()).groupBy(*keys).agg(F.array_sort(F.collect_set(index)).alias("_known"))
-    rows = occurrence(visits, keys, order, "_n").join(known, keys, "left")
-    size = F.coalesce(F.size("_known"), F.lit(0))
-    taken = F.when(F.col("_n") <= size, F.try_element_at("_known", F.col("_n").cast("int"))).otherwise(F.col("_n") - size)
-    return rows.withColumn("idx", taken.cast("long")).drop("_n", "_known")
+    known = lookup.filter(F.col(index).isNotNull()).select(*keys, F.col(index).alias("_index")).distinct()
+    known = known.withColumn("_n", F.row_number().over(Window.partitionBy(*keys).orderBy("_index")).cast("long"))
+    size = known.groupBy(*keys).agg(F.count("*").alias("_size"))
+    # joined by rank, so that no key's indexes are gathered in one row
+    rows = occurrence(visits, keys, order, "_n").join(known, [*keys, "_n"], "left").join(size, keys, "left")
+    taken = F.coalesce("_index", F.col("_n") - F.coalesce("_size", F.lit(0)))
+    return rows.withColumn("idx", taken.cast("long")).drop("_n", "_index", "_size")
 
 
 def write_once(df: DataFrame, keys: list[str], order: str = "emit_no") -> DataFrame:
