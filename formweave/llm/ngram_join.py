@@ -9,7 +9,8 @@ Every text becomes its set of distinct ``k``-word shingles.  Two sets link when
     size, so that passages that many texts share are not candidates' meeting points.
     The sketch only sets the order; what it gets wrong costs time, never a link.
 2.  *Groups.*  Sets that meet are partitioned into groups of similar sets: each set
-    goes to the centre with which it shares most prefix tokens.  The token-group
+    goes to the smallest centre (the first set of a token) with which it shares MEET
+    prefix tokens, and on to that centre's own centre.  The token-group
     matrix holds the union of the members' prefixes of every group.
 3.  *Bound.*  A set queries a group only if MEET of its prefix tokens are in the
     group's union by way of other sets.  In a group of several blocks the union of all
@@ -45,6 +46,8 @@ from .components import components
 SKETCH, SKETCH_ROWS = 1 << 22, 64
 #: Prefix tokens that the prefixes of a linked pair share, unless a set is small.
 MEET = 4
+#: Times that the way from a set to the centre of its family is doubled.
+JUMPS = 3
 #: Sets and tokens of a block.
 BLOCK_SETS, BLOCK_TOKENS = 256, 1 << 18
 
@@ -226,13 +229,13 @@ def links(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, slots: int
     facts = cut(enough.filter(F.col("tokens") >= _need()).select("set_id", "doc_id", "n"))
     met = met.join(facts.select("set_id"), "set_id", "left_semi")
 
-    # groups: every set goes to the centre with which it shares most tokens
-    group = met.groupBy("set_id", "centre").count().groupBy("set_id").agg(F.max_by("centre", F.struct("count", "centre")).alias("group"))
+    group = _groups(met)
     # token-group matrix: the rarest tokens of a group's members, and whether one set alone has them
     matrix = met.join(group, "set_id").groupBy("token", "group").agg(F.min("set_id").alias("one"), F.max("set_id").alias("two"))
     shared = met.join(matrix, "token").filter("one <> two or one <> set_id").groupBy("set_id", "group").agg(F.count("*").alias("shared"))
     ask = shared.join(facts, "set_id").filter(F.col("shared") >= _need())
     ask = cut(ask.select("set_id", "group", "n", "doc_id"))
+    ask, group = _merged(ask, group)
     # a link is asked from both of its ends, so a member that asks nothing has none
     member = ask.select("set_id", "n", "doc_id").distinct().join(group, "set_id").withColumn("member", F.lit(True))
     roles = ask.withColumn("query", F.lit(True)).join(member, ["set_id", "group", "n", "doc_id"], "full")
@@ -252,6 +255,30 @@ def links(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, slots: int
     return units.groupBy("group", "i", "j").applyInPandas(_open(num, den), "u long, v long")
 
 
+def _groups(met: DataFrame) -> DataFrame:
+    """(set_id, group): every set goes to the smallest centre with which it shares MEET
+    tokens, and on to that centre's own centre, so that a family is one group and not one
+    for each of its edits.  A centre is never larger than the set, so this ends."""
+    near = met.groupBy("set_id", "centre").count().filter(F.col("count") >= MEET).groupBy("set_id").agg(F.min("centre").alias("centre"))
+    group = cut(met.select("set_id").distinct().join(near, "set_id", "left").select("set_id", F.coalesce("centre", "set_id").alias("group")))
+    for _ in range(JUMPS):
+        up = group.select(F.col("set_id").alias("group"), F.col("group").alias("above"))
+        group = cut(group.join(up, "group", "left").select("set_id", F.coalesce("above", "group").alias("group")))
+    return group
+
+
+def _merged(ask: DataFrame, group: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Groups whose centre asks a smaller group become one with it; who asks a part asks
+    the whole.  Otherwise every set of a large family would ask each of its groups."""
+    up = ask.select(F.col("set_id").alias("group"), F.col("group").alias("asked")).groupBy("group").agg(F.min("asked").alias("above"))
+    up = group.select("group").distinct().join(up, "group", "left").select("group", F.least("group", F.coalesce("above", "group")).alias("above"))
+    for _ in range(2):
+        next_ = up.select(F.col("group").alias("above"), F.col("above").alias("higher"))
+        up = cut(up.join(next_, "above", "left").select("group", F.coalesce("higher", "above").alias("above")))
+    ask = ask.join(up, "group").drop("group").withColumnRenamed("above", "group").distinct()
+    return cut(ask), group.join(up, "group").select("set_id", F.col("above").alias("group"))
+
+
 def _need():
     """Prefix tokens that a set of ``n`` tokens shares with any set that it links with."""
     return F.when(F.col("n") >= 3 * MEET, MEET).otherwise(1)
