@@ -317,8 +317,9 @@ def _bounded(roles: DataFrame, tokens: DataFrame, num: int, den: int) -> DataFra
         return pd.DataFrame({"group": part["group"], "set_id": part["set_id"], "alone": alone})
 
     parts = roles.groupBy("group").agg(F.ceil(F.sum("n") / BLOCK_TOKENS).alias("parts"))
-    held = roles.select("set_id", "group").join(parts, "group").join(tokens, "set_id")
-    held = held.select("group", "set_id", "parts", "tokens").mapInArrow(tidy(spread), "group long, part int, set_id long, tokens binary")
+    # only the sets of these groups meet their tokens; while they are few, without a shuffle
+    wanted = cut(roles.select("set_id", "group").join(parts, "group"))
+    held = tokens.join(small_side(wanted, 1 << 18), "set_id").select("group", "set_id", "parts", "tokens").mapInArrow(tidy(spread), "group long, part int, set_id long, tokens binary")
     alone = held.groupBy("group", "part").applyInPandas(count, "group long, set_id long, alone long")
     alone = alone.groupBy("group", "set_id").agg(F.sum("alone").alias("alone"))
     rows = roles.drop("blocks").join(alone, ["group", "set_id"], "left").withColumn("alone", F.coalesce("alone", F.lit(0)))
