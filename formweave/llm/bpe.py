@@ -191,8 +191,9 @@ def _stretches(texts: list[bytes]) -> Iterator[list[bytes]]:
         yield held
 
 
-def _run(docs: DataFrame, vocabulary: str, schema: str, make) -> DataFrame:
-    """Broadcasts the vocabulary (a file of fixed size) and encodes each batch."""
+def _run(docs: DataFrame, vocabulary: str, schema: str, make, keep: bool) -> DataFrame:
+    """Broadcasts the vocabulary (a file of fixed size) and encodes each batch.  Without
+    ``keep`` a worker has nothing left of the encoder when its task is done."""
     with open(vocabulary, encoding="utf-8") as f:
         spec = f.read()
     key = hashlib.sha256(spec.encode()).hexdigest()
@@ -205,7 +206,10 @@ def _run(docs: DataFrame, vocabulary: str, schema: str, make) -> DataFrame:
             for held in _stretches(as_bytes(batch.column("text"))):
                 ids += encoder.encode([t.decode() for t in held])
             yield make(encoder, batch, ids)
-        encoder.shrink()  # the worker may go on to something else
+        if keep:
+            encoder.shrink()
+        else:
+            _LOADED.clear()  # the worker goes on to something else
 
     return lean(docs).mapInArrow(tidy(build), schema)
 
@@ -224,7 +228,7 @@ def encode(docs: DataFrame, vocabulary: str) -> DataFrame:
         packed = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(sizes))), pa.int32()), values)
         return pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sizes), packed], names=["doc_id", "n_tokens", "ids"])
 
-    return _run(docs.select("doc_id", "text"), vocabulary, "doc_id long, n_tokens long, ids array<int>", make)
+    return _run(docs.select("doc_id", "text"), vocabulary, "doc_id long, n_tokens long, ids array<int>", make, keep=False)
 
 
 def decode(encoded: DataFrame, vocabulary: str) -> DataFrame:
@@ -253,4 +257,4 @@ def round_trip(docs: DataFrame, vocabulary: str) -> DataFrame:
         plain = pa.array([hashlib.sha256(encoder.decode(x).encode()).hexdigest() for x in ids])
         return pa.RecordBatch.from_arrays([batch.column("doc_id"), n, coded, plain], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    return _run(docs.select("doc_id", "text"), vocabulary, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string", make)
+    return _run(docs.select("doc_id", "text"), vocabulary, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string", make, keep=True)
