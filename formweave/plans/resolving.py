@@ -106,11 +106,20 @@ def resolve_structured(spark, d):
     return R.resolve_structured(*_inputs(spark, d), fuzzy=False)
 
 
-def _misspelt(spark, d):
-    """Small inputs with labels that are nearly those of the sheet."""
-    sheet = table(spark, d, "nation").selectExpr("CAST(n_nationkey AS BIGINT) AS row_no", "'address of ' || lower(n_name) AS field_norm", "'' AS section_norm", "CAST(NULL AS BIGINT) AS Page", "CAST(NULL AS BIGINT) AS Index", "n_name AS Value")
-    fields = table(spark, d, "nation").selectExpr("CAST(n_nationkey AS BIGINT) AS field_no", "CASE WHEN n_nationkey % 2 = 0 THEN 'adress of ' || lower(n_name) ELSE lower(n_name) || ' address of' END AS label_norm", "CAST(NULL AS BIGINT) AS page", "'' AS section_norm", "CAST(1 AS BIGINT) AS occ")
-    return fields, sheet
+@query("resolve_structured_similar")
+def resolve_structured_similar(spark, d):
+    """All steps: the keys, then the first value of the best label by token sets."""
+    return R.resolve_structured(*_inputs(spark, d))
+
+
+def _misspelt(spark, d, words: bool = False):
+    """The inputs, each label misspelt; with ``words`` every third has its words in another
+    order instead."""
+    fields, sheet = _inputs(spark, d)
+    number = F.substring_index("label_norm", " ", -1)
+    typo = F.when(F.col("field_no") % 2 == 0, F.concat(F.lit("acount field "), number)).otherwise(F.concat(F.lit("account feild "), number))
+    turned = F.when(F.col("field_no") % 3 == 0, F.concat(F.lit("field "), number, F.lit(" account"))).otherwise(typo)
+    return fields.withColumn("label_norm", turned if words else typo), sheet
 
 
 @query("resolve_fuzzy")
@@ -127,8 +136,8 @@ def resolve_agent(spark, d):
 
 @query("resolve_token_sets")
 def resolve_token_sets(spark, d):
-    """Labels whose words are those of the sheet in another order."""
-    fields, sheet = _misspelt(spark, d)
+    """Labels whose words are those of the sheet in another order, or nearly."""
+    fields, sheet = _misspelt(spark, d, words=True)
     return R.resolve_simple(fields.select("label_norm"), sheet)
 
 

@@ -242,3 +242,57 @@ def test_streams(spark, tmp_path):
     rows, counts = streaming.number_batch(spark.createDataFrame([(1, "a"), (2, "b"), (3, "a")], "emit_no long, k string"), counts, ["k"])
     assert {(r["emit_no"], r["idx"]) for r in rows.collect()} == {(1, 3), (2, 1), (3, 4)}
     assert {(r["k"], r["n"]) for r in counts.collect()} == {("a", 4), ("b", 1)}
+
+
+def _lists(spark, labels, names):
+    want = spark.createDataFrame([(x,) for x in labels], "label_norm string")
+    sheet = spark.createDataFrame([(i, x) for i, x in enumerate(names)], "row_no long, field_norm string")
+    return want, sheet
+
+
+def _first_best(label, names, score, threshold):
+    found = [(score(label, n), -i, n) for i, n in enumerate(names)]
+    best = max(found)
+    return best[2] if best[0] >= threshold else None
+
+
+def test_token_best_is_that_of_all_pairs(spark):
+    rng = random.Random(5)
+    words = ["account", "acount", "field", "feild", "name", "bank", "address", "adress", "of", "1", "12", "21", "345"]
+    draw = lambda n: sorted({" ".join(rng.choices(words, k=rng.randint(1, 5))) for _ in range(n)}, key=lambda x: rng.random())
+    labels, names = draw(120) + ["adres", "zzz"], draw(90)
+    names = [n for n in names if len(n.split()) > 1]
+    got = {r["label_norm"]: r["matched"] for r in R._token_best(*_lists(spark, labels, names)).collect()}
+    want = {x: _first_best(x, names, S.token_set_score, R.TOKEN_SIMILAR) for x in labels}
+    assert got == {k: v for k, v in want.items() if v is not None}
+    # no word in common
+    assert R._token_best(*_lists(spark, ["addresses"], ["address", "adresses"])).collect()[0]["matched"] == "adresses"
+
+
+def test_best_labels_are_those_of_all_pairs(spark):
+    rng = random.Random(6)
+    draw = lambda n: sorted({"".join(rng.choices("ab cd", k=rng.randint(4, 9))).strip() or "x" for _ in range(n)})
+    labels, names = draw(150), draw(60)
+    fields, sheet = _lists(spark, labels, names)
+    got = {r["label_norm"]: r["matched"] for r in R.best_labels(fields, sheet, 0.7).collect()}
+    want = {x: _first_best(x, names, S.sequence_ratio, 0.7) for x in labels if x not in names}
+    assert got == {k: v for k, v in want.items() if v is not None}
+
+
+def test_structured_query_takes_similar_labels(spark):
+    from formweave.plans import resolving
+    from formweave.plans.base import given
+
+    d = "/root/testdata/sf0.001"
+    got = {r["field_no"]: (r["value"], r["rule"]) for r in resolving.resolve_structured_similar(spark, d).collect()}
+    keys = {r["field_no"]: r["value"] for r in resolving.resolve_structured(spark, d).collect()}
+    rows = sorted((r["row_no"], r["field_norm"], r["Value"]) for r in given(spark, d, "sheet").collect())
+    names = list(dict.fromkeys(n for _, n, _ in rows))
+    want = {k: (v, "key") for k, v in keys.items()}
+    for f in given(spark, d, "fields").collect():
+        if f["field_no"] not in keys:
+            hit = _first_best(f["label_norm"], names, S.token_set_score, R.TOKEN_SIMILAR)
+            values = [v for _, n, v in rows if n == hit and v]
+            if values:
+                want[f["field_no"]] = (values[0], "similar")
+    assert got == want and len(got) > len(keys)
