@@ -3,8 +3,8 @@
 A recording (PCM WAV bytes) becomes frames of energy by pitch class.  Filters, evaluated
 on an integral image over the frames, compare the energy of neighbouring areas; sixteen
 of them, quantised to two bits in Gray code, make up one packed 32-bit integer a frame.
-Two recordings are aligned by the histogram of the offsets at which their integers agree,
-and the bit errors at the best offset say whether they are the same.
+Two recordings are aligned by the histogram of the offsets at which their integers nearly
+agree, and the bit errors at the best offset say whether they are the same.
 """
 
 from __future__ import annotations
@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, lean, tidy
+from .common import cut, lean, release, tidy
 from .hashing import mix
 
 U64 = np.uint64
@@ -32,6 +32,8 @@ LEVELS = (-0.25, 0.0, 0.25)
 #: Frames that have to agree at an offset to look at it, and the share of bits in error
 #: up to which recordings are the same there.
 VOTES, ERRORS, SHORTEST = 2, 0.25, 8
+#: Bits of 64 that may be in error where frames agree, and bytes of prints in a block.
+NEAR, BLOCK = 10, 1 << 18
 
 
 def read_wav(payload: bytes) -> tuple[np.ndarray, int]:
@@ -144,22 +146,44 @@ def bit_errors(a: np.ndarray, b: np.ndarray, offset: int) -> tuple[int, float]:
     return hi - lo, float(np.bitwise_count(a[lo:hi] ^ b[lo - offset : hi - offset]).sum() / (32 * (hi - lo)))
 
 
-def _postings(prints: DataFrame, key: str) -> DataFrame:
-    """(code, frame, key): two integers three frames apart make one 64-bit code."""
+def _by_length(prints: list[np.ndarray]) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Places, integers and bits (+1 and -1) of the prints of each length, at most 512 together."""
+    lengths, out = np.array(list(map(len, prints))), []
+    for n in np.unique(lengths[lengths >= SHORTEST]):
+        rows = np.flatnonzero(lengths == n)
+        step = int(max(1, min(512, (1 << 19) // n)))
+        for at in range(0, len(rows), step):
+            some = rows[at : at + step]
+            ints = np.stack([prints[i] for i in some])
+            bits = np.unpackbits(ints.view(np.uint8), axis=1).astype(np.float32)
+            out.append((some, ints, 2 * bits - 1))
+    return out
 
-    def build(batches):
-        for batch in batches:
-            code, frame, of = [np.empty(0, np.int64)], [np.empty(0, np.int32)], [np.empty(0, np.int64)]
-            for k, data in zip(batch.column("k").to_pylist(), batch.column("prints").to_pylist()):
-                p = np.frombuffer(data, np.uint32).astype(U64)
-                if len(p) > 3:
-                    c = (p[:-3] << U64(32) | p[3:]).astype(np.int64)
-                    code.append(c)
-                    frame.append(np.arange(len(c), dtype=np.int32))
-                    of.append(np.full(len(c), k))
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (code, frame, of)], names=["code", "frame", key])
 
-    return prints.select(F.col(key).alias("k"), "prints").mapInArrow(tidy(build), f"code long, frame int, {key} long")
+def alignments(asks: list[np.ndarray], all_: list[np.ndarray]) -> dict[tuple[int, int], tuple[int, int, int, float]]:
+    """(votes, offset, frames, bit error) of each pair of places that aligns.
+
+    The bits in error of every pair are measured at every offset, as products of matrices;
+    the offset with most votes (then the smallest) of those within ERRORS counts.
+    """
+    best: dict[tuple[int, int], tuple[int, int, int, float]] = {}
+    queries = _by_length(asks)
+    for rows, a, x in _by_length(all_):
+        for cols, b, y in queries:
+            for offset in range(SHORTEST - b.shape[1], a.shape[1] - SHORTEST + 1):
+                lo, hi = max(0, offset), min(a.shape[1], b.shape[1] + offset)
+                n = hi - lo
+                same = x[:, 32 * lo : 32 * hi] @ y[:, 32 * (lo - offset) : 32 * (hi - offset)].T
+                i, j = np.nonzero(same >= 32 * n * (1 - 2 * ERRORS))
+                for at in range(0, len(i), 1 << 14):
+                    p, q = i[at : at + (1 << 14)], j[at : at + (1 << 14)]
+                    wrong = np.bitwise_count(a[p, lo:hi] ^ b[q, lo - offset : hi - offset]).astype(np.int32)
+                    votes = ((wrong[:, :-3] + wrong[:, 3:]) <= NEAR).sum(1)
+                    for k in np.flatnonzero(votes >= VOTES).tolist():
+                        pair = int(cols[q[k]]), int(rows[p[k]])
+                        if pair not in best or votes[k] > best[pair][0]:
+                            best[pair] = int(votes[k]), offset, n, float(wrong[k].sum() / (32 * n))
+    return best
 
 
 def align(queries: DataFrame, media: DataFrame) -> DataFrame:
@@ -167,27 +191,35 @@ def align(queries: DataFrame, media: DataFrame) -> DataFrame:
     ``fingerprints`` returns them.
 
     Returns query_key, class_key, offset (frames of the recording before the query),
-    votes, frames (overlap) and bit_error: for each pair the offset with most votes (then
-    the smallest), if the bits in error there are at most ERRORS.  One row for a pair of
-    classes, however many recordings they have.
+    votes, frames (overlap) and bit_error.  An offset has a vote for each frame at which two
+    integers three frames apart have at most NEAR of 64 bits in error; of the offsets with
+    VOTES, SHORTEST frames and at most ERRORS, the one with most votes (then the smallest).
+    One row for a pair of classes, however many recordings they have.
+
+    No key finds integers with many bits in error, so all pairs are measured: both sides
+    are dealt to blocks of about BLOCK bytes, and each two blocks are one task's matrices.
     """
     one = lambda df, key: df.filter("class_key IS NOT NULL").groupBy(F.col("class_key").alias(key)).agg(F.first("prints").alias("prints"))
-    asks, all_ = one(queries, "query_key"), cut(one(media, "class_key"))
-    asks = cut(asks)
-    votes = _postings(asks, "query_key").withColumnRenamed("frame", "q").join(_postings(all_, "class_key"), "code")
-    votes = votes.groupBy("query_key", "class_key", (F.col("frame") - F.col("q")).alias("offset")).agg(F.count("*").alias("votes")).filter(F.col("votes") >= VOTES)
-    best = votes.groupBy("query_key", "class_key").agg(F.max_by(F.struct("offset", "votes"), F.struct("votes", -F.col("offset"))).alias("b"))
-    pairs = best.select("query_key", "class_key", "b.*").join(asks.withColumnRenamed("prints", "x"), "query_key").join(all_, "class_key")
-
-    def measure(batches):
-        for batch in batches:
-            a, b = ([np.frombuffer(x, np.uint32) for x in batch.column(c).to_pylist()] for c in ("prints", "x"))
-            found = [bit_errors(x, y, o) for x, y, o in zip(a, b, batch.column("offset").to_pylist())]
-            kept = [batch.column(c) for c in ("query_key", "class_key", "offset", "votes")]
-            yield pa.RecordBatch.from_arrays([*kept, pa.array([f[0] for f in found], pa.int32()), pa.array([f[1] for f in found], pa.float64())], names=["query_key", "class_key", "offset", "votes", "frames", "bit_error"])
-
-    out = pairs.mapInArrow(tidy(measure), "query_key long, class_key long, offset int, votes long, frames int, bit_error double")
-    return out.filter((F.col("bit_error") <= ERRORS) & (F.col("frames") >= SHORTEST))
+    asks, all_ = cut(one(queries, "query_key")), cut(one(media, "class_key"))
+    deal = lambda df: 1 + int(df.agg(F.sum(F.length("prints"))).first()[0] or 0) // BLOCK
+    m, n = deal(asks), deal(all_)
+    part = lambda key, k: F.pmod(F.xxhash64(key), F.lit(k)).cast("int")
+    every = lambda k: F.explode(F.sequence(F.lit(0), F.lit(k - 1)))
+    left = asks.select(part("query_key", m).alias("i"), every(n).alias("j"), "query_key", "prints")
+    right = all_.select(every(m).alias("i"), part("class_key", n).alias("j"), "class_key", "prints")
+
+    def measure(a: pa.Table, b: pa.Table) -> pa.Table:
+        x, y = ([np.frombuffer(v, np.uint32) for v in t.column("prints").to_pylist()] for t in (a, b))
+        found = alignments(x, y)
+        keys = [a.column("query_key").to_pylist(), b.column("class_key").to_pylist()]
+        rows = [(keys[0][p], keys[1][q], o, v, f, e) for (p, q), (v, o, f, e) in found.items()]
+        kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.float64()]
+        columns = zip(*rows) if rows else [()] * len(kinds)
+        release()
+        return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], names=["query_key", "class_key", "offset", "votes", "frames", "bit_error"])
+
+    blocks = left.groupBy("i", "j").cogroup(right.groupBy("i", "j"))
+    return blocks.applyInArrow(measure, "query_key long, class_key long, offset int, votes long, frames int, bit_error double")
 
 
 def melody(vector: list[float], rate: int = 5512, note: float = 0.125) -> np.ndarray:

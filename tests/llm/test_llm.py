@@ -371,6 +371,33 @@ def test_audio(spark):
     assert rate == 5512 and np.abs(back - samples).max() < 1e-3
 
 
+def test_audio_noise(spark):
+    """Bits in error: all pairs that measuring every pair and offset finds, up to 0.2 each clip."""
+    rng = np.random.default_rng(3)
+    prints = [audio.fingerprint(audio.melody(rng.normal(0, 0.2, 48 + 16 * (i % 2)).tolist()), 5512) for i in range(24)]
+
+    def flipped(p, share):
+        return p ^ np.packbits(rng.random((len(p), 32)) < share, axis=1).view(np.uint32).ravel()
+
+    clips = [(k, q, flipped(prints[q][5:-2], k)) for k in (0.0, 0.05, 0.1, 0.15, 0.2) for q in range(24)]
+    frame = lambda rows: spark.createDataFrame([(i, p.tobytes(), i) for i, p in enumerate(rows)], "media_id long, prints binary, class_key long")
+    got = {(r["query_key"], r["class_key"]): r for r in audio.align(frame([c[2] for c in clips]), frame(prints)).collect()}
+    want = {}
+    for i, (_, _, c) in enumerate(clips):
+        for m, p in enumerate(prints):
+            for o in range(audio.SHORTEST - len(c), len(p) - audio.SHORTEST + 1):
+                n, e = audio.bit_errors(p, c, o)
+                if e <= audio.ERRORS:
+                    lo = max(0, o)
+                    d = np.bitwise_count(p[lo : lo + n] ^ c[lo - o : lo - o + n]).astype(int)
+                    votes = int((d[:-3] + d[3:] <= audio.NEAR).sum())
+                    if votes >= audio.VOTES and votes > want.get((i, m), (0,))[0]:
+                        want[i, m] = votes, o, n, e
+    assert {k: (r["votes"], r["offset"], r["frames"], r["bit_error"]) for k, r in got.items()} == want
+    found = [i for i, (_, q, _) in enumerate(clips) if (i, q) in got and got[i, q]["offset"] == 5]
+    assert len(found) == len(clips)
+
+
 @pytest.mark.parametrize("name", sorted(sql.ORACLES))
 def test_sql(spark, name):
     con = duckdb.connect()
