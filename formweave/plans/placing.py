@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
@@ -132,8 +133,11 @@ def letter_headers(spark, d):
 @query("column_header")
 def column_header(spark, d):
     """The header of a slot's column."""
-    slots = given(spark, d, "spans").filter("line_no > 0 AND span_no = 2").select("doc_id", "page", (F.col("doc_id") * 100 + F.col("line_no") * 10 + F.col("span_no")).alias("field_no"), "x0", "x1", F.col("y0").alias("y"))
-    return P.column_header(slots.dropDuplicates(["field_no"]), given(spark, d, "spans").filter("line_no <= 3"))
+    spans = given(spark, d, "spans")
+    again = F.row_number().over(Window.partitionBy("doc_id", "page", "line_no", "span_no").orderBy("x0", "x1", "text"))
+    number = (F.col("doc_id") * 100 + F.col("line_no") * 10 + F.col("span_no")) * 1000 + again
+    slots = spans.withColumn("field_no", number).filter("line_no > 0").select("doc_id", "page", "field_no", "x0", "x1", F.col("y0").alias("y"))
+    return P.column_header(slots, spans)
 
 
 @query("scan_up", "SELECT doc_id, table_no, row_no, col_no, label FROM (SELECT *, last_value(nullif(text, '') IGNORE NULLS) OVER (PARTITION BY doc_id, table_no, col_no ORDER BY row_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS label FROM (SELECT doc_id, table_no, row_no, col_no, max(text) AS text FROM {cells} q GROUP BY 1, 2, 3, 4)) WHERE text = '' AND label IS NOT NULL")

@@ -296,3 +296,25 @@ def test_structured_query_takes_similar_labels(spark):
             if values:
                 want[f["field_no"]] = (values[0], "similar")
     assert got == want and len(got) > len(keys)
+
+
+def test_column_header_query_covers_all_lines(spark):
+    from formweave.plans import placing
+    from formweave.plans.base import given
+
+    d = "/root/testdata/sf0.001"
+    rows = given(spark, d, "spans").orderBy("doc_id", "line_no", "x0", "x1").collect()
+    clusters = {(r["doc_id"], r["line_no"]): [] for r in rows}
+    for c in X.clusters(given(spark, d, "spans")).collect():
+        clusters[c["doc_id"], c["line_no"]].append(c)
+    want = []
+    for r in rows:
+        above = clusters.get((r["doc_id"], r["line_no"] - 1), [])
+        if len(above) >= 2:
+            share = lambda c: max(0.0, min(r["x1"], c["x1"]) - max(r["x0"], c["x0"]))
+            away = lambda c: abs((r["x0"] + r["x1"]) / 2 - (c["x0"] + c["x1"]) / 2)
+            best = max(above, key=lambda c: (share(c), -away(c), -c["x0"]))
+            want.append((r["doc_id"] * 100 + r["line_no"] * 10 + r["span_no"], best["text"]))
+    got = [(r["field_no"] // 1000, r["header"]) for r in placing.column_header(spark, d).collect()]
+    assert sorted(got) == sorted(want)
+    assert {n // 10 % 10 for n, _ in got} == set(range(1, 8))
