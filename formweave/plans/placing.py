@@ -267,7 +267,14 @@ def discover_pdf(spark, d):
     boxes = blocks.withColumns({"x1": F.col("x0") + 12, "y1": F.col("y0") + 12, "source": F.lit("rect"), "box_no": F.col("block_no")})
     wide = blocks.withColumns({"x1": F.col("x0") + 120, "y1": F.col("y0") + 14})
     arrows = blocks.filter("block_no % 4 = 0").select("doc_id", "page", (F.col("x0") + 110).alias("x0"), (F.col("y0") + 5).alias("y0"))
-    passes = [D.underscores(words), D.underlines(segments), D.dropdowns(wide, arrows), D.shallow_boxes(wide), D.right_gaps(words), D.right_gaps(words, False), D.checkboxes(boxes)]
+    lines = blocks.withColumns({"line_no": F.col("y0").cast("long"), "text": F.concat("text", F.lit(":"))})
+    kind = F.when(F.col("block_no") % 3 == 0, "CheckBox").when(F.col("block_no") % 3 == 1, "ComboBox").otherwise("Text")
+    choices = F.when(kind == "ComboBox", F.array("text"))
+    widgets = blocks.withColumns({"kind": kind, "choices": choices, "y1": F.col("y1") + 40})
+    passes = [
+        D.underscores(words), D.underlines(segments), D.dropdowns(wide, arrows), D.shallow_boxes(wide), D.right_gaps(lines),
+        D.right_gaps(words), D.right_gaps(words, False), D.checkboxes(boxes), D.widgets(widgets),
+    ]
     return D.discover(passes).select("doc_id", "page", "emit_no", "placement")
 
 

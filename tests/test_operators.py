@@ -318,3 +318,14 @@ def test_column_header_query_covers_all_lines(spark):
     got = [(r["field_no"] // 1000, r["header"]) for r in placing.column_header(spark, d).collect()]
     assert sorted(got) == sorted(want)
     assert {n // 10 % 10 for n, _ in got} == set(range(1, 8))
+
+
+def test_discover_query_has_block_gaps_and_widgets(spark, monkeypatch):
+    from formweave.plans import placing
+
+    seen, gaps = [], D.right_gaps
+    monkeypatch.setattr(D, "right_gaps", lambda rows, *more: seen.append(rows) or gaps(rows, *more))
+    found = {r["placement"] for r in placing.discover_pdf(spark, "/root/testdata/sf0.001").select("placement").distinct().collect()}
+    assert "acro_text" in found
+    blocks = [x for x in seen if "block_no" in x.columns]
+    assert len(blocks) == 1 and gaps(blocks[0]).count() > 0
