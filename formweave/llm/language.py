@@ -20,6 +20,8 @@ from .compression import compressor, lengths, normal, windows
 #: Bounds of what is learned from: samples of a language, characters of a sample, bytes
 #: of a dictionary, and languages (a closed vocabulary; more is an error).
 SAMPLES, SAMPLE_CHARS, DICTIONARY, LANGUAGES = 128, 4096, 1 << 16, 512
+#: Places of a text, from its begin to its end, that a sample is taken from.
+PLACES = 4
 #: Bytes of a window, zstandard level, and the smallest margin as a share of the best
 #: length that is accepted.
 WINDOW, LEVEL, MARGIN = 1024, 7, 0.01
@@ -27,6 +29,14 @@ WINDOW, LEVEL, MARGIN = 1024, 7, 0.01
 UNKNOWN = "und"
 
 
+def _spread(data: bytes, size: int) -> bytes:
+    """``size`` bytes of ``data`` from PLACES places, or all of it."""
+    if len(data) <= size:
+        return data
+    width = (size - PLACES + 1) // PLACES
+    return b" ".join(data[at : at + width] for at in (i * (len(data) - width) // (PLACES - 1) for i in range(PLACES)))
+
+
 def fit(docs: DataFrame) -> dict[str, bytes]:
     """Dictionaries by language from ``docs`` (doc_id, text, lang).
 
@@ -43,12 +53,15 @@ def fit(docs: DataFrame) -> dict[str, bytes]:
         return {}
     spark = docs.sparkSession
     keys = F.broadcast(spark.createDataFrame(rows, "lang string, doc_id long"))
-    texts = docs.join(keys, ["lang", "doc_id"]).select("lang", F.substring("text", 1, SAMPLE_CHARS).alias("text")).distinct().collect()
+    width, n = SAMPLE_CHARS // PLACES, F.length("text")
+    pieces = [F.substring(F.col("text"), 1 + F.floor((n - width) * i / (PLACES - 1)).cast("int"), F.lit(width)) for i in range(PLACES)]
+    sample = F.when(n <= SAMPLE_CHARS, F.col("text")).otherwise(F.concat_ws(" ", *pieces))
+    texts = docs.join(keys, ["lang", "doc_id"]).select("lang", sample.alias("text")).distinct().collect()
     model: dict[str, bytes] = {}
     for lang in sorted({r["lang"] for r in texts}):
         parts = [normal(r["text"]) for r in sorted(texts) if r["lang"] == lang]
         share = max(64, DICTIONARY // max(1, len(parts)))
-        model[lang] = b" ".join(p[:share] for p in parts)[:DICTIONARY]
+        model[lang] = b" ".join(_spread(p, share) for p in parts)[:DICTIONARY]
     return {k: v for k, v in model.items() if len(v) >= 8}
 
 

@@ -303,6 +303,13 @@ def test_language(spark, docs, none):
     assert {r["lang_pred"] for r in language.classify(docs, {}).collect()} == {"und"}
 
 
+def test_language_learns_from_the_whole_text(spark):
+    rows = [(i, "license " * 700 + "wombat " * 700 + "zebra " * 700 + str(i), "en") for i in range(600)]
+    model = language.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert b"license" in model["en"] and b"wombat" in model["en"] and b"zebra" in model["en"]
+    assert len(model["en"]) <= language.DICTIONARY
+
+
 def test_toxicity(spark, docs, none):
     table, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
     fold = F.expr("crc32(cast(doc_id AS string)) % 5")
