@@ -1,7 +1,7 @@
 """Queries of the ten operators over their whole tables, and their SQL.
 
-The SQL of an operator stands beside its query in ``q_*`` modules; operators that
-SQL can't express have none and are tested against brute force.
+The SQL is in ``sql``; operators that SQL can't express have none and are tested against
+brute force.
 """
 
 from __future__ import annotations
@@ -28,8 +28,8 @@ def vocabulary() -> str:
 
 
 def _fold(k: int):
-    """The remainder by ``k`` that decides what is held out."""
-    return F.expr(f"crc32(cast(doc_id AS string)) % {k}")
+    """The remainder by ``k`` that decides what is held out; a null id counts as blank."""
+    return F.expr(f"crc32(coalesce(cast(doc_id AS string), '')) % {k}")
 
 
 def op1_chroma_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,6 +6,7 @@ import ctypes
 import gc
 import os
 import tempfile
+import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -54,22 +55,49 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
-def shared(spark: SparkSession) -> None:
-    """Makes ``checkpoint()`` usable: the folder of ``spark.checkpoint.dir`` if the
-    session names one, and only where none is set (tests) a local folder."""
-    context = spark.sparkContext
-    if context._jsc.sc().getCheckpointDir().isDefined():
-        return
+def shared_folder(spark: SparkSession) -> str:
+    """The folder of ``spark.checkpoint.dir``.  Only a session in one process (tests) may
+    leave it unset: a folder of one machine is lost to all others."""
     named = spark.conf.get("spark.checkpoint.dir", None)
-    context.setCheckpointDir(named or os.path.join(tempfile.gettempdir(), "formweave-checkpoints"))
+    if named:
+        return named
+    master = spark.sparkContext.master
+    if not master.startswith("local") or master.startswith("local-cluster"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return os.path.join(tempfile.gettempdir(), "formweave-checkpoints")
 
 
 def cut(df: DataFrame) -> DataFrame:
     """Writes ``df`` to the shared checkpoint folder and reads it back."""
-    shared(df.sparkSession)
+    context = df.sparkSession.sparkContext
+    if not context._jsc.sc().getCheckpointDir().isDefined():
+        context.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint(eager=True)
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Deletes what a finished step has left in the shared folder."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def written(df: DataFrame, name: str) -> tuple[DataFrame, Callable[[], None]]:
+    """``df`` as a Parquet table in the shared folder, and what deletes it again.  For rows
+    that are read more than once and are many: a checkpoint takes three times the room."""
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/formweave-{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path), lambda: remove(spark, path)
+
+
+def relieve(spark: SparkSession) -> None:
+    """Has executors collect their garbage.  Sorts and hash tables take memory in pages of
+    many MB; dead ones keep a heap at its limit though next to nothing in it is alive, and
+    that memory is missing to the Python workers of the step that follows."""
+    n = spark.sparkContext.defaultParallelism
+    spark.range(0, n, 1, n).selectExpr("java_method('java.lang.System', 'gc') AS done").filter("done IS NULL").count()
+
+
 def as_bytes(column: pa.Array) -> list[bytes]:
     """UTF-8 of a string column; a null is the empty text."""
     return [x or b"" for x in column.cast(pa.binary()).to_pylist()]

@@ -25,6 +25,15 @@ def compressor(dictionary: bytes, level: int) -> zstandard.ZstdCompressor:
     return zstandard.ZstdCompressor(compression_params=params, dict_data=content)
 
 
+def spread(data: bytes, size: int, places: int) -> bytes:
+    """``size`` bytes of ``data`` from ``places`` places between its begin and its end, or
+    all of it."""
+    if len(data) <= size:
+        return data
+    width = max(1, (size - places + 1) // places)
+    return b" ".join(data[at : at + width] for at in (i * (len(data) - width) // (places - 1) for i in range(places)))
+
+
 def windows(data: bytes, width: int) -> list[bytes]:
     """Consecutive windows of at least ``width`` bytes that end at a space, over the
     whole text; the last takes what is left.  An empty text has no window."""

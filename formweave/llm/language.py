@@ -14,14 +14,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import as_bytes, lean, tidy
-from .compression import compressor, lengths, normal, windows
+from .common import as_bytes, cut, lean, small_side, tidy
+from .compression import compressor, lengths, normal, spread, windows
 
-#: Bounds of what is learned from: samples of a language, characters of a sample, bytes
-#: of a dictionary, and languages (a closed vocabulary; more is an error).
-SAMPLES, SAMPLE_CHARS, DICTIONARY, LANGUAGES = 128, 4096, 1 << 16, 512
+#: Bounds of what is learned from: samples of a language, bytes that one sample sends (of
+#: its whole normalised text, from PLACES places), bytes of a dictionary, and bytes of all
+#: dictionaries together, which they share evenly when languages are many.
+SAMPLES, SENT, DICTIONARY, TOTAL = 128, 1 << 13, 1 << 16, 1 << 23
 #: Places of a text, from its begin to its end, that a sample is taken from.
-PLACES = 4
+PLACES = 16
 #: Bytes of a window, zstandard level, and the smallest margin as a share of the best
 #: length that is accepted.
 WINDOW, LEVEL, MARGIN = 1024, 7, 0.01
@@ -29,40 +30,35 @@ WINDOW, LEVEL, MARGIN = 1024, 7, 0.01
 UNKNOWN = "und"
 
 
-def _spread(data: bytes, size: int) -> bytes:
-    """``size`` bytes of ``data`` from PLACES places, or all of it."""
-    if len(data) <= size:
-        return data
-    width = (size - PLACES + 1) // PLACES
-    return b" ".join(data[at : at + width] for at in (i * (len(data) - width) // (PLACES - 1) for i in range(PLACES)))
-
-
 def fit(docs: DataFrame) -> dict[str, bytes]:
     """Dictionaries by language from ``docs`` (doc_id, text, lang).
 
     Rows with a null language, or a text that is null or has no letter, teach nothing.
     Of each language the rows with the least hash in each of SAMPLES buckets are taken,
-    so any number of rows gives a sample of bounded size and reruns agree.
+    so any number of rows gives a sample of bounded size and reruns agree; rows that
+    repeat teach once.  Every value of ``lang`` is learned: with many of them the
+    dictionaries are smaller.  An empty table gives no languages.
     """
-    taught = docs.filter("lang IS NOT NULL AND text RLIKE '\\\\p{L}'").select("lang", "doc_id", F.xxhash64("doc_id", "lang").alias("h"))
-    chosen = taught.groupBy("lang", F.pmod("h", F.lit(SAMPLES)).alias("bucket")).agg(F.min_by("doc_id", "h").alias("doc_id")).select("lang", "doc_id")
-    rows = chosen.limit(SAMPLES * LANGUAGES + 1).collect()
-    if len({r["lang"] for r in rows}) > LANGUAGES or len(rows) > SAMPLES * LANGUAGES:
-        raise ValueError(f"lang has more than {LANGUAGES} values")
-    if not rows:
-        return {}
-    spark = docs.sparkSession
-    keys = F.broadcast(spark.createDataFrame(rows, "lang string, doc_id long"))
-    width, n = SAMPLE_CHARS // PLACES, F.length("text")
-    pieces = [F.substring(F.col("text"), 1 + F.floor((n - width) * i / (PLACES - 1)).cast("int"), F.lit(width)) for i in range(PLACES)]
-    sample = F.when(n <= SAMPLE_CHARS, F.col("text")).otherwise(F.concat_ws(" ", *pieces))
-    texts = docs.join(keys, ["lang", "doc_id"]).select("lang", sample.alias("text")).distinct().collect()
-    model: dict[str, bytes] = {}
-    for lang in sorted({r["lang"] for r in texts}):
-        parts = [normal(r["text"]) for r in sorted(texts) if r["lang"] == lang]
-        share = max(64, DICTIONARY // max(1, len(parts)))
-        model[lang] = b" ".join(_spread(p, share) for p in parts)[:DICTIONARY]
-    return {k: v for k, v in model.items() if len(v) >= 8}
+    taught = docs.filter("lang IS NOT NULL AND text RLIKE '\\\\p{L}'").select("lang", "text", F.xxhash64("doc_id", "lang", "text").alias("h"))
+    chosen = taught.groupBy("lang", F.pmod("h", F.lit(SAMPLES)).alias("bucket")).agg(F.min("h").alias("h")).select("lang", "h")
+    chosen = cut(chosen)
+    languages = chosen.select("lang").distinct().count()
+    size = max(256, min(DICTIONARY, TOTAL // max(1, languages)))
+
+    def sample(batches):
+        for batch in batches:
+            parts = [spread(normal(t.decode()), SENT, PLACES) for t in as_bytes(batch.column("text"))]
+            yield pa.RecordBatch.from_arrays([batch.column("lang"), batch.column("h"), pa.array(parts, pa.binary())], names=["lang", "h", "part"])
+
+    def build(key: tuple, rows: pa.Table) -> pa.Table:
+        parts = rows.sort_by("h").column("part").to_pylist()
+        share = max(64, size // len(parts))
+        content = b" ".join(spread(p, share, min(PLACES, max(2, share // 64))) for p in parts)[:size]
+        return pa.table({"lang": [key[0].as_py()], "content": pa.array([content], pa.binary())})
+
+    rows = lean(taught.join(small_side(chosen, 1 << 18), ["lang", "h"]).select("lang", "text", "h")).mapInArrow(tidy(sample), "lang string, h long, part binary")
+    rows = rows.groupBy("lang", "h").agg(F.first("part").alias("part")).groupBy("lang").applyInArrow(build, "lang string, content binary")
+    return {r["lang"]: bytes(r["content"]) for r in rows.collect() if len(r["content"]) >= 8}
 
 
 def classify(docs: DataFrame, model: dict[str, bytes], margin: float = MARGIN) -> DataFrame:
@@ -72,7 +68,8 @@ def classify(docs: DataFrame, model: dict[str, bytes], margin: float = MARGIN) -
     the bytes that it takes; ``accepted`` is false for a margin under ``margin`` and for
     ``und``.  lang_pred is ``und``, at score 0, if the text is null or has no letter, or
     no language was learned.  Columns of those names are replaced.  Ties go to the first
-    language by name, and are not accepted when there are two languages or more.
+    language by name, and are not accepted when there are two languages or more.  Repeated
+    rows repeat; rows without an id are classified too; an empty table gives no rows.
     """
     names = sorted(model)
     sent = docs.sparkSession.sparkContext.broadcast(model)

@@ -19,13 +19,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, lean, tidy
+from .common import cut, lean, semi_join, small_side, tidy
 from .hashing import mix, mix_int
 
 U64 = np.uint64
 #: Words of a block (less in a source of few words), output shards, rounds of the
-#: permutation, slots made from one row, and rows of a packing bucket.
-BLOCK, SHARDS, ROUNDS, RUN, BUCKET = 64, 64, 24, 1 << 14, 4096
+#: permutation, slots made from one row, rows of a packing bucket and buckets of a shelf.
+BLOCK, SHARDS, ROUNDS, RUN, BUCKET, SHELF = 64, 64, 24, 1 << 14, 512, 1024
 #: How often a source may be taken.
 MOST = 3
 WEIGHTS = (5, 2, 1)
@@ -82,26 +82,35 @@ def shard_counts(slots: list[int], shards: int, seed: int) -> np.ndarray:
 
 
 def sized(docs: DataFrame) -> DataFrame:
-    """doc_id, source, size in words and a tie-breaker of every row; a null text has none."""
+    """doc_id, source, size in words and tie of every row; a null text has no words.  The
+    tie is a hash of all columns, by which rows that share an id are told apart."""
     text = F.coalesce("text", F.lit(""))
-    return docs.select("doc_id", "source", F.regexp_count(text, F.lit(WORD)).cast("long").alias("size"), F.xxhash64("doc_id", text).alias("tie"))
+    return docs.select("doc_id", "source", F.regexp_count(text, F.lit(WORD)).cast("long").alias("size"), _tie(docs).alias("tie"))
+
+
+def _tie(docs: DataFrame):
+    """Nulls are told apart from the columns beside them by their places."""
+    return F.xxhash64(*[F.struct(F.col(f"`{c}`").cast("string").alias("v"), F.lit(i).alias("i")) for i, c in enumerate(docs.columns)])
 
 
 def pack(rows: DataFrame) -> DataFrame:
     """Adds ``start``: the word of its source at which each row begins.
 
-    Rows are laid in order of a hash bucket, so no source is sorted in one task: sums of
-    the buckets are added up first, then rows within each bucket.
+    Rows are laid in order of a hash bucket, so no source is sorted in one task: sums are
+    run over the shelves of a source, over the buckets of a shelf, and over the rows of a
+    bucket, and added up.
     """
     buckets = max(1, math.ceil(rows.count() / BUCKET))
-    rows = rows.withColumn("bucket", F.pmod("tie", F.lit(buckets)))
-    total = rows.groupBy("source", "bucket").agg(F.sum("size").alias("total"))
-    before = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    base = total.select(F.col("source").alias("s"), F.col("bucket").alias("b"), F.coalesce(F.sum("total").over(before), F.lit(0)).alias("base"))
-    inner = Window.partitionBy("source", "bucket").orderBy("tie", "doc_id").rowsBetween(Window.unboundedPreceding, -1)
-    rows = rows.withColumn("inner", F.coalesce(F.sum("size").over(inner), F.lit(0)))
+    rows = rows.withColumn("bucket", F.pmod("tie", F.lit(buckets))).withColumn("shelf", F.floor(F.col("bucket") / SHELF))
+    before = lambda keys, *order: Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    run = lambda c, w: F.coalesce(F.sum(c).over(w), F.lit(0))
+    total = cut(rows.groupBy("source", "shelf", "bucket").agg(F.sum("size").alias("total")))
+    shelf = total.groupBy("source", "shelf").agg(F.sum("total").alias("total")).select(F.col("source").alias("s"), F.col("shelf").alias("h"), run("total", before(["source"], "shelf")).alias("base"))
+    total = total.withColumn("part", run("total", before(["source", "shelf"], "bucket"))).join(shelf, F.col("source").eqNullSafe(F.col("s")) & (F.col("shelf") == F.col("h")))
+    base = total.select(F.col("source").alias("s"), F.col("bucket").alias("b"), (F.col("base") + F.col("part")).alias("base"))
+    rows = rows.withColumn("inner", run("size", before(["source", "bucket"], "tie", "doc_id")))
     rows = rows.join(base, F.col("source").eqNullSafe(F.col("s")) & (F.col("bucket") == F.col("b")))
-    return rows.withColumn("start", F.col("base") + F.col("inner")).drop("s", "b", "base", "inner", "bucket")
+    return rows.withColumn("start", F.col("base") + F.col("inner")).drop("s", "b", "base", "inner", "bucket", "shelf")
 
 
 def plan(docs: DataFrame, seed: int = 7, shards: int = SHARDS) -> tuple[DataFrame, DataFrame]:
@@ -155,8 +164,8 @@ def taken(docs: DataFrame, seed: int = 7) -> DataFrame:
     target and taken (words, repeats counted).
 
     A null source is a source of its own, the last.  Null and empty texts have size 0 and
-    nothing is taken of them.  Rows with equal ids are told apart by their texts; equal
-    rows share a source's words as neighbours.  An empty table gives no rows.
+    nothing is taken of them.  Rows with equal ids are rows of their own; rows that are
+    equal in all columns are neighbours in their source.  An empty table gives no rows.
     """
     rows, pieces = plan(docs, seed)
     # a row is known by its source and where it begins there
@@ -171,16 +180,21 @@ def mixed(docs: DataFrame, seed: int = 7) -> DataFrame:
 
     A text that is taken whole stays as it is; of others the words taken are joined by one
     space.  Rows of which nothing is taken, texts without words among them, are left out.
+    Rows that share an id or a text, but not all columns, are rows of their own; of rows
+    equal in all columns as many come out as are taken of them together.
     """
     rows, pieces = plan(docs, seed)
     sums = pieces.groupBy("source_no", "start", "first", "words").agg(F.count("*").alias("times"))
-    of = rows.filter("size > 0").select("source_no", "start", "doc_id", "tie")
-    part = F.struct("first", "words", "times")
+    of = rows.filter("size > 0").select("source_no", "start", "tie")
     # rows that are equal share what is taken of any of them
-    sums = sums.join(of, ["source_no", "start"]).groupBy("doc_id", "tie", "first", "words").agg(F.sum("times").alias("times"))
-    taken_of = sums.groupBy(F.col("doc_id").alias("_mix_doc"), F.col("tie").alias("_mix_of")).agg(F.array_sort(F.collect_list(part)).alias("_mix_parts"))
-    keyed = docs.withColumn("_mix_tie", F.xxhash64("doc_id", F.coalesce("text", F.lit("")))).dropDuplicates(["doc_id", "_mix_tie"])
-    keyed = keyed.join(taken_of, F.col("doc_id").eqNullSafe(F.col("_mix_doc")) & (F.col("_mix_tie") == F.col("_mix_of"))).drop("_mix_tie", "_mix_doc", "_mix_of")
+    sums = sums.join(of, ["source_no", "start"]).groupBy("tie", "first", "words").agg(F.sum("times").alias("times"))
+    taken_of = sums.groupBy(F.col("tie").alias("_mix_tie")).agg(F.array_sort(F.collect_list(F.struct("first", "words", "times"))).alias("_mix_parts"))
+    keyed = docs.withColumn("_mix_tie", _tie(docs))
+    repeated = cut(rows.groupBy(F.col("tie").alias("_mix_tie")).count().filter("count > 1").select("_mix_tie"))
+    if repeated.take(1):
+        once = semi_join(keyed, repeated, "_mix_tie").dropDuplicates(["_mix_tie"])
+        keyed = keyed.join(small_side(repeated, 1 << 20), "_mix_tie", "left_anti").unionByName(once)
+    keyed = keyed.join(taken_of, "_mix_tie").drop("_mix_tie")
     fields = [f.name for f in docs.schema.fields]
     text_at = fields.index("text")
 

@@ -2,8 +2,9 @@
 
 Base spans are matches of fixed patterns.  Weak candidates (long mixed-case tokens) and
 endpoints are common in ordinary text, so they count only when complementary parts
-co-occur: an interval join links parts of the same document that stand within SCOPE code
-points of each other.
+co-occur: an interval join links parts of the same document that stand apart, but within
+SCOPE code points of each other.  What overlaps a part is no complement of it: the path of
+an address is not the secret to that address.
 
 Positions come from splitting: the pieces between matches and the matches, in turn, make
 up the text, so a running sum of their lengths is where each match starts.
@@ -53,7 +54,7 @@ def _linked(parts: DataFrame, asking: Column, answering: Column) -> DataFrame:
     right = right.withColumn("bucket", F.explode(F.sequence(F.floor(F.col("s") / SCOPE), F.floor(F.col("e") / SCOPE))))
     near = left.alias("l").join(
         right.alias("r"),
-        (F.col("l.id") == F.col("r.id")) & (F.col("l.digest") == F.col("r.digest")) & (F.col("l.bucket") == F.col("r.bucket")) & (F.col("s") < F.col("end") + SCOPE) & (F.col("e") > F.col("start") - SCOPE),
+        (F.col("l.id") == F.col("r.id")) & (F.col("l.digest") == F.col("r.digest")) & (F.col("l.bucket") == F.col("r.bucket")) & (F.col("s") < F.col("end") + SCOPE) & (F.col("e") > F.col("start") - SCOPE) & ((F.col("s") >= F.col("end")) | (F.col("e") <= F.col("start"))),
         "left_semi",
     )
     return near.select("id", "digest", "kind", "start", "end").distinct()
@@ -64,7 +65,9 @@ def scan(docs: DataFrame) -> DataFrame:
 
     Also returned by ``spans`` with counts.  ``docs`` needs doc_id and text; whole texts
     are searched.  Matches are leftmost and don't overlap within a kind; positions are
-    code points, the end exclusive.
+    code points, the end exclusive.  A null text is empty and has no spans; rows that repeat
+    have their spans once; a null doc_id has the smallest long as id; an empty table gives
+    no rows; other columns are ignored.
     """
     return _spans(_texts(docs))
 
@@ -119,7 +122,8 @@ FEW = 1 << 17
 def redact(docs: DataFrame, mark: str = "[SECRET]") -> DataFrame:
     """``docs`` with ``mark`` in the place of every span of ``scan`` (overlaps as one).
 
-    Texts without spans, null texts among them, stay as they are.
+    Texts without spans, null texts among them, stay as they are; all columns are kept,
+    repeated rows repeat, and an empty table gives no rows.
     """
     text = F.coalesce("text", F.lit(""))
     found = cut(scan(docs).withColumnsRenamed({"id": "_secret_id", "digest": "_secret_digest"}).groupBy("_secret_id", "_secret_digest").agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("_secret_found")))

@@ -4,8 +4,6 @@ from __future__ import annotations
 
 from functools import reduce
 
-from . import secrets
-
 WORD = r"[^\x20\x09-\x0D]+"
 
 #: Shingle sets, all links by an inverted self-join, and reachability by recursion.
@@ -70,8 +68,8 @@ WITH t AS (SELECT doc_id, coalesce(text, '') AS t FROM documents
 ), z AS (SELECT doc_id, kind, rank, CAST(a AS BIGINT) AS a, CAST(a + l AS BIGINT) AS b FROM s
 ), k AS (
   SELECT * FROM z WHERE rank <= 3
-  UNION ALL SELECT * FROM z WHERE kind = 'weak' AND EXISTS (SELECT 1 FROM z y WHERE y.doc_id = z.doc_id AND y.kind IN ('access', 'endpoint') AND y.a < z.b + 256 AND y.b > z.a - 256)
-  UNION ALL SELECT * FROM z WHERE kind = 'endpoint' AND EXISTS (SELECT 1 FROM z y WHERE y.doc_id = z.doc_id AND y.rank <= 3 AND y.a < z.b + 256 AND y.b > z.a - 256)
+  UNION ALL SELECT * FROM z WHERE kind = 'weak' AND EXISTS (SELECT 1 FROM z y WHERE y.doc_id = z.doc_id AND y.kind IN ('access', 'endpoint') AND y.a < z.b + 256 AND y.b > z.a - 256 AND (y.a >= z.b OR y.b <= z.a))
+  UNION ALL SELECT * FROM z WHERE kind = 'endpoint' AND EXISTS (SELECT 1 FROM z y WHERE y.doc_id = z.doc_id AND y.rank <= 3 AND y.a < z.b + 256 AND y.b > z.a - 256 AND (y.a >= z.b OR y.b <= z.a))
 ), j AS (
   SELECT doc_id, count(*) FILTER (kind = 'assign') AS n_assign, count(*) FILTER (kind = 'access') AS n_access, count(*) FILTER (kind = 'hex') AS n_hex, count(*) FILTER (rank > 3) AS n_linked,
     string_agg(kind || ':' || a || ':' || b, ',' ORDER BY a, rank) FILTER (rank <= 3) AS base, string_agg(kind || ':' || a || ':' || b, ',' ORDER BY a, rank) AS spans FROM k GROUP BY 1
@@ -81,15 +79,18 @@ SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_acc
 """
 
 
-def _quoted(pattern: str) -> str:
-    return pattern.replace("'", "''")
-
-
-_PATTERNS = {k: _quoted(getattr(secrets, k.upper())) for k in secrets.KINDS}
+# The patterns as the contract and the operator's docstring state them.
+PATTERNS = {
+    "assign": r"""(?i)(password|passwd|secret|token|api_?key)["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)""",
+    "access": r"AKIA[A-Z0-9]{14,}",
+    "hex": r"[0-9a-f]{16,}",
+    "weak": r"[A-Za-z0-9+/_-]{20,}",
+    "endpoint": r"(?i)(?:https?|jdbc:[a-z0-9]+|postgres|mysql|redis|amqp|s3)://[^\x00-\x20\x22\x27<>]+",
+}
 
 ORACLES: dict[str, str] = {
     "op2_ngram_jaccard_join": JACCARD.format(word=WORD, k=3, num=90, den=100),
     "op3_warc_fixity_audit": FIXITY,
-    "op7_secret_scan": reduce(lambda s, kv: s.replace("{" + kv[0] + "}", kv[1]), _PATTERNS.items(), SECRETS),
+    "op7_secret_scan": reduce(lambda s, kv: s.replace("{" + kv[0] + "}", kv[1]), PATTERNS.items(), SECRETS),
     "op9_substring_dedup": REPEATS.format(word=WORD),
 }
