@@ -6,8 +6,6 @@ but the last return the columns of documents.
 
 from __future__ import annotations
 
-import os
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -15,44 +13,74 @@ from pyspark.sql import functions as F
 
 from formweave.llm import bpe, language, mixing, ngram_join, secrets
 from formweave.llm.catalog import vocabulary
-from formweave.llm.common import cut, documents, semi_join
+from formweave.llm.common import cut, documents, relieve, remove, semi_join, shared_folder
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the documents whose language is clear; a null lang becomes the one found."""
+    """Keeps the documents whose language is clear; a null lang becomes the one found.
+
+    Null and empty texts, and texts without a letter, have no language and go.  Repeated
+    rows and rows without an id are judged like any other; an empty table stays empty.
+    """
+    relieve(spark)
     found = language.classify(docs, language.fit(docs)).filter("accepted")
     return found.withColumn("lang", F.coalesce("lang", "lang_pred")).select(*COLUMNS)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the smallest doc_id of each class of near duplicates (five words, 0.8).
+    """Keeps one row of each class of near duplicates (five words, 0.8): that of the
+    smallest doc_id, of rows that share it the one whose columns have the least hash.
 
-    Documents without words, and those without an id, are in no class and stay.
+    Rows are known by their columns and not by their id alone, so rows that share an id
+    stay if their texts differ.  Null and empty texts, texts without words, and rows
+    without an id are in no class and stay, repeated or not.
     """
-    classes = cut(ngram_join.ngram_join(docs, k=5, num=80, den=100))
-    kept = classes.filter("doc_id = component_id").select("doc_id").distinct()
-    out = semi_join(docs, kept, "doc_id").select(*COLUMNS)
-    repeats = classes.groupBy("doc_id").count().filter("doc_id IS NOT NULL AND count > 1")
-    if repeats.take(1):  # rows that share an id: one of each text's words stays
-        out = out.dropDuplicates(["doc_id"])
-    return out.unionByName(docs.filter("doc_id IS NULL").select(*COLUMNS))
+    relieve(spark)
+    docs = docs.select(*COLUMNS)
+    row = F.xxhash64(*[F.struct(F.col(c).alias("v"), F.lit(i).alias("i")) for i, c in enumerate(COLUMNS)])
+    keyed = docs.withColumn("row_key", row)
+    classes = cut(ngram_join.classes(keyed, k=5, num=80, den=100, carry=("row_key",)))
+    first = classes.filter("class_key IS NOT NULL").groupBy("class_key").agg(F.min(F.struct("doc_id", "row_key"))["row_key"].alias("row_key"))
+    # of rows that are equal in all columns one stays, so these few are told apart
+    equal = classes.filter("class_key IS NOT NULL").groupBy("row_key").count()
+    kept = cut(first.join(equal, "row_key"))
+    free = cut(classes.filter("class_key IS NULL").select("row_key").distinct())
+    out = semi_join(keyed, kept.filter("count = 1").select("row_key").unionByName(free), "row_key")
+    repeated = kept.filter("count > 1").select("row_key")
+    if repeated.take(1):
+        out = out.unionByName(semi_join(keyed, repeated, "row_key").dropDuplicates(["row_key"]))
+    return out.select(*COLUMNS)
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Puts ``[SECRET]`` in the place of every span that the scan reports."""
+    """Puts ``[SECRET]`` in the place of every span that the scan reports; n_chars follows.
+
+    All rows stay, repeated ones too; a null text stays null and has no n_chars.
+    """
+    relieve(spark)
     out = secrets.redact(docs)
     return out.withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The words that the mix takes: a row for each pass over a document that it takes."""
-    return mixing.mixed(docs).select(*COLUMNS)
+    """The words that the mix takes: a row for each pass over a document that it takes.
+
+    Null texts and texts without words have nothing to take and go.  A null source is a
+    source.  Rows that share an id are rows of their own; an empty table stays empty.
+    """
+    relieve(spark)
+    return mixing.mixed(docs.select(*COLUMNS)).select(*COLUMNS)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of every text: doc_id, n_tokens, ids."""
+    """Token ids of every text: doc_id, n_tokens, ids.
+
+    A null text is the empty text and has no ids.  Rows that repeat an id stay; an empty
+    table stays empty.
+    """
+    relieve(spark)
     return bpe.encode(docs, vocabulary())
 
 
@@ -70,11 +98,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the documents table, each written as Parquet and read again."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or os.path.join(tempfile.gettempdir(), "formweave-checkpoints")
-    base = f"{base}/pipeline-{uuid.uuid4().hex}"
+    """All stages over the documents table, each written as Parquet and read again.  What a
+    stage has read is deleted when its own rows are written; the last stage's rows stay."""
+    base = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
     docs = documents(spark, sf_dir)
     for i, (_, stage) in enumerate(STAGES):
         stage(spark, docs, sf_dir).write.parquet(f"{base}/{i}")
         docs = spark.read.parquet(f"{base}/{i}")
+        if i:
+            remove(spark, f"{base}/{i - 1}")
     return docs
