@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -31,16 +34,32 @@ def forced_occurrence(df: DataFrame, keys: list[str], forced: str = "forced", or
     return df.groupBy(*keys).applyInPandas(run, schema)
 
 
-def explicit_index(visits: DataFrame, lookup: DataFrame, keys: list[str], order: str = "emit_no", index: str = "Index") -> DataFrame:
+def explicit_index(visits: DataFrame, lookup: DataFrame, keys: list[str], order: str = "emit_no", index: str = "Index", loose: tuple[str, ...] = (), within: tuple[str, ...] = ()) -> DataFrame:
     """The index that each visit of a field takes: the explicit ones of the lookup in
-    ascending order, and after these 1, 2, 3 and so on."""
-    known = lookup.filter(F.col(index).isNotNull()).select(*keys, F.col(index).alias("_index")).distinct()
-    known = known.withColumn("_n", F.row_number().over(Window.partitionBy(*keys).orderBy("_index")).cast("long"))
-    size = known.groupBy(*keys).agg(F.count("*").alias("_size"))
+    ascending order, and after these 1, 2, 3 and so on.  Visits are counted anew in each
+    of ``within``, a document for example; the lookup has no such columns.
+
+    A visit that is blank (null or empty) in one of the keys ``loose`` takes the indexes of
+    all rows of its other keys.  So the lookup's rows are there once for each choice of
+    loose keys, and a visit meets those of its own choice: equi-joins only.
+    """
+    blank = lambda k: F.coalesce(F.col(k).cast("string"), F.lit("")) == ""
+    bit = lambda k: 1 << loose.index(k)
+    rows = lookup.filter(F.col(index).isNotNull()).select(*keys, F.col(index).alias("_index"))
+    choices = F.filter(F.sequence(F.lit(0), F.lit((1 << len(loose)) - 1)), lambda m: reduce(lambda x, k: x & ((m.bitwiseAND(bit(k)) == 0) | ~blank(k)), loose, F.lit(True)))
+    held = lambda k: F.when(F.col("_choice").bitwiseAND(bit(k)) != 0, F.col(k)) if k in loose else F.col(k)
+    known = rows.withColumn("_choice", F.explode(choices)).select("_choice", *[held(k).alias(f"_{k}") for k in keys], "_index").distinct()
+    at = ["_choice", *[f"_{k}" for k in keys]]
+    known = known.withColumn("_n", F.row_number().over(Window.partitionBy(*at).orderBy("_index")).cast("long"))
+    size = known.groupBy(*at).agg(F.count("*").alias("_size"))
+    mine = reduce(lambda x, k: x + F.when(blank(k), 0).otherwise(bit(k)), loose, F.lit(0))
+    own = occurrence(visits, [*within, *keys], order, "_n").withColumns({"_choice": mine} | {f"_{k}": F.when(~blank(k), F.col(k)) if k in loose else F.col(k) for k in keys})
     # joined by rank, so that no key's indexes are gathered in one row
-    rows = occurrence(visits, keys, order, "_n").join(known, [*keys, "_n"], "left").join(size, keys, "left")
-    taken = F.coalesce("_index", F.col("_n") - F.coalesce("_size", F.lit(0)))
-    return rows.withColumn("idx", taken.cast("long")).drop("_n", "_index", "_size")
+    for other, on, tag in ((known, [*at, "_n"], "k"), (size, at, "s")):
+        other = other.withColumnsRenamed({c: f"{tag}{c}" for c in on})
+        own = own.join(other, reduce(lambda x, c: x & F.col(c).eqNullSafe(F.col(f"{tag}{c}")), on, F.lit(True)), "left")
+    idx = F.coalesce("_index", F.col("_n") - F.coalesce("_size", F.lit(0)))
+    return own.withColumn("idx", idx.cast("long")).select(*visits.columns, "idx")
 
 
 def write_once(df: DataFrame, keys: list[str], order: str = "emit_no") -> DataFrame:
@@ -49,21 +68,26 @@ def write_once(df: DataFrame, keys: list[str], order: str = "emit_no") -> DataFr
     return some.withColumn("_n", F.row_number().over(Window.partitionBy(*keys).orderBy(order))).filter("_n = 1").drop("_n")
 
 
+#: Points that a checkbox's corners are rounded to when boxes are compared.
+GRID = 2.0
+
+
 def write_once_boxes(df: DataFrame, doc: list[str], keys: list[str], order: str = "emit_no") -> DataFrame:
-    """``write_once`` where a checkbox is also left out if one was written to its rounded
-    place; each rule looks at what the other let through, so a document goes in order."""
+    """``write_once`` where a checkbox (is_checkbox, with x0, y0, x1 and y1) is also left out
+    if one was written to its four corners, rounded to GRID.  Each rule looks at what the
+    other let through, so what ``doc`` names, a page, goes in order in one task."""
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(order)
-        written, places, keep = set(), set(), []
-        for i, r in zip(rows.index, rows.itertuples(index=False)):
-            key = tuple(getattr(r, k) for k in keys)
-            place = (round(r.x0, 1), round(r.y0, 1)) if r.is_checkbox else None
-            if not r.value or key in written or (place is not None and place in places):
-                continue
-            written.add(key)
-            places.add(place)
-            keep.append(i)
+        corners = np.rint(rows[["x0", "y0", "x1", "y1"]].to_numpy(float) / GRID)
+        own = zip(*[rows[k].astype(object).where(rows[k].notna(), None) for k in keys])
+        written, places, keep = set(), {None}, []
+        for i, key, value, box, at in zip(rows.index, own, rows["value"], rows["is_checkbox"], corners.tolist()):
+            place = tuple(at) if box else ()
+            if value and key not in written and place not in places:
+                written.add(key)
+                places.add(place or None)
+                keep.append(i)
         return rows.loc[keep]
 
     return df.groupBy(*doc).applyInPandas(run, df.schema)

@@ -97,17 +97,47 @@ def group_rows(fields: DataFrame, groups: DataFrame) -> DataFrame:
     return fields.join(hit.select("row_no"), "row_no", "left_anti").unionByName(rows)
 
 
+# What begins a list of options, what stands before one, and between two.
+TICK, BULLET, TICK_NOTE, OR = r"(?i)\bplease\s+tick\s+one\b", r"^\s*(?:\((?:[a-eA-E]|i{1,3}|iv|v)\)|[-–•])\s+(.*)$", r"(?i)\s*\(tick[^)]*\)\s*$", r"(?i)\s+\bOR\b\s+"
+
+
+def line_options(c) -> Column:
+    """The options that a line offers: without its bullet and a note such as ``(tick here)``,
+    split at OR, as far as they are short labels."""
+    t = T.collapse(c)
+    bulleted = F.regexp_replace(F.trim(F.regexp_extract(t, BULLET, 1)), TICK_NOTE, "")
+    body = F.when(t.rlike(BULLET), bulleted).otherwise(t)
+    return F.filter(F.transform(F.split(body, OR), lambda p: F.trim(p)), lambda p: (p != "") & T.is_short_label(p, 24, 140))
+
+
 def context_options(lines: DataFrame, most: int = 6, long: int = 200) -> DataFrame:
-    """Options after a line ``please tick one``: up to ``most`` of the following bulleted
-    lines, split at ``OR``, before a line that is longer than ``long``."""
-    after = Window.partitionBy("doc_id").orderBy("line_no").rowsBetween(1, most)
-    ahead = F.collect_list(F.struct("line_no", "text")).over(after)
-    rows = lines.withColumn("_ahead", ahead).filter(F.lower("text").contains("please tick one"))
-    stop = F.array_position(F.transform("_ahead", lambda x: F.length(x["text"]) > long), True)
-    kept = F.when(stop > 0, F.slice("_ahead", 1, (stop - 1).cast("int"))).otherwise(F.col("_ahead"))
-    rows = rows.select("doc_id", "line_no", F.explode(kept).alias("_x")).filter(F.col("_x.text").rlike(r"^\s*(?:\([a-z]\)|[-•])"))
-    part = F.explode(F.split(F.regexp_replace("_x.text", r"^\s*(?:\([a-z]\)|[-•])\s*", ""), r"\s+OR\s+"))
-    return rows.select("doc_id", "line_no", F.col("_x.line_no").alias("option_line"), part.alias("option"))
+    """Options after a line ``please tick one``: doc_id, line_no, option_line and option, for
+    lines after which at least two different ones stand.
+
+    Lines give their options until ``most`` have been gathered; a line that is longer than
+    ``long`` is the last, if there is any option by then.  Of options that normalise to the
+    same the first counts, and of what was gathered the first ``most``.
+
+    Every option line knows how many options of its document stand before it, so a heading
+    meets its lines by that number and no window is opened over all that follows.
+    """
+    order = Window.partitionBy("doc_id").orderBy("line_no")
+    rows = lines.select("doc_id", "line_no", "text", line_options("text").alias("options")).withColumn("_n", F.size("options"))
+    rows = rows.withColumn("_to", F.sum("_n").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    stop = F.first(F.when(F.length(T.collapse("text")) > long, F.col("line_no")), ignorenulls=True)
+    rows = rows.withColumn("_stop", stop.over(order.rowsBetween(0, Window.unboundedFollowing)))
+    heads = rows.filter(F.col("text").rlike(TICK)).select("doc_id", "line_no", F.explode(F.sequence(F.lit(0), F.lit(most - 1))).alias("_k"), F.col("_to").alias("_base"))
+    given = rows.filter("_n > 0").select(F.col("doc_id").alias("_d"), F.col("line_no").alias("option_line"), "options", (F.col("_to") - F.col("_n")).alias("_from"), "_stop")
+    met = heads.join(given, (F.col("doc_id") == F.col("_d")) & (F.col("_base") + F.col("_k") == F.col("_from")))
+    # the line with number 0 is the first that has options: no line before it can be the last
+    last = F.min(F.when(F.col("_k") == 0, F.col("_stop"))).over(Window.partitionBy("doc_id", "line_no"))
+    met = met.withColumn("_last", last).filter("_last IS NULL OR option_line <= _last")
+    met = met.select("doc_id", "line_no", "option_line", F.posexplode("options").alias("_p", "option")).withColumn("_key", T.norm_key("option")).filter("_key <> ''")
+    first = Window.partitionBy("doc_id", "line_no", "_key").orderBy("option_line", "_p")
+    met = met.withColumn("_n", F.row_number().over(first)).filter("_n = 1")
+    place = Window.partitionBy("doc_id", "line_no").orderBy("option_line", "_p")
+    met = met.withColumns({"_at": F.row_number().over(place), "_all": F.count("*").over(Window.partitionBy("doc_id", "line_no"))})
+    return met.filter((F.col("_all") >= 2) & (F.col("_at") <= most)).select("doc_id", "line_no", "option_line", "option")
 
 
 def append_missing(fields: DataFrame, rows: DataFrame, key: str = "Field") -> DataFrame:

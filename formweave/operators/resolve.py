@@ -14,10 +14,11 @@ from pyspark.sql import functions as F
 
 from ..functions import similarity as S
 from ..functions import text as T
+from . import occurrence as O
 
 # Weights of agreeing page, section and index.
 WEIGHTS, AGENT_WEIGHTS, BOX_WEIGHTS = (8, 6, 3), (3, 6, 0), (4, 5, 2)
-SIMILAR, TOKEN_SIMILAR, BOX_SIMILAR = 0.82, 86.0, 0.68
+SIMILAR, TOKEN_SIMILAR, BOX_SIMILAR, BOX_EQUAL = 0.82, 86.0, 0.68, 0.999
 #: Tasks that labels without an equal one are dealt to.
 PARTS = 32
 
@@ -199,28 +200,156 @@ def resolve_levels(fields: DataFrame, lookup: DataFrame, tries: tuple = (1, 2, 3
     return cand.groupBy("field_no").agg(F.min_by("Value", inside).alias("value"))
 
 
+def _scoped(lookup: DataFrame) -> DataFrame:
+    """Every row of the sheet once for each scope in which a field may ask for it: its label
+    alone (0), with its section (1), its page (2) or both (3), as far as it has them."""
+    rows = lookup.select("row_no", F.col("field_norm").alias("f"), F.col("section_norm").alias("of_section"), F.col("Page").alias("of_page"), F.col("Index").alias("i"), F.col("Value").alias("v"))
+    s, p = F.col("of_section") != "", F.col("of_page").isNotNull()
+    scopes = F.array(F.lit(0), F.when(s, 1), F.when(p, 2), F.when(s & p, 3))
+    return _in_scope(rows.withColumn("scope", F.explode(F.filter(scopes, lambda x: x.isNotNull()))), "of_section", "of_page")
+
+
+def _in_scope(rows: DataFrame, section: str, page: str) -> DataFrame:
+    """Adds s and p: the section and page, blank where the scope leaves them open."""
+    held = lambda bit, c, other: F.when(F.col("scope").bitwiseAND(bit) != 0, F.col(c)).otherwise(other)
+    return rows.withColumns({"s": held(1, section, F.lit("")), "p": held(2, page, F.lit(None).cast("long"))})
+
+
+SCOPE = ["scope", "f", "s", "p"]
+
+
+def _meet(rows: DataFrame, other: DataFrame, on: list[str], how: str = "left") -> DataFrame:
+    """Joins by equal keys, nulls included, and drops the keys of ``other``."""
+    other = other.withColumnsRenamed({k: f"_{k}" for k in on})
+    return rows.join(other, [rows[k].eqNullSafe(other[f"_{k}"]) for k in on], how).drop(*[f"_{k}" for k in on])
+
+
+def _facts(scoped: DataFrame) -> DataFrame:
+    """Of each scope: whether any row has an index, the first row, and the row that a field
+    takes without regard to the index (index 1 first, then the first row)."""
+    first = F.struct("row_no", "v")
+    pick = F.struct("of_section", "of_page", "row_no", "v")
+    return scoped.groupBy(*SCOPE).agg(
+        F.max(F.col("i").isNotNull()).alias("indexed"),
+        F.min_by(first, "row_no").alias("first"),
+        F.min_by(pick, F.struct(~F.col("i").eqNullSafe(F.lit(1)), "row_no")).alias("pick"),
+    )
+
+
+def _found(asks: DataFrame, facts: DataFrame) -> DataFrame:
+    """``asks`` (f, section_norm, page), distinct, with the picks e0 to e3 of the scopes that
+    have rows."""
+    keys = ["f", "section_norm", "page"]
+    s, p = F.col("section_norm") != "", F.col("page").isNotNull()
+    scopes = F.array(F.lit(0), F.when(s, 1), F.when(p, 2), F.when(s & p, 3))
+    asked = _in_scope(asks.select(*keys).distinct().withColumn("scope", F.explode(F.filter(scopes, lambda x: x.isNotNull()))), "section_norm", "page")
+    met = _meet(asked, facts.select(*SCOPE, "pick"), SCOPE)
+    return met.groupBy(*keys).agg(*[F.max(F.when(F.col("scope") == k, F.col("pick"))).alias(f"e{k}") for k in range(4)])
+
+
+def _there(k: int) -> Column:
+    return F.col(f"e{k}").isNotNull()
+
+
+def _preferred() -> Column:
+    """The scope of a field that prefers its section and then its page: what is left of
+    preferring is a scope, since rows outside of it are out of the question."""
+    return F.when(_there(3), 3).when(_there(1), 1).when(_there(2), 2).when(_there(0), 0)
+
+
+def _required(page: bool, section: bool) -> Column:
+    """The scope of a field that requires its page, its section or both (one that it has
+    not is no requirement) and prefers the other; null if there are no rows."""
+    s, p = F.col("section_norm") != "", F.col("page").isNotNull()
+    if page and section:
+        return F.when(s & p, F.when(_there(3), 3)).when(s, F.when(_there(1), 1)).when(p, F.when(_there(2), 2)).otherwise(F.when(_there(0), 0))
+    if section:
+        return F.when(s, F.when(_there(3), 3).when(_there(1), 1)).otherwise(F.when(_there(2), 2).when(_there(0), 0))
+    return F.when(p, F.when(_there(1), F.when(_there(3), 3)).otherwise(F.when(_there(2), 2))).otherwise(F.when(_there(1), 1).otherwise(F.when(_there(0), 0)))
+
+
+def _allocated(fields: DataFrame, lookup: DataFrame, scoped: DataFrame, facts: DataFrame) -> DataFrame:
+    """Phase 1: ``fields`` (field_no, emit_no, page, section_norm, f) with the picked row
+    (pick), its section or the field's own as section_norm, and the index that it takes."""
+    keys = ["f", "section_norm", "page"]
+    found = _found(fields, facts).withColumn("scope", _preferred())
+    pick = F.when(F.col("scope") == 3, F.col("e3")).when(F.col("scope") == 1, F.col("e1")).when(F.col("scope") == 2, F.col("e2")).otherwise(F.col("e0"))
+    rows = _meet(fields, found.select(*keys, pick.alias("pick")), keys, "inner")
+    rows = rows.withColumn("section_norm", F.when(F.col("pick.of_section") != "", F.col("pick.of_section")).otherwise(F.col("section_norm")))
+    known = lookup.select(F.col("field_norm").alias("f"), "section_norm", F.col("Page").alias("page"), "Index")
+    return O.explicit_index(rows, known, ["page", "section_norm", "f"], loose=("page", "section_norm"), within=tuple(c for c in ("doc_id",) if c in fields.columns))
+
+
+def _valued(rows: DataFrame, tries: Column, scoped: DataFrame, facts: DataFrame) -> DataFrame:
+    """Phase 2: ``rows`` with the value, row_no and number (from 1) of the first scope of
+    ``tries`` that gives one.  If any row of a scope has an index it must be the field's."""
+    keys = ["f", "section_norm", "page"]
+    asked = _meet(rows, _found(rows, facts), keys, "inner").withColumn("tries", tries)
+    asked = asked.select("field_no", *keys, "idx", F.posexplode("tries").alias("n", "scope")).filter("scope IS NOT NULL")
+    asked = _in_scope(asked, "section_norm", "page")
+    hits = scoped.filter("i IS NOT NULL").groupBy(*SCOPE, F.col("i").alias("idx")).agg(F.min_by(F.struct("row_no", "v"), "row_no").alias("hit"))
+    asked = _meet(_meet(asked, facts.select(*SCOPE, "indexed", "first"), SCOPE), hits, [*SCOPE, "idx"])
+    asked = asked.withColumn("hit", F.when(F.col("indexed"), F.col("hit")).otherwise(F.col("first"))).filter("hit IS NOT NULL")
+    best = asked.groupBy("field_no").agg(F.min_by(F.struct((F.col("n") + 1).alias("n"), "scope", "hit"), "n").alias("best"))
+    best = best.select("field_no", F.col("best.hit.row_no").alias("row_no"), F.col("best.hit.v").alias("value"), F.col("best.n").cast("long").alias("phase"), F.col("best.scope").alias("scope"))
+    return rows.join(best, "field_no", "left")
+
+
 def resolve_phases(fields: DataFrame, lookup: DataFrame) -> DataFrame:
-    """Strict on index, then without index, without section, without page: the first phase
-    that finds a value."""
-    phases = [
-        resolve(fields, lookup, True, True, True),
-        resolve(fields, lookup, False, True, True),
-        resolve(fields, lookup, False, True, False),
-        resolve(fields, lookup, False, False, False),
-    ]
-    rows = None
-    for i, p in enumerate(phases):
-        p = p.select("field_no", "row_no", "value", F.lit(i + 1).alias("phase"))
-        rows = p if rows is None else rows.unionByName(p)
-    first = rows.groupBy("field_no").agg(F.min_by(F.struct("row_no", "value", "phase"), "phase").alias("r"))
-    return first.select("field_no", "r.row_no", "r.value", F.col("r.phase").cast("long").alias("phase"))
-
-
-def resolve_keys(fields: DataFrame, lookup: DataFrame, threshold: float | None = None) -> DataFrame:
-    """By several search keys: the short label, the text before a colon, the whole label;
-    the first key that resolves wins, and the scope is what the picked row states."""
-    keys = F.array_distinct(F.filter(F.array(T.norm_key("label_short"), T.norm_key(F.substring_index("label", ":", 1)), T.norm_key("label")), lambda k: k != ""))
-    tried = fields.select("field_no", "page", "section_norm", "occ", F.posexplode(keys).alias("k", "label_norm"))
-    tried = tried.withColumnsRenamed({"field_no": "owner"}).withColumn("field_no", F.struct("owner", "k"))
-    found = resolve(tried, lookup, strict_index=False, fuzzy=threshold)
-    return found.groupBy(F.col("field_no.owner").alias("field_no")).agg(F.min_by("value", "field_no.k").alias("value"), F.min("field_no.k").cast("long").alias("key_no"))
+    """Form widgets (field_no, emit_no, page, section_norm, label_norm) in two phases.
+
+    The first finds the label's row without regard to its index, preferring section and
+    page; the fields of that row's page, section and label take the explicit indexes one
+    after another, and then 1, 2 and so on.  The second phase resolves by that index, and
+    without it where the sheet has no such row.  Returns field_no, section_norm, idx,
+    row_no, value and the phase (1 with the index, 2 without).
+    """
+    scoped = _scoped(lookup)
+    facts = _facts(scoped)
+    rows = _allocated(fields.withColumnRenamed("label_norm", "f"), lookup, scoped, facts).drop("pick")
+    strict = _valued(rows, F.array(_preferred()), scoped, facts)
+    # what a preferred scope holds is never empty, so without the index its first row is the value
+    keys = ["f", "section_norm", "page"]
+    any_ = _meet(_found(rows, facts).withColumn("scope", _preferred()).transform(lambda d: _in_scope(d, "section_norm", "page")), facts.select(*SCOPE, "first"), SCOPE)
+    out = _meet(strict, any_.select(*keys, "first"), keys)
+    return out.select("field_no", "section_norm", "idx", F.coalesce("row_no", "first.row_no").alias("row_no"), F.coalesce("value", "first.v").alias("value"), F.coalesce("phase", F.lit(2)).cast("long").alias("phase"))
+
+
+def resolve_keys(fields: DataFrame, lookup: DataFrame, fuzzy: float | None = SIMILAR) -> DataFrame:
+    """Fields of a template by several search keys, in two phases.
+
+    ``fields``: field_no, emit_no, page, section_norm, label, label_short and placement;
+    with doc_id, indexes are taken anew in each document.
+    The short label, the text before a colon and the whole label are tried in this order;
+    the first that the sheet has, or with ``fuzzy`` has nearly, counts.  A checkbox with a
+    short label goes by that alone and must be all but equal, other checkboxes may be less
+    alike.  Phase 1 is that of ``resolve_phases``.  Phase 2 never leaves the scope of the
+    picked row: page and section, then section, then page, as far as the row has them.
+
+    Returns field_no, page, section_norm, field_norm, idx, row_no, value, key_no (from 0),
+    match (exact or similar) and scope (label, section, page or both); value is null where
+    no row of the scope has the index.  Fields without a match are left out.
+    """
+    box, short = F.lower("placement") == "checkbox", F.coalesce(F.col("label_short"), F.lit(""))
+    before = F.when(F.col("label").contains(":"), T.trim_all(F.substring_index("label", ":", 1))).otherwise("")
+    keys = F.when(box & (short != ""), F.array(short)).otherwise(F.filter(F.array(short, before, F.col("label")), lambda k: k != ""))
+    least = F.when(box & (short != ""), BOX_EQUAL).when(box, BOX_SIMILAR).otherwise(fuzzy)
+    tried = fields.select("field_no", least.alias("least"), F.posexplode(keys).alias("k", "key")).withColumn("label_norm", T.alias(T.normalize("key")))
+    names = lookup.groupBy("field_norm").agg(F.min("row_no").alias("first"))
+    same = names.select(F.col("field_norm").alias("label_norm"), F.col("field_norm").alias("f"), F.lit(2.0).alias("score"))
+    if fuzzy is not None:
+        near = best_labels(tried, lookup, min(fuzzy, BOX_SIMILAR)).select("label_norm", F.col("matched").alias("f"), "score")
+        same = same.unionByName(near)
+    met = tried.join(same, "label_norm").filter(F.col("score") >= F.coalesce("least", F.lit(0.0)))
+    first = met.groupBy("field_no").agg(F.min_by(F.struct("f", "k", (F.col("score") > 1).alias("exact")), "k").alias("m"))
+    doc = [c for c in ("doc_id",) if c in fields.columns]
+    rows = fields.join(first, "field_no").select("field_no", *doc, "emit_no", "page", "section_norm", F.col("m.f").alias("f"), F.col("m.k").cast("long").alias("key_no"), F.when(F.col("m.exact"), "exact").otherwise("similar").alias("match"))
+    scoped = _scoped(lookup)
+    facts = _facts(scoped)
+    rows = _allocated(rows, lookup, scoped, facts)
+    has_s, has_p = F.col("pick.of_section") != "", F.col("pick.of_page").isNotNull()
+    both, section, page = _required(True, True), _required(False, True), _required(True, False)
+    tries = F.when(has_s & has_p, F.array(both, section, page)).when(has_s, F.array(section, page)).otherwise(F.array(page, section))
+    out = _valued(rows, tries, scoped, facts)
+    scope = F.element_at(F.array(F.lit("label"), F.lit("section"), F.lit("page"), F.lit("both")), F.col("scope") + 1)
+    return out.select("field_no", "page", "section_norm", F.col("f").alias("field_norm"), "idx", "row_no", "value", "key_no", "match", scope.alias("scope"))

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -88,34 +91,62 @@ def row_matrix(cells: DataFrame) -> DataFrame:
     return many.unionByName(one)
 
 
-def merge_near(items: DataFrame, tolerance: float, keys: tuple = ("doc_id", "page"), by: tuple = ("y0", "x0")) -> DataFrame:
-    """Items in order of ``by`` that are not within ``tolerance`` of the last one kept.  The
-    last kept depends on all before it, so a page goes in order in one task."""
+def keep_in_order(df: DataFrame, keys: tuple, order: list, columns: list[str], fresh: Callable[[], object], step: Callable[[object, tuple], bool]) -> DataFrame:
+    """The rows for which ``step(state, row)`` is true, when the rows of each key go in order
+    with a state of their own.  For choices that depend on all choices before them: a key,
+    such as a page, goes in one task, and a task holds one state and no list of rows."""
 
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows, last, keep = rows.sort_values(list(by)), None, []
-        for place in zip(*[rows[b] for b in by]):
-            ok = last is None or any(abs(a - b) > tolerance for a, b in zip(place, last))
-            keep.append(ok)
-            last = place if ok else last
-        return rows[keep]
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, state = None, None
+        for batch in batches:
+            keep = []
+            for at, row in zip(zip(*[batch.column(k).to_pylist() for k in keys]), zip(*[batch.column(c).to_pylist() for c in columns])):
+                if at != key:
+                    key, state = at, fresh()
+                keep.append(step(state, row))
+            yield batch.filter(pa.array(keep, pa.bool_()))
 
-    return items.groupBy(*keys).applyInPandas(run, items.schema)
+    rows = df.withColumns({f"_o{i}": F.col(o) if isinstance(o, str) else o for i, o in enumerate(order)})
+    rows = rows.repartition(*keys).sortWithinPartitions(*keys, *[f"_o{i}" for i in range(len(order))])
+    return rows.select(*df.columns).mapInArrow(run, df.schema)
 
 
-def greedy_boxes(boxes: DataFrame, keys: tuple = ("doc_id", "page")) -> DataFrame:
-    """Boxes in order of priority and place that overlap none kept before them."""
+# Drawn lines are one if they differ by less than this.
+SAME_LINE = {"y0": 0.8, "x0": 2.0, "x1": 2.0}
 
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows, kept, keep = rows.sort_values(["priority", "y0", "x0", "box_no"]), [], []
-        for b in rows[["x0", "y0", "x1", "y1"]].itertuples(index=False):
-            ok = not any(b.x0 < k.x1 and k.x0 < b.x1 and b.y0 < k.y1 and k.y0 < b.y1 for k in kept)
-            keep.append(ok)
-            if ok:
-                kept.append(b)
-        return rows[keep]
-
-    return boxes.groupBy(*keys).applyInPandas(run, boxes.schema)
+
+def merge_near(items: DataFrame, near: dict[str, float] = SAME_LINE, keys: tuple = ("doc_id", "page")) -> DataFrame:
+    """Items in order of ``near``'s first two columns, rounded to one decimal, without those
+    that differ from the last one kept by less than ``near`` in each column.  Among equals
+    the other columns of ``near``, and then all columns, decide, so reruns agree."""
+    columns = list(near)
+
+    def step(last: list, place: tuple) -> bool:
+        if last and all(abs(a - b) < t for a, b, t in zip(place, last[0], near.values())):
+            return False
+        last[:] = [place]
+        return True
+
+    order = [*[F.bround(c, 1) for c in columns[:2]], *columns, *[c for c in items.columns if c not in {*columns, *keys}]]
+    return keep_in_order(items, keys, order, columns, list, step)
+
+
+#: Points by which boxes are widened on every side when they are compared.
+PAD = 1.6
+
+
+def greedy_boxes(boxes: DataFrame, keys: tuple = ("doc_id", "page"), pad: float = PAD) -> DataFrame:
+    """Boxes in order of priority and place that overlap none kept before them, when each
+    is ``pad`` wider on all sides; boxes that touch overlap."""
+
+    def step(kept: list, b: tuple) -> bool:
+        x0, y0, x1, y1 = b[0] - pad, b[1] - pad, b[2] + pad, b[3] + pad
+        if any(x1 >= k[0] and k[2] >= x0 and y1 >= k[1] and k[3] >= y0 for k in kept):
+            return False
+        kept.append((x0, y0, x1, y1))
+        return True
+
+    return keep_in_order(boxes, keys, ["priority", "y0", "x0", "box_no"], ["x0", "y0", "x1", "y1"], list, step)
 
 
 def suppress(candidates: DataFrame, existing: DataFrame, dy: float = 9, dx: float = 36) -> DataFrame:

@@ -1,7 +1,8 @@
 """Joins by place: as-of, nearest, band and overlap joins on positioned text.
 
-Every join has (doc_id, page) as an equality, so it is dealt by page; dense pages are
-dealt by bands of y as well, and neighbours are probed, so no join compares all pairs.
+Every join has (doc_id, page) as an equality, so it is dealt by page.  Joins by distance
+are dealt by bands as well, and neighbouring bands are probed, so a dense page is no cross
+product; what has an upper and a lower end is entered in all bands that it reaches.
 """
 
 from __future__ import annotations
@@ -66,13 +67,16 @@ def _banded(left: DataFrame, right: DataFrame, ly: str, ry: str, reach: float, h
 
 def nearest_label(slots: DataFrame, blocks: DataFrame, dy: float = 18, slack: float = 4, above: float = 36) -> DataFrame:
     """The label of a slot (field_no, x0, y): the nearest block that ends left of it on its
-    row, else the nearest block above; ties go to the first block."""
-    b = blocks.select(*PAGE, "block_no", "text", F.col("x0").alias("bx0"), F.col("x1").alias("bx1"), ((F.col("y0") + F.col("y1")) / 2).alias("bym"), F.col("y1").alias("by1"))
+    row, give or take ``slack``; else the nearest above it that begins no further right, of
+    equally near ones that with the smallest gap.  Blank blocks are no labels; ties go to
+    the first block."""
+    b = blocks.filter(F.trim("text") != "").select(*PAGE, "block_no", "text", F.col("x0").alias("bx0"), F.col("x1").alias("bx1"), ((F.col("y0") + F.col("y1")) / 2).alias("bym"), F.col("y1").alias("by1"))
     s = slots.select(*PAGE, "field_no", "x0", "y")
+    gap = F.col("x0") - F.col("bx1")
     same = _banded(s, b, "y", "bym", dy, on=F.col("bx1") <= F.col("x0") + slack)
-    same = same.groupBy("field_no").agg(F.min_by("text", F.struct(F.col("x0") - F.col("bx1"), F.col("block_no"))).alias("same_row"))
-    over = _banded(s, b, "y", "by1", above, on=(F.col("by1") <= F.col("y")) & (F.col("bx0") <= F.col("x0") + slack))
-    over = over.groupBy("field_no").agg(F.min_by("text", F.struct(F.col("y") - F.col("by1"), F.col("block_no"))).alias("over"))
+    same = same.groupBy("field_no").agg(F.min_by("text", F.struct(gap, F.col("block_no"))).alias("same_row"))
+    over = _banded(s, b, "y", "by1", above, on=(F.col("by1") <= F.col("y")) & (F.col("bx0") <= F.col("x0")))
+    over = over.groupBy("field_no").agg(F.min_by("text", F.struct(F.col("y") - F.col("by1"), gap, F.col("block_no"))).alias("over"))
     out = s.join(same, "field_no", "left").join(over, "field_no", "left")
     return out.select("field_no", F.coalesce("same_row", "over").alias("label"), F.when(F.col("same_row").isNotNull(), "row").when(F.col("over").isNotNull(), "above").alias("how"))
 
@@ -112,34 +116,43 @@ def line_in_block(c, part: Column) -> Column:
 
 
 def clusters(spans: DataFrame, gap: float = 35, keys: tuple = ("doc_id", "page", "line_no")) -> DataFrame:
-    """Spans of a line joined while the gap between them is at most ``gap``."""
-    w = Window.partitionBy(*keys).orderBy("x0", "x1")
-    far = F.max("x1").over(w.rowsBetween(Window.unboundedPreceding, -1))
-    rows = spans.withColumn("_new", F.when(F.col("x0") - far > gap, 1).otherwise(0)).withColumn("cluster", F.sum("_new").over(w).cast("long"))
-    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("x0", "x1", "text"))), lambda x: x["text"]), " ")
+    """Spans of a line, from left to right, joined while one begins at most ``gap`` behind
+    the end of the one before it.  Blank spans are left out."""
+    place = [c for c in ("x0", "y0", "x1", "text") if c in spans.columns]
+    w = Window.partitionBy(*keys).orderBy(*place)
+    rows = spans.filter(F.trim("text") != "").withColumn("_last", F.lag("x1").over(w))
+    rows = rows.withColumn("cluster", F.sum(F.when(F.col("x0") - F.col("_last") > gap, 1).otherwise(0)).over(w.rowsBetween(Window.unboundedPreceding, 0)).cast("long"))
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(*place))), lambda x: F.trim(x["text"])), " ")
     return rows.groupBy(*keys, "cluster").agg(F.min("x0").alias("x0"), F.max("x1").alias("x1"), text.alias("text"))
 
 
 def column_header(slots: DataFrame, spans: DataFrame, above: float = 48, gap: float = 35) -> DataFrame:
-    """The header of a slot's column: clusters of the nearest line above, of which there
-    are two or more; the one that overlaps most, else the nearest centre."""
-    lines = clusters(spans, gap)
-    y = spans.groupBy("doc_id", "page", "line_no").agg(F.max("y1").alias("ly1"))
-    many = lines.groupBy("doc_id", "page", "line_no").agg(F.count("*").alias("n")).filter("n >= 2").join(y, ["doc_id", "page", "line_no"])
+    """field_no and header of every slot: of the nearest line that ends above it, at most
+    ``above`` away, the cluster that overlaps the slot most, or if none does the one with the
+    nearest centre; the leftmost among equals.  Blank without such a line, and if the
+    nearest one is a single cluster: no other line is looked at then."""
+    line = ["doc_id", "page", "line_no"]
+    y = spans.filter(F.trim("text") != "").groupBy(*line).agg(F.max("y1").alias("ly1"))
     s = slots.select(*PAGE, "field_no", F.col("x0").alias("sx0"), F.col("x1").alias("sx1"), "y")
-    pick = _banded(s, many, "y", "ly1", above, on=F.col("ly1") <= F.col("y")).groupBy("doc_id", "page", "field_no", "sx0", "sx1").agg(F.max_by("line_no", F.struct("ly1", -F.col("line_no"))).alias("line_no"))
-    found = pick.join(lines, ["doc_id", "page", "line_no"])
+    # bands reach a little further, since a line just ``above`` away counts
+    near = _banded(s, y, "y", "ly1", above + 1, on=(F.col("ly1") < F.col("y")) & (F.col("y") - F.col("ly1") <= above))
+    pick = near.groupBy(*PAGE, "field_no", "sx0", "sx1").agg(F.max_by("line_no", F.struct("ly1", -F.col("line_no"))).alias("line_no"))
+    found = pick.join(clusters(spans, gap), line)
     overlap = F.greatest(F.lit(0.0), F.least("sx1", "x1") - F.greatest("sx0", "x0"))
     centre = F.abs((F.col("sx0") + F.col("sx1")) / 2 - (F.col("x0") + F.col("x1")) / 2)
-    return found.groupBy("field_no").agg(F.max_by("text", F.struct(overlap, -centre, -F.col("x0"))).alias("header"))
+    best = F.max_by("text", F.struct(overlap, F.when(overlap > 0, 0.0).otherwise(-centre), -F.col("x0")))
+    found = found.groupBy("field_no").agg(F.when(F.count("*") >= 2, best).alias("header"))
+    return slots.select("field_no").join(found, "field_no", "left").select("field_no", F.coalesce("header", F.lit("")).alias("header"))
 
 
 def recipient_bands(heads: DataFrame, boxes: DataFrame, items: int | None = None) -> DataFrame:
     """Boxes between a heading and the next belong to it; the k-th, down the left column
-    and then the right, is its item k."""
-    w = Window.partitionBy(*PAGE).orderBy("y0")
-    bands = heads.withColumn("_end", F.coalesce(F.lead("y0").over(w), F.lit(float("inf")))).select(*PAGE, "recipient", F.col("y0").alias("_start"), "_end")
-    hit = boxes.join(bands, PAGE).filter((F.col("y0") >= F.col("_start")) & (F.col("y0") < F.col("_end")))
+    and then the right, is its item k.  Headings and boxes go in one order, and a box
+    belongs to the last heading at or above it."""
+    rows = heads.select(*PAGE, "y0", F.lit(0).alias("_box"), F.col("recipient"), F.lit(None).cast("double").alias("x0"), F.lit(None).cast("long").alias("box_no"))
+    rows = rows.unionByName(boxes.select(*PAGE, "y0", F.lit(1).alias("_box"), F.lit(None).cast(rows.schema["recipient"].dataType).alias("recipient"), F.col("x0").cast("double").alias("x0"), "box_no"))
+    w = Window.partitionBy(*PAGE).orderBy("y0", "_box", "recipient").rowsBetween(Window.unboundedPreceding, 0)
+    hit = rows.withColumn("recipient", F.last("recipient", ignorenulls=True).over(w)).filter("_box = 1 AND recipient IS NOT NULL")
     middle = F.avg("x0").over(Window.partitionBy(*PAGE, "recipient"))
     hit = hit.withColumn("_right", F.col("x0") > middle)
     k = F.row_number().over(Window.partitionBy(*PAGE, "recipient").orderBy("_right", "y0", "x0", "box_no"))
@@ -155,26 +168,49 @@ def yes_no_token(points: DataFrame, blocks: DataFrame, dy: float = 24, dx: float
     return near.groupBy("field_no").agg(F.min_by("token", F.struct(F.abs(F.col("x") - F.col("bx0")), F.col("block_no"))).alias("token"))
 
 
+#: Height of the bands in which things that have a height meet.
+BAND = 64.0
+
+
+def _reaching(df: DataFrame, low: str, high: str, name: str) -> DataFrame:
+    """Rows once for every band that they reach into."""
+    return df.withColumn(name, F.explode(F.sequence(F.floor(F.col(low) / BAND), F.floor(F.greatest(low, high) / BAND))))
+
+
+def _overlapping(left: DataFrame, right: DataFrame, low: str, high: str, other_low: str, other_high: str, on: Column) -> DataFrame:
+    """Rows of a page that share a band and meet ``on``; pairs that share several bands are
+    there for the first of them only."""
+    right = _reaching(right, other_low, other_high, "_rb").withColumnsRenamed({c: f"r_{c}" for c in PAGE})
+    first = F.col("_b") == F.greatest(F.floor(F.col(low) / BAND), F.floor(F.col(other_low) / BAND))
+    same = (F.col("doc_id") == F.col("r_doc_id")) & (F.col("page") == F.col("r_page")) & (F.col("_b") == F.col("_rb"))
+    return _reaching(left, low, high, "_b").join(right, same & first & on)
+
+
 def intersecting_widget(rects: DataFrame, widgets: DataFrame) -> DataFrame:
     """The first widget that a rectangle meets, checkboxes and radio buttons before others."""
     w = widgets.select(*PAGE, "widget_no", "kind", *[F.col(c).alias(f"w{c}") for c in ("x0", "y0", "x1", "y1")])
-    hit = rects.join(w, PAGE).filter("x0 < wx1 AND wx0 < x1 AND y0 < wy1 AND wy0 < y1")
+    hit = _overlapping(rects, w, "y0", "y1", "wy0", "wy1", F.expr("x0 < wx1 AND wx0 < x1 AND y0 < wy1 AND wy0 < y1"))
     return hit.groupBy("field_no").agg(F.min_by("widget_no", F.struct(~F.col("kind").isin("checkbox", "radio"), F.col("widget_no"))).alias("widget_no"))
 
 
 def box_left_of(labels: DataFrame, boxes: DataFrame, dx: float = 260) -> DataFrame:
     """The nearest box left of a label that overlaps its height."""
     b = boxes.select(*PAGE, "box_no", *[F.col(c).alias(f"b{c}") for c in ("x0", "y0", "x1", "y1")])
-    hit = labels.join(b, PAGE).filter((F.col("bx1") <= F.col("x0")) & (F.col("x0") - F.col("bx1") <= dx) & (F.col("by0") < F.col("y1")) & (F.col("y0") < F.col("by1")))
+    on = (F.col("bx1") <= F.col("x0")) & (F.col("x0") - F.col("bx1") <= dx) & (F.col("by0") < F.col("y1")) & (F.col("y0") < F.col("by1"))
+    hit = _overlapping(labels, b, "y0", "y1", "by0", "by1", on)
     return hit.groupBy("label_no").agg(F.min_by("box_no", F.struct(F.col("x0") - F.col("bx1"), F.col("box_no"))).alias("box_no"))
 
 
 def cell_snap(points: DataFrame, rules: DataFrame, least: float = 28, most: float = 540) -> DataFrame:
-    """The cell between the consecutive vertical rules around a point, if its width fits."""
+    """The cell between the consecutive vertical rules around a point, if its width fits.
+    An as-of join: of rules and points in one order, a point's cell is that of the last rule."""
     w = Window.partitionBy(*PAGE).orderBy("x")
-    cells = rules.select(*PAGE, "x").distinct().withColumn("right", F.lead("x").over(w)).filter((F.col("right") - F.col("x")).between(least, most))
-    hit = points.select(*PAGE, "field_no", F.col("x").alias("px")).join(cells, PAGE).filter("px >= x AND px < right")
-    return hit.select("field_no", F.col("x").alias("left"), "right")
+    cells = rules.select(*PAGE, "x").distinct().withColumn("right", F.lead("x").over(w))
+    rows = cells.select(*PAGE, "x", F.struct("x", "right").alias("cell"), F.lit(0).alias("_point"), F.lit(None).cast("long").alias("field_no"))
+    rows = rows.unionByName(points.select(*PAGE, "x", F.lit(None).cast(rows.schema["cell"].dataType).alias("cell"), F.lit(1).alias("_point"), "field_no"))
+    order = Window.partitionBy(*PAGE).orderBy("x", "_point").rowsBetween(Window.unboundedPreceding, 0)
+    hit = rows.withColumn("cell", F.last("cell", ignorenulls=True).over(order)).filter("_point = 1")
+    return hit.filter((F.col("cell.right") - F.col("cell.x")).between(least, most)).select("field_no", F.col("cell.x").alias("left"), F.col("cell.right").alias("right"))
 
 
 def scan_up(cells: DataFrame) -> DataFrame:

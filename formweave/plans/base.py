@@ -29,7 +29,7 @@ INPUTS: dict[str, tuple[str, str, str]] = {
     ),
     "sheet": (
         "customer",
-        "c_custkey % 11 <> 0",
+        "TRUE",
         f"""c_custkey AS row_no, CASE WHEN c_custkey % 5 = 0 THEN '' ELSE lower({SEGMENT.format('c_custkey')}) END AS section_norm,
         CASE WHEN c_custkey % 7 = 0 THEN NULL ELSE CAST(c_nationkey % 4 AS BIGINT) END AS Page,
         'account field ' || CAST(CAST(floor(c_custkey / 6) AS BIGINT) AS STRING) AS field_norm,
@@ -51,13 +51,13 @@ INPUTS: dict[str, tuple[str, str, str]] = {
     ),
     "slots": (
         "lineitem",
-        "l_linenumber % 2 = 1",
+        "TRUE",
         """CAST(floor(l_orderkey / 40) AS BIGINT) AS doc_id, CAST(l_suppkey % 2 AS BIGINT) AS page, ((l_orderkey * 10 + l_linenumber) * 100000 + l_partkey) * 1000 + l_suppkey % 1000 AS field_no,
         CAST((l_partkey * 11) % 500 AS DOUBLE) AS x0, CAST((l_partkey * 11) % 500 + 60 AS DOUBLE) AS x1, CAST((l_partkey * 17) % 700 AS DOUBLE) AS y""",
     ),
     "blocks": (
         "lineitem",
-        "l_linenumber % 2 = 0",
+        "TRUE",
         """CAST(floor(l_orderkey / 40) AS BIGINT) AS doc_id, CAST(l_suppkey % 2 AS BIGINT) AS page, ((l_orderkey * 10 + l_linenumber) * 100000 + l_partkey) * 1000 + l_suppkey % 1000 AS block_no,
         CAST((l_partkey * 7) % 500 AS DOUBLE) AS x0, CAST((l_partkey * 7) % 500 + 30 + l_suppkey % 40 AS DOUBLE) AS x1,
         CAST((l_partkey * 13) % 700 AS DOUBLE) AS y0, CAST((l_partkey * 13) % 700 + 10 AS DOUBLE) AS y1,

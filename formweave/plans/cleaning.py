@@ -314,10 +314,18 @@ def write_once(spark, d):
     return O.write_once(rows, ["page", "section", "label"]).select("emit_no", "page", "section", "label")
 
 
-@query("write_once_boxes")
+@query(
+    "write_once_boxes",
+    """WITH RECURSIVE v AS (SELECT DISTINCT doc_id, page, field_no, field_no % 11 AS label, field_no % 3 = 0 AS box, concat_ws(':', round_even(x0 / 2, 0), round_even(y / 2, 0), round_even((x0 + 5) / 2, 0), round_even((y + 5) / 2, 0)) AS place FROM {slots} q),
+    n AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY doc_id, page ORDER BY field_no) AS n FROM v),
+    g AS (SELECT doc_id, page, 0::BIGINT AS n, []::BIGINT[] AS labels, []::VARCHAR[] AS places, NULL::BIGINT AS field_no FROM (SELECT DISTINCT doc_id, page FROM n)
+      UNION ALL SELECT g.doc_id, g.page, n.n, CASE WHEN k THEN list_append(labels, n.label) ELSE labels END, CASE WHEN k AND n.box THEN list_append(places, n.place) ELSE places END, CASE WHEN k THEN n.field_no END
+      FROM g JOIN (SELECT * FROM n) n ON n.doc_id = g.doc_id AND n.page = g.page AND n.n = g.n + 1, LATERAL (SELECT NOT list_contains(labels, n.label) AND NOT (n.box AND list_contains(places, n.place)) AS k))
+    SELECT doc_id, page, field_no FROM g WHERE field_no IS NOT NULL""",
+)
 def write_once_boxes(spark, d):
     """The same where checkboxes are also written once a place."""
-    rows = given(spark, d, "slots").select("doc_id", "page", "field_no", "x0", F.col("y").alias("y0"), (F.col("field_no") % 3 == 0).alias("is_checkbox"), (F.col("field_no") % 11).alias("label"), F.lit("v").alias("value"))
+    rows = given(spark, d, "slots").select("doc_id", "page", "field_no", "x0", F.col("y").alias("y0"), (F.col("x0") + 5).alias("x1"), (F.col("y") + 5).alias("y1"), (F.col("field_no") % 3 == 0).alias("is_checkbox"), (F.col("field_no") % 11).alias("label"), F.lit("v").alias("value"))
     return O.write_once_boxes(rows, ["doc_id", "page"], ["label"], "field_no").select("doc_id", "page", "field_no")
 
 

@@ -66,10 +66,19 @@ def group_split(spark, d):
     return P.group_rows(rows, groups)
 
 
-@query("context_block")
+@query(
+    "context_block",
+    """WITH l AS (SELECT doc_id, block_no AS line_no, CASE kind WHEN 'error' THEN 'Please tick one:' WHEN 'click' THEN '(a) first OR second' WHEN 'purchase' THEN repeat('long ', 41) ELSE '- ' || text END AS text FROM {stream} q),
+    o AS (SELECT *, CASE WHEN text LIKE 'long%' THEN [] WHEN text LIKE '(a)%' THEN ['first', 'second'] WHEN text LIKE 'Please%' THEN ['Please tick one:'] ELSE [substr(text, 3)] END AS opts FROM l),
+    j AS (SELECT t.doc_id, t.line_no, x.line_no AS option_line, x.opts, length(x.text) > 200 AS big, sum(len(x.opts)) OVER w AS upto FROM (SELECT doc_id, line_no FROM l WHERE text LIKE 'Please%') t JOIN o x ON x.doc_id = t.doc_id AND x.line_no > t.line_no WINDOW w AS (PARTITION BY t.doc_id, t.line_no ORDER BY x.line_no)),
+    g AS (SELECT *, coalesce(bool_or(big AND upto > 0) OVER (PARTITION BY doc_id, line_no ORDER BY option_line ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), FALSE) AS ended FROM j WHERE upto - len(opts) < 6),
+    u AS (SELECT doc_id, line_no, option_line, p, opts[p] AS option FROM (SELECT *, unnest(range(1, len(opts) + 1)) AS p FROM g WHERE NOT ended)),
+    f AS (SELECT * FROM u QUALIFY row_number() OVER (PARTITION BY doc_id, line_no, lower(option) ORDER BY option_line, p) = 1)
+    SELECT doc_id, line_no, option_line, option FROM f QUALIFY count(*) OVER (PARTITION BY doc_id, line_no) >= 2 AND row_number() OVER (PARTITION BY doc_id, line_no ORDER BY option_line, p) <= 6""",
+)
 def context_block(spark, d):
-    """Options after ``please tick one``."""
-    x = given(spark, d, "stream").selectExpr("doc_id", "block_no AS line_no", "CASE kind WHEN 'error' THEN 'Please tick one:' WHEN 'click' THEN '(a) first OR second' ELSE '- ' || text END AS text")
+    """Options after ``please tick one``: bulleted ones, two on a line, and long lines between."""
+    x = given(spark, d, "stream").selectExpr("doc_id", "block_no AS line_no", "CASE kind WHEN 'error' THEN 'Please tick one:' WHEN 'click' THEN '(a) first OR second' WHEN 'purchase' THEN repeat('long ', 41) ELSE '- ' || text END AS text")
     return P.context_options(x)
 
 

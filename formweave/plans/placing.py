@@ -12,6 +12,8 @@ from ..operators import spatial as P
 from .base import given, query, table
 
 B = "(SELECT *, (y0 + y1) / 2 AS ym FROM {blocks} q)"
+#: Every fifth block is blank.
+B5 = "(SELECT * REPLACE (CASE WHEN block_no % 5 = 0 THEN '' ELSE text END AS text), (y0 + y1) / 2 AS ym FROM {blocks} q)"
 ON = "s.doc_id = b.doc_id AND s.page = b.page"
 
 
@@ -30,12 +32,12 @@ def section_asof(spark, d):
 @query(
     "nearest_label",
     f"""SELECT s.field_no, coalesce(a.label, o.label) AS label, CASE WHEN a.label IS NOT NULL THEN 'row' WHEN o.label IS NOT NULL THEN 'above' END AS how FROM {{slots}} s
-    LEFT JOIN (SELECT s.field_no, arg_min(b.text, row(s.x0 - b.x1, b.block_no)) AS label FROM {{slots}} s JOIN {B} b ON {ON} AND abs(s.y - b.ym) < 18 AND b.x1 <= s.x0 + 4 GROUP BY 1) a USING (field_no)
-    LEFT JOIN (SELECT s.field_no, arg_min(b.text, row(s.y - b.y1, b.block_no)) AS label FROM {{slots}} s JOIN {B} b ON {ON} AND abs(s.y - b.y1) < 36 AND b.y1 <= s.y AND b.x0 <= s.x0 + 4 GROUP BY 1) o USING (field_no)""",
+    LEFT JOIN (SELECT s.field_no, arg_min(b.text, row(s.x0 - b.x1, b.block_no)) AS label FROM {{slots}} s JOIN {B5} b ON {ON} AND b.text <> '' AND abs(s.y - b.ym) < 18 AND b.x1 <= s.x0 + 4 GROUP BY 1) a USING (field_no)
+    LEFT JOIN (SELECT s.field_no, arg_min(b.text, row(s.y - b.y1, s.x0 - b.x1, b.block_no)) AS label FROM {{slots}} s JOIN {B5} b ON {ON} AND b.text <> '' AND s.y - b.y1 < 36 AND b.y1 <= s.y AND b.x0 <= s.x0 GROUP BY 1) o USING (field_no)""",
 )
 def nearest_label(spark, d):
     """The nearest label on the row, else above."""
-    return P.nearest_label(given(spark, d, "slots"), given(spark, d, "blocks"))
+    return P.nearest_label(given(spark, d, "slots"), given(spark, d, "blocks").withColumn("text", F.when(F.col("block_no") % 5 == 0, " ").otherwise(F.col("text"))))
 
 
 @query("horiz_overlap", f"SELECT s.field_no, arg_min(b.text, row(s.y - b.y1, b.block_no)) AS label FROM {{slots}} s JOIN {{blocks}} b ON {ON} AND b.y1 <= s.y AND s.y - b.y1 < 36 AND least(s.x1, b.x1) - greatest(s.x0, b.x0) >= greatest(6, 0.1 * least(s.x1 - s.x0, b.x1 - b.x0)) GROUP BY 1")
@@ -60,11 +62,15 @@ def yes_no_token(spark, d):
     return P.yes_no_token(given(spark, d, "slots").withColumn("x", F.col("x0")), given(spark, d, "blocks"))
 
 
-@query("band_interval", f"SELECT b.doc_id, b.page, b.block_no AS box_no, h.r AS recipient FROM {{blocks}} b JOIN (SELECT doc_id, page, r, y, coalesce(lead(y) OVER (PARTITION BY doc_id, page ORDER BY y), 'inf') AS e FROM (SELECT doc_id, page, max(field_no) AS r, y FROM {{slots}} s WHERE x0 < 60 GROUP BY 1, 2, 4)) h ON b.doc_id = h.doc_id AND b.page = h.page AND b.y0 >= h.y AND b.y0 < h.e")
+@query(
+    "band_interval",
+    """SELECT doc_id, page, box_no, recipient, row_number() OVER (PARTITION BY doc_id, page, recipient ORDER BY x0 > m, y0, x0, box_no) AS item FROM (SELECT *, avg(x0) OVER (PARTITION BY doc_id, page, recipient) AS m FROM (
+    SELECT b.doc_id, b.page, b.block_no AS box_no, h.r AS recipient, b.x0, b.y0 FROM {blocks} b JOIN (SELECT doc_id, page, r, y, coalesce(lead(y) OVER (PARTITION BY doc_id, page ORDER BY y), 'inf') AS e FROM (SELECT doc_id, page, max(field_no) AS r, y FROM {slots} s WHERE x0 < 60 GROUP BY 1, 2, 4)) h ON b.doc_id = h.doc_id AND b.page = h.page AND b.y0 >= h.y AND b.y0 < h.e))""",
+)
 def band_interval(spark, d):
-    """Boxes between a heading and the next."""
+    """Boxes between a heading and the next, numbered down the left column and the right."""
     heads = given(spark, d, "slots").filter("x0 < 60").groupBy("doc_id", "page", F.col("y").alias("y0")).agg(F.max("field_no").alias("recipient"))
-    return P.recipient_bands(heads, given(spark, d, "blocks").withColumn("box_no", F.col("block_no"))).drop("item")
+    return P.recipient_bands(heads, given(spark, d, "blocks").withColumn("box_no", F.col("block_no")))
 
 
 @query("intersecting_widget", f"SELECT s.field_no, arg_min(b.block_no, row(b.block_no % 3 <> 0, b.block_no)) AS widget_no FROM (SELECT *, y - 20 AS y0, y + 20 AS y1 FROM {{slots}} t) s JOIN {{blocks}} b ON {ON} AND s.x0 < b.x1 AND b.x0 < s.x1 AND s.y0 < b.y1 AND b.y0 < s.y1 GROUP BY 1")
@@ -89,9 +95,9 @@ def cell_snap(spark, d):
 
 @query(
     "gap_cluster",
-    """SELECT doc_id, page, line_no, cluster, min(x0) AS x0, max(x1) AS x1, array_to_string(list(text ORDER BY x0, x1, text), ' ') AS text FROM (
-    SELECT *, CAST(sum(CASE WHEN x0 - far > 35 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id, page, line_no ORDER BY x0, x1) AS BIGINT) AS cluster FROM (
-    SELECT *, max(x1) OVER (PARTITION BY doc_id, page, line_no ORDER BY x0, x1 ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS far FROM {spans} q)) GROUP BY 1, 2, 3, 4""",
+    """SELECT doc_id, page, line_no, cluster, min(x0) AS x0, max(x1) AS x1, array_to_string(list(text ORDER BY x0, y0, x1, text), ' ') AS text FROM (
+    SELECT *, CAST(sum(CASE WHEN x0 - last > 35 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id, page, line_no ORDER BY x0, y0, x1, text ROWS UNBOUNDED PRECEDING) AS BIGINT) AS cluster FROM (
+    SELECT *, lag(x1) OVER (PARTITION BY doc_id, page, line_no ORDER BY x0, y0, x1, text) AS last FROM {spans} q)) GROUP BY 1, 2, 3, 4""",
 )
 def gap_cluster(spark, d):
     """Spans of a line joined over small gaps."""
@@ -130,13 +136,24 @@ def letter_headers(spark, d):
     return P.letter_headers(x)
 
 
-@query("column_header")
+SPANS = "(SELECT * FROM {spans} q WHERE line_no <> 3 OR span_no > 5 OR span_no = 1)"
+
+
+@query(
+    "column_header",
+    f"""WITH sp AS MATERIALIZED {SPANS}, s AS (SELECT doc_id, page, line_no, span_no, x0, x1, y0 AS y, (doc_id * 100 + line_no * 10 + span_no) * 1000 + row_number() OVER (PARTITION BY doc_id, page, line_no, span_no ORDER BY x0, x1, text) AS field_no FROM sp),
+    c AS (SELECT doc_id, page, line_no, min(x0) AS x0, max(x1) AS x1, array_to_string(list(text ORDER BY x0, y0, x1, text), ' ') AS text FROM (SELECT *, sum(CASE WHEN x0 - last > 35 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id, page, line_no ORDER BY x0, y0, x1, text ROWS UNBOUNDED PRECEDING) AS cluster FROM (SELECT *, lag(x1) OVER (PARTITION BY doc_id, page, line_no ORDER BY x0, y0, x1, text) AS last FROM sp)) GROUP BY doc_id, page, line_no, cluster),
+    l AS (SELECT doc_id, page, line_no, max(y1) AS ly1 FROM sp GROUP BY 1, 2, 3),
+    n AS (SELECT s.*, l.line_no AS above FROM s JOIN l ON s.doc_id = l.doc_id AND s.page = l.page AND l.ly1 < s.y AND s.y - l.ly1 <= 48 QUALIFY row_number() OVER (PARTITION BY s.field_no ORDER BY l.ly1 DESC, l.line_no) = 1),
+    h AS (SELECT n.field_no, c.text, count(*) OVER (PARTITION BY n.field_no) AS k, row_number() OVER (PARTITION BY n.field_no ORDER BY greatest(0, least(n.x1, c.x1) - greatest(n.x0, c.x0)) DESC, CASE WHEN least(n.x1, c.x1) > greatest(n.x0, c.x0) THEN 0 ELSE abs((n.x0 + n.x1) / 2 - (c.x0 + c.x1) / 2) END, c.x0) AS r FROM n JOIN c ON n.doc_id = c.doc_id AND n.page = c.page AND n.above = c.line_no)
+    SELECT s.field_no, coalesce(h.text, '') AS header FROM s LEFT JOIN h ON s.field_no = h.field_no AND h.k >= 2 AND h.r = 1""",
+)
 def column_header(spark, d):
-    """The header of a slot's column."""
-    spans = given(spark, d, "spans")
+    """The header of a slot's column; lines of one cluster give none."""
+    spans = given(spark, d, "spans").filter("line_no <> 3 OR span_no > 5 OR span_no = 1")
     again = F.row_number().over(Window.partitionBy("doc_id", "page", "line_no", "span_no").orderBy("x0", "x1", "text"))
     number = (F.col("doc_id") * 100 + F.col("line_no") * 10 + F.col("span_no")) * 1000 + again
-    slots = spans.withColumn("field_no", number).filter("line_no > 0").select("doc_id", "page", "field_no", "x0", "x1", F.col("y0").alias("y"))
+    slots = spans.withColumn("field_no", number).select("doc_id", "page", "field_no", "x0", "x1", F.col("y0").alias("y"))
     return P.column_header(slots, spans)
 
 
@@ -238,18 +255,32 @@ def block_pages(spark, d):
     return C.docx_pages(given(spark, d, "stream").withColumn("is_break", F.col("kind") == "error")).select("doc_id", "block_no", "page")
 
 
-@query("near_dup_merge")
+@query(
+    "near_dup_merge",
+    """WITH RECURSIVE n AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY doc_id, page ORDER BY y0, x0, x1, block_no) AS n FROM (SELECT DISTINCT doc_id, page, block_no, x0, x1, y0 FROM {blocks} q)),
+    g AS (SELECT doc_id, page, n, y0 AS ly, x0 AS lx, x1 AS lr, block_no FROM n WHERE n = 1
+      UNION ALL SELECT g.doc_id, g.page, n.n, CASE WHEN k THEN n.y0 ELSE ly END, CASE WHEN k THEN n.x0 ELSE lx END, CASE WHEN k THEN n.x1 ELSE lr END, CASE WHEN k THEN n.block_no END
+      FROM g JOIN (SELECT * FROM n) n ON n.doc_id = g.doc_id AND n.page = g.page AND n.n = g.n + 1, LATERAL (SELECT NOT (abs(n.y0 - ly) < 25 AND abs(n.x0 - lx) < 100 AND abs(n.x1 - lr) < 100) AS k))
+    SELECT doc_id, page, block_no FROM g WHERE block_no IS NOT NULL""",
+)
 def near_dup_merge(spark, d):
     """Items that are not near the last one kept."""
-    x = given(spark, d, "blocks").select("doc_id", "page", "block_no", "x0", "y0")
-    return C.merge_near(x, 25.0, by=("y0", "x0"))
+    x = given(spark, d, "blocks").select("doc_id", "page", "block_no", "x0", "x1", "y0").distinct()
+    return C.merge_near(x, {"y0": 25.0, "x0": 100.0, "x1": 100.0}).select("doc_id", "page", "block_no")
 
 
-@query("greedy_overlap")
+@query(
+    "greedy_overlap",
+    """WITH RECURSIVE n AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY doc_id, page ORDER BY block_no % 3, y0, x0, block_no) AS n FROM (SELECT DISTINCT doc_id, page, block_no, x0, y0, x1, y1 FROM {blocks} q)),
+    g AS (SELECT doc_id, page, 0::BIGINT AS n, []::STRUCT(a DOUBLE, b DOUBLE, c DOUBLE, d DOUBLE)[] AS kept, NULL::BIGINT AS box_no FROM (SELECT DISTINCT doc_id, page FROM n)
+      UNION ALL SELECT g.doc_id, g.page, n.n, CASE WHEN k THEN list_append(kept, {'a': n.x0, 'b': n.y0, 'c': n.x1, 'd': n.y1}) ELSE kept END, CASE WHEN k THEN n.block_no END
+      FROM g JOIN (SELECT * FROM n) n ON n.doc_id = g.doc_id AND n.page = g.page AND n.n = g.n + 1, LATERAL (SELECT len(list_filter(kept, lambda t: n.x1 + 1.6 >= t.a - 1.6 AND t.c + 1.6 >= n.x0 - 1.6 AND n.y1 + 1.6 >= t.b - 1.6 AND t.d + 1.6 >= n.y0 - 1.6)) = 0 AS k))
+    SELECT doc_id, page, box_no FROM g WHERE box_no IS NOT NULL""",
+)
 def greedy_overlap(spark, d):
     """Boxes that overlap none kept before."""
-    x = given(spark, d, "blocks").select("doc_id", "page", F.col("block_no").alias("box_no"), "x0", "y0", "x1", "y1", (F.col("block_no") % 3).cast("int").alias("priority"))
-    return C.greedy_boxes(x)
+    x = given(spark, d, "blocks").select("doc_id", "page", F.col("block_no").alias("box_no"), "x0", "y0", "x1", "y1", (F.col("block_no") % 3).cast("int").alias("priority")).distinct()
+    return C.greedy_boxes(x).select("doc_id", "page", "box_no")
 
 
 @query("line_suppression", f"SELECT s.field_no FROM {{slots}} s WHERE NOT EXISTS (SELECT 1 FROM {{blocks}} b WHERE {ON} AND abs(s.y - b.y1) <= 9 AND least(s.x1, b.x1) - greatest(s.x0, b.x0) >= 36)")

@@ -55,13 +55,41 @@ def resolve_agent_exact(spark, d):
     return R.resolve_agent(*_inputs(spark, d), exact_only=True).drop("rule")
 
 
-PHASED = " UNION ALL ".join(f"SELECT *, {i} AS phase FROM ({_sql(*c)})" for i, c in enumerate([(True, True, True), (False, True, True), (False, True, False), (False, False, False)], 1))
+def _taken(fields: str, sheet: str, doc: str = "0") -> str:
+    """Phase 1 in SQL, from fields (field_no, emit_no, page, section_norm, label_norm) and the
+    sheet: row by row, the picked row and the index that each visit takes."""
+    return f"""r AS (SELECT row_no, field_norm AS f, section_norm AS s, Page AS p, Index AS i, Value AS v FROM {sheet}),
+    x AS (SELECT *, {doc} AS doc, section_norm AS sec, label_norm AS f FROM {fields}),
+    c1 AS (SELECT x.*, r.row_no, r.s, r.p, r.i, (x.sec = '' OR r.s = x.sec) AS hs, (x.page IS NULL OR coalesce(r.p = x.page, FALSE)) AS hp FROM x JOIN r USING (f)),
+    c2 AS (SELECT *, bool_or(hs) OVER (PARTITION BY field_no) AS ms FROM c1),
+    c3 AS (SELECT *, bool_or(hp) OVER (PARTITION BY field_no) AS mp FROM c2 WHERE hs = ms),
+    pick AS (SELECT *, CASE WHEN s <> '' THEN s ELSE sec END AS eff FROM c3 WHERE hp = mp
+      QUALIFY row_number() OVER (PARTITION BY field_no ORDER BY CASE WHEN p = page THEN 8 ELSE 0 END + CASE WHEN sec <> '' AND s = sec THEN 6 ELSE 0 END + CASE WHEN i = 1 THEN 3 ELSE 0 END DESC, row_no) = 1),
+    e AS (SELECT page, eff, f, list_sort(list(DISTINCT i)) AS known FROM (SELECT DISTINCT page, eff, f FROM pick) d JOIN (SELECT f, s, p, i FROM r WHERE i IS NOT NULL) q USING (f) WHERE (page IS NULL OR p = page) AND (eff = '' OR s = eff) GROUP BY 1, 2, 3),
+    k AS (SELECT *, row_number() OVER (PARTITION BY doc, page, eff, f ORDER BY emit_no) AS n FROM pick),
+    a AS (SELECT k.*, CASE WHEN n <= coalesce(len(known), 0) THEN known[n] ELSE n - coalesce(len(known), 0) END AS idx FROM k LEFT JOIN e ON k.f = e.f AND k.eff = e.eff AND k.page IS NOT DISTINCT FROM e.page),
+    m AS (SELECT a.field_no, a.page, a.eff, a.idx, r.row_no, r.v, r.i, r.p, r.s, (a.eff = '' OR r.s = a.eff) AS hs, (a.page IS NULL OR coalesce(r.p = a.page, FALSE)) AS hp FROM a JOIN r USING (f))"""
 
 
-@query("resolve_cascade", f"SELECT field_no, row_no, value, CAST(phase AS BIGINT) AS phase FROM ({PHASED}) QUALIFY row_number() OVER (PARTITION BY field_no ORDER BY phase) = 1")
+def _scope(page: bool, section: bool, strict: bool = True) -> str:
+    """The best row of each field's candidates in ``m`` under these requirements."""
+    hs, hp = "hs" if section else "hs = ms", "hp" if page else "hp = mp"
+    index = "(NOT ai OR coalesce(i = idx, FALSE))" if strict else "TRUE"
+    return f"""(SELECT field_no, row_no, v FROM (SELECT *, bool_or(i IS NOT NULL) OVER (PARTITION BY field_no) AS ai FROM (SELECT *, bool_or(hp) OVER (PARTITION BY field_no) AS mp FROM (SELECT *, bool_or(hs) OVER (PARTITION BY field_no) AS ms FROM m) WHERE {hs}) WHERE {hp}) WHERE {index}
+    QUALIFY row_number() OVER (PARTITION BY field_no ORDER BY CASE WHEN p = page THEN 8 ELSE 0 END + CASE WHEN eff <> '' AND s = eff THEN 6 ELSE 0 END + CASE WHEN i = idx THEN 3 ELSE 0 END DESC, row_no) = 1)"""
+
+
+VISITS = "(SELECT *, field_no AS emit_no FROM {fields} y)"
+
+
+@query(
+    "resolve_cascade",
+    f"WITH {_taken(VISITS, '{sheet} z')} SELECT a.field_no, a.eff AS section_norm, a.idx, coalesce(t.row_no, u.row_no) AS row_no, coalesce(t.v, u.v) AS value, CAST(CASE WHEN t.row_no IS NULL THEN 2 ELSE 1 END AS BIGINT) AS phase FROM a LEFT JOIN {_scope(False, False)} t USING (field_no) LEFT JOIN {_scope(False, False, False)} u USING (field_no)",
+)
 def resolve_cascade(spark, d):
-    """Strict, then without index, section and page: the first phase that finds a value."""
-    return R.resolve_phases(*_inputs(spark, d))
+    """Widgets in two phases: the label's row and index, then the value by index or without."""
+    fields, sheet = _inputs(spark, d)
+    return R.resolve_phases(fields.withColumn("emit_no", F.col("field_no")), sheet)
 
 
 @query(
@@ -141,31 +169,73 @@ def resolve_token_sets(spark, d):
     return R.resolve_simple(fields.select("label_norm"), sheet)
 
 
-@query("resolve_keys", "SELECT f.field_no, arg_min(l.Value, l.row_no) AS value, CAST(0 AS BIGINT) AS key_no FROM (SELECT c_custkey AS field_no, 'nation ' || c_nationkey AS k FROM customer) f JOIN (SELECT n_nationkey AS row_no, 'nation ' || n_nationkey AS k, n_name AS Value FROM nation) l USING (k) GROUP BY 1")
+TEMPLATE = "(SELECT *, field_no AS emit_no FROM {fields} y)"
+TRIES = f"""CASE WHEN a.s <> '' AND a.p IS NOT NULL THEN 3 WHEN a.s <> '' THEN 2 ELSE 1 END AS has, b.row_no AS b_no, b.v AS b_v, s1.row_no AS s_no, s1.v AS s_v, p1.row_no AS p_no, p1.v AS p_v
+    FROM a LEFT JOIN {_scope(True, True)} b USING (field_no) LEFT JOIN {_scope(False, True)} s1 USING (field_no) LEFT JOIN {_scope(True, False)} p1 USING (field_no)"""
+FIRST = "CASE has WHEN 3 THEN coalesce(b_{0}, s_{0}, p_{0}) WHEN 2 THEN coalesce(s_{0}, p_{0}) ELSE coalesce(p_{0}, s_{0}) END"
+
+
+def _template(spark, d):
+    """Fields whose label is found by what stands before its colon."""
+    fields = given(spark, d, "fields")
+    label = F.concat(F.initcap("label_norm"), F.lit(": amount"))
+    return fields.select("field_no", F.col("field_no").alias("emit_no"), "page", "section_norm", label.alias("label"), F.lit("").alias("label_short"), F.lit("").alias("placement"))
+
+
+@query("resolve_keys", f"WITH {_taken(TEMPLATE, '{sheet} z')} SELECT field_no, page, section_norm, field_norm, idx, {FIRST.format('no')} AS row_no, {FIRST.format('v')} AS value, CAST(0 AS BIGINT) AS key_no, 'exact' AS match FROM (SELECT a.field_no, a.page, a.eff AS section_norm, a.f AS field_norm, a.idx, {TRIES})")
 def resolve_keys(spark, d):
-    """Several search keys of a field: the first that resolves."""
-    fields = table(spark, d, "customer").selectExpr("c_custkey AS field_no", "'' AS label_short", "'Nation ' || c_nationkey || ': name' AS label", "CAST(NULL AS BIGINT) AS page", "'' AS section_norm", "CAST(1 AS BIGINT) AS occ")
-    sheet = table(spark, d, "nation").selectExpr("CAST(n_nationkey AS BIGINT) AS row_no", "'nation ' || n_nationkey AS field_norm", "'' AS section_norm", "CAST(NULL AS BIGINT) AS Page", "CAST(NULL AS BIGINT) AS Index", "n_name AS Value")
-    return R.resolve_keys(fields, sheet)
+    """Several search keys of a field, and the two phases within the scope of its row."""
+    return R.resolve_keys(_template(spark, d), given(spark, d, "sheet"), None).drop("scope")
 
 
-FLAG_SHEET = "(SELECT c_custkey AS row_no, lower(c_mktsegment) AS s, 'account balance ' || c_nationkey AS f, row_number() OVER (PARTITION BY c_mktsegment, c_nationkey ORDER BY c_custkey) AS i, c_name AS v FROM customer)"
-FLAG_FIELDS = "(SELECT o_orderkey AS field_no, lower(c_mktsegment) AS s, 'account balance ' || c_nationkey AS f, row_number() OVER (PARTITION BY c_mktsegment, c_nationkey ORDER BY o_orderkey) AS n FROM orders JOIN customer ON o_custkey = c_custkey)"
+@query("resolve_keys_similar")
+def resolve_keys_similar(spark, d):
+    """The same where a key that the sheet lacks goes by the most similar label."""
+    fields = _template(spark, d).withColumn("label", F.replace("label", F.lit("Account"), F.when(F.col("field_no") % 2 == 0, "Acount").otherwise("Account")))
+    return R.resolve_keys(fields, given(spark, d, "sheet"))
+
+
+# What a form's owner writes in: names, answers, blanks; and the fields of fifteen forms.
+FLAG_SHEET = """(SELECT c_custkey AS row_no, CASE WHEN c_custkey % 5 = 0 THEN '' ELSE lower(c_mktsegment) END AS section_norm, 'account field ' || c_custkey // 6 AS field_norm, CASE WHEN c_custkey % 7 = 0 THEN NULL ELSE CAST(c_nationkey % 4 AS BIGINT) END AS Page,
+    CASE WHEN c_custkey % 3 = 0 THEN NULL ELSE CAST(c_custkey % 4 AS BIGINT) END AS Index, CASE c_custkey % 4 WHEN 1 THEN 'Yes' WHEN 2 THEN 'no' ELSE c_name END AS Value FROM customer WHERE c_custkey % 11 <> 0 AND c_custkey % 13 <> 0)"""
+FLAG_FIELDS = """(SELECT o_orderkey AS field_no, o_orderkey AS emit_no, o_orderkey // 4000 AS doc_id, CASE WHEN o_orderkey % 6 = 0 THEN NULL ELSE CAST(o_orderkey % 4 AS BIGINT) END AS page, CASE WHEN o_orderkey % 3 = 0 THEN '' ELSE lower(c_mktsegment) END AS section_norm,
+    'account field ' || o_custkey // 6 AS label_norm, o_orderkey % 5 = 0 AS is_box FROM orders JOIN customer ON o_custkey = c_custkey)"""
 
 
 @query(
     "flagship_fill_plan",
-    f"""SELECT x.field_no, x.s AS section, x.f AS label, x.idx, l.v AS value FROM (SELECT a.*, CASE WHEN a.n <= m.c THEN a.n ELSE a.n - m.c END AS idx FROM {FLAG_FIELDS} a JOIN (SELECT s, f, count(*) AS c FROM {FLAG_SHEET} GROUP BY 1, 2) m USING (s, f)) x
-    JOIN {FLAG_SHEET} l ON l.s = x.s AND l.f = x.f AND l.i = x.idx""",
+    f"""WITH {_taken(FLAG_FIELDS, FLAG_SHEET, "doc_id")},
+    t AS (SELECT a.*, {TRIES}), v AS (SELECT *, {FIRST.format('v')} AS val FROM t),
+    w AS (SELECT *, CASE WHEN val IS NULL THEN 'no value' WHEN is_box AND val NOT IN ('Yes', 'no') THEN 'unclear' END AS why FROM v),
+    o AS (SELECT *, row_number() OVER (PARTITION BY doc, page, eff, f, idx, why IS NULL ORDER BY emit_no) AS nth FROM w)
+    SELECT x.field_no, x.page, coalesce(o.eff, x.sec) AS section, x.f AS label, o.idx, CASE WHEN why IS NULL AND nth = 1 THEN val END AS value,
+    CASE WHEN o.field_no IS NULL THEN 'no match' WHEN why IS NOT NULL THEN why WHEN nth > 1 THEN 'written before' ELSE 'written' END AS rule FROM x LEFT JOIN o USING (field_no)""",
 )
 def flagship_fill_plan(spark, d):
-    """From a raw sheet and field definitions to the fill plan: cleaning, keys, occurrence
-    numbers, explicit indexes and the resolver."""
+    """From a raw sheet and field definitions to the fill plan: cleaning, search keys, the two
+    phases with explicit indexes, answers of checkboxes, and writing once.  The scope in
+    the rule is shortened to ``written``."""
+    customer, orders = table(spark, d, "customer"), table(spark, d, "orders")
+    raw = customer.selectExpr(
+        "c_custkey AS row_no", "CASE WHEN c_custkey % 5 = 0 THEN ' ' ELSE '  ' || c_mktsegment END AS Section", "CASE WHEN c_custkey % 7 = 0 THEN 'n/a' ELSE c_nationkey % 4 || '.0' END AS Page",
+        "'Account  Field ' || c_custkey div 6 || CASE WHEN c_custkey % 2 = 0 THEN ':' ELSE ' (optional)' END AS Field", "CASE WHEN c_custkey % 3 = 0 THEN '' ELSE '#' || c_custkey % 4 END AS Index",
+        "CASE WHEN c_custkey % 11 = 0 THEN '' WHEN c_custkey % 13 = 0 THEN 'NaN' WHEN c_custkey % 4 = 1 THEN ' Yes' WHEN c_custkey % 4 = 2 THEN 'no' ELSE c_name END AS Value",
+    )
+    fields = orders.join(customer, F.col("o_custkey") == F.col("c_custkey")).selectExpr(
+        "o_orderkey AS field_no", "o_orderkey AS emit_no", "o_orderkey div 4000 AS doc_id", "CASE WHEN o_orderkey % 6 = 0 THEN NULL ELSE CAST(o_orderkey % 4 AS BIGINT) END AS page", "CASE WHEN o_orderkey % 3 = 0 THEN '' ELSE c_mktsegment END AS section",
+        "'Account Field ' || o_custkey div 6 || CASE WHEN o_orderkey % 2 = 0 THEN ': details' ELSE '' END AS label", "CASE WHEN o_orderkey % 5 = 0 THEN 'checkbox' ELSE 'start' END AS placement",
+        "CAST(o_orderkey * 4 AS DOUBLE) AS x0", "0D AS y0", "CAST(o_orderkey * 4 + 3 AS DOUBLE) AS x1", "3D AS y1",
+    )
+    plan = fill_plan.fill_plan(raw, fields, None)
+    return plan.withColumns({"label": F.regexp_replace("label", " details$", ""), "rule": F.when(F.col("value").isNotNull(), "written").otherwise(F.col("rule"))})
+
+
+@query("fill_plan_similar")
+def fill_plan_similar(spark, d):
+    """The plan where every other label is misspelt, with its rules."""
     customer, orders = table(spark, d, "customer"), table(spark, d, "orders")
-    w = Window.partitionBy("c_mktsegment", "c_nationkey").orderBy("c_custkey")
-    raw = customer.select(F.col("c_custkey").alias("row_no"), F.col("c_mktsegment").alias("Section"), F.lit(None).cast("string").alias("Page"), F.concat(F.lit("Account  Balance "), "c_nationkey", F.lit(":")).alias("Field"), F.row_number().over(w).cast("string").alias("Index"), F.col("c_name").alias("Value"))
-    who = customer.select("c_custkey", "c_mktsegment", "c_nationkey")
-    fields = orders.join(who, F.col("o_custkey") == F.col("c_custkey")).select(F.col("o_orderkey").alias("field_no"), F.col("o_orderkey").alias("emit_no"), F.col("c_mktsegment").alias("section"), F.concat(F.lit("Account Balance "), "c_nationkey").alias("label"))
+    raw = customer.selectExpr("c_custkey AS row_no", "c_mktsegment AS Section", "CAST(NULL AS STRING) AS Page", "'Account Field ' || c_custkey div 6 AS Field", "CAST(c_custkey % 4 AS STRING) AS Index", "c_name AS Value")
+    fields = orders.selectExpr("o_orderkey AS field_no", "o_orderkey div 4000 AS doc_id", "'' AS section", "CASE WHEN o_orderkey % 2 = 0 THEN 'Acount' ELSE 'Account' END || ' Field ' || o_custkey div 6 AS label")
     return fill_plan.fill_plan(raw, fields)
 
 

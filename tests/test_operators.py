@@ -1,7 +1,9 @@
 """Operators against literal loops and hand-made cases."""
 
 import difflib
+import collections
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -135,15 +137,75 @@ def test_fuzzy_takes_the_first_best(spark):
 
 def test_greedy_and_merge_are_the_loops(spark):
     rng = random.Random(9)
-    boxes = [(1, 1, i, float(rng.randrange(60)), float(rng.randrange(60)), rng.randrange(3)) for i in range(60)]
+    boxes = [(1 + i % 2, 1, i, float(rng.randrange(60)), float(rng.randrange(60)), rng.randrange(3)) for i in range(120)]
     df = spark.createDataFrame([(d, p, i, x, y, x + 12, y + 12, q) for d, p, i, x, y, q in boxes], "doc_id long, page long, box_no long, x0 double, y0 double, x1 double, y1 double, priority int")
     kept = []
     for b in sorted(boxes, key=lambda b: (b[5], b[4], b[3], b[2])):
-        if not any(abs(b[3] - k[3]) < 12 and abs(b[4] - k[4]) < 12 for k in kept):
+        # boxes that touch, each 1.6 wider on all sides, overlap
+        if not any(b[0] == k[0] and abs(b[3] - k[3]) <= 15.2 and abs(b[4] - k[4]) <= 15.2 for k in kept):
             kept.append(b)
     assert {r["box_no"] for r in C.greedy_boxes(df).collect()} == {b[2] for b in kept}
-    drift = spark.createDataFrame([(1, 1, float(i), 0.0) for i in range(10)], "doc_id long, page long, y0 double, x0 double")
-    assert sorted(r["y0"] for r in C.merge_near(drift, 2.5).collect()) == [0.0, 3.0, 6.0, 9.0]
+    touching = spark.createDataFrame([(1, 1, 1, 0.0, 0.0, 10.0, 10.0, 0), (1, 1, 2, 13.2, 0.0, 20.0, 10.0, 0), (1, 1, 3, 23.3, 0.0, 30.0, 10.0, 0)], df.schema)
+    assert {r["box_no"] for r in C.greedy_boxes(touching).collect()} == {1, 3}
+    lines = [(1, 1, rng.randrange(40) / 10, rng.randrange(30) / 4, rng.randrange(30) / 4 + 80) for _ in range(300)]
+    last, want = None, []
+    for x in sorted(lines, key=lambda x: (round(x[2], 1), round(x[3], 1), x[2], x[3], x[4])):
+        if last is None or not (abs(x[2] - last[2]) < 0.8 and abs(x[3] - last[3]) < 2 and abs(x[4] - last[4]) < 2):
+            want.append(x)
+            last = x
+    found = C.merge_near(spark.createDataFrame(lines, "doc_id long, page long, y0 double, x0 double, x1 double"))
+    assert sorted(map(tuple, found.collect())) == sorted(want) and 1 < len(want) < 300
+
+
+def test_boxes_are_written_once_a_place(spark):
+    near = spark.createDataFrame([(1, 1, 10.0, 10.0, 20.0, 20.0), (2, 2, 10.3, 10.0, 20.0, 20.3), (3, 3, 13.1, 10.0, 20.0, 20.0), (4, 1, 50.0, 50.0, 60.0, 60.0)], "field_no long, label long, x0 double, y0 double, x1 double, y1 double")
+    rows = near.selectExpr("1L AS doc_id", "CAST(NULL AS BIGINT) AS page", "*", "true AS is_checkbox", "'yes' AS value")
+    got = O.write_once_boxes(rows, ["doc_id", "page"], ["page", "label"], "field_no").collect()
+    assert sorted(r["field_no"] for r in got) == [1, 3]  # 2 is at the place of 1, 4 has the label of 1
+
+
+def test_nearest_label_rules(spark):
+    blocks = spark.createDataFrame([(1, 1, 1, " ", 80.0, 98.0, 100.0, 110.0), (1, 1, 2, "far", 10.0, 40.0, 100.0, 110.0), (1, 1, 3, "wide", 0.0, 300.0, 60.0, 80.0), (1, 1, 4, "near", 0.0, 180.0, 60.0, 80.0), (1, 1, 5, "right", 203.0, 300.0, 70.0, 85.0)], "doc_id long, page long, block_no long, text string, x0 double, x1 double, y0 double, y1 double")
+    slots = spark.createDataFrame([(1, 1, 10, 100.0, 105.0), (1, 1, 11, 200.0, 100.0 - 5), (1, 1, 12, 200.0, 400.0)], "doc_id long, page long, field_no long, x0 double, y double")
+    got = {r["field_no"]: (r["label"], r["how"]) for r in X.nearest_label(slots, blocks).collect()}
+    # a blank block is no label; on the row wins over above; nothing near gives nothing
+    assert got[10] == ("far", "row") and got[12] == (None, None)
+    above = X.nearest_label(slots.filter("field_no = 11"), blocks.filter("block_no >= 3")).first()
+    assert (above["label"], above["how"]) == ("wide", "above")  # of equally high ones the smallest gap; none begins right of the slot
+
+
+def test_context_options_are_the_loop(spark):
+    rng = random.Random(5)
+    made = ["Please tick one:", "(a) first OR second", "- red", "• blue OR green", "plain words", "", "long " * 41, "- red", "(ii) third (tick here)", "x. y. z."]
+    lines = [(d, n, rng.choice(made)) for d in range(12) for n in range(30)]
+    strip = lambda t: " ".join(t.split())
+
+    def parts(t):
+        m = re.match(r"^\s*(?:\((?:[a-eA-E]|i{1,3}|iv|v)\)|[-–•])\s+(.*)$", t)
+        body = re.sub(r"\s*\(tick[^)]*\)\s*$", "", m[1].strip()).strip() if m else t
+        return [p.strip() for p in re.split(r"\s+\bOR\b\s+", body) if p.strip() and len(p.strip()) <= 140 and p.count(".") < 2 and len(p.split()) <= 24]
+
+    want = []
+    for d in range(12):
+        texts = [strip(t) for e, _, t in lines if e == d]
+        for i, t in enumerate(texts):
+            if "please tick one" not in t.lower():
+                continue
+            opts, j = [], i + 1
+            while j < len(texts) and len(opts) < 6:
+                opts += [(j, p) for p in parts(texts[j])] if texts[j] else []
+                if len(texts[j]) > 200 and opts:
+                    break
+                j += 1
+            seen, uniq = set(), []
+            for j, p in opts:
+                k = re.sub(r"[!-/:-@\[-`{-~]", "", p.lower())
+                if k and k not in seen:
+                    seen.add(k)
+                    uniq.append((d, i, j, p))
+            want += uniq[:6] if len(uniq) >= 2 else []
+    got = P.context_options(spark.createDataFrame(lines, "doc_id long, line_no long, text string"))
+    assert sorted(map(tuple, got.collect())) == sorted(want) and len(want) > 50
 
 
 def test_section_asof_ties(spark):
@@ -222,13 +284,97 @@ def test_document_fields(spark):
     assert ("", "City", "docx_table_pair") in got
 
 
-def test_fill_plan(spark):
-    sheet = spark.createDataFrame([(1, "A", "", "Name:", "2", "second", ""), (2, "A", "", "Name", "1", "first", ""), (3, "A", "", "Name", "1", "again", "")], "row_no long, Section string, Page string, Field string, Index string, Value string, Choices string")
-    fields = spark.createDataFrame([(10, 1, "a", "Name"), (11, 2, "a", "NAME:"), (12, 3, "a", "Name"), (13, 4, "b", "Name")], "field_no long, emit_no long, section string, label string")
-    got = {r["field_no"]: (r["idx"], r["value"]) for r in fill_plan.fill_plan(sheet, fields).collect()}
-    assert got == {10: (1, "first"), 11: (2, "second"), 12: (1, "first")}
-    dry = {r["field_no"]: r["action"] for r in fill_plan.report(fill_plan.fill_plan(sheet, fields), fields).collect()}
-    assert dry[13] == "no value in the sheet"
+def loop_value(rows, label, page, section, occ, strict, need_page, need_section):
+    """One field against the sheet, rule by rule."""
+    cand = [r for r in rows if r["f"] == label]
+    if section:
+        hit = [r for r in cand if r["s"] == section]
+        cand = hit if hit or need_section else cand
+    if page is not None:
+        hit = [r for r in cand if r["p"] == page]
+        cand = hit if hit or need_page else cand
+    if strict and any(r["i"] is not None for r in cand):
+        cand = [r for r in cand if r["i"] == occ]
+    score = lambda r: 8 * (page is not None and r["p"] == page) + 6 * bool(section and r["s"] == section) + 3 * (r["i"] == occ)
+    return max(cand, key=score, default=None)
+
+
+def loop_plan(rows, fields):
+    """The fill plan as a loop over the fields in order."""
+    used, counts, written, ticked, out = collections.defaultdict(set), collections.Counter(), set(), set(), {}
+    for x in sorted(fields, key=lambda x: x["emit_no"]):
+        tail = [x["label"].split(":")[0]] if ":" in x["label"] else []
+        box = x["placement"] == "checkbox"
+        keys = [x["label_short"]] if box and x["label_short"] else [k for k in (x["label_short"], *tail, x["label"]) if k]
+        keys = [" ".join(re.sub(r"[^a-z0-9 ]", "", k.lower()).split()) for k in keys]
+        key = next((k for k in keys if any(r["f"] == k for r in rows)), None)
+        if key is None:
+            out[x["field_no"]] = (None, None, "no match")
+            continue
+        row = loop_value(rows, key, x["page"], x["section"], 1, False, False, False)
+        section = row["s"] or x["section"]
+        bucket = (x["doc_id"], x["page"], section, key)
+        free = sorted({r["i"] for r in rows if r["f"] == key and r["i"] is not None and (x["page"] is None or r["p"] == x["page"]) and (not section or r["s"] == section)} - used[bucket])
+        if free:
+            idx = free[0]
+        else:
+            counts[bucket] += 1
+            idx = counts[bucket]
+        used[bucket].add(idx)
+        if row["p"] is not None and row["s"]:
+            tries = [(True, True), (False, True), (True, False)]
+        elif row["s"]:
+            tries = [(False, True), (True, False)]
+        else:
+            tries = [(True, False), (False, True)]
+        value = next((r["v"] for r in (loop_value(rows, key, x["page"], section, idx, True, *t) for t in tries) if r), None)
+        place = (x["doc_id"], x["page"], *(round(x[c] / 2) for c in ("x0", "y0", "x1", "y1")))
+        why = "no value" if value is None else "unclear" if box and value not in ("yes", "no") else "other answer" if box and x["token"] in ("yes", "no") and x["token"] != value else None
+        if why is None and ((*bucket, idx) in written or (box and place in ticked)):
+            why = "written before"
+        if why is None:
+            written.add((*bucket, idx))
+            ticked |= {place} if box else set()
+        out[x["field_no"]] = (idx, None if why else value, why or "written")
+    return out
+
+
+def test_fill_plan_is_the_loop(spark):
+    rng = random.Random(21)
+    pick = lambda *x: rng.choice(x)
+    sheet = [(i, pick("", "A", "B (old)"), pick("", "1", "2.0", "n/a"), f"Field {rng.randrange(6)}{pick('', ':', ' (x)')}", pick("", "#1", "2", "3"), pick("yes", "no", f"v{i}", f"v{i}", "", "nan")) for i in range(70)]
+    number = lambda t: int(float(t)) if t and t != "n/a" else None
+    rows = [dict(f=f"field {f[6]}", s={"": "", "A": "a", "B (old)": "b"}[s], p=number(p), i=int(i.strip("#")) if i else None, v=v) for _, s, p, f, i, v in sheet if v not in ("", "nan")]
+    fields = []
+    for n in range(400):
+        x, y = rng.randrange(12) / 2, rng.randrange(12) / 2
+        fields.append(dict(field_no=1000 - n, emit_no=n, doc_id=n % 3, page=pick(None, 1, 2), section=pick("", "a", "b"), label=pick(f"Field {rng.randrange(8)}", f"Field {rng.randrange(8)}: amount", "other"), label_short=pick("", "", f"Field {rng.randrange(8)}"), placement=pick("", "checkbox"), token=pick(None, None, "yes", "no"), x0=x, y0=y, x1=x + 8, y1=y + 8))
+    schema = "field_no long, emit_no long, doc_id long, page long, section string, label string, label_short string, placement string, token string, x0 double, y0 double, x1 double, y1 double"
+    plan = fill_plan.fill_plan(spark.createDataFrame(sheet, "row_no long, Section string, Page string, Field string, Index string, Value string"), spark.createDataFrame([tuple(x.values()) for x in fields], schema), None)
+    got = {r["field_no"]: (r["idx"], r["value"], "written" if r["value"] else r["rule"]) for r in plan.collect()}
+    want = loop_plan(rows, fields)
+    assert got == want and {w[2] for w in want.values()} == {"no match", "no value", "unclear", "other answer", "written before", "written"}
+
+
+def test_fill_plan(spark, tmp_path):
+    sheet = spark.createDataFrame([(1, "A", "", "Name:", "2", "second"), (2, "A", "", "Name", "1", "first"), (3, "A", "", "Name", "1", "again"), (4, "", "", "Age", "", "44")], "row_no long, Section string, Page string, Field string, Index string, Value string")
+    fields = spark.createDataFrame([(10, "a", "Name"), (11, "a", "NAME:"), (12, "a", "Name"), (13, "b", "Age"), (14, "b", "unknown_3"), (15, "b", "Nmae")], "field_no long, section string, label string")
+    plan = fill_plan.fill_plan(sheet, fields)
+    got = {r["field_no"]: (r["idx"], r["value"], r["rule"]) for r in plan.collect()}
+    assert got[10] == (1, "first", "exact section") and got[11] == (2, "second", "exact section")
+    assert got[12] == (1, None, "written before")  # the sheet's two names are taken
+    assert got[13] == (1, "44", "exact label")  # a blank section in the sheet constrains nothing
+    assert got[14] == (None, None, "no label") and got[15][2] in ("no match", "written before", "no value", "similar section")
+    dry = {r["field_no"]: r["action"] for r in fill_plan.report(plan, fields).collect()}
+    assert dry[10] == "write first" and dry[12] == "written before" and len(dry) == 6
+    path = tmp_path / "sheet.csv"
+    path.write_text("Section,Field,Value\nA,Name,Ann\n")
+    from formweave.sources.lookup import load
+
+    # a row without an index answers every visit, each with an index of its own
+    assert sorted(r["idx"] for r in fill_plan.fill_plan(load(spark, str(path)), fields).filter("value = 'Ann'").collect()) == [1, 2, 3]
+    empty = fill_plan.fill_plan(sheet.limit(0), fields)
+    assert {r["rule"] for r in empty.collect()} == {"no match", "no label"} and fill_plan.fill_plan(sheet, fields.limit(0)).count() == 0
 
 
 def test_streams(spark, tmp_path):
@@ -298,26 +444,30 @@ def test_structured_query_takes_similar_labels(spark):
     assert got == want and len(got) > len(keys)
 
 
-def test_column_header_query_covers_all_lines(spark):
-    from formweave.plans import placing
-    from formweave.plans.base import given
-
-    d = "/root/testdata/sf0.001"
-    rows = given(spark, d, "spans").orderBy("doc_id", "line_no", "x0", "x1").collect()
-    clusters = {(r["doc_id"], r["line_no"]): [] for r in rows}
-    for c in X.clusters(given(spark, d, "spans")).collect():
-        clusters[c["doc_id"], c["line_no"]].append(c)
-    want = []
-    for r in rows:
-        above = clusters.get((r["doc_id"], r["line_no"] - 1), [])
-        if len(above) >= 2:
-            share = lambda c: max(0.0, min(r["x1"], c["x1"]) - max(r["x0"], c["x0"]))
-            away = lambda c: abs((r["x0"] + r["x1"]) / 2 - (c["x0"] + c["x1"]) / 2)
-            best = max(above, key=lambda c: (share(c), -away(c), -c["x0"]))
-            want.append((r["doc_id"] * 100 + r["line_no"] * 10 + r["span_no"], best["text"]))
-    got = [(r["field_no"] // 1000, r["header"]) for r in placing.column_header(spark, d).collect()]
-    assert sorted(got) == sorted(want)
-    assert {n // 10 % 10 for n, _ in got} == set(range(1, 8))
+def test_column_header_is_the_loop(spark):
+    rng = random.Random(11)
+    spans = [(1, 1, n, float(rng.randrange(0, 400, 10)), float(n * 20), float(n * 20 + 10), f"t{n}.{i}") for n in range(12) for i in range(rng.randrange(1, 5))]
+    spans = [(d, p, n, x, x + 30, y0, y1, t) for d, p, n, x, y0, y1, t in spans] + [(1, 1, 50, 0.0, 10.0, 228.0, 239.0, " ")]
+    slots = [(1, 1, i, float(x), float(x + 40), float(y)) for i, (x, y) in enumerate((rng.randrange(400), rng.randrange(300)) for _ in range(80))]
+    want = {}
+    for _, _, i, a, b, y in slots:
+        lines = {n: [s for s in spans if s[2] == n and s[7].strip()] for n in {s[2] for s in spans}}
+        near = [(y - max(s[6] for s in ss), n) for n, ss in lines.items() if ss and 0 < y - max(s[6] for s in ss) <= 48]
+        want[i] = ""
+        if near:
+            groups, last = [], None
+            for s in sorted(lines[min(near)[1]], key=lambda s: (s[3], s[5], s[4], s[7])):
+                if last is None or s[3] - last > 35:
+                    groups.append([])
+                groups[-1].append(s)
+                last = s[4]
+            cols = [(min(s[3] for s in g), max(s[4] for s in g), " ".join(s[7] for s in g)) for g in groups]
+            if len(cols) >= 2:
+                over = [max(0.0, min(b, c[1]) - max(a, c[0])) for c in cols]
+                best = max(range(len(cols)), key=lambda k: (over[k], 0 if over[k] else -abs((a + b) / 2 - (cols[k][0] + cols[k][1]) / 2), -cols[k][0]))
+                want[i] = cols[best][2]
+    got = X.column_header(spark.createDataFrame(slots, "doc_id long, page long, field_no long, x0 double, x1 double, y double"), spark.createDataFrame(spans, "doc_id long, page long, line_no long, x0 double, x1 double, y0 double, y1 double, text string"))
+    assert {r["field_no"]: r["header"] for r in got.collect()} == want and "" in want.values() and len(set(want.values())) > 5
 
 
 def test_discover_query_has_block_gaps_and_widgets(spark, monkeypatch):
