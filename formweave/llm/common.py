@@ -90,10 +90,18 @@ def written(df: DataFrame, name: str) -> tuple[DataFrame, Callable[[], None]]:
     return spark.read.schema(df.schema).parquet(path), lambda: remove(spark, path)
 
 
+def sweep(spark: SparkSession) -> None:
+    """Lets Spark delete the shuffles and checkpoints that nothing refers to any more.  It
+    does so when the driver collects garbage, which a driver that holds little rarely does."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def relieve(spark: SparkSession) -> None:
     """Has executors collect their garbage.  Sorts and hash tables take memory in pages of
     many MB; dead ones keep a heap at its limit though next to nothing in it is alive, and
     that memory is missing to the Python workers of the step that follows."""
+    sweep(spark)
     n = spark.sparkContext.defaultParallelism
     spark.range(0, n, 1, n).selectExpr("java_method('java.lang.System', 'gc') AS done").filter("done IS NULL").count()
 

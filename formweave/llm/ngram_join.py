@@ -48,7 +48,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import hashing as H
-from .common import as_bytes, cut, lean, semi_join, small_side, tidy, written
+from .common import as_bytes, cut, lean, semi_join, small_side, sweep, tidy, written
 from .components import components
 
 #: Counters of the order's sketch (one byte each when broadcast) and rows it travels in.
@@ -153,7 +153,7 @@ def read_sets(docs: DataFrame, k: int, slots: int = SKETCH, carry: tuple[str, ..
 
 def prefix_length(n: int, num: int, den: int) -> int:
     """Tokens of a set of n of which a linked set has at least ``need`` in its own prefix."""
-    return n - -(-num * n // den) + (MEET if n >= 2 * MEET else 1)
+    return min(n, n - -(-num * n // den) + (MEET if n >= 2 * MEET else 1))
 
 
 def need(num: int, den: int):
@@ -327,6 +327,8 @@ def _links(docs: DataFrame, sets: DataFrame, levels: np.ndarray, k: int, num: in
     meeting = prefixes.groupBy("token").agg(F.min("set_id").alias("centre"), F.max("set_id").alias("other")).filter("centre <> other").select("token", "centre")
     met = cut(prefixes.join(meeting, "token").distinct())
     drop()
+    del prefixes, meeting
+    sweep(spark)
     # sets that meet too few tokens in all link with nothing
     enough = met.groupBy("set_id").agg(F.count("*").alias("tokens")).join(sets.filter("n_shingles > 0").groupBy("set_id").agg(F.min("doc_id").alias("doc_id"), F.max("n_shingles").alias("n")), "set_id")
     facts = cut(enough.filter(F.col("tokens") >= need(num, den)).select("set_id", "doc_id", "n"))
@@ -344,6 +346,8 @@ def _links(docs: DataFrame, sets: DataFrame, levels: np.ndarray, k: int, num: in
     roles = ask.withColumn("query", F.lit(True)).join(member, ["set_id", "group", "n", "doc_id"], "full")
     roles = cut(_blocks(roles.withColumn("member", F.coalesce("member", F.lit(False))).withColumn("query", F.coalesce("query", F.lit(False)))))
 
+    del met, group, matrix, shared, ask, member, enough, facts
+    sweep(spark)
     tokens, drop = written(_tokens(semi_join(docs, roles.select("doc_id").distinct(), "doc_id"), k).drop("n"), "sets")
     roles = roles.drop("doc_id")
     units = roles.filter("blocks = 1").groupBy("set_id", "group").agg(F.max("query").alias("query"), F.max("member").alias("member"))
@@ -353,6 +357,8 @@ def _links(docs: DataFrame, sets: DataFrame, levels: np.ndarray, k: int, num: in
         edges = edges.unionByName(_large(large, tokens, num, den))
     edges = cut(edges)
     drop()
+    del tokens, roles, units, large
+    sweep(spark)
     return edges
 
 
@@ -371,11 +377,12 @@ def _large(roles: DataFrame, tokens: DataFrame, num: int, den: int) -> DataFrame
     units = mine.unionByName(copies).groupBy("set_id", "group", "i").agg(F.max("pivot").alias("pivot"))
     found = cut(_with_tokens(units, tokens).groupBy("group", "i").applyInPandas(_near_pivot(num, den), "u long, v long, near double"))
     edges = found.filter("near IS NULL OR isnan(near)").select("u", "v")
-
+    del units, mine, copies
     label = components(edges).withColumnRenamed("u", "set_id")
     known = found.filter("near IS NOT NULL AND NOT isnan(near)").groupBy(F.col("u").alias("set_id"), F.col("v").alias("group")).agg(F.max("near").alias("near"))
     known = known.join(label, "set_id", "left").withColumn("component", F.coalesce("component", "set_id")).join(roles.select("set_id", "group", "n"), ["set_id", "group"])
     main = pivot.select("set_id", "group").join(label, "set_id", "left").select("group", F.coalesce("component", "set_id").alias("main"))
+    sweep(tokens.sparkSession)
     known = cut(known.join(main, "group").withColumns({"out": F.col("component") != F.col("main"), "shell": F.floor(F.col("near") * SHELLS).cast("int")}))
 
     def dealt(rows: DataFrame, shell: str, count: str) -> DataFrame:
