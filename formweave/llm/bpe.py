@@ -76,15 +76,27 @@ class BytePairEncoder:
         return list(chain.from_iterable([p] if i % 2 else self.pattern.findall(p) for i, p in enumerate(parts)))
 
     def _greedy(self, symbols: list[int]) -> list[int]:
-        """One word: the lowest rank first, the leftmost of equal ranks first."""
-        while len(symbols) > 1:
-            ranks = [self.rank.get((a << 20) | b, len(self.made)) for a, b in zip(symbols, symbols[1:])]
-            r = min(ranks)
-            if r == len(self.made):
-                break
-            i = ranks.index(r)
-            symbols[i : i + 2] = [self.made[r]]
-        return symbols
+        """One word: the lowest rank first, the leftmost of equal ranks first.  Ranks wait
+        in a heap, so a word of n bytes takes n log n steps."""
+        n = len(symbols)
+        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+        rank = lambda i: self.rank.get((symbols[i] << 20) | symbols[after[i]]) if after[i] < n else None
+        waiting = [(r, i) for i in range(n) if (r := rank(i)) is not None]
+        heapq.heapify(waiting)
+        while waiting:
+            r, i = heapq.heappop(waiting)
+            # what is no longer there, or has become another pair, is skipped
+            if symbols[i] < 0 or rank(i) != r:
+                continue
+            j = after[i]
+            symbols[i], symbols[j] = self.made[r], -1
+            after[i] = after[j]
+            if after[j] < n:
+                before[after[j]] = i
+            for k in (i, before[i]):
+                if k >= 0 and (q := rank(k)) is not None:
+                    heapq.heappush(waiting, (q, k))
+        return [s for s in symbols if s >= 0]
 
     def encode_words(self, words: list[str]) -> list[list[int]]:
         """Token ids of each word, by the pair occurrence index over all of them."""

@@ -11,6 +11,7 @@ fingerprints is the sketches' estimate of the share of spans that the texts have
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -22,29 +23,22 @@ from .hashing import mix
 
 U64 = np.uint64
 PRIMES, BASES = (2147483647, 2147483629), (911382323, 972663749)
-#: Code points of a span, and values of a sketch.
-SPAN, SKETCH = 8, 48
-#: Most ranges of doc_id that texts are dealt to.
-RANGES = 1024
+#: Code points of a span, values of a sketch, and code points hashed together.
+SPAN, SKETCH, STRETCH = 8, 48, 1 << 18
+#: Points of a range search that are compared one after another in a tree.
+TREE = 256
 
 
-class _Tables:
-    """Powers of the bases and of their inverses, grown on demand."""
+def _powers(base: int, p: int) -> np.ndarray:
+    """The first STRETCH powers of ``base`` modulo ``p``."""
+    out = np.ones(1, U64)
+    while len(out) < STRETCH:
+        out = np.concatenate([out, out * U64(pow(base, len(out), p)) % U64(p)])
+    return out[:STRETCH]
 
-    def __init__(self):
-        self.n = 1
-        self.up = [np.ones(1, U64) for _ in PRIMES]
-        self.down = [np.ones(1, U64) for _ in PRIMES]
 
-    def grow(self, n: int) -> None:
-        while self.n < n:
-            for tables, bases in ((self.up, BASES), (self.down, [pow(b, -1, p) for b, p in zip(BASES, PRIMES)])):
-                for k, p in enumerate(PRIMES):
-                    tables[k] = np.concatenate([tables[k], tables[k] * U64(pow(bases[k], self.n, p)) % U64(p)])
-            self.n *= 2
-
-
-_TABLES = _Tables()
+_INVERSES = tuple(pow(b, -1, p) for b, p in zip(BASES, PRIMES))
+_UP, _DOWN = ([_powers(b, p) for b, p in zip(bases, PRIMES)] for bases in (BASES, _INVERSES))
 
 
 def code_points(text: str) -> np.ndarray:
@@ -52,27 +46,35 @@ def code_points(text: str) -> np.ndarray:
 
 
 class Prefixes:
-    """Hashes of all prefixes of a text given as code points."""
+    """Hashes of all prefixes of a text given as code points: two numbers below 2**31 for
+    each, eight bytes a code point.  They are made, and spans are read from them, by
+    stretches of a fixed size, so a text of any length needs no more than that besides."""
 
     def __init__(self, points: np.ndarray):
         self.n = len(points)
-        _TABLES.grow(self.n + 1)
-        values = points.astype(U64) + U64(1)
         self.sums = []
-        for p, up in zip(PRIMES, _TABLES.up):
-            sums = np.zeros(self.n + 1, U64)
-            np.cumsum(values * up[: self.n] % U64(p), out=sums[1:])
-            self.sums.append(sums % U64(p))
-
-    def spans(self, width: int) -> np.ndarray:
-        """64-bit hash of every span of ``width`` code points."""
+        for p, base, up in zip(PRIMES, BASES, _UP):
+            sums = np.zeros(self.n + 1, np.uint32)
+            for at in range(0, self.n, STRETCH):
+                values = points[at : at + STRETCH].astype(U64) + U64(1)
+                part = np.cumsum(values * up[: len(values)] % U64(p)) % U64(p)
+                sums[at + 1 : at + 1 + len(values)] = (part * U64(pow(base, at, p)) + U64(sums[at])) % U64(p)
+            self.sums.append(sums)
+
+    def spans(self, width: int) -> Iterator[np.ndarray]:
+        """64-bit hashes of every span of ``width`` code points, a stretch at a time."""
         m = self.n - width + 1
-        parts = [(s[width:] + U64(p) - s[:m]) % U64(p) * down[:m] % U64(p) for p, s, down in zip(PRIMES, self.sums, _TABLES.down)]
-        return mix(parts[0] << U64(32) | parts[1])
+        for at in range(0, m, STRETCH):
+            end = min(m, at + STRETCH)
+            parts = []
+            for p, inverse, s, down in zip(PRIMES, _INVERSES, self.sums, _DOWN):
+                raw = (s[at + width : end + width].astype(U64) + U64(p) - s[at:end]) % U64(p)
+                parts.append(raw * down[: end - at] % U64(p) * U64(pow(inverse, at, p)) % U64(p))
+            yield mix(parts[0] << U64(32) | parts[1])
 
     def span(self, start: int, end: int) -> tuple[int, ...]:
         """Hash of one span; equal spans of any two texts have equal hashes."""
-        return tuple((int(s[end]) - int(s[start])) % p * int(down[start]) % p for p, s, down in zip(PRIMES, self.sums, _TABLES.down))
+        return tuple((int(s[end]) - int(s[start])) * pow(inverse, start, p) % p for p, inverse, s in zip(PRIMES, _INVERSES, self.sums))
 
     def whole(self) -> str:
         return "%08x%08x" % self.span(0, self.n)
@@ -93,15 +95,17 @@ def common_extension(a: Prefixes, b: Prefixes, i: int = 0, j: int = 0) -> int:
 def sketch(prefixes: Prefixes) -> np.ndarray:
     """The SKETCH smallest distinct span hashes, as 32-bit numbers in ascending order; a
     text shorter than a span is one span."""
-    if not prefixes.n:
-        return np.empty(0, U64)
-    values = prefixes.spans(min(SPAN, prefixes.n)) >> U64(32)
-    take = 4 * SKETCH
-    while True:
-        least = np.unique(np.partition(values, take)[:take] if len(values) > take else values)
-        if len(least) >= SKETCH or take >= len(values):
-            return least[:SKETCH]
-        take *= 4
+    least = np.empty(0, U64)
+    if prefixes.n:
+        for hashes in prefixes.spans(min(SPAN, prefixes.n)):
+            values, take = hashes >> U64(32), 4 * SKETCH
+            while True:
+                some = np.unique(np.partition(values, take)[:take] if len(values) > take else values)
+                if len(some) >= SKETCH or take >= len(values):
+                    break
+                take *= 4
+            least = np.union1d(least, some)[:SKETCH]
+    return least
 
 
 def fingerprint(prefixes: Prefixes, least: np.ndarray) -> str:
@@ -123,39 +127,50 @@ def parse(text: str) -> np.ndarray:
     return np.array([int(part[i : i + 8], 16) for i in range(0, len(part), 8)], U64)
 
 
-def _range_of(order: Column, points: list[int], at: int = 0) -> Column:
-    """Index of the range of ``order`` among ascending points, as a balanced tree."""
+def _tree(order: Column, points: list[int], at: int = 0) -> Column:
     if not points:
         return F.lit(at)
     m = len(points) // 2
-    return F.when(order < points[m], _range_of(order, points[:m], at)).otherwise(_range_of(order, points[m + 1 :], at + m + 1))
+    return F.when(order < points[m], _tree(order, points[:m], at)).otherwise(_tree(order, points[m + 1 :], at + m + 1))
+
+
+def _range_of(order: Column, points: list[int]) -> Column:
+    """Index of the range of ``order`` among ascending points: a balanced tree, and for
+    very many points a tree over runs of them and then the points of the run."""
+    if len(points) <= TREE:
+        return _tree(order, points)
+    step = -(-len(points) // TREE)
+    runs = [points[i : i + step] for i in range(0, len(points), step)]
+    run = _tree(order, [r[0] for r in runs[1:]])
+    within = F.element_at(F.array(*[F.array(*map(F.lit, r)) for r in runs]), run + 1)
+    return run * step + F.size(F.filter(within, lambda p: p <= order))
 
 
-def with_next(docs: DataFrame) -> tuple[DataFrame, int]:
+def with_next(docs: DataFrame) -> DataFrame:
     """Deals whole texts to ranges of doc_id, each sorted descending and followed by the
     first row of the range below (rows with ``edge``); the lowest is followed by the
     highest of all.  One shuffle moves each text once, and only edges twice.
 
-    A null doc_id comes after all others; rows with equal ids follow by text hash.
+    There are as many ranges as the session has shuffle partitions, one a task.  A null
+    doc_id comes after all others; rows with equal ids follow by text hash.
     """
     order = F.coalesce("doc_id", F.lit(-(1 << 63)))
     ids = docs.select(order.alias("o"))
-    count = max(1, min(RANGES, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
-    at = ids.agg(F.percentile_approx("o", [i / count for i in range(1, count)] or [0.5], 10000).alias("p")).first()["p"] or []
+    count = max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    at = ids.agg(F.percentile_approx("o", [i / count for i in range(1, count)] or [0.5], max(10000, 20 * count)).alias("p")).first()["p"] or []
     points = sorted(set(at)) if count > 1 else []
     which = _range_of(order, points)
-    tops = sorted((r["range"], r["top"]) for r in ids.select(_range_of(F.col("o"), points).alias("range"), "o").groupBy("range").agg(F.max("o").alias("top")).collect())
-    # the top of a range also goes to the range above it; the highest goes to the lowest
-    sent: dict[int, list[int]] = {}
-    for (above, _), (_, top) in zip(tops[1:], tops):
-        sent.setdefault(top, []).append(above)
-    if tops:
-        sent.setdefault(tops[-1][1], []).append(tops[0][0])
-    extra = F.create_map(*[F.lit(x) for top, to in sent.items() for x in (top, F.array(*map(F.lit, to)))])[order] if sent else F.lit(None).cast("array<int>")
-    copies = F.concat(F.array(F.struct(which.alias("range"), F.lit(False).alias("edge"))), F.coalesce(F.transform(extra, lambda r: F.struct(r.alias("range"), F.lit(True).alias("edge"))), F.array().cast("array<struct<range:int,edge:boolean>>")))
+    tops = {r["range"]: r["top"] for r in ids.select(_range_of(F.col("o"), points).alias("range"), "o").groupBy("range").agg(F.max("o").alias("top")).collect()}
+    # the top of a range also goes to the next range above it that has rows, the highest to the lowest
+    held = sorted(tops)
+    above = dict(zip(held, held[1:] + held[:1]))
+    every = range(max(held, default=0) + 1)
+    known = lambda table, kind: F.element_at(F.array(*[F.lit(table.get(r)).cast(kind) for r in every]), which + 1)
+    to = F.when(order == known(tops, "long"), known(above, "int"))
+    copies = F.filter(F.array(F.struct(which.alias("range"), F.lit(False).alias("edge")), F.struct(to.alias("range"), F.lit(True).alias("edge"))), lambda c: c["range"].isNotNull())
     rows = docs.select("doc_id", "text", order.alias("o"), F.xxhash64("text").alias("tie"), F.explode(copies).alias("c"))
     rows = rows.select("doc_id", "text", "o", "tie", "c.range", "c.edge")
-    return rows.repartition(count, "range").sortWithinPartitions("range", "edge", F.desc("o"), "tie"), count
+    return rows.repartitionById(count, "range").sortWithinPartitions("range", "edge", F.desc("o"), "tie")
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
@@ -170,14 +185,15 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     near_next, and common_prefix: the longest common extension of text and edit.
     Repeated rows repeat, each with its own next; an empty table gives no rows.
     """
-    rows, _ = with_next(docs)
+    rows = with_next(docs)
 
     def one(doc_id, points, near):
         # near: code points of the next document
         keep = len(points) - len(points) // 2
         edited = np.concatenate([points[:keep], near[: len(points) // 2]])
-        a, b, c = Prefixes(points), Prefixes(edited), Prefixes(near)
-        x, y, z = sketch(a), sketch(b), sketch(c)
+        z = sketch(Prefixes(near))
+        a, b = Prefixes(points), Prefixes(edited)
+        x, y = sketch(a), sketch(b)
         digest = hashlib.sha256(edited.tobytes().decode("utf-32-le").encode()).hexdigest()
         return doc_id, a.n, digest, fingerprint(a, x), fingerprint(b, y), likeness(x, y), likeness(x, z), common_extension(a, b)
 

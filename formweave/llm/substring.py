@@ -4,8 +4,11 @@ A window of WINDOW words that repeats contains a whole block of BLOCK words wher
 first copy is cut into consecutive blocks, if BLOCK is at most half of WINDOW.  So:
 
 1.  *Index and probe.*  Every text's non-overlapping blocks are reference blocks, and its
-    hashes of every rolling BLOCK words are probes.  Both meet in buckets by hash, and
-    positions where a probe meets a block of another document are hits.
+    hashes of every rolling BLOCK words are probes.  They meet within a chunk of texts
+    first, and then in buckets by hash; positions where a probe meets a block of another
+    document are hits.  Of what a chunk has settled only the smallest block and the largest
+    document of a hash go on to its bucket, so a passage that very many texts share is
+    some positions of each chunk there and not one of each text.
 2.  *Extend.*  Only windows around a hit can repeat.  Their hashes over all WINDOW words
     meet again in buckets, which find the smallest document of each; overlapping windows
     that repeat make up the maximal exact repeats.
@@ -29,12 +32,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import hashing as H
-from .common import as_bytes, cut, lean, semi_join, tidy
+from .common import as_bytes, cut, lean, semi_join, small_side, tidy
 
 U64 = np.uint64
 WINDOW, BLOCK = 50, 25
-#: Bytes of text hashed and packed together, and words dealt to one bucket.
-CHUNK, SHARE = 2 << 20, 1 << 21
+#: Bytes of text hashed and packed together, bytes whose probes meet before they are dealt
+#: to buckets, and words dealt to one bucket.
+CHUNK, MEETING, SHARE = 2 << 20, 4 << 20, 1 << 21
 
 
 def _ints(values: np.ndarray) -> bytes:
@@ -134,44 +138,78 @@ def word_texts(docs: DataFrame) -> DataFrame:
     return lean(docs).select("doc_id", "text").mapInArrow(tidy(build), "doc_id long, n_words long, whole string")
 
 
+def _met(doc: np.ndarray, pos: np.ndarray, start: np.ndarray, run: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of positions in runs of equal hashes: whether each is a hit (a probe that meets a
+    block of a smaller document, or a block that a probe of a larger one meets), whether it
+    is a block, and the smallest document of a block and the largest of all in its run."""
+    block = pos % BLOCK == 0
+    least = np.minimum.reduceat(np.where(block, doc, np.iinfo(np.int64).max), start)[run]
+    most = np.maximum.reduceat(doc, start)[run]
+    return (least < most) & ((doc > least) | (block & (doc < most))), block, least, most
+
+
 def _probes(docs: DataFrame, buckets: int) -> DataFrame:
-    """(bucket, packed): the hashes of every rolling BLOCK words of texts of a window or
-    more.  A position that is a multiple of BLOCK is a reference block."""
+    """Hashes of every rolling BLOCK words of texts of a window or more; a position that is
+    a multiple of BLOCK is a reference block.  Rows are bucket and packed, the hashes of a
+    bucket, or part (as bucket) and found, hits that a chunk has settled by itself."""
+    names, kinds = ["bucket", "packed", "found"], [pa.int32(), pa.binary(), pa.binary()]
+
+    def rows(hashes, doc, pos):
+        h, doc, pos = np.concatenate(hashes), np.concatenate(doc), np.concatenate(pos)
+        order, start, run = _runs(h)
+        d, p = doc[order], pos[order]
+        hit, block, least, most = _met(d, p, start, run)
+        hits = _to_docs(d[hit], p[hit], buckets)
+        # settled positions stay here, but for one that shows the run's block and one its largest document
+        first = np.zeros(len(d), bool)
+        for shows in (block & (d == least), d == most):
+            at = np.flatnonzero(shows)
+            first[at[np.unique(run[at], return_index=True)[1]]] = True
+        keep = np.sort(order[~hit | first])
+        dealt = list(_deal(((h[keep] >> U64(32)) % U64(buckets)).astype(np.int64 if buckets > 65535 else np.uint16), doc[keep], pos[keep], h[keep].astype(np.uint32)))
+        cells = [
+            [b for b, _ in dealt] + [r[0] for r in hits],
+            [_pack(*x) for _, x in dealt] + [None] * len(hits),
+            [None] * len(dealt) + [_pack(r[1], r[2]) for r in hits],
+        ]
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cells, kinds)], names=names)
 
     def build(batches):
+        hashes, doc, pos, size = [], [], [], 0
         for batch in batches:
             ids = batch.column("doc_id").to_pylist()
             for held in H.chunks(zip(ids, as_bytes(batch.column("text"))), CHUNK):
                 words, at = H.hash_words([t for _, t in held])
-                hashes, doc, pos = [], [], []
-                for j, (doc_id, _) in enumerate(held):
+                for j, (doc_id, text) in enumerate(held):
+                    size += len(text)
                     if at[j + 1] - at[j] >= WINDOW:
                         h = H.window_hashes(words[at[j] : at[j + 1]], BLOCK)
                         hashes.append(h)
                         doc.append(np.full(len(h), doc_id))
                         pos.append(np.arange(len(h)))
-                if hashes:
-                    h = np.concatenate(hashes)
-                    out = list(_deal(((h >> U64(32)) % U64(buckets)).astype(np.int64 if buckets > 65535 else np.uint16), np.concatenate(doc), np.concatenate(pos), h.astype(np.uint32)))
-                    yield pa.RecordBatch.from_arrays([pa.array([b for b, _ in out], pa.int32()), pa.array([_pack(*x) for _, x in out], pa.binary())], names=["bucket", "packed"])
+                if hashes and size >= MEETING:
+                    yield rows(hashes, doc, pos)
+                    hashes, doc, pos, size = [], [], [], 0
+        if hashes:
+            yield rows(hashes, doc, pos)
 
-    return lean(docs).select("doc_id", "text").mapInArrow(tidy(build), "bucket int, packed binary")
+    return lean(docs).select("doc_id", "text").mapInArrow(tidy(build), "bucket int, packed binary, found binary")
 
 
 def _hits(parts: int):
-    """Positions of probes that meet a reference block of a smaller document, and of blocks
-    that a probe of a larger document meets."""
+    """The hits of a bucket, by document, beside those that chunks have settled."""
 
     def run(bucket: pd.DataFrame) -> pd.DataFrame:
+        settled = bucket[bucket["packed"].isna()].rename(columns={"bucket": "part"})[["part", "found"]]
+        bucket = bucket[bucket["packed"].notna()]
+        if bucket.empty:
+            return settled
         doc, pos, value = _unpack_all(bucket["packed"])
         order, start, run = _runs(value)
         doc, pos = doc[order], pos[order]
-        block = pos % BLOCK == 0
-        least = np.minimum.reduceat(np.where(block, doc, np.iinfo(np.int64).max), start)[run]
-        most = np.maximum.reduceat(doc, start)[run]
-        hit = (least < most) & ((doc > least) | (block & (doc < most)))
+        hit = _met(doc, pos, start, run)[0]
         rows = _to_docs(doc[hit], pos[hit], parts)
-        return pd.DataFrame({"part": [r[0] for r in rows], "found": [_pack(r[1], r[2]) for r in rows]})
+        return pd.concat([settled, pd.DataFrame({"part": [r[0] for r in rows], "found": [_pack(r[1], r[2]) for r in rows]})])
 
     return run
 
@@ -294,7 +332,8 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     known = docs.filter("doc_id IS NOT NULL")
     lost = removals(known, facts.filter("doc_id IS NOT NULL")).withColumn("kept_sha256", F.sha2("kept", 256)).drop("kept").dropDuplicates(["doc_id", "whole"])
     least = facts.filter("doc_id IS NOT NULL").groupBy("whole").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).filter("least < most").drop("most")
-    out = facts.join(least, "whole", "left").join(lost, ["doc_id", "whole"], "left")
+    # texts that repeat are few beside all; while they are, a text of very many copies meets its own here
+    out = facts.join(small_side(cut(least), 1 << 18), "whole", "left").join(lost, ["doc_id", "whole"], "left")
     copy = (F.col("n_words") >= WINDOW) & (F.col("least") < F.col("doc_id"))
     removed = F.when(copy, F.col("n_words")).otherwise(F.coalesce("n_removed", F.lit(0)))
     digest = F.when(copy, F.sha2(F.lit(""), 256)).otherwise(F.coalesce("kept_sha256", "whole"))
