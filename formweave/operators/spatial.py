@@ -19,7 +19,7 @@ PAGE = ["doc_id", "page"]
 def section_asof(fields: DataFrame, sections: DataFrame, tolerance: float = 1e-6) -> DataFrame:
     """``fields`` with the last section (name) at or above its y; among equal y the one
     that is last by name."""
-    marks = sections.select(*PAGE, F.col("y1").alias("y"), F.col("name"), F.lit(0).alias("_field"), F.lit(None).cast("long").alias("field_no"))
+    marks = sections.select(*PAGE, F.col("y1").alias("y"), F.col("name"), F.lit(0).alias("_field"), F.lit(None).cast(fields.schema["field_no"].dataType).alias("field_no"))
     rows = fields.select(*PAGE, (F.col("y") + tolerance).alias("y"), F.lit(None).cast("string").alias("name"), F.lit(1).alias("_field"), "field_no")
     w = Window.partitionBy(*PAGE).orderBy("y", "_field", "name").rowsBetween(Window.unboundedPreceding, 0)
     filled = marks.unionByName(rows).withColumn("section", F.last("name", ignorenulls=True).over(w)).filter("_field = 1")
@@ -70,49 +70,63 @@ def nearest_label(slots: DataFrame, blocks: DataFrame, dy: float = 18, slack: fl
     row, give or take ``slack``; else the nearest above it that begins no further right, of
     equally near ones that with the smallest gap.  Blank blocks are no labels; ties go to
     the first block."""
-    b = blocks.filter(F.trim("text") != "").select(*PAGE, "block_no", "text", F.col("x0").alias("bx0"), F.col("x1").alias("bx1"), ((F.col("y0") + F.col("y1")) / 2).alias("bym"), F.col("y1").alias("by1"))
+    b = blocks.filter(F.trim("text") != "").select(*PAGE, "block_no", "text", F.col("x0").alias("bx0"), F.col("x1").alias("bx1"), ((F.col("y0") + F.col("y1")) / 2).alias("bym"), F.col("y0").alias("by0"), F.col("y1").alias("by1"))
     s = slots.select(*PAGE, "field_no", "x0", "y")
     gap = F.col("x0") - F.col("bx1")
     same = _banded(s, b, "y", "bym", dy, on=F.col("bx1") <= F.col("x0") + slack)
-    same = same.groupBy("field_no").agg(F.min_by("text", F.struct(gap, F.col("block_no"))).alias("same_row"))
+    same = same.groupBy("field_no").agg(F.min_by(_line("y"), F.struct(gap, F.col("block_no"))).alias("same_row"))
     over = _banded(s, b, "y", "by1", above, on=(F.col("by1") <= F.col("y")) & (F.col("bx0") <= F.col("x0")))
-    over = over.groupBy("field_no").agg(F.min_by("text", F.struct(F.col("y") - F.col("by1"), gap, F.col("block_no"))).alias("over"))
+    over = over.groupBy("field_no").agg(F.min_by(_line("y"), F.struct(F.col("y") - F.col("by1"), gap, F.col("block_no"))).alias("over"))
     out = s.join(same, "field_no", "left").join(over, "field_no", "left")
     return out.select("field_no", F.coalesce("same_row", "over").alias("label"), F.when(F.col("same_row").isNotNull(), "row").when(F.col("over").isNotNull(), "above").alias("how"))
 
 
 def overlap_above(slots: DataFrame, blocks: DataFrame, above: float = 36, least: float = 6, share: float = 0.1) -> DataFrame:
     """The nearest block above a slot (x0, x1, y) that overlaps it by ``least`` and by
-    ``share`` of the narrower width."""
-    b = blocks.select(*PAGE, "block_no", "text", F.col("x0").alias("bx0"), F.col("x1").alias("bx1"), F.col("y1").alias("by1"))
+    ``share`` of the narrower width; of equally near ones that with the smallest gap."""
+    b = blocks.filter(F.trim("text") != "").select(*PAGE, "block_no", "text", F.col("x0").alias("bx0"), F.col("x1").alias("bx1"), F.col("y0").alias("by0"), F.col("y1").alias("by1"))
     wide = F.least("x1", "bx1") - F.greatest("x0", "bx0")
-    narrow = F.least(F.col("x1") - F.col("x0"), F.col("bx1") - F.col("bx0"))
+    narrow = F.greatest(F.lit(1.0), F.least(F.col("x1") - F.col("x0"), F.col("bx1") - F.col("bx0")))
     hit = (F.col("by1") <= F.col("y")) & (wide >= least) & (wide >= share * narrow)
     found = _banded(slots.select(*PAGE, "field_no", "x0", "x1", "y"), b, "y", "by1", above, on=hit)
-    return found.groupBy("field_no").agg(F.min_by("text", F.struct(F.col("y") - F.col("by1"), F.col("block_no"))).alias("label"))
+    return found.groupBy("field_no").agg(F.min_by(_line("y"), F.struct(F.col("y") - F.col("by1"), F.col("x0") - F.col("bx1"), F.col("block_no"))).alias("label"))
 
 
-def checkbox_label(boxes: DataFrame, blocks: DataFrame, dy: float = 18) -> DataFrame:
+def checkbox_label(boxes: DataFrame, blocks: DataFrame, dy: float = 18, slack: float = 0) -> DataFrame:
     """The label of a checkbox: the nearest block on its right, else on its left, by the
-    sum of vertical distance and gap."""
-    b = blocks.select(*PAGE, "block_no", "text", F.col("x0").alias("bx0"), F.col("x1").alias("bx1"), ((F.col("y0") + F.col("y1")) / 2).alias("bym"))
+    sum of vertical distance and gap.  A block may reach ``slack`` into the box."""
+    b = blocks.filter(F.trim("text") != "").select(*PAGE, "block_no", "text", F.col("x0").alias("bx0"), F.col("x1").alias("bx1"), ((F.col("y0") + F.col("y1")) / 2).alias("bym"), F.col("y0").alias("by0"), F.col("y1").alias("by1"))
     pairs = _banded(boxes.select(*PAGE, "field_no", "x0", "x1", "cy"), b, "cy", "bym", dy)
-    right, left = F.col("bx0") >= F.col("x1"), F.col("bx1") <= F.col("x0")
-    score = lambda gap: F.struct(F.abs(F.col("cy") - F.col("bym")) + gap, F.col("block_no"))
+    right, left = F.col("bx0") >= F.col("x1") - slack, F.col("bx1") <= F.col("x0") + slack
+    score = lambda gap: F.struct(F.abs(F.col("cy") - F.col("bym")) + F.greatest(gap, F.lit(0.0)), F.col("block_no"))
     found = pairs.groupBy("field_no").agg(
-        F.min_by("text", F.when(right, score(F.col("bx0") - F.col("x1")))).alias("right"),
-        F.min_by("text", F.when(left, score(F.col("x0") - F.col("bx1")))).alias("left"),
+        F.min_by(_line("cy"), F.when(right, score(F.col("bx0") - F.col("x1")))).alias("right"),
+        F.min_by(_line("cy"), F.when(left, score(F.col("x0") - F.col("bx1")))).alias("left"),
     )
     return found.select("field_no", F.coalesce("right", "left").alias("label"))
 
 
+def line_label(slots: DataFrame, lines: DataFrame, dy: float = 36, pad: float = 28) -> DataFrame:
+    """The label of a typed blank: the nearest line (text, x0, x1, y_mid) of another height
+    or place that is no blank itself, by vertical distance and then by how far apart they
+    begin; a line that ends more than ``pad`` left of the blank is too far."""
+    other = lines.filter(~F.col("text").rlike("_{3,}") & (F.trim("text") != "")).select(*PAGE, "line_no", "text", F.col("x0").alias("lx0"), F.col("x1").alias("lx1"), F.col("y_mid").alias("ly"))
+    near = _banded(slots.select(*PAGE, "field_no", "x0", "y"), other, "y", "ly", dy + 1, on=(F.abs(F.col("y") - F.col("ly")) <= dy) & (F.col("lx1") >= F.col("x0") - pad))
+    return near.groupBy("field_no").agg(F.min_by(F.trim("text"), F.struct(F.abs(F.col("y") - F.col("ly")), F.abs(F.col("lx0") - F.col("x0")), F.col("line_no"))).alias("label"))
+
+
 def line_in_block(c, part: Column) -> Column:
-    """The line of a block at a relative height: the first in its upper third, the last in
-    its lower third, else the one at the height."""
-    lines = F.filter(F.split(c, "\n"), lambda x: F.trim(x) != "")
-    n = F.size(lines)
-    at = F.when(part <= 1 / 3, 1).when(part >= 2 / 3, n).otherwise(F.least(n, F.floor(part * n).cast("int") + 1))
-    return F.when(n > 0, F.try_element_at(lines, at))
+    """The line of a block that a height belongs to, from 0 at its top to 1 at its bottom: of
+    its lines with text the first down to 0.33 and the last from 0.66 on; between these the
+    last from the middle on, else the first.  A block without height gives its last."""
+    lines = F.filter(F.transform(F.split(c, r"[\r\n]+"), T.trim_all), lambda x: x != "")
+    first = (part <= 0.33) | ((part < 0.66) & (part < 0.5))
+    return F.when(F.size(lines) > 0, F.when(F.coalesce(first, F.lit(False)), F.get(lines, 0)).otherwise(F.element_at(lines, -1)))
+
+
+def _line(y: str) -> Column:
+    """The line of a block (text, by0, by1) at ``y``."""
+    return line_in_block(F.col("text"), F.when(F.col("by1") > F.col("by0"), (F.col(y) - F.col("by0")) / (F.col("by1") - F.col("by0"))))
 
 
 def clusters(spans: DataFrame, gap: float = 35, keys: tuple = ("doc_id", "page", "line_no")) -> DataFrame:

@@ -9,6 +9,7 @@ from ..functions import text as T
 from ..operators import discovery as D
 from ..operators import scans as C
 from ..operators import spatial as P
+from .fill_plan import fill_plan
 from .base import given, query, table
 
 B = "(SELECT *, (y0 + y1) / 2 AS ym FROM {blocks} q)"
@@ -40,7 +41,7 @@ def nearest_label(spark, d):
     return P.nearest_label(given(spark, d, "slots"), given(spark, d, "blocks").withColumn("text", F.when(F.col("block_no") % 5 == 0, " ").otherwise(F.col("text"))))
 
 
-@query("horiz_overlap", f"SELECT s.field_no, arg_min(b.text, row(s.y - b.y1, b.block_no)) AS label FROM {{slots}} s JOIN {{blocks}} b ON {ON} AND b.y1 <= s.y AND s.y - b.y1 < 36 AND least(s.x1, b.x1) - greatest(s.x0, b.x0) >= greatest(6, 0.1 * least(s.x1 - s.x0, b.x1 - b.x0)) GROUP BY 1")
+@query("horiz_overlap", f"SELECT s.field_no, arg_min(b.text, row(s.y - b.y1, s.x0 - b.x1, b.block_no)) AS label FROM {{slots}} s JOIN {{blocks}} b ON {ON} AND b.y1 <= s.y AND s.y - b.y1 < 36 AND least(s.x1, b.x1) - greatest(s.x0, b.x0) >= greatest(6, 0.1 * least(s.x1 - s.x0, b.x1 - b.x0)) GROUP BY 1")
 def horiz_overlap(spark, d):
     """The nearest block above that overlaps."""
     return P.overlap_above(given(spark, d, "slots"), given(spark, d, "blocks"))
@@ -190,18 +191,23 @@ def longest_run(spark, d):
     return P.longest_run(runs.select(every["l_orderkey"].alias("par_no"), "run_no", F.when(F.col("_f") & (F.col("run_no") != 3), "_____").otherwise("x").alias("text")))
 
 
-@query("line_in_block", "SELECT p_partkey, CASE p_partkey % 3 WHEN 0 THEN 'first' WHEN 1 THEN 'middle' ELSE 'last' END AS line FROM part")
+@query("line_in_block", "SELECT p_partkey, CASE WHEN h <= 0.33 OR (h < 0.66 AND h < 0.5) THEN p_name ELSE p_type END AS line FROM (SELECT *, (p_size % 11) / 10.0 AS h FROM part)")
 def line_in_block(spark, d):
-    """The line of a block at a height."""
-    part = (F.col("p_partkey") % 3) / 2.0
-    return table(spark, d, "part").select("p_partkey", P.line_in_block(F.lit("first\nmiddle\n\nlast"), part).alias("line"))
+    """The line of a block of several at a height."""
+    block = F.concat_ws("\n", "p_name", F.lit("  "), "p_brand", "p_type")
+    return table(spark, d, "part").select("p_partkey", P.line_in_block(block, (F.col("p_size") % 11) / 10.0).alias("line"))
 
 
-@query("header_shape", "SELECT p_partkey, p_partkey % 2 = 0 AS header FROM part")
+@query(
+    "header_shape",
+    """SELECT p_partkey, NOT regexp_matches(t, '[0-9]') AND n BETWEEN 1 AND 7 AND abs((x0 + x1) / 2 - 500) <= 250 AND (starts / n >= 0.55 AND (x1 - x0) / 1000 >= 0.55 OR t LIKE '%:') AS header FROM (
+    SELECT *, len(w) AS n, len(list_filter(w, lambda x: regexp_matches(x, '^[A-Z]'))) AS starts, p_size * 10.0 AS x0, p_size * 10.0 + p_partkey % 9 * 100 AS x1 FROM (
+    SELECT *, string_split(t, ' ') AS w FROM (SELECT *, CASE p_partkey % 4 WHEN 0 THEN p_name WHEN 1 THEN p_type ELSE upper(p_type[1]) || lower(p_type[2:]) END || CASE WHEN p_partkey % 5 = 0 THEN ':' ELSE '' END AS t FROM part)))""",
+)
 def header_shape(spark, d):
     """Headers by their text and place on the page."""
-    x0 = F.when(F.col("p_partkey") % 2 == 0, 100.0).otherwise(0.0)
-    return table(spark, d, "part").select("p_partkey", T.is_header_by_shape(F.lit("Investor Details"), x0, F.lit(500.0), F.lit(0.0), F.lit(600.0) + F.when(F.col("p_partkey") % 2 == 0, 0.0).otherwise(900.0)).alias("header"))
+    x = table(spark, d, "part").selectExpr("p_partkey", "CASE p_partkey % 4 WHEN 0 THEN p_name WHEN 1 THEN p_type ELSE upper(left(p_type, 1)) || lower(substr(p_type, 2)) END || CASE WHEN p_partkey % 5 = 0 THEN ':' ELSE '' END AS label", "p_size * 10D AS x0", "p_size * 10D + p_partkey % 9 * 100 AS x1")
+    return x.select("p_partkey", T.is_header_by_shape("label", "x0", "x1", F.lit(0.0), F.lit(1000.0)).alias("header"))
 
 
 @query("forward_fill", "SELECT doc_id, block_no, coalesce(last_value(CASE WHEN kind = 'error' THEN text END IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY block_no), '') AS section FROM {stream} q")
@@ -289,9 +295,7 @@ def line_suppression(spark, d):
     return C.suppress(given(spark, d, "slots"), given(spark, d, "blocks").withColumn("y", F.col("y1"))).select("field_no")
 
 
-@query("discover_pdf")
-def discover_pdf(spark, d):
-    """Fields of a page by all detectors, numbered."""
+def _discovered(spark, d):
     blocks, spans = given(spark, d, "blocks"), given(spark, d, "spans")
     words = spans.withColumn("text", F.when(F.col("span_no") == 3, "_____").when(F.col("span_no") == 1, "Label:").otherwise(F.col("text")))
     segments = given(spark, d, "slots").select("doc_id", "page", "x0", F.lit(80.0).alias("len"), (F.col("x0") + 80).alias("x1"), F.col("y").alias("y0"), F.col("y").alias("y1"))
@@ -306,7 +310,25 @@ def discover_pdf(spark, d):
         D.underscores(words), D.underlines(segments), D.dropdowns(wide, arrows), D.shallow_boxes(wide), D.right_gaps(lines),
         D.right_gaps(words), D.right_gaps(words, False), D.checkboxes(boxes), D.widgets(widgets),
     ]
-    return D.discover(passes).select("doc_id", "page", "emit_no", "placement")
+    found = D.discover(passes)
+    text = P.line_envelopes(words)
+    sections = P.section_marks(text.withColumn("text", F.when(F.col("line_no") == 0, F.concat(F.lit("SECTION "), "doc_id", F.lit(":"))).otherwise(F.lower("text"))))
+    return D.label_fields(found, lines, text, spans, sections)
+
+
+@query("discover_pdf")
+def discover_pdf(spark, d):
+    """Fields of a page by all detectors, with their labels, sections and indexes."""
+    return _discovered(spark, d)
+
+
+@query("discover_and_fill")
+def discover_and_fill(spark, d):
+    """From a page to the plan: fields as they are found, filled from a sheet of their labels."""
+    found = _discovered(spark, d).withColumn("field_no", F.xxhash64("doc_id", "emit_no"))
+    # what a form's owner writes in for every third part whose number the page shows
+    sheet = table(spark, d, "part").filter("p_partkey % 3 = 0").selectExpr("p_partkey AS row_no", "'' AS Section", "'block ' || p_partkey AS Field", "p_name AS Value")
+    return fill_plan(sheet, found, None).join(found.select("field_no", "doc_id", "emit_no"), "field_no").drop("field_no")
 
 
 @query("discover_docx")
