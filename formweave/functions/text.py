@@ -226,8 +226,9 @@ def index_or_one(c) -> Column:
     return F.coalesce(F.nullif(_c(c), F.lit(0)), F.lit(1)).cast("long")
 
 
-def positive_page(c) -> Column:
-    return F.when(_c(c) > 0, _c(c))
+def positive_page(c, otherwise=None) -> Column:
+    """A page from 1 on; any other is ``otherwise``, null or, in one of the forms, 0."""
+    return F.when(_c(c) > 0, _c(c)).otherwise(F.lit(otherwise))
 
 
 def title(label_short, label, least: int = 6) -> Column:
@@ -339,6 +340,7 @@ def is_short_option(c, most_words: int = 5) -> Column:
 def is_option_label(c) -> Column:
     """An option rather than a label of data entry."""
     t = trim_all(c)
+    # fixed value: the one option that is longer than options are
     report = F.lower(t).rlike(r"\bannual\s*\(audited\)\s*/\s*quarterly\s*\(unaudited\)\s*financial\s*statements\b")
     fits = (F.length(t) <= 140) & (n_words(t) <= 16) & ~F.lower(t).isin(*ENTRY_LABELS)
     return (t != "") & ~t.endswith(":") & (report | fits)
@@ -375,6 +377,7 @@ def is_label_like(c, stop: tuple = ()) -> Column:
 def is_checkbox_sentence(c) -> Column:
     t = collapse(c)
     long = (F.length(t) >= 24) | (n_words(t) >= 6)
+    # fixed values: what sentences beside a checkbox say
     return ~t.rlike(rf"[{COLONS}]\s*$") & long & (t.rlike(r"^\([a-z]\)\s") | _any(F.lower(t), ("tick if applicable", "benefit plan investor", "plan investor", "tick if")))
 
 

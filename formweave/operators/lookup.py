@@ -87,6 +87,18 @@ def sanitize(df: DataFrame) -> DataFrame:
     return rows.agg(F.coalesce(first, F.lit("")).alias("value"), F.array_join(choices, " | ").alias("choices"), F.count("*").alias("n"))
 
 
+def page_counts(fields: DataFrame) -> DataFrame:
+    """Fields and different sections of each page."""
+    return fields.groupBy("page").agg(F.count("*").alias("n"), F.count_distinct("section").alias("sections"))
+
+
+def sections_by_page(fields: DataFrame, order: str = "emit_no") -> DataFrame:
+    """page and its sections (array) in order of their first field; aggregated before they
+    are listed, so a list is as long as a page has sections."""
+    first = fields.groupBy("page", "section").agg(F.min(order).alias("first"))
+    return first.groupBy("page").agg(F.transform(F.array_sort(F.collect_list(F.struct("first", "section"))), lambda x: x["section"]).alias("sections"))
+
+
 def value_maps(df: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Values by (section, field, idx) and by (field, idx), where the last row wins, and
     by (field, idx) where the first does."""

@@ -17,21 +17,16 @@ def occurrence(df: DataFrame, keys: list[str], order: str = "emit_no", name: str
 
 def forced_occurrence(df: DataFrame, keys: list[str], forced: str = "forced", order: str = "emit_no") -> DataFrame:
     """As ``occurrence``, but a forced index is taken as it is and the count goes on from
-    the larger of it and the count so far.  Sequential within a key."""
-    schema = df.withColumn("idx", F.lit(0).cast("long")).schema
+    the larger of it and the count so far.
 
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows, at, out = rows.sort_values(order), 0, []
-        for f in rows[forced]:
-            if pd.isna(f):
-                at += 1
-                out.append(at)
-            else:
-                at = max(at, int(f))
-                out.append(int(f))
-        return rows.assign(idx=out)
-
-    return df.groupBy(*keys).applyInPandas(run, schema)
+    With u rows so far that are not forced, the count is u plus what forced rows have added,
+    and that is the largest of their f - u: two windows in one order.
+    """
+    w = Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    free = F.sum(F.when(F.col(forced).isNull(), 1).otherwise(0)).over(w)
+    rows = df.withColumn("_u", free)
+    ahead = F.greatest(F.lit(0), F.max(F.col(forced) - F.col("_u")).over(w))
+    return rows.withColumn("idx", F.coalesce(F.col(forced), F.col("_u") + ahead).cast("long")).drop("_u")
 
 
 def explicit_index(visits: DataFrame, lookup: DataFrame, keys: list[str], order: str = "emit_no", index: str = "Index", loose: tuple[str, ...] = (), within: tuple[str, ...] = ()) -> DataFrame:

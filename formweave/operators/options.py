@@ -77,16 +77,35 @@ def two_labels(c) -> Column:
     return F.when(F.size(gap) == 2, gap).when(twice, F.array(first, second)).otherwise(turn)
 
 
-def fused_options(c, before: str = r"(?=Capital \()") -> Column:
-    """Options that run into each other, split before a known beginning."""
-    return F.filter(F.transform(F.split(c, before), lambda p: F.trim(p)), lambda p: p != "")
+# Fixed value: two options that one form prints without anything between them.
+FUSED = r"(?i)^(Account statements)\s+(Annual\s*\(audited\)\s*/\s*quarterly\s*\(unaudited\)\s*financial\s*statements)$"
+
+
+def fused_options(c) -> Column:
+    """Options that run into each other: the two known phrases, else what stands before and
+    after the gap in front of a capitalised word with a parenthesis, if both have two words
+    or more; otherwise the one option."""
+    c = F.col(c) if isinstance(c, str) else c
+    t = F.trim(c)
+    halves = F.split(t, r"\s+(?=[A-Z][a-z]+\s*\()", 2)
+    two = (F.size(halves) == 2) & (T.n_words(F.get(halves, 0)) >= 2) & (T.n_words(F.get(halves, 1)) >= 2)
+    known = F.array(F.trim(F.regexp_extract(t, FUSED, 1)), F.trim(F.regexp_extract(t, FUSED, 2)))
+    return F.when(t.rlike(FUSED), known).when(two, F.transform(halves, F.trim)).otherwise(F.array(t))
+
+
+#: Most groups of options; all of them are sent to every task.
+GROUPS = 10000
 
 
 def group_rows(fields: DataFrame, groups: DataFrame) -> DataFrame:
     """Replaces a field that names all options of a group, in order, by its options.
 
     ``groups`` has labels (array); one group matches a field at most: the first by name.
+    Every field is held against every group, so groups are those of a form: more than
+    GROUPS are an error.
     """
+    if groups.limit(GROUPS + 1).count() > GROUPS:
+        raise ValueError(f"more than {GROUPS} groups")
     key = F.array_join(F.transform("labels", T.norm_key), "")
     pattern = F.concat(F.lit("(?s)^.*"), F.array_join(F.transform("labels", lambda x: F.concat(F.lit("\\Q"), T.norm_key(x), F.lit("\\E"))), ".*"), F.lit(".*$"))
     groups = groups.filter(F.size("labels") >= 2).select("labels", key.alias("_key"), pattern.alias("_pattern"))
@@ -201,7 +220,7 @@ def samecell_labels(paragraphs: DataFrame) -> DataFrame:
     """Labels of cells that hold label and blank: a paragraph before a placeholder, the
     text left of an inline blank, else the first line with a letter or digit."""
     w = Window.partitionBy("doc_id", "cell_no").orderBy("par_no")
-    inline = F.trim(F.regexp_extract("text", r"^(.*?\w.*?)\s*_{3,}", 1))
+    inline = F.trim(F.regexp_extract("text", r"^(.*?[^\W_].*?)\s*_{3,}", 1))
     label = F.when(T.is_placeholder_text(F.lead("text").over(w)) & F.lead("text").over(w).isNotNull() & ~T.is_placeholder_text("text"), T.strip_colons("text")).when(inline != "", T.strip_colons(inline))
     rows = paragraphs.withColumn("_label", label).withColumn("_any", F.when(F.col("text").rlike(r"\w"), T.strip_colons("text")))
     first = lambda c: F.min_by(c, F.when(F.col(c).isNotNull(), F.col("par_no")))

@@ -114,17 +114,30 @@ def resolve_checkbox(fields: DataFrame, lookup: DataFrame) -> DataFrame:
     return resolve(fields, lookup, weights=BOX_WEIGHTS)
 
 
-def resolve_contact(fields: DataFrame, lookup: DataFrame) -> DataFrame:
+def resolve_contact(fields: DataFrame, lookup: DataFrame, fuzzy: float | None = None) -> DataFrame:
     """Fields of a section ``contact N``: that section or the index N or the field's own;
-    of several indexes the field's, N, and 1 are taken in that order."""
+    of several indexes the field's, N, and 1 are taken in that order.
+
+    With ``fuzzy``, a label that the sheet lacks goes by the most similar one that shares a
+    word; of its rows only those of the same section count, and if any of them has an index
+    it must be the field's, N or 1.
+    """
     n = F.regexp_extract("section_norm", r"^contact (\d+)$", 1)
     mine = fields.withColumn("contact", F.when(n != "", n.cast("long"))).filter("contact IS NOT NULL")
     rows = lookup.select("row_no", "field_norm", F.col("section_norm").alias("l_section"), F.col("Index").alias("l_index"), F.col("Value").alias("value"))
-    hit = (F.col("l_section") == F.col("section_norm")) | F.col("l_index").isin(F.col("contact"), F.col("occ"))
+    inside = F.col("l_section") == F.col("section_norm")
+    hit = inside | F.col("l_index").isin(F.col("contact"), F.col("occ"))
     rank = F.when(F.col("l_index").eqNullSafe(F.col("occ")), 0).when(F.col("l_index").eqNullSafe(F.col("contact")), 1).when(F.col("l_index") == 1, 2).when(F.col("l_index").isNull(), 3)
-    found = mine.join(rows, F.col("label_norm") == F.col("field_norm")).filter(hit).withColumn("_rank", rank).filter("_rank IS NOT NULL")
-    first = Window.partitionBy("field_no").orderBy(F.desc(F.col("l_section") == F.col("section_norm")), "_rank", "row_no")
-    return found.withColumn("_n", F.row_number().over(first)).filter("_n = 1").select("field_no", "row_no", "value")
+    found = mine.join(rows, F.col("label_norm") == F.col("field_norm")).filter(hit).withColumn("_rank", rank)
+    if fuzzy is not None:
+        match = best_labels(mine, lookup, fuzzy, overlap=True).select(F.col("label_norm").alias("_l"), "matched")
+        near = mine.join(match, F.col("label_norm") == F.col("_l")).drop("_l").join(rows, F.col("matched") == F.col("field_norm")).drop("matched").filter(inside)
+        some = F.max(F.col("l_index").isNotNull()).over(Window.partitionBy("field_no"))
+        near = near.withColumn("_some", some).filter(~F.col("_some") | F.col("l_index").isin(F.col("contact"), F.col("occ"), 1)).drop("_some")
+        # whichever of the three it is, an index counts the same
+        found = found.unionByName(near.withColumn("_rank", F.when(F.col("l_index").isNotNull(), 0).otherwise(3)))
+    first = Window.partitionBy("field_no").orderBy(F.desc(inside), "_rank", "row_no")
+    return found.filter("_rank IS NOT NULL").withColumn("_n", F.row_number().over(first)).filter("_n = 1").select("field_no", "row_no", "value")
 
 
 def only_value(fields: DataFrame, lookup: DataFrame) -> DataFrame:

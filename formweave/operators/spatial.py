@@ -26,15 +26,31 @@ def section_asof(fields: DataFrame, sections: DataFrame, tolerance: float = 1e-6
     return filled.select(*PAGE, "field_no", "section")
 
 
-def section_marks(lines: DataFrame, expected: DataFrame | None = None, large: DataFrame | None = None) -> DataFrame:
-    """Section headings of positioned lines (text, y_mid, max_size): by their text, by a
-    size of at least the page's 80th percentile, and by likeness to an expected section.
-    One for each name and y to one decimal."""
+def section_marks(lines: DataFrame, expected: DataFrame | None = None, large: DataFrame | None = None, width: float | None = None) -> DataFrame:
+    """Section headings of positioned lines (text, y_mid, max_size): with the ``width`` of a
+    page and the lines' x0 and x1 by their shape, and by their text, by a size of at least
+    the page's 80th percentile, and by likeness to an expected section.  One for each name
+    and y to one decimal.
+
+    By shape a heading has no digit and at most 16 words, apart from a parenthesis at its
+    end, and takes 0.45 of the page or has half of its words capitalised.
+    """
     size = large if large is not None else font_size(lines)
     rows = lines.withColumn("name_norm", T.section_key("text")).filter("name_norm <> ''")
-    passes = [rows.filter(T.is_heading_relaxed("text")), rows.join(size, PAGE).filter("max_size >= p80").drop("p80")]
+    passes = []
+    if width is not None:
+        core = T.strip_trailing_paren(T.collapse("text"))
+        words = T.words(core)
+        titles = F.size(F.filter(words, lambda w: F.substring(w, 1, 1).rlike(r"\p{Lu}"))) >= 0.5 * F.size(words)
+        wide = (F.col("x1") - F.col("x0")) / width >= 0.45
+        passes.append(rows.filter(~core.rlike(r"(?U)\d") & F.size(words).between(1, 16) & (wide | titles)).withColumn("name_norm", T.section_key(core)).filter("name_norm <> ''"))
+    passes += [rows.filter(T.is_heading_relaxed("text")), rows.join(size, PAGE).filter("max_size >= p80").drop("p80")]
     if expected is not None:
-        pairs = rows.select("name_norm").distinct().join(F.broadcast(expected.select("section_norm")), 2 * F.least(F.length("name_norm"), F.length("section_norm")) >= 0.82 * (F.length("name_norm") + F.length("section_norm")))
+        names = expected.select("section_norm").filter("section_norm <> ''").distinct()
+        near = 2 * F.least(F.length("name_norm"), F.length("section_norm")) >= 0.82 * (F.length("name_norm") + F.length("section_norm"))
+        # names that are alike have lengths that are; they meet by the lengths that allow it
+        span = F.sequence(F.floor(F.length("section_norm") * 0.82 / 1.18).cast("int"), F.ceil(F.length("section_norm") * 1.18 / 0.82).cast("int"))
+        pairs = rows.select("name_norm").distinct().withColumn("_n", F.length("name_norm")).join(names.withColumn("_n", F.explode(span)), "_n").filter(near)
         alike = pairs.filter(S.sm_ratio("name_norm", "section_norm") >= 0.82).select("name_norm").distinct()
         passes.append(rows.join(alike, "name_norm", "left_semi"))
     found = None
@@ -258,9 +274,11 @@ def page_bounds(lines: DataFrame) -> DataFrame:
 
 
 def line_envelopes(spans: DataFrame) -> DataFrame:
-    """Lines from spans: box, mean y, largest size and text from left to right."""
+    """Lines from spans: box, mean y, largest size and text from left to right.  Lines of
+    different blocks (block_no, if there) are different lines."""
+    keys = ["doc_id", "page", *(["block_no"] if "block_no" in spans.columns else []), "line_no"]
     text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("x0", "span_no", "text"))), lambda x: x["text"]), " ")
-    return spans.groupBy("doc_id", "page", "line_no").agg(F.min("x0").alias("x0"), F.max("x1").alias("x1"), F.avg((F.col("y0") + F.col("y1")) / 2).alias("y_mid"), F.max("size").alias("max_size"), text.alias("text"))
+    return spans.groupBy(*keys).agg(F.min("x0").alias("x0"), F.max("x1").alias("x1"), F.avg((F.col("y0") + F.col("y1")) / 2).alias("y_mid"), F.max("size").alias("max_size"), text.alias("text"))
 
 
 def longest_run(runs: DataFrame) -> DataFrame:

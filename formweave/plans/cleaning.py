@@ -267,14 +267,13 @@ def simple_sheet(spark, d):
 @query("page_counts", "SELECT page, count(*) AS n, count(DISTINCT section) AS sections FROM {visits} v GROUP BY 1")
 def page_counts(spark, d):
     """Fields and sections by page."""
-    return given(spark, d, "visits").groupBy("page").agg(F.count("*").alias("n"), F.count_distinct("section").alias("sections"))
+    return L.page_counts(given(spark, d, "visits"))
 
 
 @query("sections_by_page", "SELECT page, array_to_string(list(section ORDER BY first), ',') AS sections FROM (SELECT page, section, min(emit_no) AS first FROM {visits} v GROUP BY 1, 2) GROUP BY 1")
 def sections_by_page(spark, d):
-    """Sections of a page in order of their first field; aggregated before they are listed."""
-    first = given(spark, d, "visits").groupBy("page", "section").agg(F.min("emit_no").alias("first"))
-    return first.groupBy("page").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("first", "section"))), lambda x: x["section"]), ",").alias("sections"))
+    """Sections of a page in order of their first field."""
+    return L.sections_by_page(given(spark, d, "visits")).withColumn("sections", F.array_join("sections", ","))
 
 
 @query("occurrence_idx", "SELECT emit_no, row_number() OVER (PARTITION BY page, section, label ORDER BY emit_no) AS idx FROM {visits} v")
@@ -288,7 +287,13 @@ def occurrence_any_page(spark, d):
     return O.occurrence(given(spark, d, "visits"), ["section", "label"]).select("emit_no", "idx")
 
 
-@query("occurrence_forced")
+@query(
+    "occurrence_forced",
+    """WITH RECURSIVE v AS MATERIALIZED (SELECT emit_no, label, CASE WHEN emit_no % 7 = 0 THEN emit_no % 5 + 1 END AS f, row_number() OVER (PARTITION BY label ORDER BY emit_no) AS n FROM {visits} x),
+    g AS (SELECT label, n, emit_no, coalesce(f, 1) AS cur, coalesce(f, 1) AS idx FROM v WHERE n = 1
+      UNION ALL SELECT g.label, v.n, v.emit_no, CASE WHEN v.f IS NULL THEN cur + 1 ELSE greatest(cur, v.f) END, CASE WHEN v.f IS NULL THEN cur + 1 ELSE v.f END FROM g JOIN (SELECT * FROM v) v ON v.label = g.label AND v.n = g.n + 1)
+    SELECT emit_no, label, CAST(idx AS BIGINT) AS idx FROM g""",
+)
 def occurrence_forced(spark, d):
     """Occurrences where some rows force their index."""
     rows = given(spark, d, "visits").select("emit_no", "label", F.when(F.col("emit_no") % 7 == 0, F.col("emit_no") % 5 + 1).alias("forced"))

@@ -171,13 +171,22 @@ def export_sort(spark, d):
     return rows.select("row_no", *[_numbered(rows, by) for by in ("page", "folded", "section")])
 
 
-@query("row_matrix")
+@query(
+    "row_matrix",
+    """WITH b AS (SELECT *, max(CASE WHEN col_no = 0 THEN text END) OVER w AS l, count(*) FILTER (text = '' AND col_no > 0) OVER w AS n FROM {cells} q WHERE row_no > 0 WINDOW w AS (PARTITION BY doc_id, table_no, row_no))
+    SELECT b.doc_id, b.table_no, b.row_no, CASE WHEN n >= 2 THEN h.text ELSE l END AS label, CASE WHEN n >= 2 THEN l ELSE '' END AS section FROM b JOIN (SELECT * FROM {cells} q WHERE row_no = 0 AND col_no > 0) h ON b.doc_id = h.doc_id AND b.table_no = h.table_no AND b.col_no = h.col_no WHERE b.text = '' AND b.col_no > 0""",
+)
 def row_matrix(spark, d):
     """Rows of checkboxes under a header."""
     return scans.row_matrix(given(spark, d, "cells"))
 
 
-@query("matrices")
+@query(
+    "matrices",
+    """WITH p AS MATERIALIZED (SELECT doc_id, table_no, row_no, count(*) FILTER (text <> '') AS labels, bool_and(text = '') AS blank FROM {cells} q GROUP BY 1, 2, 3)
+    SELECT h.doc_id, h.table_no, h.row_no, count(*) AS n_rows FROM p h JOIN p r ON r.doc_id = h.doc_id AND r.table_no = h.table_no AND r.row_no > h.row_no
+    WHERE h.labels >= 2 AND (SELECT count(*) FROM p x WHERE x.doc_id = h.doc_id AND x.table_no = h.table_no AND x.row_no > h.row_no AND x.row_no <= r.row_no AND x.blank) = r.row_no - h.row_no GROUP BY 1, 2, 3""",
+)
 def matrices(spark, d):
     """Tables under a row of short labels, with their blank rows."""
     return scans.matrices(given(spark, d, "cells"))

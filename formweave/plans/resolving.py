@@ -253,3 +253,24 @@ def fill_passes(spark, d):
     x = table(spark, d, "orders").selectExpr("o_custkey AS target", "o_orderkey AS emit_no", "CASE WHEN o_orderkey % 7 = 0 THEN '' ELSE o_orderpriority END AS value")
     offers = {n: x.filter(F.col("emit_no") % 3 == i) for i, n in enumerate(("placeholders", "underlines", "tables"))}
     return passes.first_pass(offers)
+
+
+# Paragraphs of forms: a blank after a label, a box beside one, a placeholder, a bare label.
+PARAS = """(SELECT user_id AS doc_id, event_id AS block_no, CASE event_type WHEN 'click' THEN 'Name ' || event_id % 7 || ': ______' WHEN 'view' THEN '[ ] agree ' || event_id % 5 WHEN 'error' THEN 'dear {{ city }} of ' || event_id ELSE 'Town ' || event_id % 3 END AS text, event_type AS kind FROM events)"""
+
+
+@query(
+    "document_fill",
+    f"""WITH p AS (SELECT *, CASE kind WHEN 'click' THEN 'name ' || block_no % 7 WHEN 'view' THEN 'agree ' || block_no % 5 WHEN 'error' THEN '' ELSE 'town ' || block_no % 3 END AS label FROM {PARAS}),
+    k AS (SELECT *, row_number() OVER (PARTITION BY doc_id, label ORDER BY block_no) AS n FROM p)
+    SELECT doc_id, block_no AS place, CASE kind WHEN 'click' THEN 'underlines' WHEN 'view' THEN 'checkboxes' WHEN 'error' THEN 'placeholders' ELSE 'last_chance' END AS pass,
+    CASE kind WHEN 'click' THEN 'Name ' || block_no % 7 || ': N' || block_no % 7 WHEN 'view' THEN (CASE WHEN block_no % 5 % 2 = 0 THEN '☑' ELSE '☐' END) || ' agree ' || block_no % 5 WHEN 'error' THEN 'dear Rome of ' || block_no ELSE 'Town ' || block_no % 3 || ' T' || block_no % 3 END AS text
+    FROM k WHERE kind IN ('click', 'view', 'error') OR n = 1""",
+)
+def document_fill(spark, d):
+    """A document's paragraphs filled pass by pass, and the last chance after them."""
+    blocks = table(spark, d, "events").selectExpr("user_id AS doc_id", "event_id AS block_no", "'para' AS kind", "CASE event_type WHEN 'click' THEN 'Name ' || event_id % 7 || ': ______' WHEN 'view' THEN '[ ] agree ' || event_id % 5 WHEN 'error' THEN 'dear {{ city }} of ' || event_id ELSE 'Town ' || event_id % 3 END AS text")
+    cells = spark.createDataFrame([], "doc_id long, table_no long, row_no long, col_no long, text string")
+    rows = [(f"Name {i}", f"N{i}") for i in range(7)] + [(f"agree {i}", "yes" if i % 2 == 0 else "no") for i in range(5)] + [("city", "Rome")] + [(f"Town {i}", f"T{i}") for i in range(3)]
+    sheet = spark.createDataFrame([(n, f, f.lower(), "", None, None, v) for n, (f, v) in enumerate(rows)], "row_no long, Field string, field_norm string, section_norm string, Page long, Index long, Value string")
+    return passes.document_plan(blocks, cells, sheet).select("doc_id", "place", "pass", "text")

@@ -17,7 +17,7 @@ from formweave.operators import options as P
 from formweave.operators import resolve as R
 from formweave.operators import scans as C
 from formweave.operators import spatial as X
-from formweave.plans import fill_plan
+from formweave.plans import fill_plan, passes
 from formweave.sources import docx
 from formweave.sources import lookup as sources
 from formweave.streaming import fill as streaming
@@ -284,6 +284,87 @@ def test_document_fields(spark):
     assert ("", "City", "docx_table_pair") in got
 
 
+def test_document_placements(spark):
+    blocks = [(1, 1, "Name of bank ______ Branch ......"), (1, 2, "Account holder    ____"), (1, 3, "Ref: ____"), (1, 4, "SECTION TWO:"), (1, 5, "City"), (1, 6, "_____")]
+    cells = [(0, 0, 0, "Contact 1"), (0, 0, 1, "Contact 2"), (0, 1, 0, "Email: ____"), (0, 1, 1, "Phone\n____")]
+    cells += [(1, 0, 0, ""), (1, 0, 1, "Trade"), (1, 0, 2, "Settle"), (1, 1, 0, "Fund A"), (1, 1, 1, ""), (1, 1, 2, ""), (1, 2, 0, "Notes"), (1, 2, 1, "see above"), (1, 2, 2, "")]
+    cells += [(2, 0, 0, "Country"), (2, 0, 1, "____")]
+    b = spark.createDataFrame([(d, n, "para", t) for d, n, t in blocks], "doc_id long, block_no long, kind string, text string")
+    c = spark.createDataFrame([(1, *x) for x in cells], "doc_id long, table_no long, row_no long, col_no long, text string")
+    got = [(r["placement"].removeprefix("docx_"), r["section"], r["label"], r["index"]) for r in D.docx_fields(b, c).orderBy("emit_no").collect()]
+    assert got[:3] == [("underline_inline_spacey", "", "Name of bank", 1), ("underline_inline_spacey", "", "Branch", 1), ("underline_inline_spacey", "", "Account holder", 1)]
+    assert got[3:5] == [("underline_inline", "", "Ref", 1), ("underline_nextline", "SECTION TWO", "City", 1)]
+    assert ("table_samecell", "Contact 1", "Email", 1) in got and ("table_samecell", "Contact 2", "Phone", 2) in got
+    assert ("table_grid_row", "Fund A", "Trade", 1) in got and ("table_grid_row", "Fund A", "Settle", 1) in got and ("table_pair_row", "Notes", "Notes", 1) in got
+    assert got[-1] == ("table_pair", "", "Country", 1) and len(got) == 11
+
+
+def test_document_plan(spark):
+    b = spark.createDataFrame([(1, 1, "para", "Dear {{ Name }},"), (1, 2, "para", "Ref: ____ end"), (1, 3, "para", "[ ] I agree"), (1, 4, "para", "Town"), (1, 5, "para", "_____"), (1, 6, "para", "Street: main"), (2, 1, "para", "Nothing here")], "doc_id long, block_no long, kind string, text string")
+    c = spark.createDataFrame([(1, 0, 0, 0, "Country"), (1, 0, 0, 1, "____")], "doc_id long, table_no long, row_no long, col_no long, text string")
+    rows = [("Name", "Ann"), ("Ref", "R1"), ("I agree", "yes"), ("Town", "Rome"), ("Street", "High St"), ("Country", "IT")]
+    sheet = spark.createDataFrame([(n, f, f.lower(), "", None, None, v) for n, (f, v) in enumerate(rows)], "row_no long, Field string, field_norm string, section_norm string, Page long, Index long, Value string")
+    got = {(r["doc_id"], r["place"], r["col"]): (r["pass"], r["text"]) for r in passes.document_plan(b, c, sheet).collect()}
+    assert got == {
+        (1, 1, 0): ("placeholders", "Dear Ann,"), (1, 2, 0): ("underlines", "Ref: R1 end"), (1, 3, 0): ("checkboxes", "☑ I agree"), (1, 5, 0): ("underlines", "Rome"),
+        (1, 6, 0): ("last_chance", "Street: main High St"), (1, 1000000, 1): ("tables", "IT"),
+    }
+
+
+def test_section_marks_by_shape(spark):
+    lines = [(1, 1, 1, "Wire Details (optional)", 10.0, 90.0, 10.0, 9.0), (1, 1, 2, "some plain words of a line", 0.0, 50.0, 30.0, 9.0), (1, 1, 3, "wide words all over the page", 0.0, 400.0, 50.0, 9.0), (1, 1, 4, "Page 3 Of Four", 0.0, 400.0, 70.0, 9.0)]
+    df = spark.createDataFrame(lines, "doc_id long, page long, line_no long, text string, x0 double, x1 double, y_mid double, max_size double")
+    none = spark.createDataFrame([], "doc_id long, page long, p80 double")
+    got = {r["name_norm"] for r in X.section_marks(df, large=none, width=600.0).collect()}
+    assert got == {"wire details", "wide words all over the page"}
+
+
+def test_files_by_what_they_are(spark, tmp_path):
+    sheet = spark.createDataFrame([("Name", "Ann")], "Field string, Value string")
+    path = sources.write_sheet(sheet, str(tmp_path / "book.xlsx"))
+    renamed = tmp_path / "old.xls"
+    renamed.write_bytes((tmp_path / "book.xlsx").read_bytes())
+    assert path.endswith("book.xlsx") and sources.read_form(spark, str(renamed)).first()["Value"] == "Ann"
+    (tmp_path / "text.xls").write_text("Field,Value\nName,Bob\n")
+    assert sources.read_form(spark, str(tmp_path / "text.xls"), lenient=True, unknown=1).first()["Value"] == "Bob"
+    (tmp_path / "binary.xls").write_bytes(bytes.fromhex("d0cf11e0a1b11ae1"))
+    for bad in ("binary.xls", "form.pdf"):
+        with pytest.raises(ValueError):
+            sources.read_form(spark, str(tmp_path / bad))
+
+    def fails(df):
+        raise ValueError("too many rows for a worksheet")
+
+    assert sources.write_sheet(sheet, str(tmp_path / "big.xlsx"), fails).endswith("big.csv") and (tmp_path / "big.csv").exists()
+    assert sources.read_form(spark, "any.pdf", {".pdf": lambda s, path: path}) == "any.pdf"
+
+
+def test_small_helpers(spark):
+    one = spark.range(1)
+    fused = lambda t: one.select(P.fused_options(F.lit(t)).alias("x")).first()["x"]
+    assert fused("Account statements Annual (audited)/quarterly (unaudited) financial statements") == ["Account statements", "Annual (audited)/quarterly (unaudited) financial statements"]
+    assert fused("Net asset value Capital (call) notices") == ["Net asset value", "Capital (call) notices"] and fused("Value Capital (call)") == ["Value Capital (call)"]
+    assert one.select(T.positive_page(F.lit(0), 0).alias("p"), T.positive_page(F.lit(-1)).alias("q")).first()[:] == (0, None)
+    rects = spark.createDataFrame([(1, 1, 0.0, 0.0, 10.0, 12.0), (1, 1, 0.0, 0.0, 10.0, 20.0), (1, 1, 5.0, 0.0, 10.0, 5.0)], "doc_id long, page long, x0 double, y0 double, x1 double, y1 double")
+    assert [r["x1"] for r in D.small_boxes(rects).collect()] == [10.0]
+    visits = spark.createDataFrame([(1, "b", 1), (1, "a", 2), (1, "b", 3), (2, "a", 4)], "page long, section string, emit_no long")
+    assert {r["page"]: r["sections"] for r in L.sections_by_page(visits).collect()} == {1: ["b", "a"], 2: ["a"]}
+
+
+def test_labelled_fields_feed_the_plan(spark):
+    words = spark.createDataFrame([(1, 1, 1, 1, "Full name", 10.0, 60.0, 100.0, 110.0), (1, 1, 1, 2, "______", 70.0, 200.0, 100.0, 110.0), (1, 1, 2, 1, "Tick here", 40.0, 90.0, 140.0, 150.0)], "doc_id long, page long, line_no long, span_no long, text string, x0 double, x1 double, y0 double, y1 double").withColumn("size", F.lit(9.0))
+    blocks = words.filter("span_no = 1").withColumn("block_no", F.col("line_no"))
+    boxes = spark.createDataFrame([(1, 1, 1, 20.0, 139.0, 30.0, 149.0, "rect")], "doc_id long, page long, box_no long, x0 double, y0 double, x1 double, y1 double, source string")
+    lines = X.line_envelopes(words.filter("span_no = 1"))
+    sections = spark.createDataFrame([(1, 1, 50.0, "Client (new)")], "doc_id long, page long, y1 double, name string")
+    found = D.label_fields(D.discover([D.underscores(words), D.checkboxes(boxes)]), blocks, lines, words, sections)
+    got = [(r["placement"], r["label"], r["label_short"], r["section"], r["index"]) for r in found.orderBy("emit_no").collect()]
+    assert got == [("start", "Full name", "Full name", "Client (new)", 1), ("checkbox", "Client – item 1: Tick here", "Client – item 1", "Client (new)", 1)]
+    sheet = spark.createDataFrame([(1, "Client", "Full Name", "Ann"), (2, "Client", "Client – item 1", "yes")], "row_no long, Section string, Field string, Value string")
+    plan = {r["label"]: r["value"] for r in fill_plan.fill_plan(sheet, found.withColumn("field_no", F.col("emit_no"))).collect()}
+    assert plan["full name"] == "Ann" and "yes" in plan.values()
+
+
 def loop_value(rows, label, page, section, occ, strict, need_page, need_section):
     """One field against the sheet, rule by rule."""
     cand = [r for r in rows if r["f"] == label]
