@@ -243,10 +243,14 @@ def collapse_recipients(fields: DataFrame) -> DataFrame:
     return rows.withColumns(new).drop("_o", "_k", "_n")
 
 
-def export_order(fields: DataFrame, by: str = "page") -> DataFrame:
-    """Numbers the rows of the exported sheet: by ``page`` (blank last), ``folded`` (the
-    same without regard to case) or ``section``."""
+def export_keys(by: str = "page") -> list:
+    """What the exported sheet is sorted by: ``page`` (blank last), ``folded`` (the same
+    without regard to case) or ``section``; row_no decides among equals."""
     page = F.coalesce("Page", F.lit(999999))
     orders = {"page": [page, "Section", "Field", "Index"], "folded": [page, F.lower("Section"), F.lower("Field"), "Index"], "section": ["Section", "Field", "Index", page]}
-    keys = [c if isinstance(c, Column) else F.col(c) for c in orders[by]]
-    return fields.orderBy(*keys, "row_no")
+    return [*orders[by], "row_no"]
+
+
+def export_order(fields: DataFrame, by: str = "page") -> DataFrame:
+    """The rows of the exported sheet in order of ``export_keys``."""
+    return fields.orderBy(*export_keys(by))

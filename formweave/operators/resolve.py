@@ -19,19 +19,19 @@ from . import occurrence as O
 # Weights of agreeing page, section and index.
 WEIGHTS, AGENT_WEIGHTS, BOX_WEIGHTS = (8, 6, 3), (3, 6, 0), (4, 5, 2)
 SIMILAR, TOKEN_SIMILAR, BOX_SIMILAR, BOX_EQUAL = 0.82, 86.0, 0.68, 0.999
-#: Tasks that labels without an equal one are dealt to.
-PARTS = 32
 
 
 def _closest(want: DataFrame, have: DataFrame, threshold: float, tokens: bool = False, overlap: bool = False) -> DataFrame:
     """label_norm, matched and score: for each label of ``want`` (distinct) the best of
     ``have`` (field_norm, first), the smallest ``first`` among equals.
 
-    Labels are dealt to PARTS tasks, each with all names of the sheet.
+    Labels are dealt to as many tasks as the session shuffles to, each with all names of the
+    sheet: one form's sheet, that is, not a table that grows with the documents.
     """
+    parts = int(want.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     words = lambda c: T.significant_words(c) if overlap else F.lit(None).cast("array<string>")
-    mine = want.select(F.pmod(F.hash("label_norm"), F.lit(PARTS)).alias("part"), "label_norm", words("label_norm").alias("words"))
-    theirs = have.filter("field_norm <> ''").select(F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))).alias("part"), "field_norm", "first", words("field_norm").alias("words"))
+    mine = want.select(F.pmod(F.hash("label_norm"), F.lit(parts)).alias("part"), "label_norm", words("label_norm").alias("words"))
+    theirs = have.filter("field_norm <> ''").select(F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part"), "field_norm", "first", words("field_norm").alias("words"))
 
     def pick(a, b):
         found = []

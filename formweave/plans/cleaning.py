@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import similarity as S
@@ -225,14 +228,15 @@ def lookup_sanitize(spark, d):
     return L.sanitize(_groups(spark, d)).select("section_norm", "field_norm", "idx", "value", "n", "choices")
 
 
-@query("value_maps", f"SELECT 'exact' AS map, count(*) AS n, min(v) AS lo, max(v) AS hi FROM (SELECT arg_max(Value, row_no) AS v FROM {KEYED} GROUP BY section_norm, field_norm, idx) UNION ALL SELECT 'sectionless', count(*), min(v), max(v) FROM (SELECT arg_max(Value, row_no) AS v FROM {KEYED} GROUP BY field_norm, idx) UNION ALL SELECT 'by_field', count(*), min(v), max(v) FROM (SELECT arg_min(Value, row_no) AS v FROM {KEYED} GROUP BY field_norm, idx)")
+@query(
+    "value_maps",
+    f"""SELECT 'exact' AS map, section_norm, field_norm, idx, arg_max(Value, row_no) AS value FROM {KEYED} GROUP BY 2, 3, 4
+    UNION ALL SELECT 'sectionless', NULL, field_norm, idx, arg_max(Value, row_no) FROM {KEYED} GROUP BY 3, 4 UNION ALL SELECT 'by_field', NULL, field_norm, idx, arg_min(Value, row_no) FROM {KEYED} GROUP BY 3, 4""",
+)
 def value_maps(spark, d):
-    """The three value maps in figures."""
-    out = None
-    for name, m in zip(("exact", "sectionless", "by_field"), L.value_maps(_clean(spark, d))):
-        m = m.agg(F.lit(name).alias("map"), F.count("*").alias("n"), F.min("value").alias("lo"), F.max("value").alias("hi"))
-        out = m if out is None else out.unionByName(m)
-    return out
+    """The three value maps, row by row."""
+    maps = zip(("exact", "sectionless", "by_field"), L.value_maps(_clean(spark, d)))
+    return reduce(DataFrame.unionByName, [m.withColumn("map", F.lit(n)).select("map", "section_norm" if n == "exact" else F.lit(None).cast("string").alias("section_norm"), "field_norm", "idx", "value") for n, m in maps])
 
 
 @query("value_map_exact", f"SELECT section_norm, field_norm, idx, arg_max(Value, row_no) AS value FROM {KEYED} GROUP BY 1, 2, 3")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import options as P
@@ -152,13 +153,9 @@ def recipient_collapse(spark, d):
     return P.collapse_recipients(rows)
 
 
-def _numbered(rows, by):
-    # a sheet is exported page by page; here each order is checked within a customer's rows
-    from pyspark.sql import Window
-
-    page = F.coalesce("Page", F.lit(999999))
-    orders = {"page": [page, "Section", "Field", "Index"], "folded": [page, F.lower("Section"), F.lower("Field"), "Index"], "section": ["Section", "Field", "Index", page]}
-    return F.row_number().over(Window.partitionBy("part").orderBy(*orders[by], "row_no")).cast("long").alias(f"by_{by}")
+def _numbered(by):
+    # a sheet is exported form by form: the order is that within a customer's rows
+    return F.row_number().over(Window.partitionBy("part").orderBy(*P.export_keys(by))).cast("long").alias(f"by_{by}")
 
 
 EXPORT = "(SELECT o_orderkey AS row_no, o_custkey AS part, CASE WHEN o_orderkey % 3 = 0 THEN NULL ELSE CAST(o_orderkey % 4 AS BIGINT) END AS p, CASE WHEN o_orderkey % 2 = 0 THEN lower(o_orderstatus) ELSE o_orderstatus END AS s, o_orderpriority AS f, CAST(o_orderkey % 5 AS BIGINT) AS i FROM orders)"
@@ -168,7 +165,7 @@ EXPORT = "(SELECT o_orderkey AS row_no, o_custkey AS part, CASE WHEN o_orderkey
 def export_sort(spark, d):
     """The three orders of the exported sheet, as row numbers of each form."""
     rows = table(spark, d, "orders").selectExpr("o_orderkey AS row_no", "o_custkey AS part", "CASE WHEN o_orderkey % 3 = 0 THEN NULL ELSE CAST(o_orderkey % 4 AS BIGINT) END AS Page", "CASE WHEN o_orderkey % 2 = 0 THEN lower(o_orderstatus) ELSE o_orderstatus END AS Section", "o_orderpriority AS Field", "CAST(o_orderkey % 5 AS BIGINT) AS Index")
-    return rows.select("row_no", *[_numbered(rows, by) for by in ("page", "folded", "section")])
+    return rows.select("row_no", *[_numbered(by) for by in ("page", "folded", "section")])
 
 
 @query(

@@ -122,12 +122,28 @@ def size_p80(spark, d):
     return P.font_size(P.line_envelopes(given(spark, d, "spans")))
 
 
-@query("section_marks")
+LINES = "(SELECT doc_id, page, line_no, CASE WHEN line_no = 0 THEN 'SECTION ' || doc_id || ':' ELSE array_to_string(list(text ORDER BY x0, span_no, text), ' ') END AS text, avg((y0 + y1) / 2) AS y_mid, max(size) AS max_size FROM {spans} q GROUP BY 1, 2, 3)"
+
+
+def _section_lines(spark, d):
+    return P.line_envelopes(given(spark, d, "spans")).withColumn("text", F.when(F.col("line_no") == 0, F.concat(F.lit("SECTION "), "doc_id", F.lit(":"))).otherwise(F.col("text")))
+
+
+@query(
+    "section_marks",
+    f"""WITH l AS MATERIALIZED {LINES}, z AS (SELECT doc_id, page, list_sort(list(max_size)) AS s FROM l GROUP BY 1, 2)
+    SELECT doc_id, page, text AS name, CASE WHEN line_no = 0 THEN 'section ' || doc_id ELSE text END AS name_norm, y_mid AS y1 FROM l JOIN z USING (doc_id, page) WHERE line_no = 0 OR max_size >= s[CAST(floor(0.8 * (len(s) - 1)) AS BIGINT) + 1]""",
+)
 def section_marks(spark, d):
-    """Headings by text, size and likeness to expected sections."""
-    lines = P.line_envelopes(given(spark, d, "spans")).withColumn("text", F.when(F.col("line_no") == 0, F.concat(F.lit("SECTION "), "doc_id", F.lit(":"))).otherwise(F.col("text")))
+    """Headings by text and size."""
+    return P.section_marks(_section_lines(spark, d))
+
+
+@query("section_marks_similar")
+def section_marks_similar(spark, d):
+    """Headings by text, size, shape and likeness to expected sections."""
     expected = spark.createDataFrame([("section 12",), ("wire information",)], "section_norm string")
-    return P.section_marks(lines, expected)
+    return P.section_marks(_section_lines(spark, d), expected, width=600.0)
 
 
 @query("letter_headers", "SELECT DISTINCT doc_id, page, chr(CAST(65 + span_no AS INT)) || '.' AS letter, round_even(y0, 1) AS y FROM {spans} q WHERE span_no <= 5")

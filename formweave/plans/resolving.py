@@ -202,19 +202,8 @@ FLAG_FIELDS = """(SELECT o_orderkey AS field_no, o_orderkey AS emit_no, o_orderk
     'account field ' || o_custkey // 6 AS label_norm, o_orderkey % 5 = 0 AS is_box FROM orders JOIN customer ON o_custkey = c_custkey)"""
 
 
-@query(
-    "flagship_fill_plan",
-    f"""WITH {_taken(FLAG_FIELDS, FLAG_SHEET, "doc_id")},
-    t AS (SELECT a.*, {TRIES}), v AS (SELECT *, {FIRST.format('v')} AS val FROM t),
-    w AS (SELECT *, CASE WHEN val IS NULL THEN 'no value' WHEN is_box AND val NOT IN ('Yes', 'no') THEN 'unclear' END AS why FROM v),
-    o AS (SELECT *, row_number() OVER (PARTITION BY doc, page, eff, f, idx, why IS NULL ORDER BY emit_no) AS nth FROM w)
-    SELECT x.field_no, x.page, coalesce(o.eff, x.sec) AS section, x.f AS label, o.idx, CASE WHEN why IS NULL AND nth = 1 THEN val END AS value,
-    CASE WHEN o.field_no IS NULL THEN 'no match' WHEN why IS NOT NULL THEN why WHEN nth > 1 THEN 'written before' ELSE 'written' END AS rule FROM x LEFT JOIN o USING (field_no)""",
-)
-def flagship_fill_plan(spark, d):
-    """From a raw sheet and field definitions to the fill plan: cleaning, search keys, the two
-    phases with explicit indexes, answers of checkboxes, and writing once.  The scope in
-    the rule is shortened to ``written``."""
+def _flagship(spark, d):
+    """A raw sheet and the fields of forms."""
     customer, orders = table(spark, d, "customer"), table(spark, d, "orders")
     raw = customer.selectExpr(
         "c_custkey AS row_no", "CASE WHEN c_custkey % 5 = 0 THEN ' ' ELSE '  ' || c_mktsegment END AS Section", "CASE WHEN c_custkey % 7 = 0 THEN 'n/a' ELSE c_nationkey % 4 || '.0' END AS Page",
@@ -226,6 +215,23 @@ def flagship_fill_plan(spark, d):
         "'Account Field ' || o_custkey div 6 || CASE WHEN o_orderkey % 2 = 0 THEN ': details' ELSE '' END AS label", "CASE WHEN o_orderkey % 5 = 0 THEN 'checkbox' ELSE 'start' END AS placement",
         "CAST(o_orderkey * 4 AS DOUBLE) AS x0", "0D AS y0", "CAST(o_orderkey * 4 + 3 AS DOUBLE) AS x1", "3D AS y1",
     )
+    return raw, fields
+
+
+FLAG_SQL = f"""WITH {_taken(FLAG_FIELDS, FLAG_SHEET, "doc_id")},
+    t AS (SELECT a.*, {TRIES}), v AS (SELECT *, {FIRST.format('v')} AS val FROM t),
+    w AS (SELECT *, CASE WHEN val IS NULL THEN 'no value' WHEN is_box AND val NOT IN ('Yes', 'no') THEN 'unclear' END AS why FROM v),
+    o AS (SELECT *, row_number() OVER (PARTITION BY doc, page, eff, f, idx, why IS NULL ORDER BY emit_no) AS nth FROM w)
+    SELECT x.field_no, x.page, coalesce(o.eff, x.sec) AS section, x.f AS label, o.idx, CASE WHEN why IS NULL AND nth = 1 THEN val END AS value,
+    CASE WHEN o.field_no IS NULL THEN 'no match' WHEN why IS NOT NULL THEN why WHEN nth > 1 THEN 'written before' ELSE 'written' END AS rule FROM x LEFT JOIN o USING (field_no)"""
+
+
+@query("flagship_fill_plan", FLAG_SQL)
+def flagship_fill_plan(spark, d):
+    """From a raw sheet and field definitions to the fill plan: cleaning, search keys, the two
+    phases with explicit indexes, answers of checkboxes, and writing once.  The scope in
+    the rule is shortened to ``written``."""
+    raw, fields = _flagship(spark, d)
     plan = fill_plan.fill_plan(raw, fields, None)
     return plan.withColumns({"label": F.regexp_replace("label", " details$", ""), "rule": F.when(F.col("value").isNotNull(), "written").otherwise(F.col("rule"))})
 
@@ -239,12 +245,13 @@ def fill_plan_similar(spark, d):
     return fill_plan.fill_plan(raw, fields)
 
 
-@query("fill_plan_status", "SELECT count(*) AS fields, count(value) AS filled FROM (SELECT f.field_no, r.value FROM {fields} f LEFT JOIN (" + _sql(True, False, False) + ") r USING (field_no))")
+@query("fill_plan_status", f"SELECT rule AS action, count(*) AS fields, count(value) AS filled FROM ({FLAG_SQL}) GROUP BY 1")
 def fill_plan_status(spark, d):
-    """How many fields the plan fills."""
-    fields, sheet = _inputs(spark, d)
-    found = R.resolve(fields, sheet)
-    return fields.select("field_no").join(found, "field_no", "left").agg(F.count("*").alias("fields"), F.count("value").alias("filled"))
+    """The dry run in figures: how many fields are written, and why others are not."""
+    raw, fields = _flagship(spark, d)
+    dry = fill_plan.report(fill_plan.fill_plan(raw, fields, None), fields)
+    action = F.when(F.col("action").startswith("write "), "written").otherwise(F.col("action"))
+    return dry.groupBy(action.alias("action")).agg(F.count("*").alias("fields"), F.count("value").alias("filled"))
 
 
 @query("fill_passes", "SELECT o_custkey AS target, arg_min(p, row(r, o_orderkey)) AS pass, arg_min(v, row(r, o_orderkey)) AS value FROM (SELECT *, CASE o_orderkey % 3 WHEN 0 THEN 'placeholders' WHEN 1 THEN 'underlines' ELSE 'tables' END AS p, o_orderkey % 3 AS r, CASE WHEN o_orderkey % 7 = 0 THEN '' ELSE o_orderpriority END AS v FROM orders) WHERE v <> '' GROUP BY 1")
