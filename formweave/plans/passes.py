@@ -18,6 +18,7 @@ from ..operators import occurrence as O
 from ..operators import options as P
 from ..operators import resolve as R
 from ..operators import spatial
+from ..sources.shared import cut
 
 # The order of the passes, in general and where tables come early.
 ORDER = ("placeholders", "inline_groups", "checkboxes", "two_column_checkboxes", "underlines", "option_groups", "grids", "tables", "matrix")
@@ -70,7 +71,7 @@ def offers(blocks: DataFrame, cells: DataFrame, lookup: DataFrame) -> dict[str,
     values = lookup.filter("Value <> ''").groupBy("field_norm").agg(F.min_by("Value", "row_no").alias("value"))
     new = P.fill_placeholders(named, values).join(named.withColumnRenamed("text", "_old"), "id").filter("text <> _old")
     out = {"placeholders": new.select(F.col("id").alias("target"), F.lit(0).cast("long").alias("emit_no"), F.col("text").alias("value"), F.lit("").alias("label"), F.lit(1).cast("long").alias("idx"))}
-    fields = D.docx_fields(blocks, cells, True).withColumn("field_no", F.struct("doc_id", "emit_no"))
+    fields = cut(D.docx_fields(blocks, cells, True)).withColumn("field_no", F.struct("doc_id", "emit_no"))
     asked = fields.select("field_no", T.alias(T.normalize("label")).alias("label_norm"), F.lit(None).cast("long").alias("page"), T.normalize("section").alias("section_norm"), F.col("index").alias("occ"))
     plain = asked.filter(~F.col("section_norm").rlike(r"^contact \d+$"))
     found = R.resolve_agent(plain, lookup).select("field_no", "value").unionByName(R.resolve_contact(asked, lookup, R.SIMILAR).select("field_no", "value"))
@@ -79,6 +80,7 @@ def offers(blocks: DataFrame, cells: DataFrame, lookup: DataFrame) -> dict[str,
     rows = rows.withColumn("_col", F.when(F.col("place") < 1000000, 0).otherwise(F.col("col")).cast("long"))
     text = held.select("doc_id", "place", "row", F.col("col").alias("_col"), "text")
     rows = rows.join(text, ["doc_id", "place", "row", "_col"]).withColumn("value", _written(F.col("text"), F.col("value"), F.col("placement")))
+    rows = cut(rows.select("doc_id", "place", "row", "_col", "emit_no", "value", "label", "index", "placement"))
     for name in dict.fromkeys(PASS_OF.values()):
         mine = rows.filter(F.col("placement").isin([p for p, n in PASS_OF.items() if n == name]))
         out[name] = mine.select(F.struct("doc_id", "place", "row", F.col("_col").alias("col")).alias("target"), "emit_no", "value", "label", F.col("index").alias("idx"))

@@ -134,7 +134,17 @@ def resolve_structured(spark, d):
     return R.resolve_structured(*_inputs(spark, d), fuzzy=False)
 
 
-@query("resolve_structured_similar")
+# Fuzzy steps whose outcome can be said beforehand: a label is misspelt in one place, and of
+# all names of the sheet its own is the nearest, since any other has another number.
+@query(
+    "resolve_structured_similar",
+    """SELECT f.field_no, coalesce(a.v, b.v, c.v, s.v) AS value, CASE WHEN coalesce(a.v, b.v, c.v) IS NULL THEN 'similar' ELSE 'key' END AS rule FROM {fields} f
+    LEFT JOIN (SELECT section_norm AS s, field_norm, CASE WHEN coalesce(Index, 0) = 0 THEN 1 ELSE Index END AS i, arg_max(Value, row_no) AS v FROM {sheet} GROUP BY 1, 2, 3) a ON a.s = f.section_norm AND a.field_norm = f.label_norm AND a.i = f.occ
+    LEFT JOIN (SELECT section_norm AS s, field_norm, CASE WHEN coalesce(Index, 0) = 0 THEN 1 ELSE Index END AS i, arg_max(Value, row_no) AS v FROM {sheet} GROUP BY 1, 2, 3) b ON b.s = f.section_norm AND b.field_norm = f.label_norm AND b.i = 1
+    LEFT JOIN (SELECT field_norm, row_number() OVER (PARTITION BY field_norm ORDER BY row_no) AS i, nullif(Value, '') AS v FROM {sheet}) c ON c.field_norm = f.label_norm AND c.i = f.occ
+    LEFT JOIN (SELECT field_norm, arg_min(Value, row_no) AS v FROM {sheet} WHERE Value <> '' GROUP BY 1) s ON s.field_norm = f.label_norm
+    WHERE coalesce(a.v, b.v, c.v, s.v) IS NOT NULL""",
+)
 def resolve_structured_similar(spark, d):
     """All steps: the keys, then the first value of the best label by token sets."""
     return R.resolve_structured(*_inputs(spark, d))
@@ -150,19 +160,23 @@ def _misspelt(spark, d, words: bool = False):
     return fields.withColumn("label_norm", turned if words else typo), sheet
 
 
-@query("resolve_fuzzy")
+@query("resolve_fuzzy", f"SELECT *, 'fuzzy' AS rule FROM ({_sql(True, False, False)})")
 def resolve_fuzzy(spark, d):
     """The most similar label where the sheet has no equal one."""
     return R.resolve(*_misspelt(spark, d), fuzzy=R.SIMILAR)
 
 
-@query("resolve_agent")
+@query("resolve_agent", f"SELECT *, 'fuzzy' AS rule FROM ({_sql(True, False, False, (3, 6, 0))})")
 def resolve_agent(spark, d):
     """Similar labels that share a significant word."""
     return R.resolve_agent(*_misspelt(spark, d))
 
 
-@query("resolve_token_sets")
+@query(
+    "resolve_token_sets",
+    """SELECT f.label_norm, l.value FROM (SELECT DISTINCT CASE WHEN field_no % 3 = 0 THEN 'field ' || n || ' account' WHEN field_no % 2 = 0 THEN 'acount field ' || n ELSE 'account feild ' || n END AS label_norm, 'account field ' || n AS own
+    FROM (SELECT field_no, split_part(label_norm, ' ', 3) AS n FROM {fields} x)) f JOIN (SELECT field_norm, arg_max(Value, row_no) AS value FROM {sheet} y GROUP BY 1) l ON l.field_norm = f.own""",
+)
 def resolve_token_sets(spark, d):
     """Labels whose words are those of the sheet in another order, or nearly."""
     fields, sheet = _misspelt(spark, d, words=True)
@@ -188,11 +202,11 @@ def resolve_keys(spark, d):
     return R.resolve_keys(_template(spark, d), given(spark, d, "sheet"), None).drop("scope")
 
 
-@query("resolve_keys_similar")
+@query("resolve_keys_similar", f"WITH {_taken(TEMPLATE, '{sheet} z')} SELECT field_no, page, section_norm, field_norm, idx, {FIRST.format('no')} AS row_no, {FIRST.format('v')} AS value, CAST(0 AS BIGINT) AS key_no, CASE WHEN field_no % 2 = 0 THEN 'similar' ELSE 'exact' END AS match FROM (SELECT a.field_no, a.page, a.eff AS section_norm, a.f AS field_norm, a.idx, {TRIES})")
 def resolve_keys_similar(spark, d):
     """The same where a key that the sheet lacks goes by the most similar label."""
     fields = _template(spark, d).withColumn("label", F.replace("label", F.lit("Account"), F.when(F.col("field_no") % 2 == 0, "Acount").otherwise("Account")))
-    return R.resolve_keys(fields, given(spark, d, "sheet"))
+    return R.resolve_keys(fields, given(spark, d, "sheet")).drop("scope")
 
 
 # What a form's owner writes in: names, answers, blanks; and the fields of fifteen forms.
@@ -236,13 +250,22 @@ def flagship_fill_plan(spark, d):
     return plan.withColumns({"label": F.regexp_replace("label", " details$", ""), "rule": F.when(F.col("value").isNotNull(), "written").otherwise(F.col("rule"))})
 
 
-@query("fill_plan_similar")
+PLAIN_SHEET = "(SELECT c_custkey AS row_no, lower(c_mktsegment) AS section_norm, 'account field ' || c_custkey // 6 AS field_norm, CAST(NULL AS BIGINT) AS Page, CAST(c_custkey % 4 AS BIGINT) AS Index, c_name AS Value FROM customer)"
+PLAIN_FIELDS = "(SELECT o_orderkey AS field_no, o_orderkey AS emit_no, o_orderkey // 4000 AS doc_id, CAST(NULL AS BIGINT) AS page, '' AS section_norm, 'account field ' || o_custkey // 6 AS label_norm FROM orders)"
+
+
+@query(
+    "fill_plan_similar",
+    f"""WITH {_taken(PLAIN_FIELDS, PLAIN_SHEET, "doc_id")}, v AS (SELECT *, {FIRST.format('v')} AS val FROM (SELECT a.*, {TRIES})),
+    o AS (SELECT *, row_number() OVER (PARTITION BY doc, eff, f, idx, val IS NULL ORDER BY emit_no) AS nth FROM v)
+    SELECT field_no, page, eff AS section, f AS label, idx, CASE WHEN nth = 1 THEN val END AS value, CASE WHEN val IS NULL THEN 'no value' WHEN nth > 1 THEN 'written before' WHEN field_no % 2 = 0 THEN 'similar' ELSE 'exact' END AS rule FROM o""",
+)
 def fill_plan_similar(spark, d):
-    """The plan where every other label is misspelt, with its rules."""
+    """The plan where every other label is misspelt; of a rule that wrote, the match."""
     customer, orders = table(spark, d, "customer"), table(spark, d, "orders")
     raw = customer.selectExpr("c_custkey AS row_no", "c_mktsegment AS Section", "CAST(NULL AS STRING) AS Page", "'Account Field ' || c_custkey div 6 AS Field", "CAST(c_custkey % 4 AS STRING) AS Index", "c_name AS Value")
     fields = orders.selectExpr("o_orderkey AS field_no", "o_orderkey div 4000 AS doc_id", "'' AS section", "CASE WHEN o_orderkey % 2 = 0 THEN 'Acount' ELSE 'Account' END || ' Field ' || o_custkey div 6 AS label")
-    return fill_plan.fill_plan(raw, fields)
+    return fill_plan.fill_plan(raw, fields).withColumn("rule", F.when(F.col("value").isNotNull(), F.substring_index("rule", " ", 1)).otherwise(F.col("rule")))
 
 
 @query("fill_plan_status", f"SELECT rule AS action, count(*) AS fields, count(value) AS filled FROM ({FLAG_SQL}) GROUP BY 1")
