@@ -194,7 +194,9 @@ def align(queries: DataFrame, media: DataFrame) -> DataFrame:
     votes, frames (overlap) and bit_error.  An offset has a vote for each frame at which two
     integers three frames apart have at most NEAR of 64 bits in error; of the offsets with
     VOTES, SHORTEST frames and at most ERRORS, the one with most votes (then the smallest).
-    One row for a pair of classes, however many recordings they have.
+    One row for a pair of classes, however many recordings they have.  Recordings without a
+    class_key, and classes of fewer than SHORTEST integers, align with nothing; an empty
+    side gives no rows; other columns are ignored.
 
     No key finds integers with many bits in error, so all pairs are measured: both sides
     are dealt to blocks of about BLOCK bytes, and each two blocks are one task's matrices.
