@@ -347,8 +347,23 @@ def discover_and_fill(spark, d):
     return fill_plan(sheet, found, None).join(found.select("field_no", "doc_id", "emit_no"), "field_no").drop("field_no")
 
 
-@query("discover_docx")
+@query(
+    "discover_docx",
+    f"""WITH c AS MATERIALIZED {CELLS}, f AS (SELECT *, max(col_no) OVER t AS wide, coalesce(lead(text = '') OVER k, FALSE) AS below, coalesce(lead(text = '') OVER (PARTITION BY doc_id, table_no, row_no ORDER BY col_no), FALSE) AS beside,
+      max(CASE WHEN col_no = 0 THEN text END) OVER r AS lft, count(*) FILTER (text = '' AND col_no > 0) OVER r AS boxes, max(CASE WHEN row_no = 0 THEN text END) OVER (PARTITION BY doc_id, table_no, col_no) AS head, count(*) FILTER (row_no = 0 AND col_no > 0 AND text <> '') OVER t AS heads
+      FROM c WINDOW t AS (PARTITION BY doc_id, table_no), r AS (PARTITION BY doc_id, table_no, row_no), k AS (PARTITION BY doc_id, table_no, col_no ORDER BY row_no)),
+    w AS (SELECT *, CASE WHEN heads >= 2 AND wide >= 2 AND row_no > 0 AND lft <> '' AND boxes >= 2 AND text = '' AND col_no > 0 AND head <> '' THEN 1 WHEN heads >= 2 AND wide >= 2 AND row_no > 0 AND lft <> '' AND boxes < 2 AND col_no = 1 THEN 2
+      WHEN text <> '' AND wide >= 2 AND row_no = 0 AND below THEN 3 WHEN text <> '' AND beside THEN 4 END AS way FROM f),
+    x AS (SELECT *, min(CASE WHEN way <> 2 THEN least(way, 3) END) OVER (PARTITION BY doc_id, table_no) AS best FROM w),
+    p AS (SELECT *, coalesce(last_value(CASE WHEN kind = 'error' THEN 'HEADING ' || block_no END IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY block_no), '') AS section FROM {{stream}} q),
+    a AS (SELECT doc_id, section, CASE kind WHEN 'click' THEN 'Name' ELSE 'agree' END AS label, CASE kind WHEN 'click' THEN 'docx_underline_inline' ELSE 'docx_checkbox_line' END AS placement, block_no AS seen, 0 AS r, 0 AS k FROM p WHERE kind IN ('click', 'view')
+      UNION ALL SELECT doc_id, CASE WHEN way <= 2 THEN lft ELSE '' END, CASE way WHEN 1 THEN head WHEN 2 THEN lft ELSE text END, CASE way WHEN 1 THEN 'docx_table_grid_row' WHEN 2 THEN 'docx_table_pair_row' WHEN 3 THEN 'docx_table_grid_header' ELSE 'docx_table_pair' END,
+        table_no + 1000000, row_no + CASE way WHEN 3 THEN 1 ELSE 0 END, col_no + CASE way WHEN 4 THEN 1 ELSE 0 END FROM x WHERE way IS NOT NULL AND (least(way, 3) = best AND way <> 2 OR way = 2 AND best = 1)),
+    n AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY seen, r, k, placement, label) AS emit_no FROM a)
+    SELECT doc_id, section, label, placement, emit_no, row_number() OVER (PARTITION BY doc_id, section, lower(label) ORDER BY emit_no) AS index FROM n""",
+)
 def discover_docx(spark, d):
     """Fields of a document's paragraphs and tables."""
     x = given(spark, d, "stream").selectExpr("doc_id", "block_no", "'para' AS kind", "CASE kind WHEN 'error' THEN 'HEADING ' || block_no WHEN 'click' THEN 'Name: ______' WHEN 'view' THEN '[ ] agree' ELSE text END AS text")
-    return D.docx_fields(x, given(spark, d, "cells"))
+    cells = given(spark, d, "cells").groupBy("doc_id", "table_no", "row_no", "col_no").agg(F.max("text").alias("text"))
+    return D.docx_fields(x, cells)
