@@ -153,12 +153,13 @@ def letter_headers(spark, d):
     return P.letter_headers(x)
 
 
-SPANS = "(SELECT * FROM {spans} q WHERE line_no <> 3 OR span_no > 5 OR span_no = 1)"
+#: Some spans of the fourth line are blank, which leaves it one cluster or none.
+BLANK = "line_no = 3 AND span_no BETWEEN 2 AND 5"
 
 
 @query(
     "column_header",
-    f"""WITH sp AS MATERIALIZED {SPANS}, s AS (SELECT doc_id, page, line_no, span_no, x0, x1, y0 AS y, (doc_id * 100 + line_no * 10 + span_no) * 1000 + row_number() OVER (PARTITION BY doc_id, page, line_no, span_no ORDER BY x0, x1, text) AS field_no FROM sp),
+    f"""WITH sp AS MATERIALIZED (SELECT * FROM {{spans}} q WHERE NOT ({BLANK})), s AS (SELECT doc_id, page, line_no, span_no, x0, x1, y0 AS y, (doc_id * 100 + line_no * 10 + span_no) * 1000 + row_number() OVER (PARTITION BY doc_id, page, line_no, span_no ORDER BY x0, x1, text) AS field_no FROM {{spans}} q),
     c AS (SELECT doc_id, page, line_no, min(x0) AS x0, max(x1) AS x1, array_to_string(list(text ORDER BY x0, y0, x1, text), ' ') AS text FROM (SELECT *, sum(CASE WHEN x0 - last > 35 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id, page, line_no ORDER BY x0, y0, x1, text ROWS UNBOUNDED PRECEDING) AS cluster FROM (SELECT *, lag(x1) OVER (PARTITION BY doc_id, page, line_no ORDER BY x0, y0, x1, text) AS last FROM sp)) GROUP BY doc_id, page, line_no, cluster),
     l AS (SELECT doc_id, page, line_no, max(y1) AS ly1 FROM sp GROUP BY 1, 2, 3),
     n AS (SELECT s.*, l.line_no AS above FROM s JOIN l ON s.doc_id = l.doc_id AND s.page = l.page AND l.ly1 < s.y AND s.y - l.ly1 <= 48 QUALIFY row_number() OVER (PARTITION BY s.field_no ORDER BY l.ly1 DESC, l.line_no) = 1),
@@ -167,11 +168,11 @@ SPANS = "(SELECT * FROM {spans} q WHERE line_no <> 3 OR span_no > 5 OR span_no =
 )
 def column_header(spark, d):
     """The header of a slot's column; lines of one cluster give none."""
-    spans = given(spark, d, "spans").filter("line_no <> 3 OR span_no > 5 OR span_no = 1")
+    spans = given(spark, d, "spans")
     again = F.row_number().over(Window.partitionBy("doc_id", "page", "line_no", "span_no").orderBy("x0", "x1", "text"))
     number = (F.col("doc_id") * 100 + F.col("line_no") * 10 + F.col("span_no")) * 1000 + again
     slots = spans.withColumn("field_no", number).select("doc_id", "page", "field_no", "x0", "x1", F.col("y0").alias("y"))
-    return P.column_header(slots, spans)
+    return P.column_header(slots, spans.withColumn("text", F.when(F.expr(BLANK), " ").otherwise(F.col("text"))))
 
 
 @query("scan_up", "SELECT doc_id, table_no, row_no, col_no, label FROM (SELECT *, last_value(nullif(text, '') IGNORE NULLS) OVER (PARTITION BY doc_id, table_no, col_no ORDER BY row_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS label FROM (SELECT doc_id, table_no, row_no, col_no, max(text) AS text FROM {cells} q GROUP BY 1, 2, 3, 4)) WHERE text = '' AND label IS NOT NULL")
@@ -342,8 +343,8 @@ def discover_pdf(spark, d):
 def discover_and_fill(spark, d):
     """From a page to the plan: fields as they are found, filled from a sheet of their labels."""
     found = _discovered(spark, d).withColumn("field_no", F.xxhash64("doc_id", "emit_no"))
-    # what a form's owner writes in for every third part whose number the page shows
-    sheet = table(spark, d, "part").filter("p_partkey % 3 = 0").selectExpr("p_partkey AS row_no", "'' AS Section", "'block ' || p_partkey AS Field", "p_name AS Value")
+    # what a form's owner writes in for the parts whose numbers the pages show
+    sheet = table(spark, d, "part").selectExpr("p_partkey AS row_no", "'' AS Section", "'block ' || p_partkey AS Field", "p_name AS Value")
     return fill_plan(sheet, found, None).join(found.select("field_no", "doc_id", "emit_no"), "field_no").drop("field_no")
 
 
