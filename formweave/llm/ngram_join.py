@@ -48,7 +48,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import hashing as H
-from .common import as_bytes, cut, lean, semi_join, small_side, sweep, tidy, written
+from .common import as_bytes, cut, lean, relieve, semi_join, small_side, sweep, tidy, written
 from .components import components
 
 #: Counters of the order's sketch (one byte each when broadcast) and rows it travels in.
@@ -323,12 +323,13 @@ def _links(docs: DataFrame, sets: DataFrame, levels: np.ndarray, k: int, num: in
     order = spark.sparkContext.broadcast(levels)
     prefixes, drop = written(_prefixes(docs, k, num, den, order), "prefixes")
     order.destroy()
+    relieve(spark)  # the joins that follow need what hashing has left behind
     # copies of a set in several tasks meet here as one; min and max need no list of members
     meeting = prefixes.groupBy("token").agg(F.min("set_id").alias("centre"), F.max("set_id").alias("other")).filter("centre <> other").select("token", "centre")
     met = cut(prefixes.join(meeting, "token").distinct())
     drop()
     del prefixes, meeting
-    sweep(spark)
+    relieve(spark)
     # sets that meet too few tokens in all link with nothing
     enough = met.groupBy("set_id").agg(F.count("*").alias("tokens")).join(sets.filter("n_shingles > 0").groupBy("set_id").agg(F.min("doc_id").alias("doc_id"), F.max("n_shingles").alias("n")), "set_id")
     facts = cut(enough.filter(F.col("tokens") >= need(num, den)).select("set_id", "doc_id", "n"))
