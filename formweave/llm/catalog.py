@@ -1,4 +1,4 @@
-"""Queries of the ten operators over their whole tables, and their SQL.
+"""Queries of the operators over their whole tables, and their SQL.
 
 The SQL is in ``sql``; operators that SQL can't express have none and are tested against
 brute force.
@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import audio, bpe, fixity, language, mixing, ngram_join, prefix_hash, secrets, sql, substring, toxicity
+from . import audio, bpe, fixity, language, mixing, ngram_join, piece_bpe, prefix_hash, secrets, sql, substring, toxicity
 from .common import documents
 
 
@@ -95,6 +95,18 @@ def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.taken(documents(spark, sf_dir)).drop("source")
 
 
+def piece_model() -> str:
+    """Place of the SentencePiece model file; operators take it as a parameter."""
+    import public_tokenizers
+
+    return public_tokenizers.path("piece_bpe_32k.model")
+
+
+def op11_sentence_piece_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Piece ids of every text, what they decode to, and whether the library agrees."""
+    return piece_bpe.round_trip(documents(spark, sf_dir), piece_model())
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = {k: f for k, f in globals().items() if k.startswith("op")}
     return dict(sorted(found.items(), key=lambda x: int(x[0][2:].split("_")[0])))
