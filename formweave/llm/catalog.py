@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import audio, bpe, fixity, language, manifest, mixing, ngram_join, piece_bpe, prefix_hash, secrets, sql, substring, toxicity
+from . import audio, bpe, divergence, fixity, language, manifest, mixing, ngram_join, piece_bpe, prefix_hash, secrets, sql, substring, toxicity
 from .common import documents
 
 
@@ -118,6 +118,11 @@ def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return manifest.audit(documents(spark, sf_dir), HASHED, {"text": lower}, tampered)
 
 
+def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How far the sources of each language differ, and the terms that tell them apart."""
+    return divergence.audit(documents(spark, sf_dir))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = {k: f for k, f in globals().items() if k.startswith("op")}
     return dict(sorted(found.items(), key=lambda x: int(x[0][2:].split("_")[0])))

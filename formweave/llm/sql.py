@@ -79,6 +79,28 @@ SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_acc
 """
 
 
+#: Shares of every kept term in every group and language, each group beside each other.
+DIVERGENCE = r"""
+WITH d AS MATERIALIZED (SELECT row_number() OVER () AS n, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+    regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents
+), g AS (SELECT DISTINCT lang, source FROM d
+), o AS MATERIALIZED (SELECT n, lang, source, unnest(w) AS item FROM d
+), k AS MATERIALIZED (SELECT lang, item, count(*) AS c FROM o GROUP BY 1, 2 HAVING count(DISTINCT n) >= {least}
+), v AS (SELECT lang, CAST(count(*) AS HUGEINT) AS v, CAST(sum(c) AS HUGEINT) AS n FROM k GROUP BY 1
+), c AS MATERIALIZED (SELECT o.lang, o.source, o.item, count(*) AS c FROM o SEMI JOIN k USING (lang, item) GROUP BY 1, 2, 3
+), t AS (SELECT lang, source, CAST(sum(c) AS HUGEINT) AS n FROM c GROUP BY 1, 2
+), p AS MATERIALIZED (
+  SELECT lang, source, item, coalesce(c.c, 0) AS c, 1 + (1000000000 * CAST(coalesce(c.c, 0) + 5 AS HUGEINT)) // (coalesce(t.n, 0) + 5 * v.v) AS p, 1 + (1000000000 * CAST(k.c + 5 AS HUGEINT)) // (v.n + 5 * v.v) AS q
+  FROM g JOIN k USING (lang) JOIN v USING (lang) LEFT JOIN c USING (lang, source, item) LEFT JOIN t USING (lang, source)
+), r AS (
+  SELECT a.lang, a.source, 'pair' AS part, b.source AS item, CAST(coalesce(s.value, 0) AS BIGINT) AS value FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source
+  LEFT JOIN (SELECT x.lang, x.source, y.source AS other, sum(abs(x.p - y.p)) AS value FROM p x JOIN p y ON x.lang = y.lang AND x.item = y.item GROUP BY 1, 2, 3) s ON s.lang = a.lang AND s.source = a.source AND s.other = b.source
+  UNION ALL SELECT lang, source, 'term', item, CAST(p - q AS BIGINT) FROM p WHERE c > 0 AND p > q
+)
+SELECT *, CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS INTEGER) AS rank FROM r QUALIFY part = 'pair' OR rank <= {top}
+"""
+
+
 def manifest_sql(columns: tuple[str, ...] = ("doc_id", "source", "lang", "n_chars", "text"), levels: int = 5, above: int = 2) -> str:
     """Trees level by level, up to 16 ** ``levels`` rows a source and 16 ** ``above`` sources;
     a level of one node is left as it is."""
@@ -132,4 +154,5 @@ ORACLES: dict[str, str] = {
     "op7_secret_scan": reduce(lambda s, kv: s.replace("{" + kv[0] + "}", kv[1]), PATTERNS.items(), SECRETS),
     "op9_substring_dedup": REPEATS.format(word=WORD),
     "op12_merkle_manifest": manifest_sql(),
+    "op13_source_divergence": DIVERGENCE.format(least=30, top=50),
 }
