@@ -6,12 +6,12 @@ entry whose symbols have changed since is skipped; the others merge and enter th
 that they make.  What is left are the pieces of the word, and a symbol that is no piece
 goes as its bytes.
 
-A text is cut into words where no piece can reach across (before a space mark that follows
-something else, and around characters that are in no longer piece), so words are encoded
+A text is cut into words where no piece can reach across (before a space that follows
+something else, and between characters that no piece has side by side), so words are encoded
 once however often they occur, and a cut never changes the ids.
 
-``compare`` and ``round_trip`` hold the ids against the sentencepiece library in the same
-Arrow batches.
+``compare`` holds the ids of whole texts against the sentencepiece library in the same Arrow
+batches, and ``round_trip`` does so for every word that a batch has first.
 """
 
 from __future__ import annotations
@@ -40,7 +40,7 @@ NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 
 #: Words whose encodings a worker holds, those that it keeps between tasks, and characters
 #: of the longest word that is held at all.
-CACHE_WORDS, KEPT_WORDS, LONG_WORD = 400_000, 120_000, 256
+CACHE_WORDS, KEPT_WORDS, LONG_WORD = 500_000, 350_000, 256
 
 # The format replaces each byte that is part of no character, not each run of them.
 codecs.register_error("formweave-bytewise", lambda e: ("�", e.start + 1))
@@ -104,20 +104,32 @@ class PieceEncoder:
         self.silent = {str(i) for i, k in enumerate(kinds) if k == CONTROL}
         self.user = {pieces[i] for i in mergeable if kinds[i] == USER}
         self.touching = {p[i : i + 2] for p in self.rank for i in range(len(p) - 1)}
-        self.words, self.whole = self._splitter()
+        self.whole = regex.compile("(" + "|".join(map(regex.escape, sorted(self.user, key=len, reverse=True))) + ")") if self.user else None
+        # no piece reaches across a space that follows something else
+        self.by_word = self.plain and self.prefix and not self.user and not any(a != MARK and b == MARK for a, b in self.touching)
         self.cache: dict[str, str] = {}
         self.parts: dict[str, str] = {}
-
-    def _splitter(self) -> tuple[regex.Pattern | None, regex.Pattern | None]:
-        """A pattern of words that no piece reaches across, if spaces only begin pieces;
-        and one of the symbols that are never taken apart."""
-        whole = regex.compile("(" + "|".join(map(regex.escape, sorted(self.user, key=len, reverse=True))) + ")") if self.user else None
-        if self.user or any(a != MARK and b == MARK for a, b in self.touching):
-            return None, whole
-        inner = set().union(*self.touching) if self.touching else set()
-        alone = "".join(c for c in map(chr, range(32)) if c not in inner)
-        alone = "".join(f"\\x{ord(c):02x}" for c in alone)
-        return regex.compile(f"[{alone}]|{MARK}*[^{MARK}{alone}]+|{MARK}+" if alone else f"{MARK}*[^{MARK}]+|{MARK}+"), whole
+        self.wrong: set[str] = set()
+
+    def split(self, text: str) -> list[str]:
+        """Words of a text, each without the space mark before it: what is between single
+        spaces, with the spaces beyond the first of a run in front."""
+        if not text:
+            return []
+        if not self.by_word:
+            return [text]
+        words = text.replace(MARK, " ").split(" ")
+        if "" not in words:
+            return words
+        out, run = [], 0
+        for w in words:
+            if w:
+                out.append(" " * run + w)
+                run = 0
+            else:
+                run += 1
+        # a run at the end is a word of spaces, which has a mark before it as any other
+        return [*out, " " * (run - 1)] if run else out
 
     def normal(self, text: str) -> str:
         """The text as symbols see it."""
@@ -167,8 +179,9 @@ class PieceEncoder:
         return [p for s in left for p in apart(s)] if made else left
 
     def encode_word(self, word: str) -> str:
-        """Ids of one word in decimal, joined by commas.  It is cut wherever no piece holds
-        both neighbours, and the parts are encoded once, too."""
+        """Ids of one word (or text, if texts are not split) in decimal, joined by commas.  It
+        is cut wherever no piece holds both neighbours, and the parts are encoded once, too."""
+        word = MARK + word.replace(" ", MARK) if self.by_word else self.normal(word)
         if self.whole is not None:
             symbols, kept = [], []
             for i, part in enumerate(self.whole.split(word)):
@@ -206,21 +219,30 @@ class PieceEncoder:
         numbers, u = ids.split(","), str(self.unknown)
         return ",".join([n for i, n in enumerate(numbers) if n != u or i == 0 or numbers[i - 1] != u])
 
-    def encode(self, texts: list[str]) -> list[str]:
-        """Ids of each text in decimal, joined by commas."""
-        split = self.words.findall if self.words else lambda t: [t] if t else []
-        words = [split(self.normal(t)) for t in texts]
+    def encode(self, texts: list[str], check: bool = False) -> list[str]:
+        """Ids of each text in decimal, joined by commas.  With ``check`` the library encodes
+        each new word, too, and those that it encodes otherwise are ``wrong``."""
+        words = [self.split(t) for t in texts]
         if len(self.cache) > CACHE_WORDS:
             self.shrink()
         known, long = self.cache, {}
-        for w in set().union(*words).difference(known) if words else ():
+        fresh = list(set().union(*words).difference(known))
+        for w in fresh:
             (long if len(w) > LONG_WORD else known)[w] = self.encode_word(w)
         if long:
             known = known | long
+        if check:
+            # the library gives an empty text no mark
+            fresh = [w for w in fresh if w]
+            self.wrong.update(w for w, same in zip(fresh, self.agrees(fresh, [known[w] for w in fresh])) if not same)
         get = known.__getitem__
         out = [",".join(map(get, w)) for w in words]
         return out if self.fallback else [self._one_unknown(x) for x in out]
 
+    def sound(self, text: str) -> bool:
+        """Whether the library agrees on every word of a text encoded with ``check``."""
+        return not self.wrong or self.wrong.isdisjoint(self.split(text))
+
     def shrink(self) -> None:
         if len(self.cache) > KEPT_WORDS:
             self.cache = dict(islice(self.cache.items(), KEPT_WORDS))
@@ -276,12 +298,12 @@ def _run(rows: DataFrame, model: str, schema: str, make) -> DataFrame:
     return lean(rows).mapInArrow(tidy(build), schema)
 
 
-def _encoded(encoder: PieceEncoder, batch: pa.RecordBatch, then) -> list:
+def _encoded(encoder: PieceEncoder, batch: pa.RecordBatch, then, check: bool = False) -> list:
     """``then`` of texts and their ids, by stretches of the batch, end to end."""
     out: list = []
     for held in stretches(as_bytes(batch.column("text"))):
         texts = [t.decode() for t in held]
-        out += then(texts, encoder.encode(texts))
+        out += then(texts, encoder.encode(texts, check))
     return out
 
 
@@ -326,16 +348,16 @@ def compare(docs: DataFrame, model: str) -> DataFrame:
 
 def round_trip(docs: DataFrame, model: str) -> DataFrame:
     """Digests of the ids of every text and of what they decode to, and whether the library
-    gives the same ids: doc_id, n_tokens, ids_sha256, decoded_sha256, agrees.  Rows as for
-    ``encode``; the ids stay in the worker."""
+    gives all its words the same ids: doc_id, n_tokens, ids_sha256, decoded_sha256, agrees.
+    Rows as for ``encode``; the ids stay in the worker."""
     sha = lambda x: hashlib.sha256(x.encode()).hexdigest()
 
     def make(encoder, batch):
         def digests(texts, ids):
             plain = [sha(encoder.decode(x)) for x in ids]
-            return list(zip([x.count(",") + 1 if x else 0 for x in ids], map(sha, ids), plain, encoder.agrees(texts, ids)))
+            return list(zip([x.count(",") + 1 if x else 0 for x in ids], map(sha, ids), plain, map(encoder.sound, texts)))
 
-        cells = _encoded(encoder, batch, digests)
+        cells = _encoded(encoder, batch, digests, check=True)
         n, coded, plain, same = zip(*cells) if cells else ((), (), (), ())
         columns = [batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(coded, pa.string()), pa.array(plain, pa.string()), pa.array(same, pa.bool_())]
         return pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "agrees"])

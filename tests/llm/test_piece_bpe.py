@@ -97,9 +97,21 @@ def test_words_are_given_up_and_encoded_again(model, monkeypatch):
         assert all(encoder.agrees(some, encoder.encode(some)))
 
 
-def test_a_wrong_id_is_seen(model):
+def test_a_wrong_id_is_seen(model, monkeypatch):
     encoder = piece_bpe.PieceEncoder(model)
     assert encoder.agrees(["a b", "c"], ["264,287", "1"]) == [True, False]
+    encoder.encode(odd_texts(300), check=True)
+    assert not encoder.wrong
+    right = encoder.encode_word
+    monkeypatch.setattr(encoder, "encode_word", lambda w: "5" if w == "bad" else right(w))
+    encoder.encode(["some bad words", "good ones"], check=True)
+    assert [encoder.sound(t) for t in ("some bad words", "good ones", "")] == [False, True, True]
+
+
+def test_words_by_spaces(model):
+    encoder = piece_bpe.PieceEncoder(model)
+    for text in ["", " ", "  ", "a", " a", "a ", "a  b", "  a   b  ", "▁a▁▁b▁", "a\n b"]:
+        assert "".join(piece_bpe.MARK + w.replace(" ", piece_bpe.MARK) for w in encoder.split(text)) == encoder.normal(text)
 
 
 def test_only_merge_type_vocabularies(model):
