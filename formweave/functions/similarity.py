@@ -4,10 +4,7 @@ from __future__ import annotations
 
 import difflib
 import unicodedata
-from collections import defaultdict
-from collections.abc import Iterable
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType
@@ -61,67 +58,3 @@ def sm_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
 @F.pandas_udf(DoubleType())
 def token_set_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([token_set_score(x, y) for x, y in zip(a, b)], dtype="float64")
-
-
-def _bag(text: str) -> np.ndarray:
-    """How often each of 64 classes of characters is in a text."""
-    return np.bincount(np.frombuffer(text.encode("utf-32-le"), np.uint32) % 64, minlength=64)
-
-
-class Names:
-    """Names in order, of which the most similar to a text is wanted, the first among equals.
-
-    The characters that two texts have in common bound both similarities from above, and
-    names are compared in the order of this bound until it falls below the best found: the
-    answer is that of comparing all.  ``words`` of each name, if given, must meet those of
-    the text.
-    """
-
-    def __init__(self, names: list[str], words: Iterable | None = None, tokens: bool = False):
-        self.names, self.tokens = names, tokens
-        forms = [" ".join(sorted(set(n.split()))) for n in names] if tokens else names
-        self.lengths = np.array([len(f) for f in forms], np.int64)
-        self.bags = np.array([_bag(f) for f in forms], np.int32).reshape(-1, 64).T.copy()
-        self.having, self.meeting = self._index(n.split() for n in names) if tokens else {}, None if words is None else self._index(words)
-
-    @staticmethod
-    def _index(words: Iterable) -> dict[str, np.ndarray]:
-        found = defaultdict(list)
-        for i, ws in enumerate(words):
-            for w in set(ws):
-                found[w].append(i)
-        return {w: np.array(at) for w, at in found.items()}
-
-    def best(self, text: str, threshold: float, words: Iterable = ()) -> tuple[int, float] | None:
-        """Place and similarity of the best name of at least ``threshold``."""
-        form = " ".join(sorted(set(text.split()))) if self.tokens else text
-        bag, n, at, top = _bag(form), len(form), None, threshold
-        common = sum((np.minimum(self.bags[c], bag[c]) for c in np.flatnonzero(bag)), np.zeros(len(self.names), np.int64))
-        scale = 100.0 if self.tokens else 1.0
-        bound = scale * 2 * common / np.maximum(n + self.lengths, 1)
-        allowed = np.ones(len(self.names), bool)
-        if self.meeting is not None:
-            allowed[:] = False
-            for w in words:
-                allowed[self.meeting.get(w, [])] = True
-        bound[~allowed] = -1
-        if self.tokens:
-            # the common words against either side, exactly
-            shared = np.zeros(len(self.names), np.int64)
-            for w in set(text.split()):
-                shared[self.having.get(w, [])] += len(w) + 1
-            shared = np.maximum(shared - 1, 0)
-            whole = np.where(allowed, scale * 2 * shared / np.maximum(shared + np.minimum(n, self.lengths), 1), -1)
-            if len(whole) and whole.max() >= threshold:
-                at, top = int(whole.argmax()), float(whole.max())
-        near = np.flatnonzero(bound >= top)
-        score = token_set_score if self.tokens else sequence_ratio
-        for i in near[np.argsort(-bound[near], kind="stable")].tolist():
-            if bound[i] < top:
-                break
-            if at is not None and bound[i] == top and i > at:
-                continue
-            found = score(text, self.names[i])
-            if found > top or (found == top and (at is None or i < at)):
-                at, top = i, found
-        return None if at is None else (at, top)

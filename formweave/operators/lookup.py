@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from .folding import folded
 
 HEADERS = ("Section", "Page", "Field", "Index", "Value", "Choices")
 
@@ -38,8 +39,9 @@ def clean(df: DataFrame) -> DataFrame:
 
 
 def with_keys(df: DataFrame, normalizer=T.norm_key) -> DataFrame:
-    """Adds field_norm and section_norm."""
-    return df.withColumns({"field_norm": normalizer("Field"), "section_norm": normalizer("Section")})
+    """Adds field_norm and section_norm, of labels and sections in Unicode's composed form."""
+    rows = folded(df.withColumns({"field_norm": F.col("Field"), "section_norm": F.col("Section")}), "field_norm", "section_norm")
+    return rows.withColumns({"field_norm": normalizer("field_norm"), "section_norm": normalizer("section_norm")})
 
 
 def with_defaults(df: DataFrame, defaults: DataFrame) -> DataFrame:

@@ -8,51 +8,24 @@ small side and is broadcast by the planner where its size allows.
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import similarity as S
 from ..functions import text as T
 from . import occurrence as O
+from .similar import closest
 
 # Weights of agreeing page, section and index.
 WEIGHTS, AGENT_WEIGHTS, BOX_WEIGHTS = (8, 6, 3), (3, 6, 0), (4, 5, 2)
 SIMILAR, TOKEN_SIMILAR, BOX_SIMILAR, BOX_EQUAL = 0.82, 86.0, 0.68, 0.999
 
 
-def _closest(want: DataFrame, have: DataFrame, threshold: float, tokens: bool = False, overlap: bool = False) -> DataFrame:
-    """label_norm, matched and score: for each label of ``want`` (distinct) the best of
-    ``have`` (field_norm, first), the smallest ``first`` among equals.
-
-    Labels are dealt to as many tasks as the session shuffles to, each with all names of the
-    sheet: one form's sheet, that is, not a table that grows with the documents.
-    """
-    parts = int(want.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    words = lambda c: T.significant_words(c) if overlap else F.lit(None).cast("array<string>")
-    mine = want.select(F.pmod(F.hash("label_norm"), F.lit(parts)).alias("part"), "label_norm", words("label_norm").alias("words"))
-    theirs = have.filter("field_norm <> ''").select(F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part"), "field_norm", "first", words("field_norm").alias("words"))
-
-    def pick(a, b):
-        found = []
-        if len(a) and len(b):
-            b = b.sort_values(["first", "field_norm"])
-            names = S.Names(b["field_norm"].tolist(), b["words"] if overlap else None, tokens)
-            for label, own in zip(a["label_norm"], a["words"]):
-                hit = names.best(label, threshold, own if overlap else ())
-                if hit:
-                    found.append((label, names.names[hit[0]], hit[1]))
-        return pd.DataFrame(found, columns=["label_norm", "matched", "score"])
-
-    return mine.groupBy("part").cogroup(theirs.groupBy("part")).applyInPandas(pick, "label_norm string, matched string, score double")
-
-
 def best_labels(fields: DataFrame, lookup: DataFrame, threshold: float = SIMILAR, overlap: bool = False) -> DataFrame:
     """The sheet's label for each field label that the sheet lacks: the most similar one of
     at least ``threshold``, the first in the sheet among equals."""
     have = lookup.groupBy("field_norm").agg(F.min("row_no").alias("first"))
     want = fields.select("label_norm").filter("label_norm <> ''").distinct().join(have, F.col("label_norm") == F.col("field_norm"), "left_anti")
-    return _closest(want, have, threshold, overlap=overlap)
+    return closest(want, have, threshold, overlap=overlap)
 
 
 def _prefer(rows: DataFrame, hit: Column, needed: bool) -> DataFrame:
@@ -172,23 +145,9 @@ def resolve_structured(fields: DataFrame, lookup: DataFrame, section_first: bool
 
 
 def _token_best(labels: DataFrame, lookup: DataFrame, threshold: float = TOKEN_SIMILAR) -> DataFrame:
-    """The sheet's label that is most similar by token sets.
-
-    If the words of one are all in the other the similarity is 100; such pairs are met at
-    the rarest word of the smaller one.  Only labels without such a pair are compared.
-    """
-    split = lambda c: F.array_distinct(F.filter(F.split(c, r"(?U)\s+"), lambda w: w != ""))
-    have = lookup.filter("field_norm <> ''").groupBy("field_norm").agg(F.min("row_no").alias("first")).withColumn("b", split("field_norm"))
-    want = labels.select("label_norm").filter("label_norm <> ''").distinct().withColumn("a", split("label_norm"))
-    theirs, mine = have.withColumn("w", F.explode("b")), want.withColumn("w", F.explode("a"))
-    seen = theirs.groupBy("w").agg(F.count("*").alias("n"))
-    rarest = lambda rows, key, *more: rows.join(seen, "w", "left").groupBy(key).agg(F.min_by("w", F.struct(F.coalesce("n", F.lit(0)), "w")).alias("w"), *[F.first(c).alias(c) for c in more])
-    inside = mine.join(rarest(theirs, "field_norm", "first", "b"), "w").filter(F.size(F.array_except("b", "a")) == 0)
-    around = rarest(mine, "label_norm", "a").join(theirs, "w").filter(F.size(F.array_except("a", "b")) == 0)
-    pick = ["label_norm", "field_norm", "first"]
-    whole = inside.select(pick).unionByName(around.select(pick)).groupBy("label_norm").agg(F.min_by("field_norm", "first").alias("matched"))
-    rest = want.join(whole, "label_norm", "left_anti")
-    return whole.unionByName(_closest(rest, have, threshold, tokens=True).drop("score"))
+    """The sheet's label that is most similar by word sets."""
+    have = lookup.groupBy("field_norm").agg(F.min("row_no").alias("first"))
+    return closest(labels.select("label_norm").distinct(), have, threshold, tokens=True).drop("score")
 
 
 def resolve_simple(labels: DataFrame, row: DataFrame) -> DataFrame:

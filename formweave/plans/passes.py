@@ -18,6 +18,7 @@ from ..operators import occurrence as O
 from ..operators import options as P
 from ..operators import resolve as R
 from ..operators import spatial
+from ..operators.folding import folded
 from ..sources.shared import cut
 
 # The order of the passes, in general and where tables come early.
@@ -71,7 +72,7 @@ def offers(blocks: DataFrame, cells: DataFrame, lookup: DataFrame) -> dict[str,
     values = lookup.filter("Value <> ''").groupBy("field_norm").agg(F.min_by("Value", "row_no").alias("value"))
     new = P.fill_placeholders(named, values).join(named.withColumnRenamed("text", "_old"), "id").filter("text <> _old")
     out = {"placeholders": new.select(F.col("id").alias("target"), F.lit(0).cast("long").alias("emit_no"), F.col("text").alias("value"), F.lit("").alias("label"), F.lit(1).cast("long").alias("idx"))}
-    fields = cut(D.docx_fields(blocks, cells, True)).withColumn("field_no", F.struct("doc_id", "emit_no"))
+    fields = folded(cut(D.docx_fields(blocks, cells, True)), "section", "label").withColumn("field_no", F.struct("doc_id", "emit_no"))
     asked = fields.select("field_no", T.alias(T.normalize("label")).alias("label_norm"), F.lit(None).cast("long").alias("page"), T.normalize("section").alias("section_norm"), F.col("index").alias("occ"))
     plain = asked.filter(~F.col("section_norm").rlike(r"^contact \d+$"))
     found = R.resolve_agent(plain, lookup).select("field_no", "value").unionByName(R.resolve_contact(asked, lookup, R.SIMILAR).select("field_no", "value"))

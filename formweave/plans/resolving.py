@@ -268,6 +268,26 @@ def fill_plan_similar(spark, d):
     return fill_plan.fill_plan(raw, fields).withColumn("rule", F.when(F.col("value").isNotNull(), F.substring_index("rule", " ", 1)).otherwise(F.col("rule")))
 
 
+# Spellings of the plain labels that Unicode's composed form makes equal again.
+WIDE, LIGATURE, SPACED = "Ａccount Ｆield", "Account ﬁeld", "Account\u2003Field\u00a0"
+
+
+@query(
+    "fill_plan_folded",
+    f"""WITH {_taken(PLAIN_FIELDS, PLAIN_SHEET, "doc_id")}, v AS (SELECT *, {FIRST.format('v')} AS val FROM (SELECT a.*, {TRIES})),
+    o AS (SELECT *, row_number() OVER (PARTITION BY doc, eff, f, idx, val IS NULL ORDER BY emit_no) AS nth FROM v)
+    SELECT field_no, page, eff AS section, f AS label, idx, CASE WHEN nth = 1 THEN val END AS value, CASE WHEN val IS NULL THEN 'no value' WHEN nth > 1 THEN 'written before' ELSE 'exact' END AS rule FROM o""",
+)
+def fill_plan_folded(spark, d):
+    """The plan where sheet and fields spell labels in full width, with ligatures and with
+    other spaces: all are the plain label, in the SQL a constant."""
+    customer, orders = table(spark, d, "customer"), table(spark, d, "orders")
+    spelt = lambda key: f"CASE {key} % 4 WHEN 0 THEN '{WIDE}' WHEN 1 THEN '{LIGATURE}' WHEN 2 THEN '{SPACED}' ELSE 'Account Field' END || ' '"
+    raw = customer.selectExpr("c_custkey AS row_no", "replace(c_mktsegment, 'A', 'Ａ') AS Section", "CAST(NULL AS STRING) AS Page", f"{spelt('c_custkey')} || c_custkey div 6 AS Field", "CAST(c_custkey % 4 AS STRING) AS Index", "c_name AS Value")
+    fields = orders.selectExpr("o_orderkey AS field_no", "o_orderkey div 4000 AS doc_id", "'' AS section", f"{spelt('o_orderkey')} || o_custkey div 6 AS label")
+    return fill_plan.fill_plan(raw, fields, None).withColumn("rule", F.when(F.col("value").isNotNull(), F.substring_index("rule", " ", 1)).otherwise(F.col("rule")))
+
+
 @query("fill_plan_status", f"SELECT rule AS action, count(*) AS fields, count(value) AS filled FROM ({FLAG_SQL}) GROUP BY 1")
 def fill_plan_status(spark, d):
     """The dry run in figures: how many fields are written, and why others are not."""
