@@ -2,7 +2,9 @@
 
 Every partition counts its terms in a byte trie for each language, whose leaves count, for
 each source, occurrences and documents.  A trie gives its leaves in the order of their UTF-8
-bytes.  Leaves are dealt to ranges of (language, term), so every range is a range of prefixes;
+bytes.  Terms in too few documents are kept out of the tries as far as a filter of hashes can
+tell (all documents are hashed for it first): it lets some of them through, and never keeps
+out others.  Leaves are dealt to ranges of (language, term), so every range is a range of prefixes;
 there the tries of all partitions come as one ordered stream and are merged into one, leaf by
 leaf, and terms in too few documents of their language are left out.  What is kept goes on in
 blocks of consecutive leaves: a block and the totals of two blocks of sources give all sums of
@@ -13,9 +15,11 @@ All arithmetic is in integers: a share is 1 + floor(SCALE * (count + 5) / (total
 
 from __future__ import annotations
 
+import hashlib
 import re
 from collections import Counter, defaultdict
 from collections.abc import Iterator
+from itertools import compress
 
 import numpy as np
 import pyarrow as pa
@@ -23,6 +27,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import as_bytes, cut, lean, small_side, tidy
+from .hashing import hash_words, mix, mix_int
 
 #: Documents of its language that a kept term is in, scale of shares, what is added to each
 #: count, and ranks of terms that are reported.
@@ -35,6 +40,9 @@ HELD, TOGETHER, LEAVES, SOURCES, SALTS = 200_000, 1 << 19, 512, 128, 32
 #: Bytes of a long text that are cut at once.
 STRETCH = 1 << 20
 
+#: Bits of the filter (16 MB), and hashes counted together before they are given out.
+FILTER_BITS, HASHES = 27, 1 << 21
+
 #: What is no letter of a term becomes a space, and A-Z lower case.
 _FOLD = bytes(c + 32 if 65 <= c <= 90 else c if 97 <= c <= 122 or c > 127 else 32 for c in range(256))
 
@@ -140,10 +148,62 @@ def named(column: str) -> Column:
     return F.coalesce(F.col(column), F.lit("")).alias(column)
 
 
-def count_terms(docs: DataFrame) -> DataFrame:
+def _language(lang: str) -> np.uint64:
+    return np.uint64(mix_int(int.from_bytes(hashlib.blake2b(lang.encode(), digest_size=8).digest(), "little")))
+
+
+def _hashes(folded: bytes, lang: np.uint64) -> np.ndarray:
+    """Hashes of the terms of a folded text in a language, in order."""
+    return mix(hash_words([folded])[0] ^ lang)
+
+
+def frequent_terms(docs: DataFrame, least: int) -> np.ndarray:
+    """A filter of the hashes of all terms in at least ``least`` documents of their language,
+    in words of 64 bits.  It has the same size whatever the input, and what comes to the
+    driver are its words.  Terms that share a hash are counted together, so none is missed.
+    """
+
+    def build(batches):
+        held: list[np.ndarray] = []
+        size = 0
+
+        def counts() -> pa.RecordBatch:
+            found, n = np.unique(np.concatenate(held), return_counts=True)
+            held.clear()
+            return pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), pa.array(n)], names=["hash", "n"])
+
+        for batch in batches:
+            langs = [_language(x) for x in batch.column("lang").to_pylist()]
+            for lang, text in zip(langs, as_bytes(batch.column("text"))):
+                parts = [np.unique(_hashes(part.translate(_FOLD), lang)) for part in _stretches(text)]
+                held.append(parts[0] if len(parts) == 1 else np.unique(np.concatenate(parts)))
+                size += len(held[-1])
+                if size > HASHES:
+                    yield counts()
+                    size = 0
+        if held:
+            yield counts()
+
+    found = lean(docs.select(named("lang"), "text")).mapInArrow(tidy(build), "hash long, n long")
+    found = found.groupBy("hash").agg(F.sum("n").alias("n")).filter(F.col("n") >= least)
+    placed = found.selectExpr(f"shiftrightunsigned(hash, {64 - FILTER_BITS}) AS place")
+    words = placed.groupBy(F.expr("place >> 6").alias("word")).agg(F.expr("bit_or(1L << CAST(place & 63 AS INT))").alias("bits")).toPandas()
+    out = np.zeros(1 << (FILTER_BITS - 6), np.uint64)
+    out[words["word"].to_numpy(np.int64)] = words["bits"].to_numpy(np.int64).view(np.uint64)
+    return out
+
+
+def _passes(hashes: np.ndarray, words: np.ndarray) -> np.ndarray:
+    place = hashes >> np.uint64(65 - (len(words) * 64).bit_length())
+    return (words[(place >> np.uint64(6)).astype(np.int64)] >> (place & np.uint64(63))) & np.uint64(1)
+
+
+def count_terms(docs: DataFrame, words: np.ndarray) -> DataFrame:
     """Leaves of the tries of all partitions: lang, term, and for each source of the leaf
-    occurrences and documents.  A term comes once for each trie that has it; tries are given
-    out and begun anew when they hold HELD leaves."""
+    occurrences and documents, of terms that the filter ``words`` lets through.  A term comes
+    once for each trie that has it; tries are given out and begun anew when they hold HELD
+    leaves."""
+    sent = docs.sparkSession.sparkContext.broadcast(words)
 
     def build(batches):
         tries: dict[str, Trie] = defaultdict(Trie)
@@ -174,10 +234,12 @@ def count_terms(docs: DataFrame) -> DataFrame:
 
         for batch in batches:
             langs, sources = batch.column("lang").to_pylist(), batch.column("source").to_pylist()
+            keys = {x: _language(x) for x in set(langs)}
             for lang, source, text in zip(langs, sources, as_bytes(batch.column("text"))):
                 seen: set[bytes] = set()
                 for part in _stretches(text):
-                    found = terms(part)
+                    folded = part.translate(_FOLD)
+                    found = list(compress(folded.split(), _passes(_hashes(folded, keys[lang]), sent.value).tolist()))
                     occurs[lang, source].update(found)
                     seen.update(found)
                     waiting += len(found)
@@ -319,7 +381,7 @@ def audit(docs: DataFrame, least: int = LEAST, top: int = TOP) -> DataFrame:
     A task holds the different terms of its longest text besides its tries.
     """
     groups = cut(docs.select(named("lang"), named("source")).distinct())
-    blocks = cut(merge_tries(cut(count_terms(docs)), least))
+    blocks = cut(merge_tries(cut(count_terms(docs, frequent_terms(docs, least))), least))
     cells = blocks.select("lang", "terms", "sums", "names", F.explode(F.arrays_zip("term_at", "source_at", "counts")).alias("c"))
     cells = cells.select("lang", F.expr("terms[c.term_at]").alias("item"), F.expr("sums[c.term_at]").alias("all"), F.expr("names[c.source_at]").alias("source"), F.col("c.counts").alias("count"))
     totals = cells.groupBy("lang", "source").agg(F.sum("count").alias("total"))
