@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..operators import discovery as D
 from ..operators import scans as C
+from ..operators import shapes as S
 from ..operators import spatial as P
 from .fill_plan import fill_plan
 from .base import given, query, table
@@ -312,20 +313,110 @@ def line_suppression(spark, d):
     return C.suppress(given(spark, d, "slots"), given(spark, d, "blocks").withColumn("y", F.col("y1"))).select("field_no")
 
 
+# Squares of four lines, one in five without its right side and one in seven too high.
+SQUARES = """(SELECT doc_id, page, block_no, x0, y0, x0 + 12 AS x1, y0 + CASE WHEN block_no % 7 = 0 THEN 25 ELSE 11 END AS y1, block_no % 5 = 0 AS open FROM {blocks} q)"""
+STROKES = f"""(SELECT doc_id, page, unnest([{{'a': x0, 'b': y0, 'c': x1, 'd': y0}}, {{'a': x1, 'b': y1, 'c': x0 + 1, 'd': y1}}, {{'a': x0, 'b': y0, 'c': x0, 'd': y1}}, {{'a': x1 + CASE WHEN open THEN 9 ELSE 0 END, 'b': y0, 'c': x1 + CASE WHEN open THEN 9 ELSE 0 END, 'd': y1}}]) AS s FROM {SQUARES})"""
+
+
+@query(
+    "traced_squares",
+    f"""WITH s AS MATERIALIZED (SELECT doc_id, page, s.a AS x0, s.b AS y0, s.c AS x1, s.d AS y1 FROM {STROKES}),
+    h AS MATERIALIZED (SELECT DISTINCT doc_id, page, least(x0, x1) AS a, greatest(x0, x1) AS b, y0 AS y FROM s WHERE y0 = y1), v AS MATERIALIZED (SELECT DISTINCT doc_id, page, x0 AS x, y0 AS u, y1 AS w FROM s WHERE x0 = x1)
+    SELECT DISTINCT t.doc_id, t.page, t.a AS x0, t.y AS y0, t.b AS x1, l.y AS y1 FROM h t JOIN h l ON t.doc_id = l.doc_id AND t.page = l.page AND l.y > t.y AND l.y - t.y <= 48 AND abs(t.a - l.a) <= 2 AND abs(t.b - l.b) <= 2
+    WHERE least(t.b - t.a, l.y - t.y) BETWEEN 6 AND 30 AND greatest(t.b - t.a, l.y - t.y) <= 1.6 * (least(t.b - t.a, l.y - t.y) + 1e-6)
+    AND EXISTS (SELECT 1 FROM v WHERE v.doc_id = t.doc_id AND v.page = t.page AND abs(v.x - t.a) <= 2 AND v.u <= t.y + 2 AND v.w >= l.y - 2) AND EXISTS (SELECT 1 FROM v WHERE v.doc_id = t.doc_id AND v.page = t.page AND abs(v.x - t.b) <= 2 AND v.u <= t.y + 2 AND v.w >= l.y - 2)""",
+)
+def traced_squares(spark, d):
+    """Squares whose four sides are single strokes."""
+    x = given(spark, d, "blocks").selectExpr("doc_id", "page", "block_no", "x0", "y0", "x0 + 12 AS x1", "y0 + CASE WHEN block_no % 7 = 0 THEN 25 ELSE 11 END AS y1", "CASE WHEN block_no % 5 = 0 THEN x0 + 21 ELSE x0 + 12 END AS w")
+    return S.traced_squares(x.selectExpr("doc_id", "page", "stack(4, 0, x0, y0, x1, y0, 1, x1, y1, x0 + 1, y1, 2, x0, y0, x0, y1, 3, w, y0, w, y1) AS (stroke_no, x0, y0, x1, y1)"))
+
+
+# Two slanted strokes beside a block, which meet at the tip, nearly, or not, or lean alike.
+TIPS = "SELECT doc_id, page, block_no * 2 + {0} AS stroke_no, {1} FROM {{blocks}} q"
+LEANING = f"({TIPS.format(0, 'x0, y0, x0 + 4 AS x1, y0 + 5 AS y1')} UNION ALL {TIPS.format(1, 'x0 + 4 + block_no % 5 AS x0, CASE WHEN block_no % 3 = 0 THEN y0 ELSE y0 + 5 END AS y0, x0 + 8 + block_no % 5 AS x1, CASE WHEN block_no % 3 = 0 THEN y0 + 5 ELSE y0 END AS y1')})"
+
+
+@query(
+    "chevrons",
+    f"""WITH s AS MATERIALIZED (SELECT *, (x1 - x0) * (y1 - y0) > 0 AS r FROM {LEANING} z), e AS MATERIALIZED (SELECT doc_id, page, stroke_no, r, x0 AS x, y0 AS y FROM s UNION ALL SELECT doc_id, page, stroke_no, r, x1, y1 FROM s)
+    SELECT DISTINCT a.doc_id, a.page, a.stroke_no AS one, b.stroke_no AS other FROM e a JOIN e b ON a.doc_id = b.doc_id AND a.page = b.page AND a.r AND NOT b.r AND abs(a.x - b.x) <= 3 AND abs(a.y - b.y) <= 3""",
+)
+def chevrons(spark, d):
+    """Arrows of two strokes."""
+    x = given(spark, d, "blocks")
+    second = x.selectExpr("doc_id", "page", "block_no * 2 + 1 AS stroke_no", "x0 + 4 + block_no % 5 AS x0", "CASE WHEN block_no % 3 = 0 THEN y0 ELSE y0 + 5 END AS y0", "x0 + 8 + block_no % 5 AS x1", "CASE WHEN block_no % 3 = 0 THEN y0 + 5 ELSE y0 END AS y1")
+    return S.chevrons(x.selectExpr("doc_id", "page", "block_no * 2 AS stroke_no", "x0", "y0", "x0 + 4 AS x1", "y0 + 5 AS y1").unionByName(second)).select("doc_id", "page", "one", "other")
+
+
+FIELD = "doc_id, page, {0} AS x0, {1} AS x1, {2} AS y0, {3} AS y1, {4} AS mid, {5} AS placement, {6} AS label, '{7}' AS found_by, {8} AS pass"
+
+
+def _field(no, by, placement, x0="x0", x1="x1", y0="y0", y1="y1", mid="(y0 + y1) / 2", label="CAST(NULL AS VARCHAR)"):
+    return "SELECT " + FIELD.format(x0, x1, y0, y1, mid, placement, label, by, no)
+
+
+LEFT = "NOT EXISTS (SELECT 1 FROM {0} e WHERE e.doc_id = g.doc_id AND e.page = g.page AND abs(e.mid - g.mid) <= 9 AND least(e.x1, g.x1) - greatest(e.x0, g.x0) >= 36)"
+
+
+@query(
+    "discover_fields",
+    f"""WITH q AS (SELECT doc_id, page, line_no, span_no, max(x0) AS x0, max(y0) AS y0, max(y1) AS y1, max(CAST(substr(text, 2) AS BIGINT)) AS k FROM {{spans}} q GROUP BY 1, 2, 3, 4),
+    s AS MATERIALIZED (SELECT *, x0 + 20 + k % 40 AS x1, CASE span_no WHEN 3 THEN '_____' WHEN 1 THEN 'Label:' WHEN 4 THEN 'Name:' ELSE 'w' || k END AS t FROM q),
+    a AS MATERIALIZED ({_field(1, 'typed', "'start'")} FROM s WHERE span_no = 3
+      UNION ALL {_field(2, 'underline', "CASE WHEN k % 3 = 0 THEN 'acro_choice' ELSE 'center' END", x1='x0 + 120', y0='CASE WHEN k % 3 = 0 THEN y0 + 12 ELSE y0 + 20 END', y1='CASE WHEN k % 3 = 0 THEN y0 + 28 ELSE y0 + 20 END', mid='y0 + 20')} FROM s WHERE span_no = 5
+      UNION ALL {_field(3, 'dropdown', "'acro_choice'", x1='x0 + 100', y0='y0 + 14', y1='y0 + 28', mid='y0 + 21')} FROM s WHERE span_no = 2 AND k % 2 = 0
+      UNION ALL {_field(4, 'shallow box', "'acro_choice'", x1='x0 + 100', y0='y0 + 14', y1='y0 + 28', mid='y0 + 21')} FROM s WHERE span_no = 2 AND k % 2 = 1),
+    b0 AS (SELECT *, coalesce(n - x1 < 48, TRUE) AS near FROM (SELECT *, lead(x0) OVER (PARTITION BY doc_id, page, line_no ORDER BY x0) AS n FROM s WHERE span_no IN (1, 4))),
+    b AS MATERIALIZED (SELECT * FROM ({_field(5, 'block gap', "'center'", x0='x1 + 6', x1='CASE WHEN near THEN 676 ELSE n - 6 END', label="rtrim(t, ':')")} FROM b0 WHERE CASE WHEN near THEN 676 - x1 ELSE n - x1 END >= 48 AND CASE WHEN near THEN 676 ELSE n - 6 END - x1 - 6 >= 90) g WHERE {LEFT.format('a')}),
+    ab AS MATERIALIZED (SELECT * FROM a UNION ALL SELECT * FROM b),
+    w AS MATERIALIZED (SELECT *, lead(x0) OVER r AS n, string_agg(t, ' ') OVER (PARTITION BY doc_id, page, line_no ORDER BY x0 ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS line FROM s WINDOW r AS (PARTITION BY doc_id, page, line_no ORDER BY x0)),
+    c AS MATERIALIZED (SELECT * FROM ({_field(6, 'line gap', "'center'", x0='x1 + 6', x1='coalesce(n - 6, 676)', label="rtrim(line, ':')")} FROM w WHERE t LIKE '%:' AND coalesce(n, 676) - x1 >= 48 AND coalesce(n - 6, 676) - x1 - 6 >= 90) g WHERE {LEFT.format('ab')}),
+    abc AS MATERIALIZED (SELECT * FROM ab UNION ALL SELECT * FROM c),
+    e AS MATERIALIZED (SELECT * FROM ({_field(7, 'short gap', "'center'", x0='x1 + 6', x1='676.0', label="rtrim(line, ':')")} FROM w WHERE n IS NULL AND length(rtrim(line, ':')) <= 48 AND line SIMILAR TO '.*[A-Za-z].*' AND 676 - x1 - 6 >= 110) g WHERE {LEFT.format('abc')}),
+    m AS MATERIALIZED (SELECT * FROM abc UNION ALL SELECT * FROM e),
+    z AS ({_field(9, 'box widget', "'checkbox'", y0='y0 + 12', y1='y1 + 12', mid='y0 + 17')} FROM s WHERE span_no = 6 AND k % 3 = 0
+      UNION ALL SELECT * FROM ({_field(10, 'text widget', "'acro_text'", y0='y0 + 12', y1='y1 + 12', mid='y0 + 17')} FROM s WHERE span_no = 6 AND k % 3 = 2) g
+        WHERE NOT EXISTS (SELECT 1 FROM m WHERE m.placement IN ('start', 'center') AND m.doc_id = g.doc_id AND m.page = g.page AND g.y0 <= m.mid + 2 AND m.mid - 2 <= g.y1 AND g.x0 <= m.x1 AND m.x0 <= g.x1)
+      UNION ALL {_field(11, 'choice widget', "'acro_choice'", y0='y0 + 12', y1='y1 + 12', mid='y0 + 17')} FROM s WHERE span_no = 6 AND k % 3 = 1),
+    u AS (SELECT * FROM m UNION ALL SELECT * FROM z)
+    SELECT doc_id, page, x0, x1, y0, y1, mid, placement, label, found_by, row_number() OVER (PARTITION BY doc_id ORDER BY page, pass, mid, x0, x1, y0, y1, placement, label NULLS FIRST) AS emit_no FROM u""",
+)
+def discover_fields(spark, d):
+    """All passes that are no boxes to tick, each with what it leaves to the later ones."""
+    s = given(spark, d, "spans").groupBy("doc_id", "page", "line_no", "span_no").agg(F.max("x0").alias("x0"), F.max("y0").alias("y0"), F.max("y1").alias("y1"), F.expr("max(CAST(substr(text, 2) AS BIGINT)) AS k"))
+    s = s.withColumns({"x1": F.expr("x0 + 20 + k % 40"), "text": F.expr("'w' || k")})
+    words = s.withColumn("text", F.when(F.col("span_no") == 3, "_____").when(F.col("span_no") == 1, "Label:").when(F.col("span_no") == 4, "Name:").otherwise(F.col("text")))
+    lines = s.filter("span_no = 5").selectExpr("doc_id", "page", "x0", "x0 + 120 AS x1", "y0 + 20 AS y0", "y0 + 20 AS y1", "120D AS len", "k")
+    tips = lines.selectExpr("doc_id", "page", "stack(2, 0, x1 - 20, y0 - 2, x1 - 16, y0 + 2, 1, IF(k % 3 = 1, x1 - 6, x1 - 16), IF(k % 3 = 2, y0 - 2, y0 + 2), IF(k % 3 = 1, x1 - 2, x1 - 12), IF(k % 3 = 2, y0 + 2, y0 - 2)) AS (stroke_no, x0, y0, x1, y1)")
+    wide = s.filter("span_no = 2").selectExpr("doc_id", "page", "x0", "x0 + 100 AS x1", "y0 + 14 AS y0", "y0 + 28 AS y1", "k")
+    arrows = wide.selectExpr("doc_id", "page", "IF(k % 2 = 0, x1 - 20, x0) AS x0", "IF(k % 2 = 0, x1 - 12, x0 + 8) AS x1", "y0 + 2 AS y0", "y0 + 10 AS y1", "'▼' AS text")
+    marks = S.marks(arrows, tips.withColumn("stroke_no", F.xxhash64("x0", "y0", "stroke_no")))
+    boxed = s.filter("span_no = 6").selectExpr("doc_id", "page", "x0", "x1", "y0 + 12 AS y0", "y1 + 12 AS y1", "CASE k % 3 WHEN 0 THEN 'CheckBox' WHEN 1 THEN 'ComboBox' ELSE 'Text' END AS kind", "CAST(NULL AS ARRAY<STRING>) AS choices")
+    pages = s.select("doc_id", "page").distinct().withColumn("width", F.lit(700.0))
+    passes = [
+        D.underscores(words), D.underlines(lines, marks), D.dropdowns(wide, marks), D.shallow_boxes(wide), D.right_gaps(words.filter("span_no IN (1, 4)"), "block gap", pages),
+        D.right_gaps(words, "line gap", pages), D.right_gaps(words, "short gap", pages), D.widgets(boxed),
+    ]
+    return D.discover(passes).drop("name")
+
+
 def _discovered(spark, d):
     blocks, spans = given(spark, d, "blocks"), given(spark, d, "spans")
     words = spans.withColumn("text", F.when(F.col("span_no") == 3, "_____").when(F.col("span_no") == 1, "Label:").otherwise(F.col("text")))
-    segments = given(spark, d, "slots").select("doc_id", "page", "x0", F.lit(80.0).alias("len"), (F.col("x0") + 80).alias("x1"), F.col("y").alias("y0"), F.col("y").alias("y1"))
+    segments = given(spark, d, "slots").selectExpr("doc_id", "page", "x0", "100D AS len", "x0 + 100 AS x1", "y AS y0", "y AS y1")
     boxes = blocks.withColumns({"x1": F.col("x0") + 12, "y1": F.col("y0") + 12, "source": F.lit("rect"), "box_no": F.col("block_no")})
     wide = blocks.withColumns({"x1": F.col("x0") + 120, "y1": F.col("y0") + 14})
-    arrows = blocks.filter("block_no % 4 = 0").select("doc_id", "page", (F.col("x0") + 110).alias("x0"), (F.col("y0") + 5).alias("y0"))
+    # an arrow in every box: at its right end in one of four, else at its begin
+    arrows = wide.selectExpr("doc_id", "page", "IF(block_no % 4 = 0, x1 - 10, x0) AS x0", "IF(block_no % 4 = 0, x1 - 2, x0 + 8) AS x1", "y0 + 3 AS y0", "y0 + 11 AS y1", "'▾' AS text")
+    strokes = blocks.selectExpr("doc_id", "page", "stack(4, 0, x0 + 60, y0, x0 + 70, y0, 1, x0 + 60, y0 + 10, x0 + 70, y0 + 10, 2, x0 + 60, y0, x0 + 60, y0 + 10, 3, x0 + 70, y0, x0 + 70, y0 + 10) AS (stroke_no, x0, y0, x1, y1)")
     lines = blocks.withColumns({"line_no": F.col("y0").cast("long"), "text": F.concat("text", F.lit(":"))})
     kind = F.when(F.col("block_no") % 3 == 0, "CheckBox").when(F.col("block_no") % 3 == 1, "ComboBox").otherwise("Text")
-    choices = F.when(kind == "ComboBox", F.array("text"))
-    widgets = blocks.withColumns({"kind": kind, "choices": choices, "y1": F.col("y1") + 40})
+    widgets = blocks.withColumns({"kind": kind, "choices": F.when(kind == "ComboBox", F.array("text")), "y0": F.col("y0") + 20, "y1": F.col("y1") + 20})
+    marks = S.marks(arrows, strokes)
     passes = [
-        D.underscores(words), D.underlines(segments), D.dropdowns(wide, arrows), D.shallow_boxes(wide), D.right_gaps(lines),
-        D.right_gaps(words), D.right_gaps(words, False), D.checkboxes(boxes), D.widgets(widgets),
+        D.underscores(words), D.underlines(segments, marks), D.dropdowns(wide, marks), D.shallow_boxes(wide), D.right_gaps(lines, "block gap"),
+        D.right_gaps(words), D.right_gaps(words, "short gap"), D.checkboxes(boxes, strokes), D.widgets(widgets),
     ]
     found = D.discover(passes)
     text = P.line_envelopes(words)

@@ -551,12 +551,8 @@ def test_column_header_is_the_loop(spark):
     assert {r["field_no"]: r["header"] for r in got.collect()} == want and "" in want.values() and len(set(want.values())) > 5
 
 
-def test_discover_query_has_block_gaps_and_widgets(spark, monkeypatch):
+def test_discover_query_has_every_pass(spark):
     from formweave.plans import placing
 
-    seen, gaps = [], D.right_gaps
-    monkeypatch.setattr(D, "right_gaps", lambda rows, *more: seen.append(rows) or gaps(rows, *more))
-    found = {r["placement"] for r in placing.discover_pdf(spark, "/root/testdata/sf0.001").select("placement").distinct().collect()}
-    assert "acro_text" in found
-    blocks = [x for x in seen if "block_no" in x.columns]
-    assert len(blocks) == 1 and gaps(blocks[0]).count() > 0
+    found = {r["found_by"] for r in placing.discover_pdf(spark, "/root/testdata/sf0.001").select("found_by").distinct().collect()}
+    assert found >= {"typed", "underline", "dropdown", "shallow box", "block gap", "checkbox", "box widget", "choice widget", "text widget"}
