@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import cleaning, options, placing, resolving
+from . import choosing, cleaning, options, placing, resolving
 from .base import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES", "cleaning", "options", "placing", "resolving"]
+__all__ = ["ORACLES", "QUERIES", "choosing", "cleaning", "options", "placing", "resolving"]

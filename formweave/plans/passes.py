@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..operators import choices as C
 from ..operators import discovery as D
 from ..operators import occurrence as O
 from ..operators import options as P
@@ -71,7 +72,8 @@ def offers(blocks: DataFrame, cells: DataFrame, lookup: DataFrame) -> dict[str,
     named = held.withColumn("id", F.struct(*at)).select("id", "text")
     values = lookup.filter("Value <> ''").groupBy("field_norm").agg(F.min_by("Value", "row_no").alias("value"))
     new = P.fill_placeholders(named, values).join(named.withColumnRenamed("text", "_old"), "id").filter("text <> _old")
-    out = {"placeholders": new.select(F.col("id").alias("target"), F.lit(0).cast("long").alias("emit_no"), F.col("text").alias("value"), F.lit("").alias("label"), F.lit(1).cast("long").alias("idx"))}
+    boxed = {"inline_groups": C.inline_groups(held, lookup), "two_column_checkboxes": C.two_column_boxes(cells, lookup), "option_groups": C.option_groups(cells, lookup)}
+    out = boxed | {"placeholders": new.select(F.col("id").alias("target"), F.lit(0).cast("long").alias("emit_no"), F.col("text").alias("value"), F.lit("").alias("label"), F.lit(1).cast("long").alias("idx"))}
     fields = folded(cut(D.docx_fields(blocks, cells, True)), "section", "label").withColumn("field_no", F.struct("doc_id", "emit_no"))
     asked = fields.select("field_no", T.alias(T.normalize("label")).alias("label_norm"), F.lit(None).cast("long").alias("page"), T.normalize("section").alias("section_norm"), F.col("index").alias("occ"))
     plain = asked.filter(~F.col("section_norm").rlike(r"^contact \d+$"))
@@ -117,7 +119,7 @@ def document_plan(blocks: DataFrame, cells: DataFrame, lookup: DataFrame, order:
     glyph, and ``last_chance`` comes after all and to no place that a pass has filled."""
     found = offers(blocks, cells, lookup) | {"last_chance": last_chance(blocks, lookup)}
     glyphs = blocks.select("doc_id", "text").unionByName(cells.select("doc_id", "text")).filter(T.has_checkbox("text")).select("doc_id").distinct()
-    if "checkboxes" in found:
-        found["checkboxes"] = found["checkboxes"].withColumn("doc_id", F.col("target.doc_id")).join(glyphs, "doc_id", "left_semi").drop("doc_id")
+    for name in ("checkboxes", "two_column_checkboxes"):
+        found[name] = found[name].withColumn("doc_id", F.col("target.doc_id")).join(glyphs, "doc_id", "left_semi").drop("doc_id")
     plan = first_pass(found, (*order, "last_chance"))
     return plan.select("target.*", "pass", F.col("value").alias("text"))
