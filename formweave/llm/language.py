@@ -54,11 +54,12 @@ def fit(docs: DataFrame) -> dict[str, bytes]:
         parts = rows.sort_by("h").column("part").to_pylist()
         share = max(64, size // len(parts))
         content = b" ".join(spread(p, share, min(PLACES, max(2, share // 64))) for p in parts)[:size]
-        return pa.table({"lang": [key[0].as_py()], "content": pa.array([content], pa.binary())})
+        # a dictionary has 8 bytes at least, so the language of one short word is learned, too
+        return pa.table({"lang": [key[0].as_py()], "content": pa.array([content.ljust(8)], pa.binary())})
 
     rows = lean(taught.join(small_side(chosen, 1 << 18), ["lang", "h"]).select("lang", "text", "h")).mapInArrow(tidy(sample), "lang string, h long, part binary")
     rows = rows.groupBy("lang", "h").agg(F.first("part").alias("part")).groupBy("lang").applyInArrow(build, "lang string, content binary")
-    return {r["lang"]: bytes(r["content"]) for r in rows.collect() if len(r["content"]) >= 8}
+    return {r["lang"]: bytes(r["content"]) for r in rows.collect()}
 
 
 def classify(docs: DataFrame, model: dict[str, bytes], margin: float = MARGIN) -> DataFrame:
