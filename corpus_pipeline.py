@@ -21,11 +21,16 @@ COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the documents whose language is clear; a null lang becomes the one found.
 
-    Null and empty texts, and texts without a letter, have no language and go.  Repeated
-    rows and rows without an id are judged like any other; an empty table stays empty.
+    Null and empty texts, and texts without a letter, have no language and go.  Without any
+    language to learn from (no lang is given) nothing can be judged, and all rows stay; with
+    a single one every text with a letter is taken for it.  Repeated rows and rows without an
+    id are judged like any other; an empty table stays empty.
     """
     relieve(spark)
-    found = language.classify(docs, language.fit(docs)).filter("accepted")
+    model = language.fit(docs)
+    if not model:
+        return docs.select(*COLUMNS)
+    found = language.classify(docs, model).filter("accepted")
     return found.withColumn("lang", F.coalesce("lang", "lang_pred")).select(*COLUMNS)
 
 
