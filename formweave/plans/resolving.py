@@ -115,10 +115,16 @@ def resolve_contact(spark, d):
     return R.resolve_contact(fields.withColumn("section_norm", F.concat(F.lit("contact "), F.col("field_no") % 5 + 1)), sheet)
 
 
-@query("only_value", "SELECT field_no, row_no, value FROM {fields} f JOIN (SELECT field_norm, min(row_no) AS row_no, min(Value) AS value FROM {sheet} GROUP BY 1 HAVING count(*) = 1 AND max(Index) IS NULL) l ON f.label_norm = l.field_norm")
+# Every row of the sheet with a label of its own, or its neighbour's, and every other without an index.
+OWN = "(SELECT row_no, 'account field ' || (row_no - CASE WHEN row_no % 7 = 0 THEN 1 ELSE 0 END) AS field_norm, CASE WHEN row_no % 2 = 0 THEN NULL ELSE Index END AS Index, Value FROM {sheet} q)"
+
+
+@query("only_value", "SELECT field_no, row_no, value FROM {fields} f JOIN (SELECT field_norm, min(row_no) AS row_no, min(Value) AS value FROM " + OWN + " GROUP BY 1 HAVING count(*) = 1 AND max(Index) IS NULL) l ON f.label_norm = l.field_norm")
 def only_value(spark, d):
     """Labels with a single row and no index."""
-    return R.only_value(*_inputs(spark, d))
+    fields, sheet = _inputs(spark, d)
+    own = sheet.withColumns({"field_norm": F.expr("'account field ' || (row_no - CASE WHEN row_no % 7 = 0 THEN 1 ELSE 0 END)"), "Index": F.expr("CASE WHEN row_no % 2 = 0 THEN NULL ELSE Index END")})
+    return R.only_value(fields, own)
 
 
 @query(
