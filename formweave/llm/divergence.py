@@ -15,11 +15,11 @@ All arithmetic is in integers: a share is 1 + floor(SCALE * (count + 5) / (total
 
 from __future__ import annotations
 
-import hashlib
 import re
+import zlib
 from collections import Counter, defaultdict
 from collections.abc import Iterator
-from itertools import compress
+from itertools import compress, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -27,15 +27,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import as_bytes, cut, lean, small_side, tidy
-from .hashing import hash_words, mix, mix_int
 
 #: Documents of its language that a kept term is in, scale of shares, what is added to each
 #: count, and ranks of terms that are reported.
 LEAST, SCALE, ADDED, TOP = 30, 10**9, 5, 50
-#: Leaves that the tries of a task hold before they are given out, words counted together
-#: before they enter a trie, leaves of a block, sources of a block, and parts that a group of
-#: any size is dealt to where it is joined.
-HELD, TOGETHER, LEAVES, SOURCES, SALTS = 200_000, 1 << 19, 512, 128, 32
+#: Suffixes of a node of a trie, leaves that the tries of a task hold before they are given
+#: out, different terms of sources that are counted before they enter a trie, leaves of a
+#: block, sources of a block, and parts that a group of any size is dealt to where it is joined.
+BURST, HELD, TOGETHER, LEAVES, SOURCES, SALTS = 1024, 200_000, 500_000, 512, 128, 32
 
 #: Bytes of a long text that are cut at once.
 STRETCH = 1 << 20
@@ -55,38 +54,40 @@ def terms(text: bytes) -> list[bytes]:
 
 
 class Trie:
-    """A radix trie over bytes; a leaf has counters by source."""
+    """A byte trie; a leaf has counters by source.  What is below a node stands in one table
+    of suffixes until there are more than BURST of them, which are then dealt to nodes by
+    their first byte: so inner nodes are few, and a path that does not fork has none."""
 
-    __slots__ = ("kids", "leaf", "size")
+    __slots__ = ("kids", "held", "size")
 
     def __init__(self):
-        self.kids: dict[int, list] = {}  # by first byte: the label and the node below
-        self.leaf: dict[str, list[int]] | None = None
+        self.kids: dict[int, Trie] | None = None  # by first byte
+        self.held: dict[bytes, dict[str, list[int]]] = {}  # suffixes; with kids the empty one only
         self.size = 0  # leaves, kept at the root only
 
     def at(self, term: bytes) -> dict[str, list[int]]:
         """Counters of a term, which is entered if it is new."""
         node, i, n = self, 0, len(term)
-        while i < n:
-            edge = node.kids.get(term[i])
-            if edge is None:
-                below = Trie()
-                node.kids[term[i]] = [term[i:], below]
-                node, i = below, n
-                break
-            label, below = edge
-            if term.startswith(label, i):
-                node, i = below, i + len(label)
-                continue
-            k = next((j for j, (x, y) in enumerate(zip(label, term[i:])) if x != y), min(len(label), n - i))
-            middle = Trie()
-            middle.kids[label[k]] = [label[k:], below]
-            edge[0], edge[1] = label[:k], middle
-            node, i = middle, i + k
-        if node.leaf is None:
-            node.leaf = {}
+        while node.kids is not None and i < n:
+            below = node.kids.get(term[i])
+            if below is None:
+                below = node.kids[term[i]] = Trie()
+            node, i = below, i + 1
+        suffix = term[i:] if i else term
+        leaf = node.held.get(suffix)
+        if leaf is None:
+            leaf = node.held[suffix] = {}
             self.size += 1
-        return node.leaf
+            if len(node.held) > BURST:
+                node.burst()
+        return leaf
+
+    def burst(self) -> None:
+        self.kids = {}
+        for suffix, leaf in self.held.items():
+            if suffix:
+                self.kids.setdefault(suffix[0], Trie()).held[suffix[1:]] = leaf
+        self.held = {b"": self.held[b""]} if b"" in self.held else {}
 
     def add(self, term: bytes, source: str, count: int, documents: int) -> None:
         leaf = self.at(term)
@@ -98,16 +99,14 @@ class Trie:
             cell[1] += documents
 
     def walk(self) -> Iterator[tuple[bytes, dict[str, list[int]]]]:
-        """Terms and counters in order of their bytes, without recursion: a term of many
-        bytes may make as deep a trie."""
+        """Terms and counters in order of their bytes."""
         stack: list[tuple[bytes, Trie]] = [(b"", self)]
         while stack:
             prefix, node = stack.pop()
-            if node.leaf is not None:
-                yield prefix, node.leaf
-            for byte in sorted(node.kids, reverse=True):
-                label, below = node.kids[byte]
-                stack.append((prefix + label, below))
+            for suffix in sorted(node.held):
+                yield prefix + suffix, node.held[suffix]
+            for byte in sorted(node.kids or (), reverse=True):
+                stack.append((prefix + bytes((byte,)), node.kids[byte]))
 
 
 LEAF = "lang string, term string, sources array<string>, counts array<long>, documents array<long>"
@@ -148,13 +147,13 @@ def named(column: str) -> Column:
     return F.coalesce(F.col(column), F.lit("")).alias(column)
 
 
-def _language(lang: str) -> np.uint64:
-    return np.uint64(mix_int(int.from_bytes(hashlib.blake2b(lang.encode(), digest_size=8).digest(), "little")))
+def _seed(lang: str) -> int:
+    return zlib.crc32(b"\0" + lang.encode())
 
 
-def _hashes(folded: bytes, lang: np.uint64) -> np.ndarray:
-    """Hashes of the terms of a folded text in a language, in order."""
-    return mix(hash_words([folded])[0] ^ lang)
+def _hashes(found: list[bytes], seed: int) -> np.ndarray:
+    """Hashes of terms, one language's seed among them."""
+    return np.fromiter(map(zlib.crc32, found, repeat(seed)), np.uint32, len(found))
 
 
 def frequent_terms(docs: DataFrame, least: int) -> np.ndarray:
@@ -170,12 +169,12 @@ def frequent_terms(docs: DataFrame, least: int) -> np.ndarray:
         def counts() -> pa.RecordBatch:
             found, n = np.unique(np.concatenate(held), return_counts=True)
             held.clear()
-            return pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), pa.array(n)], names=["hash", "n"])
+            return pa.RecordBatch.from_arrays([pa.array(found.astype(np.int64)), pa.array(n)], names=["hash", "n"])
 
         for batch in batches:
-            langs = [_language(x) for x in batch.column("lang").to_pylist()]
-            for lang, text in zip(langs, as_bytes(batch.column("text"))):
-                parts = [np.unique(_hashes(part.translate(_FOLD), lang)) for part in _stretches(text)]
+            seeds = [_seed(x) for x in batch.column("lang").to_pylist()]
+            for seed, text in zip(seeds, as_bytes(batch.column("text"))):
+                parts = [np.unique(_hashes(terms(part), seed)) for part in _stretches(text)]
                 held.append(parts[0] if len(parts) == 1 else np.unique(np.concatenate(parts)))
                 size += len(held[-1])
                 if size > HASHES:
@@ -186,7 +185,7 @@ def frequent_terms(docs: DataFrame, least: int) -> np.ndarray:
 
     found = lean(docs.select(named("lang"), "text")).mapInArrow(tidy(build), "hash long, n long")
     found = found.groupBy("hash").agg(F.sum("n").alias("n")).filter(F.col("n") >= least)
-    placed = found.selectExpr(f"shiftrightunsigned(hash, {64 - FILTER_BITS}) AS place")
+    placed = found.selectExpr(f"hash >> {32 - FILTER_BITS} AS place")
     words = placed.groupBy(F.expr("place >> 6").alias("word")).agg(F.expr("bit_or(1L << CAST(place & 63 AS INT))").alias("bits")).toPandas()
     out = np.zeros(1 << (FILTER_BITS - 6), np.uint64)
     out[words["word"].to_numpy(np.int64)] = words["bits"].to_numpy(np.int64).view(np.uint64)
@@ -194,8 +193,8 @@ def frequent_terms(docs: DataFrame, least: int) -> np.ndarray:
 
 
 def _passes(hashes: np.ndarray, words: np.ndarray) -> np.ndarray:
-    place = hashes >> np.uint64(65 - (len(words) * 64).bit_length())
-    return (words[(place >> np.uint64(6)).astype(np.int64)] >> (place & np.uint64(63))) & np.uint64(1)
+    place = (hashes >> np.uint32(33 - (len(words) * 64).bit_length())).astype(np.int64)
+    return (words[place >> 6] >> (place & 63).astype(np.uint64)) & np.uint64(1)
 
 
 def count_terms(docs: DataFrame, words: np.ndarray) -> DataFrame:
@@ -209,13 +208,12 @@ def count_terms(docs: DataFrame, words: np.ndarray) -> DataFrame:
         tries: dict[str, Trie] = defaultdict(Trie)
         occurs: dict[tuple[str, str], Counter] = defaultdict(Counter)
         within: dict[tuple[str, str], Counter] = defaultdict(Counter)
-        waiting = 0
 
         def enter() -> None:
-            for key, counter in occurs.items():
-                add, inside = tries[key[0]].add, within[key]
+            for (lang, source), counter in occurs.items():
+                trie, inside = tries[lang], within[lang, source]
                 for term, n in counter.items():
-                    add(term, key[1], n, inside[term])
+                    trie.add(term, source, n, inside[term])
             occurs.clear()
             within.clear()
 
@@ -234,21 +232,19 @@ def count_terms(docs: DataFrame, words: np.ndarray) -> DataFrame:
 
         for batch in batches:
             langs, sources = batch.column("lang").to_pylist(), batch.column("source").to_pylist()
-            keys = {x: _language(x) for x in set(langs)}
+            seeds = {x: _seed(x) for x in set(langs)}
             for lang, source, text in zip(langs, sources, as_bytes(batch.column("text"))):
                 seen: set[bytes] = set()
                 for part in _stretches(text):
-                    folded = part.translate(_FOLD)
-                    found = list(compress(folded.split(), _passes(_hashes(folded, keys[lang]), sent.value).tolist()))
+                    found = terms(part)
+                    found = list(compress(found, _passes(_hashes(found, seeds[lang]), sent.value).tolist()))
                     occurs[lang, source].update(found)
                     seen.update(found)
-                    waiting += len(found)
                 within[lang, source].update(seen)
-                if waiting > TOGETHER:
-                    enter()
-                    waiting = 0
-                    if sum(t.size for t in tries.values()) > HELD:
-                        yield from leaves()
+            if sum(map(len, occurs.values())) > TOGETHER:
+                enter()
+                if sum(t.size for t in tries.values()) > HELD:
+                    yield from leaves()
         enter()
         yield from leaves()
 
@@ -276,16 +272,25 @@ def merge_tries(leaves: DataFrame, least: int) -> DataFrame:
         return [(lang, [t for t, _ in kept], [sum(n for n, _ in leaf.values()) for _, leaf in kept], names, *map(list, zip(*cells)))]
 
     def build(batches):
-        at, term, trie = None, None, Trie()
+        at, term, trie, leaf = None, None, Trie(), {}
         for batch in batches:
             rows = []
-            for lang, text, sources, counts, documents in zip(*[batch.column(c).to_pylist() for c in ("lang", "term", "sources", "counts", "documents")]):
-                if lang != at or (trie.size >= LEAVES and text != term):
-                    rows += block(at, trie)
-                    at, trie = lang, Trie()
-                term = text
-                for cell in zip(sources, counts, documents):
-                    trie.add(text.encode(), *cell)
+            lists = [batch.column(c) for c in ("sources", "counts", "documents")]
+            ends = [x - lists[0].offsets[0].as_py() for x in lists[0].offsets.to_pylist()]
+            sources, counts, documents = (x.flatten().to_pylist() for x in lists)
+            for i, (lang, text) in enumerate(zip(batch.column("lang").to_pylist(), batch.column("term").to_pylist())):
+                if lang != at or text != term:
+                    if lang != at or trie.size >= LEAVES:
+                        rows += block(at, trie)
+                        at, trie = lang, Trie()
+                    term, leaf = text, trie.at(text.encode())
+                for j in range(ends[i], ends[i + 1]):
+                    cell = leaf.get(sources[j])
+                    if cell is None:
+                        leaf[sources[j]] = [counts[j], documents[j]]
+                    else:
+                        cell[0] += counts[j]
+                        cell[1] += documents[j]
             if rows:
                 yield _batch(rows, BLOCK)
         if trie.size and (rows := block(at, trie)):

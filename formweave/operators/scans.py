@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..functions.registered import CELL, PAD, Grid
 
 
 def forward_fill(fields: DataFrame, keys: tuple = ("doc_id",), order: tuple = ("page", "y", "x", "idx")) -> DataFrame:
@@ -131,26 +132,13 @@ def merge_near(items: DataFrame, near: dict[str, float] = SAME_LINE, keys: tuple
     return keep_in_order(items, keys, order, columns, list, step)
 
 
-#: Points by which boxes are widened on every side when they are compared, and the side of a
-#: cell of the grid that they are kept in.
-PAD, CELL = 1.6, 32.0
 
 
 def greedy_boxes(boxes: DataFrame, keys: tuple = ("doc_id", "page"), pad: float = PAD) -> DataFrame:
     """Boxes in order of priority and place that overlap none kept before them, when each
     is ``pad`` wider on all sides; boxes that touch overlap."""
 
-    def step(grid: dict, b: tuple) -> bool:
-        x0, y0, x1, y1 = b[0] - pad, b[1] - pad, b[2] + pad, b[3] + pad
-        # a box is in all cells that it reaches, so it meets its neighbours only
-        cells = [(i, j) for i in range(int(x0 // CELL), int(x1 // CELL) + 1) for j in range(int(y0 // CELL), int(y1 // CELL) + 1)]
-        if any(x1 >= k[0] and k[2] >= x0 and y1 >= k[1] and k[3] >= y0 for c in cells for k in grid.get(c, ())):
-            return False
-        for c in cells:
-            grid.setdefault(c, []).append((x0, y0, x1, y1))
-        return True
-
-    return keep_in_order(boxes, keys, ["priority", "y0", "x0", "box_no"], ["x0", "y0", "x1", "y1"], dict, step)
+    return keep_in_order(boxes, keys, ["priority", "y0", "x0", "box_no"], ["x0", "y0", "x1", "y1"], lambda: Grid(pad, CELL), lambda grid, box: grid.take(*box))
 
 
 def suppress(candidates: DataFrame, existing: DataFrame, dy: float = 9, dx: float = 36) -> DataFrame:

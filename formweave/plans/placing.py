@@ -6,12 +6,13 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..functions.registered import register
 from ..operators import discovery as D
 from ..operators import scans as C
 from ..operators import shapes as S
 from ..operators import spatial as P
 from .fill_plan import fill_plan
-from .base import given, query, table
+from .base import ORACLES, given, query, table
 
 B = "(SELECT *, (y0 + y1) / 2 AS ym FROM {blocks} q)"
 #: Every fifth block is blank.
@@ -307,6 +308,13 @@ def greedy_overlap(spark, d):
     return C.greedy_boxes(x).select("doc_id", "page", "box_no")
 
 
+@query("greedy_overlap_in_sql", ORACLES["greedy_overlap"])
+def greedy_overlap_in_sql(spark, d):
+    """The same as a table function in SQL."""
+    x = given(spark, d, "blocks").select("doc_id", "page", F.col("block_no").alias("box_no"), "x0", "y0", "x1", "y1", (F.col("block_no") % 3).cast("int").alias("priority")).distinct()
+    return register(spark).sql("SELECT * FROM keep_disjoint(TABLE({boxes}) PARTITION BY (doc_id, page) ORDER BY (priority, y0, x0, box_no))", boxes=x)
+
+
 @query("line_suppression", f"SELECT s.field_no FROM {{slots}} s WHERE NOT EXISTS (SELECT 1 FROM {{blocks}} b WHERE {ON} AND abs(s.y - b.y1) <= 9 AND least(s.x1, b.x1) - greatest(s.x0, b.x0) >= 36)")
 def line_suppression(spark, d):
     """Candidates without an existing line near them."""
