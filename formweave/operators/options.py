@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -93,27 +95,45 @@ def fused_options(c) -> Column:
     return F.when(t.rlike(FUSED), known).when(two, F.transform(halves, F.trim)).otherwise(F.array(t))
 
 
-#: Most groups of options; all of them are sent to every task.
-GROUPS = 10000
+
+
+#: Characters of the pieces by which texts and groups meet.
+PIECE = 3
+
+
+def _pieces(c, q) -> Column:
+    """Different pieces of ``q`` characters of a text."""
+    return F.array_distinct(F.when(F.length(c) >= q, F.transform(F.sequence(F.lit(1), F.length(c) - q + 1), lambda i: F.substring(c, i, F.lit(q)))).otherwise(F.array().cast("array<string>")))
 
 
 def group_rows(fields: DataFrame, groups: DataFrame) -> DataFrame:
     """Replaces a field that names all options of a group, in order, by its options.
 
     ``groups`` has labels (array); one group matches a field at most: the first by name.
-    Every field is held against every group, so groups are those of a form: more than
-    GROUPS are an error.
+    Groups without two labels, or with labels of punctuation only, match nothing.
+
+    A text that names a group has every piece of its labels in it.  Each group is entered
+    under one, that which the fewest other groups have, and only texts with that piece are
+    held against it; so there may be any number of groups.
     """
-    if groups.limit(GROUPS + 1).count() > GROUPS:
-        raise ValueError(f"more than {GROUPS} groups")
-    key = F.array_join(F.transform("labels", T.norm_key), "")
+    norms = F.transform("labels", T.norm_key)
     pattern = F.concat(F.lit("(?s)^.*"), F.array_join(F.transform("labels", lambda x: F.concat(F.lit("\\Q"), T.norm_key(x), F.lit("\\E"))), ".*"), F.lit(".*$"))
-    groups = groups.filter(F.size("labels") >= 2).select("labels", key.alias("_key"), pattern.alias("_pattern"))
-    keyed = fields.withColumn("_norm", T.norm_key("Field"))
-    hit = keyed.join(F.broadcast(groups), F.expr("_norm rlike _pattern OR replace(_norm, ' ', '') = replace(_key, ' ', '')"))
-    hit = hit.withColumn("_n", F.row_number().over(Window.partitionBy("row_no").orderBy("_key"))).filter("_n = 1")
-    rows = hit.withColumn("Field", F.explode("labels")).select(*fields.columns)
-    return fields.join(hit.select("row_no"), "row_no", "left_anti").unionByName(rows)
+    size = F.least(F.array_max(F.transform(norms, F.length)), F.lit(PIECE))
+    groups = groups.filter(F.size("labels") >= 2).select("labels", F.array_join(norms, "").alias("_key"), pattern.alias("_pattern"), norms.alias("_norms"), size.alias("_q")).filter("_q > 0")
+    of_groups = [groups.filter(F.col("_q") == q).withColumn("_piece", F.explode(F.array_distinct(F.flatten(F.transform("_norms", lambda x, q=q: _pieces(x, q)))))) for q in range(1, PIECE + 1)]
+    entered = reduce(DataFrame.unionByName, of_groups)
+    counts = entered.groupBy("_piece").agg(F.count("*").alias("_n"))
+    entered = entered.join(counts, "_piece").groupBy("labels", "_key", "_pattern").agg(F.min_by("_piece", F.struct("_n", "_piece")).alias("_piece"))
+
+    keyed = fields.select("row_no", T.norm_key("Field").alias("_norm"))
+    texts = keyed.withColumn("_piece", F.explode(F.concat(*[_pieces(F.col("_norm"), q) for q in range(1, PIECE + 1)])))
+    named = texts.join(entered, "_piece").filter(F.expr("_norm rlike _pattern")).select("row_no", "labels", "_key")
+    bare = lambda c: F.replace(F.col(c), F.lit(" "), F.lit(""))
+    same = keyed.withColumn("_bare", bare("_norm")).join(groups.withColumn("_bare", bare("_key")).filter("_bare <> ''"), "_bare").select("row_no", "labels", "_key")
+    first = F.row_number().over(Window.partitionBy("row_no").orderBy("_key", "labels"))
+    hit = named.unionByName(same).withColumn("_n", first).filter("_n = 1").drop("_n", "_key")
+    rows = fields.join(hit, "row_no").withColumn("Field", F.explode("labels")).select(*fields.columns)
+    return fields.join(hit.select("row_no"), "row_no", "left_anti").select(*fields.columns).unionByName(rows)
 
 
 # What begins a list of options, what stands before one, and between two.
