@@ -76,10 +76,28 @@ def test_no_rows(spark):
     assert sorted(map(tuple, divergence.audit(blank).collect())) == [("en", "a", "pair", "b", 0, 1), ("en", "b", "pair", "a", 0, 1)]
 
 
-def test_trie():
+def test_filter_misses_no_term(spark, monkeypatch):
+    """With two words of bits next to nothing is kept out, and the rows are the same."""
+    rows = corpus(21)
+    docs = spark.createDataFrame(rows, SCHEMA).repartition(3)
+    words = divergence.frequent_terms(docs, 4)
+    inside = Counter()
+    for _, text, lang, *_ in rows:
+        inside.update({(lang or "", t) for t in divergence.terms((text or "").encode())})
+    kept = {x for x, n in inside.items() if n >= 4}
+    passed = {(lang, t) for lang, t in inside if divergence._passes(divergence._hashes([t], divergence._seed(lang)), words)[0]}
+    assert kept <= passed and len(passed - kept) < 5
+    monkeypatch.setattr(divergence, "FILTER_BITS", 7)
+    monkeypatch.setattr(divergence, "HASHES", 40)
+    assert sorted(map(tuple, divergence.audit(docs, 4, 50).collect())) == brute(rows, 4, 50)
+
+
+@pytest.mark.parametrize("burst", [1024, 3, 1])
+def test_trie(monkeypatch, burst):
     """Ordered by bytes, whatever the order of entry; prefixes of others are leaves, too."""
     rng = random.Random(2)
-    words = ["".join(rng.choice("abé日") for _ in range(rng.randrange(1, 9))).encode() for _ in range(3000)] + [b"a" * 100_000, b"a" * 99_999]
+    words = ["".join(rng.choice("abé日") for _ in range(rng.randrange(1, 9))).encode() for _ in range(3000)] + [b"a" * 3000, b"a" * 2999]
+    monkeypatch.setattr(divergence, "BURST", burst)
     trie, want = divergence.Trie(), defaultdict(lambda: [0, 0])
     for w in words:
         source = rng.choice("xyz")
