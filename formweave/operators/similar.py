@@ -9,6 +9,10 @@ is above 0 for any t from 2/3 on.  Sorting words changes no pair.
 By that bound, texts meet at the *rarest* pairs of each (prefix filter), if their lengths
 allow it and as many pairs can still follow (positional filter), and only what meets is
 compared.  Thresholds come down in steps: who finds a name above a step needs none below it.
+
+Names that are alike but for a number share their rarest pairs with many.  So short texts meet
+first by equal *spellings*, with a character left out on both sides or two of the name; the
+labels for which no other name can be as similar as the one found need no pairs at all.
 """
 
 from __future__ import annotations
@@ -16,7 +20,9 @@ from __future__ import annotations
 import difflib
 from collections.abc import Iterator
 from functools import reduce
+from itertools import combinations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -25,10 +31,13 @@ from ..functions import similarity as S
 from ..functions import text as T
 from ..sources.shared import cut
 
-#: Steps above the threshold asked for.  The first is for word sets only.
-STEPS = (1.0, 0.95, 0.88)
+#: Steps above the threshold asked for.
+STEPS = (0.95, 0.88)
 #: Different pairs (or words) whose counts are broadcast, and best names that a task holds.
 COUNTS, HELD = 1 << 17, 100_000
+#: Characters, and words where these are compared, of names that are spelt with less; labels
+#: have two less, so that all names within reach are spelt.
+SPELT, SPELT_WORDS = 32, 5
 
 
 def _small(df: DataFrame, most: int) -> DataFrame:
@@ -100,6 +109,71 @@ def _weighed(tokens: DataFrame, key: str, counts: DataFrame) -> DataFrame:
     return ranked.withColumns({"before": before, "size": F.sum(weight).over(w)})
 
 
+def _dealt(df: DataFrame, *by: str) -> DataFrame:
+    """Rows for Python by their key: small rows that are long work stay in many tasks."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *by)
+
+
+def _less(words: tuple) -> set[tuple]:
+    """The words with a character less: one of a word, or the space between any two."""
+    out = set()
+    for n, word in enumerate(words):
+        rest = words[:n] + words[n + 1 :]
+        out.update(tuple(sorted((*rest, word[:i] + word[i + 1 :]))) for i in range(len(word)))
+        out.update(tuple(sorted((*rest[:m], word + other, *rest[m + 1 :]))) for m, other in enumerate(rest))
+    return out
+
+
+def _spellings(form: str, tokens: bool, most: int) -> list[set[str]]:
+    """The text with 0 to ``most`` characters left out; of words in any order."""
+    if not tokens:
+        return [set(map("".join, combinations(form, len(form) - k))) if k <= len(form) else set() for k in range(most + 1)]
+    levels = [{tuple(form.split(" "))}]
+    for _ in range(most):
+        levels.append(set().union(*map(_less, levels[-1])))
+    return [{" ".join(words) for words in level} for level in levels]
+
+
+def _spelt(rows: DataFrame, key: str, tokens: bool, out: int) -> DataFrame:
+    """id (a hash of the key), less (characters left out, up to ``out``) and spelling (a hash)
+    of texts that are short enough."""
+
+    def spell(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            for at in range(0, len(frame), 500):
+                part = frame.iloc[at : at + 500]
+                levels = [level for form in part["form"] for level in _spellings(form, tokens, out)]
+                sizes = [len(level) for level in levels]
+                texts = np.array([t for level in levels for t in level], dtype=object)
+                yield pd.DataFrame({
+                    "id": np.repeat(np.repeat(part["id"].to_numpy(), out + 1), sizes), "less": np.repeat(np.tile(np.arange(out + 1), len(part)), sizes),
+                    "spelling": pd.util.hash_array(texts, categorize=False).view("int64"),
+                })
+
+    short = rows.filter(F.length("form") <= SPELT - (2 - out) * 2)
+    if tokens:
+        short = short.filter(F.size(F.split("form", " ")) <= SPELT_WORDS - (2 - out) * 2)
+    return _dealt(short.select(F.xxhash64(key).alias("id"), "form"), "id").mapInPandas(spell, "id long, less int, spelling long")
+
+
+def _near(labels: DataFrame, names: DataFrame, tokens: bool) -> DataFrame:
+    """Label and name of all short ones that are equal with up to one character left out on
+    either side, or two of the name; hashes may bring others with them."""
+    mine = _spelt(labels, "label_norm", tokens, 1).select("spelling", F.col("id").alias("l_id"), F.col("less").alias("l_less"))
+    theirs = _spelt(names, "field_norm", tokens, 2).select("spelling", F.col("id").alias("f_id"), F.col("less").alias("f_less"))
+    met = mine.join(theirs, "spelling").filter("f_less < 2 OR l_less = 0").select("l_id", "f_id").distinct()
+    met = met.join(labels.select("label_norm", F.xxhash64("label_norm").alias("l_id")), "l_id")
+    return met.join(names.select("field_norm", F.xxhash64("field_norm").alias("f_id")), "f_id").select("label_norm", "field_norm")
+
+
+def _others(a: Column) -> Column:
+    """What a label of ``a`` characters can have at most in common with a name that ``_near``
+    does not bring: with M common characters one of a + b has 2 M / (a + b), and it lacks two
+    of the label, or one and two of the name, or three of the name.  Common words alone lack
+    a word and a space, which is the first case."""
+    return F.greatest((a - 2) / F.greatest(a - 1, F.lit(1)), 2 * (a - 1) / (2 * a + 1), 2 * a / (2 * a + 3))
+
+
 def _compare(pairs: DataFrame, threshold: float, tokens: bool) -> DataFrame:
     """label_norm, matched and score: the best of the pairs of each label.  A task keeps the
     best it has seen, and asks cheap bounds first."""
@@ -147,26 +221,38 @@ def closest(want: DataFrame, have: DataFrame, threshold: float, tokens: bool = F
         raise ValueError("thresholds up to two thirds say nothing about pairs of characters")
     labels = cut(want.filter("label_norm <> ''").select("label_norm", _form("label_norm", tokens).alias("form")).filter("form <> ''"))
     names = cut(have.filter("field_norm <> ''").select("field_norm", "first", _form("field_norm", tokens).alias("form")).filter("form <> ''"))
+    out: list[DataFrame] = []
+    open_ = lambda df: reduce(lambda d, done: d.join(done, "label_norm", "left_anti"), out, df)
+
+    def compared(pairs: DataFrame, least: float) -> DataFrame:
+        pairs = pairs.distinct().join(names.select("field_norm", "first"), "field_norm")
+        if overlap:
+            pairs = pairs.filter(F.arrays_overlap(T.significant_words("label_norm"), T.significant_words("field_norm")))
+        return cut(_compare(_dealt(pairs, "label_norm"), least, tokens))
+
+    def by_words(step: float) -> list[DataFrame]:
+        return [_by_words(open_(heavy_labels), of_names, step), _by_words(heavy_names, open_(of_labels), step)]
+
+    if tokens:
+        of_names, of_labels = _words(names, "field_norm"), _words(labels, "label_norm")
+        heavy_names = cut(_weighed(of_names, "field_norm", _counted(of_labels)))
+        heavy_labels = cut(_weighed(of_labels, "label_norm", _counted(of_names)))
+        out.append(compared(reduce(DataFrame.unionByName, by_words(1.0)), 100.0))
+    near = compared(_near(cut(open_(labels)), names, tokens), threshold).join(labels.select("label_norm", "form", F.length("form").alias("len")), "label_norm")
+    served = (F.col("len") <= SPELT - 2) & (F.col("score") / (100 if tokens else 1) > _others(F.col("len")) + 1e-9)
+    if tokens:
+        served = served & (F.size(F.split("form", " ")) <= SPELT_WORDS - 2)
+    out.append(cut(near.filter(served).select("label_norm", "matched", "score")))
+    labels = cut(open_(labels))
+    if labels.isEmpty():
+        return reduce(DataFrame.unionByName, out)
+
     spread = lambda df, key: df.select(key, F.length("form").alias("len"), F.explode(_pairs("form")).alias("token"))
     as_side = lambda df, c: df.withColumnsRenamed({"len": f"{c}_len", "at": f"{c}_at"})
     counts = _counted(spread(names, "field_norm"))
     by_name = cut(as_side(_ranked(spread(names, "field_norm"), "field_norm", counts), "f"))
     by_label = cut(as_side(_ranked(spread(labels, "label_norm"), "label_norm", counts), "l"))
-    if tokens:
-        of_names, of_labels = _words(names, "field_norm"), _words(labels, "label_norm")
-        heavy_names = cut(_weighed(of_names, "field_norm", _counted(of_labels)))
-        heavy_labels = cut(_weighed(of_labels, "label_norm", _counted(of_names)))
-    out: list[DataFrame] = []
-    steps = [s for s in STEPS if s > t and (tokens or s < 1)] + [t]
-    for step in steps:
-        open_ = lambda df: reduce(lambda d, done: d.join(done, "label_norm", "left_anti"), out, df)
-        found = []
-        if step < 1:
-            found.append(_by_pairs(open_(by_label), by_name, step))
-        if tokens:
-            found += [_by_words(open_(heavy_labels), of_names, step), _by_words(heavy_names, open_(of_labels), step)]
-        pairs = reduce(DataFrame.unionByName, found).distinct().join(names.select("field_norm", "first"), "field_norm")
-        if overlap:
-            pairs = pairs.filter(F.arrays_overlap(T.significant_words("label_norm"), T.significant_words("field_norm")))
-        out.append(cut(_compare(pairs, threshold if step == t else step * 100 if tokens else step, tokens)))
+    for step in [s for s in STEPS if s > t] + [t]:
+        found = [_by_pairs(open_(by_label), by_name, step)] + (by_words(step) if tokens else [])
+        out.append(compared(reduce(DataFrame.unionByName, found), threshold if step == t else step * 100 if tokens else step))
     return reduce(DataFrame.unionByName, out)

@@ -81,6 +81,30 @@ def test_names_that_differ_in_a_number(spark):
     assert met.distinct().count() < len(labels) * len(names) / 10
 
 
+@pytest.mark.parametrize("tokens", [False, True])
+def test_short_texts_by_spellings(spark, tokens):
+    """Few characters and many spaces: what the spellings settle is what comparing all says."""
+    rng = random.Random(11)
+    made = lambda n: sorted({" ".join("".join(rng.choice("aab  ") for _ in range(rng.randint(1, 12))).split()) for _ in range(n)} - {""})
+    labels, names = made(260), made(200)
+    rng.shuffle(names)
+    least, score = (86.0, S.token_set_score) if tokens else (0.68, S.sequence_ratio)
+    found = similar.closest(*frames(spark, labels, names), least, tokens=tokens)
+    assert {r.label_norm: (r.matched, r.score) for r in found.collect()} == all_pairs(labels, names, score, least)
+
+
+@pytest.mark.parametrize("tokens", [False, True])
+def test_numbered_names_are_hardly_compared(spark, monkeypatch, tokens):
+    """Labels whose rarest pairs are those of their number: before, each met hundreds of names."""
+    names = [f"account field {i}" for i in range(2000)]
+    labels = [f"{wrong} {i}" for i in range(0, 2000, 5) for wrong in ("account feild", "acount field")]
+    met, compare = [], similar._compare
+    monkeypatch.setattr(similar, "_compare", lambda pairs, *rest: met.append(pairs.count()) or compare(pairs, *rest))
+    found = similar.closest(*frames(spark, labels, names), 86.0 if tokens else 0.82, tokens=tokens)
+    assert {r.label_norm: r.matched for r in found.collect()} == {x: "account field " + x.split()[-1] for x in labels}
+    assert sum(met) < 30 * len(labels)
+
+
 def test_nothing_to_compare(spark):
     want, have = frames(spark, ["a b"], [])
     assert similar.closest(want, have, 0.82).count() == 0 and similar.closest(want, have, 86.0, tokens=True).count() == 0
