@@ -139,3 +139,17 @@ def test_a_plan_folds_fields_and_sheet(spark):
     assert plan == {1: ("office no", "12", "exact section"), 2: ("name", "Ann", "exact label"), 3: ("amount", "7", "exact label"), 4: ("office no", "12", "exact section")}
     keys = {r.row_no: (r.field_norm, r.section_norm, r.Field) for r in lookup.with_keys(sheet).collect()}
     assert keys[1] == ("office no", "home", "Office No") and keys[3] == ("amountnet", "", "Ａmount（net）")
+
+
+def test_later_keys_are_not_compared_without_need(spark, monkeypatch):
+    """A field whose first key has a name asks nothing about its others, as it did before."""
+    from formweave.operators import resolve
+
+    asked, best = [], resolve.best_labels
+    monkeypatch.setattr(resolve, "best_labels", lambda fields, *rest: asked.append({r.label_norm for r in fields.collect()}) or best(fields, *rest))
+    sheet = spark.createDataFrame([(1, "bank account", "", None, None, "A"), (2, "home town", "", None, None, "B")], "row_no long, field_norm string, section_norm string, Page long, Index long, Value string")
+    fields = [(1, "Bank Acount: the number", ""), (2, "Home Town: of birth", ""), (3, "See below: Home Tovn", "Note"), (4, "nothing like it", ""), (5, "Home: Town", "Hone Town"), (6, "", "")]
+    fields = spark.createDataFrame(fields, "field_no long, label string, label_short string").selectExpr("*", "field_no AS emit_no", "CAST(NULL AS BIGINT) AS page", "'' AS section_norm", "'' AS placement")
+    got = {r.field_no: (r.value, r.key_no, r.match) for r in resolve.resolve_keys(fields, sheet).collect()}
+    assert got == {1: ("A", 0, "similar"), 2: ("B", 0, "exact"), 5: ("B", 0, "similar")}
+    assert asked == [{"bank acount", "home town", "note", "nothing like it", "hone town"}, {"see below"}, {"see below home tovn"}]
