@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..sources.shared import cut
 
 RECIPIENT = r"(?i)\brecipient\s*(\d+)\b"
 # Fixed value: what stands between options on a line.
@@ -99,6 +100,8 @@ def fused_options(c) -> Column:
 
 #: Characters of the pieces by which texts and groups meet.
 PIECE = 3
+#: Groups that are broadcast; more of them are met by shuffles.
+GROUPS = 20_000
 
 
 def _pieces(c, q) -> Column:
@@ -120,16 +123,21 @@ def group_rows(fields: DataFrame, groups: DataFrame) -> DataFrame:
     pattern = F.concat(F.lit("(?s)^.*"), F.array_join(F.transform("labels", lambda x: F.concat(F.lit("\\Q"), T.norm_key(x), F.lit("\\E"))), ".*"), F.lit(".*$"))
     size = F.least(F.array_max(F.transform(norms, F.length)), F.lit(PIECE))
     groups = groups.filter(F.size("labels") >= 2).select("labels", F.array_join(norms, "").alias("_key"), pattern.alias("_pattern"), norms.alias("_norms"), size.alias("_q")).filter("_q > 0")
-    of_groups = [groups.filter(F.col("_q") == q).withColumn("_piece", F.explode(F.array_distinct(F.flatten(F.transform("_norms", lambda x, q=q: _pieces(x, q)))))) for q in range(1, PIECE + 1)]
+    # one parameter: Spark hands a second one the place of the label
+    each = lambda q: F.transform("_norms", lambda x: _pieces(x, q))
+    of_groups = [groups.filter(F.col("_q") == q).withColumn("_piece", F.explode(F.array_distinct(F.flatten(each(q))))) for q in range(1, PIECE + 1)]
     entered = reduce(DataFrame.unionByName, of_groups)
     counts = entered.groupBy("_piece").agg(F.count("*").alias("_n"))
-    entered = entered.join(counts, "_piece").groupBy("labels", "_key", "_pattern").agg(F.min_by("_piece", F.struct("_n", "_piece")).alias("_piece"))
+    entered = cut(entered.join(counts, "_piece").groupBy("labels", "_key", "_pattern").agg(F.min_by("_piece", F.struct("_n", "_piece")).alias("_piece")))
+    # pieces of texts are many times the table that they come from, and must never be the side that is broadcast
+    many = entered.count() > GROUPS
+    met = lambda rows, of: rows.hint("merge").join(of, on=rows.columns[-1]) if many else rows.join(F.broadcast(of), on=rows.columns[-1])
 
     keyed = fields.select("row_no", T.norm_key("Field").alias("_norm"))
     texts = keyed.withColumn("_piece", F.explode(F.concat(*[_pieces(F.col("_norm"), q) for q in range(1, PIECE + 1)])))
-    named = texts.join(entered, "_piece").filter(F.expr("_norm rlike _pattern")).select("row_no", "labels", "_key")
+    named = met(texts, entered).filter(F.expr("_norm rlike _pattern")).select("row_no", "labels", "_key")
     bare = lambda c: F.replace(F.col(c), F.lit(" "), F.lit(""))
-    same = keyed.withColumn("_bare", bare("_norm")).join(groups.withColumn("_bare", bare("_key")).filter("_bare <> ''"), "_bare").select("row_no", "labels", "_key")
+    same = met(keyed.withColumn("_bare", bare("_norm")), groups.withColumn("_bare", bare("_key")).filter("_bare <> ''")).select("row_no", "labels", "_key")
     first = F.row_number().over(Window.partitionBy("row_no").orderBy("_key", "labels"))
     hit = named.unionByName(same).withColumn("_n", first).filter("_n = 1").drop("_n", "_key")
     rows = fields.join(hit, "row_no").withColumn("Field", F.explode("labels")).select(*fields.columns)

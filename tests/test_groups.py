@@ -45,3 +45,18 @@ def test_any_number_of_groups(spark):
 def test_no_groups(spark):
     fields = spark.createDataFrame([(1, "x")], "row_no long, Field string")
     assert [tuple(r) for r in P.group_rows(fields, spark.createDataFrame([], "labels array<string>")).collect()] == [(1, "x")]
+
+
+def test_pieces_of_texts_are_never_broadcast(spark, tmp_path, monkeypatch):
+    """A small table of texts has many more pieces: it was the side that was broadcast."""
+    spark.range(3000).selectExpr("id AS row_no", "concat('Customer ', id, IF(id % 10 = 0, ' annual report, tax form', '')) AS Field").write.parquet(str(tmp_path / "t"))
+    fields = spark.read.parquet(str(tmp_path / "t"))
+    groups = spark.createDataFrame([(["Annual report", "Tax form"],)], "labels array<string>")
+    rows = None
+    for most in (P.GROUPS, 0):
+        monkeypatch.setattr(P, "GROUPS", most)
+        got = P.group_rows(fields, groups)
+        plan = got._jdf.queryExecution().optimizedPlan().toString()
+        assert ("rightHint=(strategy=broadcast)" in plan) == bool(most) and ("leftHint=(strategy=merge)" in plan) == (not most)
+        rows = rows or sorted(map(tuple, got.collect()))
+        assert sorted(map(tuple, got.collect())) == rows and len(rows) == 3300
