@@ -73,10 +73,18 @@ def letter_headers(spans: DataFrame) -> DataFrame:
     return found.select(*PAGE, F.trim("text").alias("letter"), F.bround("y0", 1).alias("y")).distinct()
 
 
-def _banded(left: DataFrame, right: DataFrame, ly: str, ry: str, reach: float, how: str = "inner", on: Column | None = None) -> DataFrame:
-    """Joins rows of a page whose y differ by less than ``reach``, by bands of it."""
-    left = left.withColumn("_b", F.explode(F.sequence(F.floor((F.col(ly) - reach) / reach), F.floor((F.col(ly) + reach) / reach))))
-    right = right.withColumn("_rb", F.floor(F.col(ry) / reach)).withColumnsRenamed({c: f"r_{c}" for c in PAGE})
+#: Bands are so many times as high as the distance that is looked for, so that most rows are
+#: entered in one band only.
+ROOM = 4
+
+
+def _banded(left: DataFrame, right: DataFrame, ly: str, ry: str, reach: float, how: str = "inner", on: Column | None = None, below: float | None = None) -> DataFrame:
+    """Joins rows of a page whose y differ by less than ``reach``, by bands.  With ``below``
+    the right one is so far below the left one at most."""
+    band = ROOM * reach
+    below = reach if below is None else below
+    left = left.withColumn("_b", F.explode(F.sequence(F.floor((F.col(ly) - reach) / band), F.floor((F.col(ly) + below) / band))))
+    right = right.withColumn("_rb", F.floor(F.col(ry) / band)).withColumnsRenamed({c: f"r_{c}" for c in PAGE})
     near = (F.col("doc_id") == F.col("r_doc_id")) & (F.col("page") == F.col("r_page")) & (F.col("_b") == F.col("_rb")) & (F.abs(F.col(ly) - F.col(ry)) < reach)
     return left.join(right, near & on if on is not None else near, how)
 
@@ -91,7 +99,7 @@ def nearest_label(slots: DataFrame, blocks: DataFrame, dy: float = 18, slack: fl
     gap = F.col("x0") - F.col("bx1")
     same = _banded(s, b, "y", "bym", dy, on=F.col("bx1") <= F.col("x0") + slack)
     same = same.groupBy("field_no").agg(F.min_by(_line("y"), F.struct(gap, F.col("block_no"))).alias("same_row"))
-    over = _banded(s, b, "y", "by1", above, on=(F.col("by1") <= F.col("y")) & (F.col("bx0") <= F.col("x0")))
+    over = _banded(s, b, "y", "by1", above, on=(F.col("by1") <= F.col("y")) & (F.col("bx0") <= F.col("x0")), below=0)
     over = over.groupBy("field_no").agg(F.min_by(_line("y"), F.struct(F.col("y") - F.col("by1"), gap, F.col("block_no"))).alias("over"))
     out = s.join(same, "field_no", "left").join(over, "field_no", "left")
     return out.select("field_no", F.coalesce("same_row", "over").alias("label"), F.when(F.col("same_row").isNotNull(), "row").when(F.col("over").isNotNull(), "above").alias("how"))
@@ -104,7 +112,7 @@ def overlap_above(slots: DataFrame, blocks: DataFrame, above: float = 36, least:
     wide = F.least("x1", "bx1") - F.greatest("x0", "bx0")
     narrow = F.greatest(F.lit(1.0), F.least(F.col("x1") - F.col("x0"), F.col("bx1") - F.col("bx0")))
     hit = (F.col("by1") <= F.col("y")) & (wide >= least) & (wide >= share * narrow)
-    found = _banded(slots.select(*PAGE, "field_no", "x0", "x1", "y"), b, "y", "by1", above, on=hit)
+    found = _banded(slots.select(*PAGE, "field_no", "x0", "x1", "y"), b, "y", "by1", above, on=hit, below=0)
     return found.groupBy("field_no").agg(F.min_by(_line("y"), F.struct(F.col("y") - F.col("by1"), F.col("x0") - F.col("bx1"), F.col("block_no"))).alias("label"))
 
 
@@ -165,7 +173,7 @@ def column_header(slots: DataFrame, spans: DataFrame, above: float = 48, gap: fl
     y = spans.filter(F.trim("text") != "").groupBy(*line).agg(F.max("y1").alias("ly1"))
     s = slots.select(*PAGE, "field_no", F.col("x0").alias("sx0"), F.col("x1").alias("sx1"), "y")
     # bands reach a little further, since a line just ``above`` away counts
-    near = _banded(s, y, "y", "ly1", above + 1, on=(F.col("ly1") < F.col("y")) & (F.col("y") - F.col("ly1") <= above))
+    near = _banded(s, y, "y", "ly1", above + 1, on=(F.col("ly1") < F.col("y")) & (F.col("y") - F.col("ly1") <= above), below=0)
     pick = near.groupBy(*PAGE, "field_no", "sx0", "sx1").agg(F.max_by("line_no", F.struct("ly1", -F.col("line_no"))).alias("line_no"))
     found = pick.join(clusters(spans, gap), line)
     overlap = F.greatest(F.lit(0.0), F.least("sx1", "x1") - F.greatest("sx0", "x0"))

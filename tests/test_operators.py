@@ -556,3 +556,12 @@ def test_discover_query_has_every_pass(spark):
 
     found = {r["found_by"] for r in placing.discover_pdf(spark, "/root/testdata/sf0.001").select("found_by").distinct().collect()}
     assert found >= {"typed", "underline", "dropdown", "shallow box", "block gap", "checkbox", "box widget", "choice widget", "text widget"}
+
+
+def test_slots_are_in_few_bands(spark):
+    from formweave.operators import spatial as X
+
+    slots = spark.range(200).selectExpr("0L AS doc_id", "0L AS page", "id AS field_no", "id * 3.5D AS y")
+    none = spark.createDataFrame([], "doc_id long, page long, by double")
+    assert X._banded(slots, none, "y", "by", 36.0, how="left").count() <= 350
+    assert X._banded(slots, none, "y", "by", 36.0, how="left", below=0).count() <= 300
