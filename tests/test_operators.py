@@ -565,3 +565,24 @@ def test_slots_are_in_few_bands(spark):
     none = spark.createDataFrame([], "doc_id long, page long, by double")
     assert X._banded(slots, none, "y", "by", 36.0, how="left").count() <= 350
     assert X._banded(slots, none, "y", "by", 36.0, how="left", below=0).count() <= 300
+
+
+def test_matrices_against_a_loop(spark):
+    rng = random.Random(3)
+    texts = {"head": ["Name", "Town"], "one": ["Name", ""], "blank": ["", "___"], "long": ["x" * 150, "Name 1"]}
+    rows = [(1, t, n, rng.choice(["head", "one", "blank", "blank", "blank", "long"])) for t in range(40) for n in range(12) if rng.random() < 0.9]
+    want = set()
+    for t in range(40):
+        kinds = {n: k for _, u, n, k in rows if u == t}
+        busy = -1
+        for n in sorted(kinds):
+            below = n + 1
+            while kinds.get(below) == "blank":
+                below += 1
+            if n > busy and kinds[n] == "head" and below > n + 1:
+                want.add((1, t, n, below - n - 1))
+                busy = below - 1
+    cells = spark.createDataFrame([(d, t, n, c, x) for d, t, n, k in rows for c, x in enumerate(texts[k])], "doc_id long, table_no long, row_no long, col_no long, text string")
+    found = C.matrices(cells)
+    assert want and {tuple(r) for r in found.collect()} == want
+    assert "Pandas" not in found._jdf.queryExecution().executedPlan().toString()
