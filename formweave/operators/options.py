@@ -259,16 +259,19 @@ def collapse_recipients(fields: DataFrame) -> DataFrame:
     """In a section of a recipient and page with two short options or more, the options
     are numbered: ``section – item k``, with the recipient as Index."""
     option = F.col("Section").rlike(RECIPIENT) & T.is_option_label("Field")
-    part = Window.partitionBy("Section", "Page", option)
-    k, n = F.row_number().over(part.orderBy("row_no")), F.count("*").over(part)
-    rows = fields.withColumns({"_o": option, "_k": k, "_n": n})
-    put = F.col("_o") & (F.col("_n") >= 2)
+    # only options are dealt by their section, which may hold most of the sheet without any; the
+    # neighbours tell whether there are two, so no section is held to be counted
+    order = Window.partitionBy("Section", "Page").orderBy("row_no")
+    rows = fields.withColumn("_o", option)
+    options = rows.filter("_o").withColumns({"_k": F.row_number().over(order), "_next": F.lead(F.lit(1)).over(order)})
+    rows = options.unionByName(rows.filter("_o IS NULL OR NOT _o").withColumns({"_k": F.lit(None).cast("int"), "_next": F.lit(None).cast("int")}))
+    put = (F.col("_k") > 1) | F.col("_next").isNotNull()
     new = {
         "Field": F.when(put, F.format_string("%s – item %d", "Section", "_k")).otherwise(F.col("Field")),
         "Index": F.when(put, recipient(F.col("Section"))).otherwise(F.col("Index")),
         "Choices": F.when(put, "checkbox").otherwise(F.col("Choices")),
     }
-    return rows.withColumns(new).drop("_o", "_k", "_n")
+    return rows.withColumns(new).drop("_o", "_k", "_next")
 
 
 def export_keys(by: str = "page") -> list:
