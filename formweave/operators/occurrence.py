@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from functools import reduce
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .scans import keep_in_order
+
 
 def occurrence(df: DataFrame, keys: list[str], order: str = "emit_no", name: str = "idx") -> DataFrame:
     """The n-th appearance of a key, from 1, in order of emission."""
@@ -72,17 +72,19 @@ def write_once_boxes(df: DataFrame, doc: list[str], keys: list[str], order: str
     if one was written to its four corners, rounded to GRID.  Each rule looks at what the
     other let through, so what ``doc`` names, a page, goes in order in one task."""
 
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(order)
-        corners = np.rint(rows[["x0", "y0", "x1", "y1"]].to_numpy(float) / GRID)
-        own = zip(*[rows[k].astype(object).where(rows[k].notna(), None) for k in keys])
-        written, places, keep = set(), {None}, []
-        for i, key, value, box, at in zip(rows.index, own, rows["value"], rows["is_checkbox"], corners.tolist()):
-            place = tuple(at) if box else ()
-            if value and key not in written and place not in places:
-                written.add(key)
-                places.add(place or None)
-                keep.append(i)
-        return rows.loc[keep]
-
-    return df.groupBy(*doc).applyInPandas(run, df.schema)
+    corners = [f"_{c}" for c in ("x0", "y0", "x1", "y1")]
+
+    def step(state: tuple[set, set], row: tuple) -> bool:
+        (written, places), (box, *at), key = state, row[:5], row[5:]
+        if key in written:
+            return False
+        # a corner that is missing is at no place
+        if box and all(c is not None and c == c for c in at):
+            if tuple(at) in places:
+                return False
+            places.add(tuple(at))
+        written.add(key)
+        return True
+
+    some = df.filter("value IS NOT NULL AND value <> ''").withColumns({f"_{c}": F.rint(F.col(c) / GRID) for c in ("x0", "y0", "x1", "y1")})
+    return keep_in_order(some, tuple(doc), [order], ["is_checkbox", *corners, *keys], lambda: (set(), set()), step).drop(*corners)
