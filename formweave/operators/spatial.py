@@ -296,5 +296,5 @@ def longest_run(runs: DataFrame) -> DataFrame:
     rows = runs.withColumn("_p", T.is_blank_line("text") & (F.length("text") > 0))
     rows = rows.withColumn("_g", F.sum(F.when(F.col("_p"), 0).otherwise(1)).over(w)).filter("_p")
     groups = rows.groupBy("par_no", "_g").agg(F.min("run_no").alias("first_run"), F.max("run_no").alias("last_run"), F.sum(F.length("text")).alias("chars"))
-    best = Window.partitionBy("par_no").orderBy(F.desc("chars"), "first_run")
-    return groups.withColumn("_n", F.row_number().over(best)).filter("_n = 1").select("par_no", "first_run", "last_run", "chars")
+    best = F.max(F.struct("chars", (-F.col("first_run")).alias("_first"), "last_run"))
+    return groups.groupBy("par_no").agg(best.alias("_b")).select("par_no", (-F.col("_b._first")).alias("first_run"), "_b.last_run", "_b.chars")
