@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions import similarity as S
 from ..functions import text as T
-from ..sources.shared import cut
+from ..sources.shared import cut, stored
 from . import options as P
 from . import resolve as R
 from .folding import folded
@@ -33,7 +33,16 @@ def answers(asked: DataFrame, lookup: DataFrame) -> DataFrame:
     keyed = folded(rows.withColumn("label_norm", F.col("label")), "label_norm")
     keyed = keyed.withColumns({"field_no": F.struct("label", "occ"), "label_norm": T.alias(T.normalize("label_norm")), "page": F.lit(None).cast("long"), "section_norm": F.lit("")})
     found = R.resolve(keyed, lookup, strict_index=False, fuzzy=R.SIMILAR, overlap=True, weights=R.AGENT_WEIGHTS)
-    return cut(found.select("field_no.label", "field_no.occ", F.col("value").alias("answer")))
+    return _few(cut(found.select("field_no.label", "field_no.occ", F.col("value").alias("answer"))))
+
+
+#: Rows of answers and scores that are broadcast; more of them are met by shuffles.
+FEW = 1 << 15
+
+
+def _few(rows: DataFrame) -> DataFrame:
+    """``rows``, which are stored, to be broadcast if a count finds them few."""
+    return F.broadcast(rows) if rows.count() <= FEW else rows
 
 
 def _answered(rows: DataFrame, found: DataFrame, label: str, name: str, occ: str = "occ") -> DataFrame:
@@ -65,14 +74,15 @@ def option_groups(cells: DataFrame, lookup: DataFrame) -> DataFrame:
     rows = rows.filter("n >= 2 AND ok")
     left = F.col("col_no") < F.col("first")
     digits = F.nullif(F.regexp_extract(F.coalesce(F.nullif("text", F.lit("")), F.trim("below")), r"\b(\d+)\b", 1), F.lit(""))
-    line = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("col_no", "text"))), lambda x: x["text"]), " ")
-    facts = rows.groupBy(*at).agg(
-        F.max_by(digits.cast("long"), F.when(left & digits.isNotNull(), F.col("col_no"))).alias("idx"),
-        F.max_by("label", F.when(left & (F.col("label") != ""), F.col("col_no"))).alias("beside"),
-        T.strip_colons(line).alias("line"),
-    )
-    groups = rows.filter("short").join(facts, at).withColumns({"occ": F.coalesce("idx", F.lit(1)).cast("long"), "group": F.coalesce("beside", "line")})
-    groups = cut(groups.select(*at, "col_no", "label", "group", "occ", "below"))
+    line = F.array_join(F.transform(F.array_sort("texts"), lambda x: x["text"]), " ")
+    # over the window that is there, so that no row is dealt again
+    rows = rows.withColumns({
+        "idx": F.max(F.when(left & digits.isNotNull(), F.struct("col_no", digits.cast("long").alias("n")))).over(w)["n"],
+        "beside": F.max(F.when(left & (F.col("label") != ""), F.struct("col_no", "label"))).over(w)["label"],
+        "texts": F.collect_list(F.struct("col_no", "text")).over(w),
+    })
+    groups = rows.filter("short").withColumns({"occ": F.coalesce("idx", F.lit(1)).cast("long"), "group": F.coalesce("beside", T.strip_colons(line))})
+    groups = stored(groups.select(*at, "col_no", "label", "group", "occ", "below"))
     found = answers(groups.select("label", "occ").unionByName(groups.select(F.col("group").alias("label"), "occ")), lookup)
     both = _answered(_answered(groups, found, "label", "own"), found, "group", "of_group")
     chosen = F.coalesce(T.truthy("own"), F.lower("label") == F.lower(F.nullif(T.trim_all("of_group"), F.lit(""))))
@@ -116,23 +126,22 @@ def two_column_boxes(cells: DataFrame, lookup: DataFrame) -> DataFrame:
     a cell without letters, the left cell of a pair before the right one.  The glyph is set
     by the answer; a cell without one becomes it."""
     across = Window.partitionBy("doc_id", "table_no", "row_no").orderBy("col_no")
-    pairs = cells.withColumns({"_right": F.lead("text").over(across), "_next": F.lead("col_no").over(across)}).filter("_next = col_no + 1")
-    a, b = T.trim_all("text"), T.trim_all("_right")
-    glyph = lambda t: t.rlike(GLYPH)
-    filler = lambda t: t.rlike(r"^[-_.—–·•\s]{1,6}$")
-    empty = lambda t: ~t.rlike(LETTER)
-    says = lambda t: T.is_checkbox_sentence(T.inline_norm(t))
+    # what a cell looks like is found once, before it meets its neighbour
+    looks = {"glyph": F.col("_t").rlike(GLYPH), "filler": F.col("_t").rlike(r"^[-_.—–·•\s]{1,6}$"), "empty": ~F.col("_t").rlike(LETTER), "says": T.is_checkbox_sentence(T.inline_norm("_t"))}
+    rows = cells.select("doc_id", "table_no", "row_no", "col_no", "text", T.trim_all("text").alias("_t")).withColumns({f"_{k}": c for k, c in looks.items()})
+    pairs = rows.withColumns({f"{c}_r": F.lead(c).over(across) for c in ("col_no", "text", "_t", *[f"_{k}" for k in looks])}).filter("col_no_r = col_no + 1").withColumnsRenamed({"text_r": "_right", "col_no_r": "_next"})
+    a, b = F.col("_t"), F.col("_t_r")
     side = None
-    for looks in (glyph, filler, empty):
-        for box, sentence, name in ((a, b, "left"), (b, a, "right")):
-            hit = looks(box) & says(sentence)
+    for kind in ("glyph", "filler", "empty"):
+        for box, sentence, name in (("", "_r", "left"), ("_r", "", "right")):
+            hit = F.col(f"_{kind}{box}") & F.col(f"_says{sentence}")
             side = F.when(hit, name) if side is None else side.when(hit, name)
     left = F.col("side") == "left"
     rows = pairs.withColumn("side", side).filter("side IS NOT NULL").withColumns({
         "box": F.when(left, F.col("text")).otherwise(F.col("_right")), "label": T.inline_norm(T.strip_one_colon(F.when(left, b).otherwise(a))),
         "place": F.col("table_no") + TABLES, "row": F.col("row_no"), "col": F.when(left, F.col("col_no")).otherwise(F.col("_next")), "occ": F.lit(1).cast("long"),
     })
-    rows = cut(rows.select("doc_id", "place", "row", "col", "col_no", "box", "label", "occ"))
+    rows = stored(rows.select("doc_id", "place", "row", "col", "col_no", "box", "label", "occ"))
     rows = _answered(rows, answers(rows, lookup), "label", "own").withColumn("yes", T.truthy("own")).filter("yes IS NOT NULL")
     token = F.regexp_extract("box", rf"({GLYPH})", 1)
     mark = F.when(token.startswith("["), F.when(F.col("yes"), "[x]").otherwise("[ ]")).otherwise(F.when(F.col("yes"), CHOSEN).otherwise(OTHER))
@@ -159,7 +168,7 @@ def tick_similar(lines: DataFrame, least: float = ALIKE) -> DataFrame:
     option = lambda m: T.trim_all(F.regexp_replace(m, r"^[□☐]\s*", ""))
     asked = rows.select(F.col("value").alias("_v"), F.explode(F.transform("_boxes", option)).alias("_o")).distinct()
     scored = cut(asked.select("_v", "_o", S.token_set_ratio("_v", "_o").alias("_s")).filter(F.col("_s") >= least))
-    scores = scored.groupBy("_v").agg(F.map_from_entries(F.collect_list(F.struct("_o", "_s"))).alias("_scores"))
+    scores = _few(cut(scored.groupBy("_v").agg(F.map_from_entries(F.collect_list(F.struct("_o", "_s"))).alias("_scores"))))
     met = rows.join(scores, rows["value"] == scores["_v"], "left")
     ranked = F.transform("_boxes", lambda m, i: F.struct(F.coalesce(F.col("_scores")[option(m)], F.lit(-1.0)).alias("s"), (-i).alias("i")))
     best = F.array_max(ranked)
