@@ -17,9 +17,8 @@ from __future__ import annotations
 
 import re
 import zlib
-from collections import Counter, defaultdict
 from collections.abc import Iterator
-from itertools import compress, repeat
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -32,9 +31,10 @@ from .common import as_bytes, cut, lean, small_side, tidy
 #: count, and ranks of terms that are reported.
 LEAST, SCALE, ADDED, TOP = 30, 10**9, 5, 50
 #: Suffixes of a node of a trie, leaves that the tries of a task hold before they are given
-#: out, different terms of sources that are counted before they enter a trie, leaves of a
-#: block, sources of a block, and parts that a group of any size is dealt to where it is joined.
-BURST, HELD, TOGETHER, LEAVES, SOURCES, SALTS = 1024, 200_000, 500_000, 512, 128, 32
+#: out, terms whose numbers a task remembers, occurrences (and counters) that are summed
+#: together, leaves of a block, sources of a block, and parts that a group of any size is
+#: dealt to where it is joined.
+BURST, HELD, TOGETHER, POOLED, LEAVES, SOURCES, SALTS = 1024, 200_000, 500_000, 1 << 21, 512, 128, 32
 
 #: Bytes of a long text that are cut at once.
 STRETCH = 1 << 20
@@ -54,7 +54,8 @@ def terms(text: bytes) -> list[bytes]:
 
 
 class Trie:
-    """A byte trie; a leaf has counters by source.  What is below a node stands in one table
+    """A byte trie; a leaf has counters by source, or the number of its term where counters
+    are kept in arrays beside the trie.  What is below a node stands in one table
     of suffixes until there are more than BURST of them, which are then dealt to nodes by
     their first byte: so inner nodes are few, and a path that does not fork has none."""
 
@@ -62,11 +63,11 @@ class Trie:
 
     def __init__(self):
         self.kids: dict[int, Trie] | None = None  # by first byte
-        self.held: dict[bytes, dict[str, list[int]]] = {}  # suffixes; with kids the empty one only
+        self.held: dict[bytes, dict[str, list[int]] | int] = {}  # suffixes; with kids the empty one only
         self.size = 0  # leaves, kept at the root only
 
-    def at(self, term: bytes) -> dict[str, list[int]]:
-        """Counters of a term, which is entered if it is new."""
+    def at(self, term: bytes, number: int | None = None) -> dict[str, list[int]] | int:
+        """The leaf of a term; a new one has ``number``, or without it no counters yet."""
         node, i, n = self, 0, len(term)
         while node.kids is not None and i < n:
             below = node.kids.get(term[i])
@@ -76,7 +77,7 @@ class Trie:
         suffix = term[i:] if i else term
         leaf = node.held.get(suffix)
         if leaf is None:
-            leaf = node.held[suffix] = {}
+            leaf = node.held[suffix] = {} if number is None else number
             self.size += 1
             if len(node.held) > BURST:
                 node.burst()
@@ -98,8 +99,8 @@ class Trie:
             cell[0] += count
             cell[1] += documents
 
-    def walk(self) -> Iterator[tuple[bytes, dict[str, list[int]]]]:
-        """Terms and counters in order of their bytes."""
+    def walk(self) -> Iterator[tuple[bytes, dict[str, list[int]] | int]]:
+        """Terms and leaves in order of their bytes."""
         stack: list[tuple[bytes, Trie]] = [(b"", self)]
         while stack:
             prefix, node = stack.pop()
@@ -151,7 +152,7 @@ def _seed(lang: str) -> int:
     return zlib.crc32(b"\0" + lang.encode())
 
 
-def _hashes(found: list[bytes], seed: int) -> np.ndarray:
+def _hashes(found: set[bytes], seed: int) -> np.ndarray:
     """Hashes of terms, one language's seed among them."""
     return np.fromiter(map(zlib.crc32, found, repeat(seed)), np.uint32, len(found))
 
@@ -174,8 +175,7 @@ def frequent_terms(docs: DataFrame, least: int) -> np.ndarray:
         for batch in batches:
             seeds = [_seed(x) for x in batch.column("lang").to_pylist()]
             for seed, text in zip(seeds, as_bytes(batch.column("text"))):
-                parts = [np.unique(_hashes(terms(part), seed)) for part in _stretches(text)]
-                held.append(parts[0] if len(parts) == 1 else np.unique(np.concatenate(parts)))
+                held.append(_hashes(set().union(*map(terms, _stretches(text))), seed))
                 size += len(held[-1])
                 if size > HASHES:
                     yield counts()
@@ -193,58 +193,108 @@ def frequent_terms(docs: DataFrame, least: int) -> np.ndarray:
 
 
 def _passes(hashes: np.ndarray, words: np.ndarray) -> np.ndarray:
+    """1 for hashes that the filter lets through."""
     place = (hashes >> np.uint32(33 - (len(words) * 64).bit_length())).astype(np.int64)
     return (words[place >> 6] >> (place & 63).astype(np.uint64)) & np.uint64(1)
 
 
+def _sums(keys: np.ndarray, *values: np.ndarray) -> tuple[np.ndarray, ...]:
+    """The different keys in order, and the sums of the values of each."""
+    order = np.argsort(keys, kind="stable")
+    keys = keys[order]
+    begins = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1]))) if len(keys) else order
+    return (keys[begins], *(np.add.reduceat(v[order], begins) if len(keys) else v for v in values))
+
+
+class Numbers(dict):
+    """Numbers of a language's terms, as its trie has them, and -1 for a term that the filter
+    keeps out.  A term is looked for in the filter and the trie when it is met first."""
+
+    def __init__(self, lang: str, words: np.ndarray):
+        self.trie, self.seed, self.words = Trie(), _seed(lang), memoryview(words)
+        self.shift = 33 - (len(words) * 64).bit_length()
+
+    def __missing__(self, term: bytes) -> int:
+        place = zlib.crc32(term, self.seed) >> self.shift
+        found = self[term] = self.trie.at(term, self.trie.size) if self.words[place >> 6] >> (place & 63) & 1 else -1
+        return found
+
+
 def count_terms(docs: DataFrame, words: np.ndarray) -> DataFrame:
     """Leaves of the tries of all partitions: lang, term, and for each source of the leaf
     occurrences and documents, of terms that the filter ``words`` lets through.  A term comes
     once for each trie that has it; tries are given out and begun anew when they hold HELD
-    leaves."""
+    leaves, or POOLED counters."""
     sent = docs.sparkSession.sparkContext.broadcast(words)
 
     def build(batches):
-        tries: dict[str, Trie] = defaultdict(Trie)
-        occurs: dict[tuple[str, str], Counter] = defaultdict(Counter)
-        within: dict[tuple[str, str], Counter] = defaultdict(Counter)
+        known: dict[str, Numbers] = {}
+        groups: dict[tuple[str, str], int] = {}
+        pool: list[np.ndarray] = []  # numbers of the terms of a text
+        owners: list[int] = []  # and its group
+        # counters by group and number: keys, occurrences, documents
+        counters: list[tuple[np.ndarray, ...]] = []
 
         def enter() -> None:
-            for (lang, source), counter in occurs.items():
-                trie, inside = tries[lang], within[lang, source]
-                for term, n in counter.items():
-                    trie.add(term, source, n, inside[term])
-            occurs.clear()
-            within.clear()
+            if pool:
+                numbers, owner = np.concatenate(pool), np.array(owners, np.int64)
+                text = np.repeat(np.arange(len(pool)), [len(x) for x in pool])
+                inside = numbers >= 0
+                keys, n = np.unique(text[inside] << 32 | numbers[inside], return_counts=True)
+                counters.append(_sums(owner[keys >> 32] << 32 | keys & 0xFFFFFFFF, n, np.ones_like(n)))
+                pool.clear()
+                owners.clear()
+            if len(counters) > 1:
+                counters[:] = [_sums(*map(np.concatenate, zip(*counters)))]
 
         def leaves() -> Iterator[pa.RecordBatch]:
-            rows = []
-            for lang in sorted(tries):
-                for term, leaf in tries[lang].walk():
-                    names = sorted(leaf)
-                    rows.append((lang, term, names, [leaf[s][0] for s in names], [leaf[s][1] for s in names]))
-                    if len(rows) == 4096:
-                        yield _batch(rows, LEAF)
-                        rows = []
-            if rows:
-                yield _batch(rows, LEAF)
-            tries.clear()
-
+            if counters:
+                keys, n, documents = counters[0]
+                langs = sorted(known)
+                found = [list(known[x].trie.walk()) for x in langs]
+                sizes = np.array([len(x) for x in found])
+                first = dict(zip(langs, np.cumsum(sizes) - sizes))
+                place = np.concatenate([np.empty(0, np.int64), *(np.argsort(np.array([i for _, i in x], np.int64)) for x in found)])
+                names = sorted({s for _, s in groups})
+                rank = {s: i for i, s in enumerate(names)}
+                start, source = (np.array(x, np.int64) for x in zip(*((first[x], rank[s]) for x, s in groups)))
+                group = keys >> 32
+                leaf = start[group] + place[start[group] + (keys & 0xFFFFFFFF)]
+                source = source[group]
+                order = np.lexsort((source, leaf))
+                ends = np.concatenate(([0], np.cumsum(np.bincount(leaf, minlength=sizes.sum()))))
+                spoken, words_ = np.repeat(np.arange(len(langs)), sizes), [t for x in found for t, _ in x]
+                for i in range(0, len(words_), 4096):
+                    j = min(i + 4096, len(words_))
+                    at = order[ends[i] : ends[j]]
+                    listed = lambda x: pa.ListArray.from_arrays(pa.array(ends[i : j + 1] - ends[i], pa.int32()), x)  # noqa: B023, E731
+                    columns = [pa.array(langs).take(pa.array(spoken[i:j])), pa.array(words_[i:j], pa.binary()).cast(pa.string()), listed(pa.array(names).take(pa.array(source[at])))]
+                    yield pa.RecordBatch.from_arrays([*columns, listed(pa.array(n[at])), listed(pa.array(documents[at]))], names=["lang", "term", "sources", "counts", "documents"])
+            for x in (known, groups, counters):
+                x.clear()
+
+        pooled = 0
         for batch in batches:
             langs, sources = batch.column("lang").to_pylist(), batch.column("source").to_pylist()
-            seeds = {x: _seed(x) for x in set(langs)}
             for lang, source, text in zip(langs, sources, as_bytes(batch.column("text"))):
-                seen: set[bytes] = set()
-                for part in _stretches(text):
-                    found = terms(part)
-                    found = list(compress(found, _passes(_hashes(found, seeds[lang]), sent.value).tolist()))
-                    occurs[lang, source].update(found)
-                    seen.update(found)
-                within[lang, source].update(seen)
-            if sum(map(len, occurs.values())) > TOGETHER:
+                numbers = known.get(lang)
+                if numbers is None:
+                    numbers = known[lang] = Numbers(lang, sent.value)
+                group = groups.setdefault((lang, source), len(groups))
+                parts = [np.fromiter(map(numbers.__getitem__, found), np.int32, len(found)) for found in map(terms, _stretches(text))]
+                pool.append(parts[0] if len(parts) == 1 else np.concatenate(parts))
+                owners.append(group)
+                pooled += len(pool[-1])
+                if pooled > POOLED:
+                    enter()
+                    pooled = 0
+            if sum(map(len, known.values())) > TOGETHER:
+                for numbers in known.values():
+                    numbers.clear()
+            if sum(x.trie.size for x in known.values()) > HELD or sum(len(x[0]) for x in counters) > POOLED:
                 enter()
-                if sum(t.size for t in tries.values()) > HELD:
-                    yield from leaves()
+                pooled = 0
+                yield from leaves()
         enter()
         yield from leaves()
 
@@ -262,38 +312,66 @@ def merge_tries(leaves: DataFrame, least: int) -> DataFrame:
     parts = int(leaves.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ranged = leaves.repartitionByRange(parts, "lang", "term").sortWithinPartitions("lang", "term")
 
-    def block(lang: str, trie: Trie) -> list[tuple]:
-        kept = [(t, leaf) for t, leaf in trie.walk() if sum(d for _, d in leaf.values()) >= least]
-        if not kept:
+    def merged(cells: list[tuple]) -> tuple:
+        """Names of sources in order, then leaf and source of each counter, occurrences and documents."""
+        leaf, counts, documents = (np.concatenate([c[i] for c in cells]) for i in (0, 2, 3))
+        coded = pa.concat_arrays([c[1] for c in cells]).dictionary_encode()
+        names = coded.dictionary.to_pylist()
+        order = sorted(range(len(names)), key=names.__getitem__)
+        rank = np.empty(len(names), np.int64)
+        rank[order] = np.arange(len(names))
+        keys, counts, documents = _sums(leaf << 32 | rank[coded.indices.to_numpy()], counts, documents)
+        return [names[i] for i in order], keys >> 32, keys & 0xFFFFFFFF, counts, documents
+
+    def block(lang: str, trie: Trie, cells: list[tuple]) -> list[tuple]:
+        if not trie.size:
             return []
-        names = sorted({s for _, leaf in kept for s in leaf})
-        number = {s: i for i, s in enumerate(names)}
-        cells = [(i, number[s], n) for i, (_, leaf) in enumerate(kept) for s, (n, _) in leaf.items()]
-        return [(lang, [t for t, _ in kept], [sum(n for n, _ in leaf.values()) for _, leaf in kept], names, *map(list, zip(*cells)))]
+        names, leaf, source, counts, documents = merged(cells)
+        within = _sums(leaf, documents)[1]
+        found = [(t, i) for t, i in trie.walk() if within[i] >= least]
+        if not found:
+            return []
+        place = np.full(trie.size, -1, np.int64)
+        place[[i for _, i in found]] = np.arange(len(found))
+        inside = np.flatnonzero(place[leaf] >= 0)
+        term_at, source, counts = place[leaf[inside]], source[inside], counts[inside]
+        used = np.unique(source)
+        return [(lang, [t for t, _ in found], _sums(term_at, counts)[1].tolist(), [names[i] for i in used], term_at.tolist(), np.searchsorted(used, source).tolist(), counts.tolist())]
 
     def build(batches):
-        at, term, trie, leaf = None, None, Trie(), {}
+        at, term, number, trie = None, None, 0, Trie()
+        cells: list[tuple] = []  # of the block: leaf, source, occurrences, documents
         for batch in batches:
             rows = []
             lists = [batch.column(c) for c in ("sources", "counts", "documents")]
-            ends = [x - lists[0].offsets[0].as_py() for x in lists[0].offsets.to_pylist()]
-            sources, counts, documents = (x.flatten().to_pylist() for x in lists)
+            ends = lists[0].offsets.to_numpy() - lists[0].offsets[0].as_py()
+            sources, counts, documents = (x.flatten() for x in lists)
+            counts, documents = counts.to_numpy(), documents.to_numpy()
+            numbers: list[int] = []
+            begin = 0
+
+            def deal(end: int) -> None:
+                if end > begin:
+                    some = slice(ends[begin], ends[end])
+                    leaf = np.repeat(np.array(numbers, np.int64), np.diff(ends[begin : end + 1]))
+                    cells.append((leaf, sources[some], counts[some], documents[some]))
+
             for i, (lang, text) in enumerate(zip(batch.column("lang").to_pylist(), batch.column("term").to_pylist())):
                 if lang != at or text != term:
                     if lang != at or trie.size >= LEAVES:
-                        rows += block(at, trie)
-                        at, trie = lang, Trie()
-                    term, leaf = text, trie.at(text.encode())
-                for j in range(ends[i], ends[i + 1]):
-                    cell = leaf.get(sources[j])
-                    if cell is None:
-                        leaf[sources[j]] = [counts[j], documents[j]]
-                    else:
-                        cell[0] += counts[j]
-                        cell[1] += documents[j]
+                        deal(i)
+                        rows += block(at, trie, cells)
+                        at, trie, cells, numbers, begin = lang, Trie(), [], [], i
+                    term = text
+                    number = trie.at(text.encode(), trie.size)
+                numbers.append(number)
+            deal(batch.num_rows)
+            if sum(len(c[0]) for c in cells) > POOLED:
+                names, leaf, source, *summed = merged(cells)
+                cells = [(leaf, pa.array(names).take(pa.array(source)), *summed)]
             if rows:
                 yield _batch(rows, BLOCK)
-        if trie.size and (rows := block(at, trie)):
+        if rows := block(at, trie, cells):
             yield _batch(rows, BLOCK)
 
     return ranged.mapInArrow(tidy(build), BLOCK)

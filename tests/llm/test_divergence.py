@@ -141,3 +141,20 @@ def test_sql(spark):
     assert [d[0] for d in result.description] == found.columns
     got, want = sorted(map(tuple, found.collect())), sorted(result.fetchall())
     assert got == want and {r[2] for r in got} == {"pair", "term"}
+
+
+def test_counts_many_terms_at_once(spark, monkeypatch):
+    """Occurrences are pooled and counted as arrays: small pools and terms that are forgotten
+    between texts give the same rows, and no counter is entered by itself."""
+    for name, value in (("HELD", 20), ("TOGETHER", 5), ("POOLED", 7), ("LEAVES", 3), ("STRETCH", 16)):
+        monkeypatch.setattr(divergence, name, value)
+    rows = corpus(11)
+    docs = spark.createDataFrame(rows, SCHEMA).repartition(3)
+    assert sorted(map(tuple, divergence.audit(docs, 3, 20).collect())) == brute(rows, 3, 20)
+    calls = []
+    monkeypatch.setattr(divergence.Trie, "add", lambda *a: calls.append(a))
+    texts = [b"one two one", b"two three"] * 40
+    numbers = divergence.Numbers("en", np.full(2, 2**64 - 1, np.uint64))
+    found = [[numbers[w] for w in divergence.terms(t)] for t in texts]
+    assert found[:2] == [[0, 1, 0], [1, 2]] and found[2:4] == found[:2] and not calls
+    assert divergence.Numbers("en", np.zeros(2, np.uint64))[b"one"] == -1
