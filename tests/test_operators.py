@@ -586,3 +586,28 @@ def test_matrices_against_a_loop(spark):
     found = C.matrices(cells)
     assert want and {tuple(r) for r in found.collect()} == want
     assert "Pandas" not in found._jdf.queryExecution().executedPlan().toString()
+
+
+def test_rows_kept_in_order_are_numbered(spark):
+    """Kept rows are numbered through all pages of a document, over batches too."""
+    rows = spark.createDataFrame([(d, p, x) for d in (1, 2) for p in (2, 1) for x in range(5)], "doc_id long, page long, x long")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "3")
+    try:
+        found = C.keep_in_order(rows, ("doc_id", "page"), ["x"], ["x"], dict, lambda state, row: row[0] % 2 == 0, "n").collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    want = [(p, x) for p in (1, 2) for x in (0, 2, 4)]
+    assert sorted(map(tuple, found)) == sorted((d, p, x, n) for d in (1, 2) for n, (p, x) in enumerate(want, 1))
+
+
+def test_shallow_boxes_give_way_by_rounded_corners(spark):
+    """Corners count to a tenth, halves away from zero, and -0.0 is 0.0; equal shallow boxes
+    don't take each other.  One width for all pages is as good as a table of them."""
+    field = lambda page, x0, y0, by: (1, page, x0, x0 + 100.0, y0, y0 + 20.0, y0 + 10.0, "acro_choice", None, None, by)
+    rows = [field(1, -0.0, 0.25, "dropdown"), field(1, 0.0, 0.3, "shallow box"), field(1, 0.0, 0.2, "shallow box"), field(1, 0.0, 0.2, "shallow box"), field(2, 0.0, 0.3, "shallow box")]
+    kinds = "doc_id long, page long, x0 double, x1 double, y0 double, y1 double, mid double, placement string, label string, name string, found_by string"
+    found = D.discover([spark.createDataFrame(rows, kinds)]).orderBy("emit_no").collect()
+    assert [(r.page, r.y0, r.found_by, r.emit_no) for r in found] == [(1, 0.25, "dropdown", 1), (1, 0.2, "shallow box", 2), (1, 0.2, "shallow box", 3), (2, 0.3, "shallow box", 4)]
+    words = spark.createDataFrame([(1, 0, 0, "Name:", 10.0, 40.0, 0.0, 10.0)], "doc_id long, page long, line_no long, text string, x0 double, x1 double, y0 double, y1 double")
+    pages = spark.createDataFrame([(1, 0, 300.0)], "doc_id long, page long, width double")
+    assert D.right_gaps(words, "line gap", 300.0).collect() == D.right_gaps(words, "line gap", pages).collect() != []
