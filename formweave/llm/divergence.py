@@ -1,7 +1,7 @@
 """Divergence of sources by the terms that they use.
 
-Every partition counts its terms in a byte trie for each language, whose leaves count, for
-each source, occurrences and documents.  A trie gives its leaves in the order of their UTF-8
+Every partition enters its terms in a byte trie for each language, whose leaves number them,
+and sums occurrences and documents of each number and source in arrays.  A trie gives its leaves in the order of their UTF-8
 bytes.  Terms in too few documents are kept out of the tries as far as a filter of hashes can
 tell (all documents are hashed for it first): it lets some of them through, and never keeps
 out others.  Leaves are dealt to ranges of (language, term), so every range is a range of prefixes;
@@ -461,7 +461,7 @@ def audit(docs: DataFrame, least: int = LEAST, top: int = TOP) -> DataFrame:
     A null text, language or source is an empty one.  A source without terms, and a language
     without kept ones, has its pairs; the only source of a language has none.  Rows that
     repeat count as often; other columns make no difference; an empty table gives no rows.
-    A task holds the different terms of its longest text besides its tries.
+    A task holds the numbers of all words of its longest text besides its tries.
     """
     groups = cut(docs.select(named("lang"), named("source")).distinct())
     blocks = cut(merge_tries(cut(count_terms(docs, frequent_terms(docs, least))), least))
