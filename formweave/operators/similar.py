@@ -40,8 +40,14 @@ COUNTS, HELD = 1 << 17, 100_000
 SPELT, SPELT_WORDS = 32, 5
 
 
+def _shuffled(df: DataFrame) -> DataFrame:
+    """For a join whose side is never broadcast.  The planner takes spellings, pairs and words
+    for as large as the texts that they are made of, which is hundreds of times too small."""
+    return df.hint("merge")
+
+
 def _small(df: DataFrame, most: int) -> DataFrame:
-    return F.broadcast(df) if df.count() <= most else df
+    return F.broadcast(df) if df.count() <= most else _shuffled(df)
 
 
 def _form(c: str, tokens: bool) -> Column:
@@ -79,7 +85,7 @@ def _by_pairs(labels: DataFrame, names: DataFrame, t: float) -> DataFrame:
         prefix = F.col(f"{c}_len") + 1 - _least(t, F.col(f"{c}_len") * (1 + t / (2 - t))) + 1
         return df.filter(F.col(f"{c}_at") < prefix)
 
-    met = side(labels, "l").join(side(names, "f"), "token")
+    met = side(labels, "l").join(_shuffled(side(names, "f")), "token")
     least = _least(t, F.col("l_len") + F.col("f_len"))
     near = 2 * F.least("l_len", "f_len") >= t * (F.col("l_len") + F.col("f_len")) - 1e-9
     follow = 1 + F.least(F.col("l_len") - F.col("l_at"), F.col("f_len") - F.col("f_at")) >= least
@@ -90,7 +96,7 @@ def _by_words(mine: DataFrame, theirs: DataFrame, t: float) -> DataFrame:
     """Those whose common words make up most of the left one (key, token, at, size: all its
     words with a space each, before: those of the words that are rarer)."""
     most = (F.col("size") - 1) * (2 - 2 * t) / (2 - t) + 1e-9
-    return mine.filter(F.col("before") <= most).join(theirs, "token").select("label_norm", "field_norm")
+    return mine.filter(F.col("before") <= most).join(_shuffled(theirs), "token").select("label_norm", "field_norm")
 
 
 def _words(rows: DataFrame, key: str) -> DataFrame:
@@ -161,9 +167,9 @@ def _near(labels: DataFrame, names: DataFrame, tokens: bool) -> DataFrame:
     either side, or two of the name; hashes may bring others with them."""
     mine = _spelt(labels, "label_norm", tokens, 1).select("spelling", F.col("id").alias("l_id"), F.col("less").alias("l_less"))
     theirs = _spelt(names, "field_norm", tokens, 2).select("spelling", F.col("id").alias("f_id"), F.col("less").alias("f_less"))
-    met = mine.join(theirs, "spelling").filter("f_less < 2 OR l_less = 0").select("l_id", "f_id").distinct()
-    met = met.join(labels.select("label_norm", F.xxhash64("label_norm").alias("l_id")), "l_id")
-    return met.join(names.select("field_norm", F.xxhash64("field_norm").alias("f_id")), "f_id").select("label_norm", "field_norm")
+    met = mine.join(_shuffled(theirs), "spelling").filter("f_less < 2 OR l_less = 0").select("l_id", "f_id").distinct()
+    met = met.join(_shuffled(labels.select("label_norm", F.xxhash64("label_norm").alias("l_id"))), "l_id")
+    return met.join(_shuffled(names.select("field_norm", F.xxhash64("field_norm").alias("f_id"))), "f_id").select("label_norm", "field_norm")
 
 
 def _others(a: Column) -> Column:
@@ -222,10 +228,10 @@ def closest(want: DataFrame, have: DataFrame, threshold: float, tokens: bool = F
     labels = cut(want.filter("label_norm <> ''").select("label_norm", _form("label_norm", tokens).alias("form")).filter("form <> ''"))
     names = cut(have.filter("field_norm <> ''").select("field_norm", "first", _form("field_norm", tokens).alias("form")).filter("form <> ''"))
     out: list[DataFrame] = []
-    open_ = lambda df: reduce(lambda d, done: d.join(done, "label_norm", "left_anti"), out, df)
+    open_ = lambda df: reduce(lambda d, done: d.join(_shuffled(done), "label_norm", "left_anti"), out, df)
 
     def compared(pairs: DataFrame, least: float) -> DataFrame:
-        pairs = pairs.distinct().join(names.select("field_norm", "first"), "field_norm")
+        pairs = pairs.distinct().join(_shuffled(names.select("field_norm", "first")), "field_norm")
         if overlap:
             pairs = pairs.filter(F.arrays_overlap(T.significant_words("label_norm"), T.significant_words("field_norm")))
         return cut(_compare(_dealt(pairs, "label_norm"), least, tokens))
@@ -238,7 +244,7 @@ def closest(want: DataFrame, have: DataFrame, threshold: float, tokens: bool = F
         heavy_names = cut(_weighed(of_names, "field_norm", _counted(of_labels)))
         heavy_labels = cut(_weighed(of_labels, "label_norm", _counted(of_names)))
         out.append(compared(reduce(DataFrame.unionByName, by_words(1.0)), 100.0))
-    near = compared(_near(cut(open_(labels)), names, tokens), threshold).join(labels.select("label_norm", "form", F.length("form").alias("len")), "label_norm")
+    near = compared(_near(cut(open_(labels)), names, tokens), threshold).join(_shuffled(labels.select("label_norm", "form", F.length("form").alias("len"))), "label_norm")
     served = (F.col("len") <= SPELT - 2) & (F.col("score") / (100 if tokens else 1) > _others(F.col("len")) + 1e-9)
     if tokens:
         served = served & (F.size(F.split("form", " ")) <= SPELT_WORDS - 2)

@@ -54,3 +54,16 @@ def test_longest_run_deals_lines_once(spark):
 
     plan = placing.longest_run(spark, D)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning") == 1 and "Join" not in plan
+
+
+def test_similar_labels_and_their_sheet_are_not_broadcast(spark):
+    from formweave.operators import similar
+
+    labels = spark.createDataFrame([("acount 1", "acount 1")], "label_norm string, form string")
+    names = spark.createDataFrame([("account 1", "account 1")], "field_norm string, form string")
+    near = similar._near(labels, names, False)
+    assert near.collect() == [("acount 1", "account 1")]
+    words = similar._by_words(similar._weighed(similar._words(labels, "label_norm"), "label_norm", similar._counted(similar._words(names, "field_norm"))), similar._words(names, "field_norm"), 0.86)
+    for df in (near, words.select("field_norm"), resolving.resolve_exact(spark, D), resolving.resolve_agent(spark, D), resolving.resolve_token_sets(spark, D)):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in plan and plan.count("BroadcastHashJoin") == (df.columns == ["field_norm"])  # counted words are
