@@ -1,5 +1,7 @@
 """Steps whose work must not grow faster than their input."""
 
+import re
+
 from formweave.operators import resolve as R
 from formweave.plans import resolving
 
@@ -67,3 +69,29 @@ def test_similar_labels_and_their_sheet_are_not_broadcast(spark):
     for df in (near, words.select("field_norm"), resolving.resolve_exact(spark, D), resolving.resolve_agent(spark, D), resolving.resolve_token_sets(spark, D)):
         plan = df._jdf.queryExecution().executedPlan().toString()
         assert "SortMergeJoin" in plan and plan.count("BroadcastHashJoin") == (df.columns == ["field_norm"])  # counted words are
+
+
+def test_stored_rows_leave_no_shuffle(spark):
+    import time
+
+    from formweave.sources.shared import stored
+
+    files = lambda: set(re.findall(r"shuffle_\d+_\d+_\d+\.data", spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles().toString()))
+    before = files()
+    kept = stored(spark.range(1000).repartition(3, "id"))
+    for _ in range(50):
+        if not files() - before:
+            break
+        time.sleep(0.2)
+    assert not files() - before and kept.count() == 1000
+
+
+def test_label_on_the_left_looks_at_nothing_above(spark):
+    from formweave.operators import spatial as P
+    from formweave.plans.base import given
+
+    slots, blocks = given(spark, D, "slots"), given(spark, D, "blocks")
+    found = P.left_label(slots, blocks)
+    assert found._jdf.queryExecution().executedPlan().toString().count("Join") == 1
+    # slots of the query may share a number
+    assert _rows(found) == _rows(P.nearest_label(slots, blocks).filter("how = 'row'").select("field_no", "label").distinct())
